@@ -5,20 +5,39 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from skyloom.llm.mixing import mix_sources, sized_documents
 from skyloom.llm.near_dedup import near_duplicates
+from skyloom.llm.sharding import histogram_sort
+from skyloom.session import staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = staged(sized_documents(table(spark, sf_dir, "documents")), "sized")
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return mix_sources(sized).select("doc_id", "size", "source_size", "target", taken, "source", "copies")
+
+
+def op4_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    keyed = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash")
+    )
+    placed = histogram_sort(staged(keyed, "keyed"), F.col("text_hash"), F.col("doc_id"), F.col("size"), 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_superminhash,)}
+    return {f.__name__: f for f in (op1_mixing, op4_histogram_sort, op8_superminhash)}
 
 
 def oracle_sql() -> dict[str, str]:

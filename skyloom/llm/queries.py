@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from skyloom.llm.mixing import mix_sources, sized_documents
 from skyloom.llm.near_dedup import near_duplicates
 from skyloom.llm.sharding import histogram_sort
-from skyloom.session import staged
+from skyloom.llm.warc import archived_pages, register, with_revisits
+from skyloom.session import shared_path, staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,12 +33,19 @@ def op4_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark)
+    folder = shared_path(spark, "warc")
+    with_revisits(table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(folder)
+    return archived_pages(spark.read.format("warc").load(folder))
+
+
 def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op4_histogram_sort, op8_superminhash)}
+    return {f.__name__: f for f in (op1_mixing, op4_histogram_sort, op5_warc, op8_superminhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.mixing import mix_sources, sized_documents
 from skyloom.llm.near_dedup import near_duplicates
+from skyloom.llm.repair import token_shards
 from skyloom.llm.sharding import histogram_sort
 from skyloom.llm.warc import archived_pages, register, with_revisits
 from skyloom.session import shared_path, staged
@@ -44,8 +46,12 @@ def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op9_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, first=49408)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op4_histogram_sort, op5_warc, op8_superminhash)}
+    return {f.__name__: f for f in (op1_mixing, op4_histogram_sort, op5_warc, op8_superminhash, op9_repair)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -12,6 +12,7 @@ from skyloom.llm.media import encode_media, media_digests
 from skyloom.llm.mixing import mix_sources, sized_documents
 from skyloom.llm.near_dedup import near_duplicates
 from skyloom.llm.neighbours import nearest_neighbours
+from skyloom.llm.piece_model import encode_pieces
 from skyloom.llm.repair import token_shards
 from skyloom.llm.sharding import histogram_sort
 from skyloom.llm.warc import archived_pages, register, with_revisits
@@ -52,6 +53,10 @@ def op6_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 20 == 0, k=20)
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False)
+
+
 def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -61,7 +66,7 @@ def op9_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_progressive_jpeg, op4_histogram_sort, op5_warc, op6_adaptive_scan, op8_superminhash, op9_repair)}
+    return {f.__name__: f for f in (op1_mixing, op2_progressive_jpeg, op4_histogram_sort, op5_warc, op6_adaptive_scan, op7_sentencepiece, op8_superminhash, op9_repair)}
 
 
 def oracle_sql() -> dict[str, str]:

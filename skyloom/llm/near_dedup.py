@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +19,8 @@ from skyloom.session import staged
 ROWS = 5
 #: A linked pair that shares no band is as rare as this.
 MISS = 1e-6
-#: Rounds of checks against one member of each bucket before all pairs of different components.
-STAR_ROUNDS = 4
+#: Rows of each side of a block of comparisons.
+BLOCK = 1024
 
 
 def bands_for(percent: int) -> int:
@@ -98,22 +99,13 @@ def _set_reader(k: int):
     return run
 
 
-def _links(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose whole shingle sets are as similar as asked."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = staged(
-        docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_set_reader(k), "doc_id long, members array<long>"),
-        "sets",
-    )
     one = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    found = (
-        pairs.join(two, "b").join(one, "a")
-        .where(100 * both >= percent * (F.size("x") + F.size("y") - both))
-        .select("a", "b").distinct()
-    )
-    return staged(found, "links")
+    alike = 100 * both >= percent * (F.size("x") + F.size("y") - both)
+    return staged(pairs.join(two, "b").join(one, "a").where(alike).select("a", "b").distinct(), "links")
 
 
 def _near(n1: str, n2: str, percent: int):
@@ -121,6 +113,75 @@ def _near(n1: str, n2: str, percent: int):
     return (100 * F.least(n1, n2)) >= (percent * F.greatest(n1, n2))
 
 
+def _star(open_: DataFrame, hub_by, percent: int) -> DataFrame:
+    """Pairs of each bucket's hub with its members of other components."""
+    hubs = open_.groupBy("bucket").agg(F.min_by(F.struct("rep", "n", "part"), hub_by).alias("hub"))
+    joined = open_.join(hubs, "bucket").where((F.col("part") != F.col("hub.part")) & _near("n", "hub.n", percent))
+    pairs = joined.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))
+    return staged(pairs.where("a < b").distinct(), "pairs")
+
+
+def _unclear(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members, with their component as part, of the buckets that have three or more and not one component only."""
+    labelled = members.drop("part").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    labelled = labelled.withColumn("part", F.coalesce("component", "rep")).drop("component")
+    mixed = labelled.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("c")).where("lo < hi and c > 2")
+    return staged(labelled.join(mixed.select("bucket"), "bucket"), "open")
+
+
+def _block_links(percent: int):
+    def run(block: pa.Table) -> pa.Table:
+        """For each row marked few, one other row in each other component that it is linked with."""
+        few, many = block.filter(block["few"]), block.filter(pc.invert(block["few"]))
+        sets = [np.asarray(x, np.int64) for t in (few, many) for x in t.column("members").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        n = few.num_rows
+        values, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]), return_counts=True)
+        values = values[counts > 1]
+        both = np.zeros((n, len(sets) - n), np.float32)
+        for at in range(0, len(values), 4096):
+            slab = values[at : at + 4096]
+            dense = np.zeros((len(sets), len(slab)), np.float32)
+            for row, x in zip(dense, sets, strict=True):
+                place = np.minimum(np.searchsorted(slab, x), len(slab) - 1)
+                row[place[slab[place] == x]] = 1
+            both += dense[:n] @ dense[n:].T
+        joint = size[:n, None] + size[None, n:] - both
+        part_1, part_2 = few.column("part").to_numpy(), many.column("part").to_numpy()
+        rep_1, rep_2 = few.column("rep").to_numpy(), many.column("rep").to_numpy()
+        linked = (100 * both >= percent * joint) & (part_1[:, None] != part_2[None, :])
+        out: dict[tuple[int, int], tuple[int, int]] = {}
+        for i, j in np.argwhere(linked).tolist():
+            out.setdefault((i, int(part_2[j])), (int(rep_1[i]), int(rep_2[j])))
+        found = [(min(p), max(p)) for p in out.values()]
+        return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
+
+    return run
+
+
+def _rest_links(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components that may still be hidden among ``open_``, found block by block.
+
+    Groups are what buckets connect. In each, rows outside its largest
+    component meet all rows, in blocks of BLOCK by BLOCK, whose intersections
+    are matrix products; only links leave a block, one for each row and
+    component.
+    """
+    hubs = open_.groupBy("bucket").agg(F.min("rep").alias("hub"))
+    groups = connected_components(open_.join(hubs, "bucket").select("rep", "hub").distinct(), "rep", "hub")
+    rows = open_.select("rep", "part").distinct().join(groups.select(F.col("node").alias("rep"), F.col("component").alias("grp")), "rep")
+    rows = staged(rows, "rest")
+    parts = rows.groupBy("grp", "part").agg(F.count("*").alias("c"))
+    main = parts.groupBy("grp").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("top"))
+    blocks = main.select("grp", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("m"), F.ceil((F.col("all") - F.col("top")) / BLOCK).cast("int").alias("o"))
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    full = rows.join(blocks, "grp").join(sets.select(F.col("doc_id").alias("rep"), "members"), "rep")
+    few = full.where("part != main").select(F.lit(True).alias("few"), "grp", "rep", "part", "members", own("o").alias("i"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"))
+    many = full.select(F.lit(False).alias("few"), "grp", "rep", "part", "members", F.explode(F.sequence(F.lit(0), F.col("o") - 1)).alias("i"), own("m").alias("j"))
+    found = few.unionByName(many).groupBy("grp", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
+    return staged(found.distinct(), "links")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Group documents whose k-word shingle sets have a Jaccard similarity of ``percent`` or more.
 
@@ -130,9 +191,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     Equal sets collapse into one representative by an aggregate, so copies
     never meet in pairs. Representatives that share a band are candidates. Each
-    bucket checks its members against one member, in a few rounds with other
-    members each time; what is then still in different components within a
-    bucket is checked pair by pair. Every check is on the full sets.
+    bucket first checks its members against its smallest one. Of the buckets
+    that then hold several components, members drop out that have too many
+    shingles of their own to be linked with anything there; the others are
+    checked against their bucket's most central member, then against another,
+    and what is still open is compared in blocks. Every check is on full sets.
 
     Null or empty text has no shingles, links with nothing and is kept. A null
     doc_id has a null component_id and is kept. Rows with one doc_id count as
@@ -153,42 +216,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     shared = banded.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
     members = staged(banded.join(shared, "bucket"), "members")
 
-    labels, tested, links = None, None, None
-    for step in range(STAR_ROUNDS + 1):
-        if labels is None:
-            open_, hub_by = members.withColumn("part", F.col("rep")), F.struct("rep")
-        else:
-            mixed = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
-            unclear = mixed.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("bucket")
-            open_ = staged(mixed.join(unclear, "bucket"), "open")
-            if open_.isEmpty():
-                break
-            hub_by = F.struct(F.xxhash64("rep", "bucket", F.lit(step)), "rep")
-        if step < STAR_ROUNDS:
-            hubs = open_.groupBy("bucket").agg(F.min_by(F.struct("rep", "n", "part"), hub_by).alias("hub"))
-            pairs = (
-                open_.join(hubs, "bucket")
-                .where((F.col("part") != F.col("hub.part")) & _near("n", "hub.n", percent))
-                .select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))
-            )
-        else:
-            other = open_.select("bucket", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("part").alias("part2"))
-            pairs = (
-                open_.join(other, "bucket").where((F.col("part") < F.col("part2")) & _near("n", "n2", percent))
-                .select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
-            )
-        pairs = pairs.where("a < b").distinct()
-        pairs = staged(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if pairs.isEmpty():
-            if step == STAR_ROUNDS:
-                break
-            if labels is None:
-                labels = connected_components(pairs, "a", "b")
-            continue
-        found = _links(pairs, docs, k, percent)
-        links = found if links is None else links.unionByName(found)
+    labels = None
+    pairs = _star(members.withColumn("part", F.col("rep")), F.struct("rep"), percent)
+    if not pairs.isEmpty():
+        wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+        sets = staged(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_reader(k), "doc_id long, members array<long>"), "sets")
+        links = _links(pairs, sets, percent)
         labels = connected_components(links, "a", "b")
+        open_ = _unclear(members, labels)
+        if not open_.isEmpty():
+            some = sets.join(open_.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+            lone = (
+                some.select("doc_id", F.explode("members").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("doc_id").alias("rep"))
+                .where("c = 1").groupBy("rep").agg(F.count("*").alias("own"))
+            )
+            open_ = open_.join(lone, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+            members = staged(open_.where(F.col("own") * 100 <= F.col("n") * (100 - percent)), "members")
+            for hub_by in (F.struct(F.col("own") / F.col("n"), "rep"), F.struct(F.xxhash64("rep", "bucket"), "rep")):
+                open_ = _unclear(members, labels)
+                pairs = _star(open_, hub_by, percent)
+                if pairs.isEmpty():
+                    continue
+                links = links.unionByName(_links(pairs, sets, percent))
+                labels = connected_components(links, "a", "b")
+            open_ = _unclear(members, labels)
+            if not open_.isEmpty():
+                links = links.unionByName(_rest_links(open_, sets, percent))
+                labels = connected_components(links, "a", "b")
 
     moved = classes.where("copies > 1").select(*key, "rep")
     if labels is not None:

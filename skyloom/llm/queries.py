@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyloom.llm.cotraining import score_quality
 from skyloom.llm.media import encode_media, media_digests
 from skyloom.llm.mixing import mix_sources, sized_documents
 from skyloom.llm.near_dedup import near_duplicates
@@ -33,6 +34,10 @@ def op2_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(staged(encode_media(table(spark, sf_dir, "documents")), "media", compression="zstd"))
 
 
+def op3_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     keyed = table(spark, sf_dir, "documents").select(
@@ -66,7 +71,7 @@ def op9_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_progressive_jpeg, op4_histogram_sort, op5_warc, op6_adaptive_scan, op7_sentencepiece, op8_superminhash, op9_repair)}
+    return {f.__name__: f for f in (op1_mixing, op2_progressive_jpeg, op3_cotraining, op4_histogram_sort, op5_warc, op6_adaptive_scan, op7_sentencepiece, op8_superminhash, op9_repair)}
 
 
 def oracle_sql() -> dict[str, str]:

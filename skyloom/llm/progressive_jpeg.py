@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -113,14 +114,23 @@ class Huffman:
                 self.lookup[length, code] = symbols[k]
                 code, k = code + 1, k + 1
             code <<= 1
-        self.table: list[tuple[int, int]] | None = None
+
+    @cached_property
+    def table(self) -> list[tuple[int, int]]:
+        """Symbol and length for each 16 bits that begin with a code."""
+        found = [(0, 0)] * 65536
+        for symbol, (code, length) in self.codes.items():
+            low = code << (16 - length)
+            found[low : low + (1 << (16 - length))] = [(symbol, length)] * (1 << (16 - length))
+        return found
+
+    @staticmethod
+    @lru_cache(maxsize=256)
+    def held(counts: bytes, symbols: bytes) -> Huffman:
+        """The table of a DHT segment, kept for the next file that has it."""
+        return Huffman(list(counts), symbols)
 
     def read(self, bits: Bits) -> int:
-        if self.table is None:
-            self.table = [(0, 0)] * 65536
-            for symbol, (code, length) in self.codes.items():
-                low = code << (16 - length)
-                self.table[low : low + (1 << (16 - length))] = [(symbol, length)] * (1 << (16 - length))
         symbol, length = self.table[bits.peek(16)]
         if not length:
             raise ValueError("no such code")
@@ -133,7 +143,7 @@ class Huffman:
         symbols = sorted(set(symbols)) or [0]
         length = max(1, len(symbols).bit_length())
         counts = [len(symbols) if i == length else 0 for i in range(1, 17)]
-        return cls(counts, bytes(symbols)), bytes(counts) + bytes(symbols)
+        return cls.held(bytes(counts), bytes(symbols)), bytes(counts) + bytes(symbols)
 
 
 def _extend(v: int, size: int) -> int:
@@ -314,9 +324,6 @@ def _dc_first(bits: Bits, outs: list[tuple[np.ndarray, np.ndarray, Huffman]], al
     got: list[list[int]] = [[] for _ in outs]
     words, at = bits.words(), bits.at
     longest = len(words) - 1
-    for t in {id(t): t for _, _, t in outs}.values():
-        if t.table is None:
-            t.read(Bits(bits.data.tobytes() or b"\0"))
     for _ in mcus:
         for k, n, t in plan:
             table, keep = t.table, got[k]
@@ -464,9 +471,8 @@ def read_progressive(data: bytes) -> Image:
                 body = body[1 + n :]
         elif kind == DHT:
             while body:
-                counts = list(body[1:17])
-                n = sum(counts)
-                tables[body[0]] = Huffman(counts, body[17 : 17 + n])
+                n = sum(body[1:17])
+                tables[body[0]] = Huffman.held(bytes(body[1:17]), bytes(body[17 : 17 + n]))
                 body = body[17 + n :]
         elif kind == DRI:
             restart = int.from_bytes(body[:2], "big")

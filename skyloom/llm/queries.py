@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyloom.llm.attention_lm import score_documents
 from skyloom.llm.cotraining import score_quality
 from skyloom.llm.media import encode_media, media_digests
 from skyloom.llm.mixing import mix_sources, sized_documents
@@ -70,8 +71,12 @@ def op9_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, first=49408)
 
 
+def op10_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=50256)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_progressive_jpeg, op3_cotraining, op4_histogram_sort, op5_warc, op6_adaptive_scan, op7_sentencepiece, op8_superminhash, op9_repair)}
+    return {f.__name__: f for f in (op1_mixing, op2_progressive_jpeg, op3_cotraining, op4_histogram_sort, op5_warc, op6_adaptive_scan, op7_sentencepiece, op8_superminhash, op9_repair, op10_attention_lm)}
 
 
 def oracle_sql() -> dict[str, str]:

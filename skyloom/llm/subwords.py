@@ -12,40 +12,42 @@ CACHE_BYTES = 48
 
 
 class WordCachedTokenizer:
-    """Encodes as the whole-text tokenizer does, for files that drop white space.
+    """Encodes word by word, and each distinct word once.
 
-    Such a tokenizer never joins what white space parts, so the ids of a text
-    are the ids of its words in a row; equal words are encoded once. Words go
-    to the library in lower case if it lowers them itself, unless the text has
-    what might be a special token.
+    For files that drop white space this gives what the library gives for the
+    whole text: such a tokenizer never joins what white space parts. Words go
+    to the library with A-Z in lower case, unless the text has what might be a
+    special token and ``prefix`` is empty. With a ``prefix``, each word is
+    encoded behind it, and the strings of special tokens are ordinary text.
     """
 
-    _held: dict[str, WordCachedTokenizer] = {}
+    _held: dict[tuple[str, str], WordCachedTokenizer] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, prefix: str = ""):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = bool(prefix)
+        self.prefix = prefix
         self.cache: dict[bytes, bytes] = {}
 
     @classmethod
-    def at(cls, path: str) -> WordCachedTokenizer:
+    def at(cls, path: str, prefix: str = "") -> WordCachedTokenizer:
         """One for each file and worker process."""
-        if path not in cls._held:
-            cls._held[path] = cls(path)
-        return cls._held[path]
+        if (path, prefix) not in cls._held:
+            cls._held[path, prefix] = cls(path, prefix)
+        return cls._held[path, prefix]
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text."""
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        split = [(t if b"<|" in t and not self.prefix else t.lower()).split() for t in texts]
         words = set().union(*split)
         if len(self.cache) > CACHE_WORDS:
             self.cache = {}
         order = list(words.difference(self.cache))
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in order], add_special_tokens=False) if order else []
-        fresh = dict(zip(order, (np.asarray(e.ids, np.uint32).tobytes() for e in found), strict=True))
-        self.cache |= fresh
+        found = self.tokenizer.encode_batch_fast([self.prefix + w.decode() for w in order], add_special_tokens=False) if order else []
+        self.cache |= dict(zip(order, (np.asarray(e.ids, np.uint32).tobytes() for e in found), strict=True))
         out = [np.frombuffer(b"".join(map(self.cache.__getitem__, s)), np.uint32) for s in split]
         for w in order:
             if len(w) > CACHE_BYTES:

@@ -23,7 +23,9 @@ BLOCK_QUERIES = 4096
 STEP = 8
 STRIPE = 256
 #: Rows of the sample whose k-th best score is a first lower limit for a query.
-FLOOR_ROWS = 2048
+FLOOR_ROWS = 4096
+#: A query first visits this share of its lists, nearest first; what it finds there limits the rest.
+FIRST_SHARE = 0.15
 EPSILON = 2.1
 
 
@@ -133,7 +135,7 @@ def _assigner(centres: np.ndarray, radius: float, n: int, query: bool):
             x = _matrix(batch.column(1))
             near = nearest(lifted(x, radius, query), centres, n) if len(x) else np.zeros((0, n), np.int64)
             take = np.repeat(np.arange(len(x)), n)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take)), batch.column(1).take(pa.array(take)), pa.array(near.ravel(), pa.int32())], ["id", "vec", "list"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take)), batch.column(1).take(pa.array(take)), pa.array(near.ravel(), pa.int32()), pa.array(np.tile(np.arange(n), len(x)), pa.int32())], ["id", "vec", "list", "place"])
 
     return run
 
@@ -171,6 +173,28 @@ def _searcher(radius: float, k: int):
     return run
 
 
+def _k_best(found: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query, each vector once, with their ranks."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return once.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
+
+
+def _visit(held: DataFrame, asked: DataFrame, sizes: dict[int, int], found: DataFrame, lists: int, radius: float, k: int) -> DataFrame:
+    """What queries find in the lists that ``asked`` names, beyond the k-th best that they have."""
+    floors = found.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") == k, F.min("score")).alias("floor"))
+    asked = asked.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    wants = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}
+    per = lambda counts, most: F.array(*[F.lit(max(1, -(-counts.get(i, 0) // most))) for i in range(lists)])[F.col("list")]
+    v_parts, q_parts = per(sizes, BLOCK_ROWS), per(wants, BLOCK_QUERIES)
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = held.select(F.lit(False).alias("asks"), "id", "vec", F.lit(0.0).alias("floor"), "list", own(v_parts).alias("v"), each(q_parts).alias("q"))
+    right = asked.select(F.lit(True).alias("asks"), "id", "vec", "floor", "list", each(v_parts).alias("v"), own(q_parts).alias("q"))
+    found = left.unionByName(right).groupBy("list", "v", "q").applyInArrow(_searcher(radius, k), "query_id long, vec_id long, score double")
+    return found.withColumn("rank", F.lit(0))
+
+
 def nearest_neighbours(df: DataFrame, key: str, vector: str, queries, k: int = 20, probe: float = 0.7, n_lists: int | None = None) -> DataFrame:
     """The k vectors of largest inner product, in double precision, for each row that ``queries`` (a condition on id) selects.
 
@@ -204,22 +228,12 @@ def nearest_neighbours(df: DataFrame, key: str, vector: str, queries, k: int = 2
     lists = len(centres)
     probes = max(1, math.ceil(probe * lists))
 
-    schema = "id long, vec array<double>, list int"
+    schema = "id long, vec array<double>, list int, place int"
     held = staged(rows.mapInArrow(_assigner(centres, radius, 1, False), schema), "held")
-    first = staged(rows.where(queries).mapInArrow(_sampler(sample_ids[:FLOOR_ROWS], sample[:FLOOR_ROWS], k), "query_id long, vec_id long, score double"), "first")
-    floors = first.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") == k, F.min("score")).alias("floor"))
-    asked = rows.where(queries).mapInArrow(_assigner(centres, radius, probes, True), schema)
-    asked = staged(asked.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))), "asked")
+    asked = staged(rows.where(queries).mapInArrow(_assigner(centres, radius, probes, True), schema), "asked")
+    found = staged(rows.where(queries).mapInArrow(_sampler(sample_ids[:FLOOR_ROWS], sample[:FLOOR_ROWS], k), "query_id long, vec_id long, score double").withColumn("rank", F.lit(0)), "found")
     sizes = {r["list"]: r["count"] for r in held.groupBy("list").count().collect()}
-    wants = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}
-    per = lambda counts, most: F.array(*[F.lit(max(1, -(-counts.get(i, 0) // most))) for i in range(lists)])[F.col("list")]
-    v_parts, q_parts = per(sizes, BLOCK_ROWS), per(wants, BLOCK_QUERIES)
-    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = held.select(F.lit(False).alias("asks"), "id", "vec", F.lit(0.0).alias("floor"), "list", own(v_parts).alias("v"), each(q_parts).alias("q"))
-    right = asked.select(F.lit(True).alias("asks"), "id", "vec", "floor", "list", each(v_parts).alias("v"), own(q_parts).alias("q"))
-    found = left.unionByName(right).groupBy("list", "v", "q").applyInArrow(_searcher(radius, k), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = found.unionByName(first).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    first = math.ceil(FIRST_SHARE * probes)
+    for part in (F.col("place") < first, F.col("place") >= first):
+        found = staged(_k_best(found.unionByName(_visit(held, asked.where(part), sizes, found, lists, radius, k)), k), "found")
+    return found.select("query_id", "rank", "vec_id", "score")

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.config import DetectConfig
@@ -20,6 +20,8 @@ BINS = 10
 SMOOTHING_BINS = 100_000
 #: Rows of a distance block.
 BLOCK = 1024
+#: Points and queries of one task, about, where groups do not bound them.
+KNN_ROWS = 50_000
 
 
 def other_motion(axis: str = "axis") -> Column:
@@ -124,13 +126,28 @@ def knn(points: DataFrame, queries: DataFrame, k: int, dims: list[str], keys: li
 
     kinds = dict(points.dtypes)
     schema = "".join(f"{c} {kinds[c]}, " for c in keys) + "query_id long, rank int, point_id long, dist_sq double"
-    own = keys or ["_all"]
-    p = points.select(*keys, "point_id", *dims)
-    q = queries.select(*keys, "query_id", *dims)
-    if not keys:  # blocks of queries against all points
-        p, q = p.withColumn("_all", F.lit(0)), q.withColumn("_all", F.lit(0))
-    found = q.groupBy(*own).cogroup(p.groupBy(*own)).applyInPandas(lambda key, asked, held: find(key if keys else (), held, asked), schema)
-    return found
+    p = points.select(*keys, F.col("point_id").alias("id"), F.lit(False).alias("asks"), *dims)
+    q = queries.select(*keys, F.col("query_id").alias("id"), F.lit(True).alias("asks"), *dims)
+    own = keys
+    if not keys:  # blocks of points and of queries meet in tasks of their own
+        own = ["_p", "_q"]
+        n_p, n_q = (max(1, -(-d.count() // KNN_ROWS)) for d in (p, q))
+        part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        p = p.withColumn("_p", part(n_p)).withColumn("_q", each(n_q))
+        q = q.withColumn("_q", part(n_q)).withColumn("_p", each(n_p))
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        held, asked = g[~g.asks].rename(columns={"id": "point_id"}), g[g.asks].rename(columns={"id": "query_id"})
+        if not len(asked) or not len(held):
+            return pd.DataFrame({c: [] for c in (*keys, "query_id", "rank", "point_id", "dist_sq")})
+        return find(key if keys else (), held, asked)
+
+    found = q.unionByName(p).groupBy(*own).applyInPandas(run, schema)
+    if keys:
+        return found
+    order = Window.partitionBy("query_id").orderBy("dist_sq", "point_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def nearest(points: DataFrame, queries: DataFrame, dims: list[str], keys: list[str] | None = None, scale: list[float] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,7 +21,7 @@ UNIGRAM, BPE, WORD, CHAR = 1, 2, 3, 4
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Words that a worker keeps at most, and the longest that it keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 CACHE_CHARS = 40
 
 
@@ -214,15 +215,16 @@ class PieceCodec:
             ids, own = self.encode(texts), self.sentencepiece.encode(texts, num_threads=1)
             return [np.asarray(x, np.uint32) for x in ids], [a == b for a, b in zip(ids, own, strict=True)]
         split = [self._chunks(t) if t else [] for t in texts]
-        if len(self.words) > CACHE_WORDS:
-            self.words = {}
-        fresh = list(set().union(*split).difference(self.words))
+        words = set().union(*split)
+        if len(self.words) > CACHE_WORDS:  # what is frequent is in this run as well
+            self.words = {w: self.words[w] for w in words.intersection(self.words)}
+        fresh = list(words.difference(self.words))
         got = self.bare.encode_batch_fast(fresh, add_special_tokens=False) if fresh else []
         # the model adds the first mark itself; a mark alone is a piece, since an empty text gets none
         own = self.sentencepiece.encode([w[1:].replace(MARK, " ") for w in fresh], num_threads=1) if fresh else []
         for w, e, ids in zip(fresh, got, own, strict=True):
             same = e.ids == (ids if w != MARK else [self.sentencepiece.piece_to_id(MARK)])
-            self.words[w] = np.asarray(e.ids, np.uint32).tobytes()
+            self.words[w] = array("I", e.ids).tobytes()
             if not same:
                 self.differ.add(w)
         out = [np.frombuffer(b"".join(map(self.words.__getitem__, s)), np.uint32) for s in split]
@@ -262,7 +264,8 @@ def encode_pieces(docs: DataFrame, model: str, threads: int = 1, keep_ids: bool
 
     Needs doc_id and text; other columns are ignored. Returns doc_id, n_tokens,
     ids_crc32 (of the ids as little-endian unsigned 32-bit integers),
-    round_trip (the decoded text is the text), parity (sentencepiece gives the
+    round_trip (the decoded text is the text, which a text with the mark itself
+    never is), parity (sentencepiece gives the
     same ids) and, if asked, ids. ``threads`` is the library's number of threads
     in each worker; leave it at the cores of a task. Null text is empty; an
     empty text has no ids. An empty table gives an empty result.

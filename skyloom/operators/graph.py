@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.session import staged, unstage
 
+#: Edges of a graph that one task labels.
+SMALL_EDGES = 100_000
+
 
 def _oriented(edges: DataFrame) -> DataFrame:
     return (
@@ -28,10 +34,27 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hooked.unionByName(low.select("u", F.col("m").alias("v")))
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict = {}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = find(parent.setdefault(a, a)), find(parent.setdefault(b, b))
+            parent[max(x, y)] = min(x, y)
+    nodes = sorted(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "component"])
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", small: int = SMALL_EDGES, max_rounds: int = 60) -> DataFrame:
     """Label every node that has an edge with the smallest node of its component.
 
-    Alternates large-star and small-star steps, so chains need a number of
+    A graph of ``small`` edges at most is labelled by union-find in one task. A
+    larger one alternates large-star and small-star steps, so chains need a number of
     rounds that is logarithmic in their length. Each round is written to the
     shared folder; hubs are never gathered in one task, since the minimum is a
     map-side combined aggregate that is joined back.
@@ -40,6 +63,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     and an empty table gives an empty result. Returns ``node``, ``component``.
     """
     current = staged(_oriented(edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))), "cc")
+    if not current.select("u").limit(small + 1).count() > small:
+        return current.select(F.col("u").cast("long"), F.col("v").cast("long")).repartition(1).mapInArrow(_union_find, "node long, component long")
     print_sum = None
     for _ in range(max_rounds):
         step = staged(_oriented(_small_star(_oriented(_large_star(current)))), "cc")

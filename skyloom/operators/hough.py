@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from skyloom.config import DetectConfig
 from skyloom.operators.windows import cap_rois, gate_srs, sr_counts
 
 CELL = ["patch_id", "p", "q"]
+#: Cells whose votes are counted together.
+CELLS_AT_ONCE = 64
 
 
 def hough_votes(points: DataFrame, cfg: DetectConfig, keys: list[str] = CELL, x: str = "phi", y: str = "lam") -> DataFrame:
@@ -47,11 +52,41 @@ def hough_peaks(votes: DataFrame, cfg: DetectConfig, keys: list[str] = CELL) ->
     return best.select(*keys, *carry, F.col("b.votes").alias("votes"), theta.alias("theta"), rho.alias("rho"))
 
 
+def _peak_finder(cfg: DetectConfig):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        theta = -math.pi + (np.arange(cfg.n_theta) + 0.5) * (2 * math.pi / cfg.n_theta)
+        cos, sin, width = np.cos(theta), np.sin(theta), 2 * cfg.rho_max / cfg.n_rho
+        size = cfg.n_theta * cfg.n_rho
+        for batch in batches:
+            for at in range(0, batch.num_rows, CELLS_AT_ONCE):
+                part = batch.slice(at, CELLS_AT_ONCE)
+                xs, ys = part.column(4), part.column(5)
+                n = np.diff(np.asarray(xs.offsets))
+                x, y = np.asarray(xs.flatten()), np.asarray(ys.flatten())
+                r = np.floor((x[:, None] * cos + y[:, None] * sin + cfg.rho_max) / width).astype(np.int64)
+                place = (np.repeat(np.arange(len(n)), n)[:, None] * cfg.n_theta + np.arange(cfg.n_theta)) * cfg.n_rho + r
+                votes = np.bincount(place[(r >= 0) & (r < cfg.n_rho)], minlength=len(n) * size).reshape(-1, size)
+                best = votes.argmax(axis=1)  # the first of equal ones: lowest angle, then offset
+                t, k = best // cfg.n_rho, best % cfg.n_rho
+                most = votes[np.arange(len(n)), best]
+                some = pa.array(most > 0)
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in range(4)), pa.array(n, pa.int32()), pa.array(most, pa.int64()), pa.array(theta[t]), pa.array(-cfg.rho_max + (k + 0.5) * width)],
+                    ["patch_id", "p", "q", "n", "n_selected", "votes", "theta", "rho"],
+                ).filter(some)
+
+    return run
+
+
 def cell_lines(cell_stars: DataFrame, cfg: DetectConfig) -> DataFrame:
-    """Peak line and significance of each cell, over its selected stars."""
-    selected = F.least(F.floor((F.col("n") + F.greatest(F.floor(F.col("n") / cfg.max_roi_stars), F.lit(1)) - 1) / F.greatest(F.floor(F.col("n") / cfg.max_roi_stars), F.lit(1))), F.lit(cfg.max_roi_stars)).cast("int")
-    sized = cell_stars.withColumn("n_selected", selected)
-    peaks = hough_peaks(hough_votes(sized, cfg), cfg)
+    """Peak line and significance of each cell, over its selected stars.
+
+    The same peaks as hough_peaks(hough_votes(...)): a cell has max_roi_stars
+    stars at most, so its positions go as two short lists to numpy, which counts
+    the votes of many cells at once instead of making n_theta rows of each star.
+    """
+    lists = cell_stars.groupBy(*CELL, "n").agg(F.collect_list("phi").alias("x"), F.collect_list("lam").alias("y"))
+    peaks = lists.mapInArrow(_peak_finder(cfg), "patch_id int, p int, q int, n long, n_selected int, votes long, theta double, rho double")
     return peaks.withColumn("sigma", line_significance("votes", "n_selected", cfg.n_rho))
 
 

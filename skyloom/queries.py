@@ -305,6 +305,12 @@ def q_hough_votes(spark, sf_dir):
     return hough.hough_votes(windows.cells(projected(spark, sf_dir), CFG), CFG).where("votes >= 3").select("patch_id", "p", "q", "t", "r", "votes")
 
 
+@register(f"WITH {HOUGH} SELECT patch_id, p, q, votes, {rounded('theta', 'rho')} FROM peak")
+def q_hough_peaks(spark, sf_dir):
+    found = hough.hough_peaks(hough.hough_votes(windows.cells(projected(spark, sf_dir), CFG), CFG), CFG)
+    return found.select("patch_id", "p", "q", "votes", r6("theta"), r6("rho"))
+
+
 @register(f"WITH {HOUGH} SELECT patch_id, p, q, n_selected, votes, {rounded('theta', 'rho', 'sigma')} FROM line")
 def q_line_significance(spark, sf_dir):
     found = hough.cell_lines(windows.cells(projected(spark, sf_dir), CFG), CFG)

@@ -34,14 +34,15 @@ def naive_components(edges):
 
 @pytest.mark.parametrize("edges", [[], [(1, 2)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)], [(3, 3), (5, 4), (4, 5)]])
 def test_components(spark, edges):
-    got = connected_components(spark.createDataFrame(edges, "src long, dst long"))
-    assert {r["node"]: r["component"] for r in got.collect()} == naive_components([e for e in edges if e[0] != e[1]])
+    for small in (0, 1000):  # in rounds, and in one task
+        got = connected_components(spark.createDataFrame(edges, "src long, dst long"), small=small)
+        assert {r["node"]: r["component"] for r in got.collect()} == naive_components([e for e in edges if e[0] != e[1]])
 
 
 def test_components_random(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(None, 4)]
-    got = connected_components(spark.createDataFrame(edges, "src long, dst long"))
+    got = connected_components(spark.createDataFrame(edges, "src long, dst long"), small=0)
     assert {r["node"]: r["component"] for r in got.collect()} == naive_components([e for e in edges if None not in e and e[0] != e[1]])
 
 

@@ -79,5 +79,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_mixing, op2_progressive_jpeg, op3_cotraining, op4_histogram_sort, op5_warc, op6_adaptive_scan, op7_sentencepiece, op8_superminhash, op9_repair, op10_attention_lm)}
 
 
+_B32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substr(hex, {5 * k + 1}, 5) AS bigint) // {32**d}) % 32 + 1 AS int), 1)" for k in range(8) for d in (3, 2, 1, 0)
+)
+OP5_SQL = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+g AS (SELECT hex, max(page_id) AS last FROM p GROUP BY hex)
+SELECT page_id, cast(strlen(body) AS bigint) AS payload_bytes, {_B32} AS payload_digest,
+ CASE WHEN last IS NULL OR page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM p JOIN g USING (hex)"""
+
+OP8_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) >= 3 THEN list_distinct([array_to_string(ws[i:i+2], ' ') FOR i IN range(1, len(ws) - 1)]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w),
+n AS (SELECT doc_id, len(sh) AS size FROM s),
+e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM pair JOIN n i ON i.doc_id = x JOIN n j ON j.doc_id = y WHERE 100 * c >= 85 * (i.size + j.size - c)),
+both_ways AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+walk(x, seed) AS (SELECT doc_id, doc_id FROM n UNION SELECT b.y, walk.seed FROM walk JOIN both_ways b ON b.x = walk.x),
+label AS (SELECT x AS doc_id, min(seed) AS component_id FROM walk GROUP BY x)
+SELECT doc_id, cast(size AS bigint) AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN label USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that it can express; tests hold the others against brute force."""
+    return {"op5_warc": OP5_SQL, "op8_superminhash": OP8_SQL}

@@ -401,7 +401,23 @@ def q_hist_score(spark, sf_dir):
     return _scored(spark, sf_dir, "histogram").withColumn("score", F.round("score", 6))
 
 
-@register()
+def _silver(c: str, least: float) -> str:
+    spread = f"(l_{c}[3*n//4 + 1] - l_{c}[n//4 + 1])/1.34"
+    scale = f"least(s_{c}, {spread})"
+    return f"greatest({least}, 0.9*(CASE WHEN {scale} < 1e-10 THEN s_{c} ELSE {scale} END)*pow(n, -0.2)) AS h_{c}"
+
+
+_PM = "CASE WHEN axis = 0 THEN pmra ELSE pmdec END"
+
+
+@register(f"""WITH {SR}, rich AS (SELECT * FROM good WHERE n_sb >= 100),
+ev AS (SELECT r.patch_id, r.axis, r.i, star_id, phi, lam, CASE WHEN axis = 0 THEN mu_lam ELSE mu_phi END AS mu, {_PM} >= -30 + 0.25*i AND {_PM} < -29.5 + 0.25*i AS inside FROM sp JOIN rich r USING (patch_id)),
+hw AS (SELECT patch_id, axis, i, inside, count(*) AS n, {', '.join(f'stddev_samp({c}) AS s_{c}, list_sort(list({c})) AS l_{c}' for c in ('phi', 'lam', 'mu'))} FROM ev GROUP BY ALL),
+hb AS (SELECT patch_id, axis, i, inside, {_silver('phi', 2.0)}, {_silver('lam', 2.0)}, {_silver('mu', 0.0)} FROM hw),
+bw AS (SELECT ev.*, h_phi, h_lam, h_mu FROM ev JOIN hb USING (patch_id, axis, i, inside)),
+k AS (SELECT a.patch_id, a.axis, a.i, a.star_id, b.inside, avg(exp(-0.5*(pow((a.phi-b.phi)/b.h_phi, 2) + pow((a.lam-b.lam)/b.h_lam, 2) + pow((a.mu-b.mu)/b.h_mu, 2))))
+ / any_value(b.h_phi*b.h_lam*b.h_mu) AS d FROM ev a JOIN bw b ON a.patch_id = b.patch_id AND a.axis = b.axis AND a.i = b.i WHERE a.inside GROUP BY ALL)
+SELECT patch_id, axis, i, star_id, round(max(d) FILTER (inside)/max(d) FILTER (NOT inside), 6) AS score FROM k GROUP BY ALL""")
 def q_kde_score(spark, sf_dir):
     return _scored(spark, sf_dir, "kde").withColumn("score", F.round("score", 6))
 

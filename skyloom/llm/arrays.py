@@ -6,7 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
+BATCH_BYTES = 8 << 20
 MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 MIX_2 = np.uint64(0x94D049BB133111EB)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -34,6 +36,12 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Hold the session's Arrow batches to BATCH_BYTES, so that workers stay small whatever the rows are."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def runs(texts: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
     """Slices of whole texts that hold ``limit`` bytes at most, or one text."""
     i, held = 0, 0

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.arrays import SPACE, runs, utf8, word_hashes
+from skyloom.llm.arrays import SPACE, runs, small_batches, utf8, word_hashes
 
 #: The documented bounds of the fit: labelled documents and unlabelled ones that exchange pseudo-labels.
 LABELLED_ROWS = 3000
@@ -182,7 +182,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
     document the lowest counts.
     """
     spark = docs.sparkSession
-    docs = docs.select(*COLUMNS).where("doc_id is not null")
+    docs = small_batches(docs).select(*COLUMNS).where("doc_id is not null")
     marks = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("y"))
     n_marks, n_docs = marks.count(), docs.count()
     chosen = {r["doc_id"]: int(r["y"] > 0) for r in _drawn(marks, n_marks, LABELLED_ROWS).collect()}

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skyloom.llm.arrays import runs, utf8
+from skyloom.llm.arrays import runs, small_batches, utf8
 from skyloom.llm.progressive_jpeg import Component, Image, read_progressive, to_rgb, write_progressive
 
 #: Payloads are filled up with bytes 255 to a positive multiple of this.
@@ -81,7 +81,7 @@ def encode_media(docs: DataFrame) -> DataFrame:
     Null text counts as empty; an empty text has one unit of fill. Other
     columns are ignored and an empty table gives an empty result.
     """
-    return docs.select("doc_id", "text").mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
 
 
 def _tensors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +97,7 @@ def _tensors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def media_tensors(media: DataFrame) -> DataFrame:
     """doc_id, height, width and rgb (height x width x 3 bytes) of doc_id and media."""
-    return media.select("doc_id", "media").mapInArrow(_tensors, "doc_id long, height int, width int, rgb binary")
+    return small_batches(media).select("doc_id", "media").mapInArrow(_tensors, "doc_id long, height int, width int, rgb binary")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,6 +118,6 @@ DIGEST_COLUMNS = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_
 
 def media_digests(media: DataFrame) -> DataFrame:
     """What the stored files hold: digests of payload and file, and a feature of the RGB tensor."""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(
+    return small_batches(media).select("doc_id", "n_bytes", "media").mapInArrow(
         _digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.arrays import GOLDEN, lists, mix64, runs, shingles, utf8
+from skyloom.llm.arrays import GOLDEN, lists, mix64, runs, shingles, small_batches, utf8
 from skyloom.operators.graph import connected_components
 from skyloom.session import staged
 
@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     doc_id has a null component_id and is kept. Rows with one doc_id count as
     one node of the graph. An empty table gives an empty result.
     """
-    docs = docs.select("doc_id", "text")
+    docs = small_batches(docs.select("doc_id", "text"))
     n_bands = bands_for(percent)
     signed = staged(
         docs.mapInArrow(_signer(k, n_bands), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "signed"

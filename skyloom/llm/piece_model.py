@@ -14,14 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skyloom.llm.arrays import lists, runs, utf8
+from skyloom.llm.arrays import lists, runs, small_batches, utf8
 
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE, WORD, CHAR = 1, 2, 3, 4
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Words that a worker keeps at most, and the longest that it keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 CACHE_CHARS = 40
 
 
@@ -271,4 +271,4 @@ def encode_pieces(docs: DataFrame, model: str, threads: int = 1, keep_ids: bool
     empty text has no ids. An empty table gives an empty result.
     """
     schema = "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean, parity boolean" + ", ids array<int>" * keep_ids
-    return docs.select("doc_id", "text").mapInArrow(_codec_run(model, threads, keep_ids), schema)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(_codec_run(model, threads, keep_ids), schema)

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.arrays import runs, utf8
+from skyloom.llm.arrays import runs, small_batches, utf8
 from skyloom.llm.files import opened
 from skyloom.llm.subwords import WordCachedTokenizer
 from skyloom.session import shared_path, staged
@@ -22,6 +22,8 @@ MAGIC = b"RPR1"
 HEAD = struct.Struct("<4sBIIIQQI")
 #: Ids of a shard, about: a shard ends with the document that reaches this.
 SHARD_IDS = 1 << 20
+#: Words whose ids a worker keeps at most.
+WORDS_KEPT = 1_000_000
 #: Passes over a shard, rules that a pass adds at most, and how often a pair must occur.
 PASSES, RULES_A_PASS, LEAST = 6, 512, 16
 
@@ -33,22 +35,25 @@ def repair(ids: np.ndarray, ends: np.ndarray, first: int, passes: int = PASSES,
     them. A pass counts all pairs and replaces the most frequent ones together:
     a symbol that stands left in one chosen pair never stands right in another,
     so occurrences cannot overlap and the result is that of replacing them one
-    after the other. Returns symbols, ends in them, and rules as (n, 2).
+    after the other. Ids are below ``first``. Returns symbols, ends in them, and
+    rules as (n, 2).
     """
     seq = ids.astype(np.uint32)
-    last = np.zeros(len(seq), bool)
-    last[ends[ends > 0] - 1] = True
-    # a document has one id at least, so each document ends at a place of its own
-    rules = []
+    last = ends - 1  # a document has one id at least, so each ends at a place of its own
+    # two symbols fit in one word of this kind; the largest word stands for a pair across documents
+    word, half = (np.uint32, 16) if first + passes * most < 1 << 16 else (np.uint64, 32)
+    none, low = word(np.iinfo(word).max), (1 << half) - 1
+    rules: list[tuple[int, int]] = []
     for _ in range(passes):
         if len(seq) < 2:
             break
-        free = ~last[:-1]
-        keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        ordered = np.sort(keys[free])
-        if not len(ordered):
-            break
-        heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        keys = seq[:-1].astype(word)
+        keys <<= word(half)
+        keys |= seq[1:]
+        keys[last[:-1]] = none
+        ordered = np.sort(keys)[: len(keys) - len(last) + 1]
+        heads = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
+        heads = np.concatenate([[0], heads]) if len(ordered) else heads
         counts = np.diff(np.append(heads, len(ordered)))
         often = np.flatnonzero(counts >= least)
         if not len(often):
@@ -57,7 +62,7 @@ def repair(ids: np.ndarray, ends: np.ndarray, first: int, passes: int = PASSES,
         rank = np.lexsort((pairs, -counts))[: 4 * most]
         left, right, chosen = set(), set(), []
         for key in pairs[rank].tolist():
-            a, b = key >> 32, key & 0xFFFFFFFF
+            a, b = key >> half, key & low
             if a != b and a not in right and b not in left:
                 left.add(a)
                 right.add(b)
@@ -66,24 +71,28 @@ def repair(ids: np.ndarray, ends: np.ndarray, first: int, passes: int = PASSES,
                     break
         if not chosen:
             break
-        top = int(seq.max()) + 1
-        is_left, is_right = np.zeros(top, bool), np.zeros(top, bool)
-        is_left[list(left)] = True
-        is_right[list(right)] = True
-        at = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]] & free)
-        table = np.array(sorted(chosen), np.uint64)
-        place = np.searchsorted(table, keys[at])
-        hit = table[np.minimum(place, len(table) - 1)] == keys[at]
+        role = np.zeros(first + len(rules), np.uint8)
+        role[list(left)] = 1
+        role[list(right)] = 2
+        held = role[seq]
+        at = np.flatnonzero((held[:-1] + 1 == held[1:]) & (held[:-1] == 1))
+        chosen = [(key >> half, key & low) for key in sorted(chosen)]
+        row, column = np.zeros((2, len(role)), np.int32)
+        row[list(left)] = np.arange(len(left))
+        column[list(right)] = np.arange(len(right))
+        table = np.full((len(left), len(right)), -1, np.int32)
+        for k, (a, b) in enumerate(chosen):
+            table[row[a], column[b]] = k
+        place = table[row[seq[at]], column[seq[at + 1]]]
+        hit = place >= 0
         at, place = at[hit], place[hit]
         seq[at] = (first + len(rules) + place).astype(np.uint32)
-        rules += [(int(k) >> 32, int(k) & 0xFFFFFFFF) for k in table]
-        last[at] = last[at + 1]
+        rules += chosen
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
-    stops = np.zeros(len(ends), np.int64)
-    stops[ends > 0] = np.flatnonzero(last) + 1
-    return seq, stops, np.array(rules, np.uint32).reshape(-1, 2)
+        seq = seq[keep]
+        last = last - np.searchsorted(at, last - 1, side="right")
+    return seq, last + 1, np.array(rules, np.uint32).reshape(-1, 2)
 
 
 def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
@@ -131,10 +140,10 @@ class Shard:
         self.doc_ids, self.null_ids = take("<i8", self.n_docs), take("u1", self.n_docs).astype(bool)
         self.stops, self.ends = take("<u4", self.n_docs), take("<u8", self.n_docs).astype(np.int64)
         self.symbols = take(f"<u{wide}", n_symbols)
-        self._spelled: tuple[np.ndarray, np.ndarray] | None = None
+        self._spelled: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
-    def _spell(self) -> tuple[np.ndarray, np.ndarray]:
-        """All expansions in a row, and where each begins."""
+    def _spell(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All expansions in a row, those of the plain ids first, and where each symbol's begins and how long it is."""
         if self._spelled is None:
             start = np.concatenate([[0], np.cumsum(self.lengths, dtype=np.int64)])
             flat = np.zeros(start[-1], np.uint32)
@@ -149,21 +158,18 @@ class Shard:
                         n = start[k + 1] - start[k]
                         flat[at : at + n] = flat[start[k] : start[k + 1]]
                         at += n
-            self._spelled = flat, start
+            whole = np.concatenate([np.arange(self.first, dtype=np.uint32), flat])
+            sizes = np.concatenate([np.ones(self.first, np.int64), self.lengths])
+            self._spelled = whole, np.concatenate([np.arange(self.first), start[:-1] + self.first]), sizes
         return self._spelled
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        flat, start = self._spell()
-        rule = symbols >= self.first
-        index = np.where(rule, symbols.astype(np.int64) - self.first, 0)
-        size = np.ones(len(symbols), np.int64)
-        size[rule] = self.lengths[index[rule]]
-        out = np.repeat(symbols.astype(np.uint32), size)
-        at = np.cumsum(size) - size
-        place = np.repeat(np.where(rule, start[index], 0) - at, size) + np.arange(len(out))
-        inside = np.repeat(rule, size)
-        out[inside] = flat[place[inside]]
-        return out
+        flat, start, size = self._spell()
+        long = size[symbols]
+        at = np.cumsum(long)
+        place = np.repeat(start[symbols] - (at - long), long)
+        place += np.arange(len(place))
+        return flat.take(place)
 
     def all_ids(self) -> np.ndarray:
         return self._expand(self.symbols)
@@ -175,7 +181,7 @@ class Shard:
 
 def _writer(path: str, tokenizer: str, end_id: int, first: int, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = WordCachedTokenizer.at(tokenizer), TaskContext.get().partitionId()
+        encoder, part = WordCachedTokenizer.at(tokenizer, limit=WORDS_KEPT), TaskContext.get().partitionId()
         store, folder = opened(path)
         name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.rpr"
         out, at, before, ids, arrays, held, manifest = None, 0, 0, [], [], 0, []
@@ -225,7 +231,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int,
     """
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["doc_id", F.xxhash64("text")]
-    dealt = docs.select("doc_id", "text").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    dealt = small_batches(docs).select("doc_id", "text").repartitionByRange(n, *order).sortWithinPartitions(*order)
     manifest = dealt.mapInArrow(_writer(path, tokenizer, end_id, first, shard_ids), "part int, file string, at long, bytes long, n_docs long, n_ids long")
     return staged(manifest.withColumn("folder", F.lit(path)), "manifest")
 

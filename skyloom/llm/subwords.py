@@ -3,12 +3,31 @@
 from __future__ import annotations
 
 import os
+import re
+from array import array
+from operator import attrgetter
+from unicodedata import is_normalized
 
 import numpy as np
 
 #: Words that the cache keeps at most, and the longest that it keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 CACHE_BYTES = 48
+ID = attrgetter("id")
+
+
+def _spelled() -> dict[int, str]:
+    """The character that byte-level files write for each byte: itself where it is printable, else the next free one from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b) if b in plain else chr(next(others)) for b in range(256)}
+
+
+SPELLED = _spelled()
+#: Letters, then signs: both kinds of files split such a word between the two and nowhere else.
+PARTS = re.compile(r"([^\W\d_]+)([^\w\s']*)")
+# fixed value: the split of files that lower case and drop white space
+WORD_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 class WordCachedTokenizer:
@@ -29,27 +48,102 @@ class WordCachedTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = bool(prefix)
-        self.prefix = prefix
+        self.prefix, self.limit = prefix, CACHE_WORDS
         self.cache: dict[bytes, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.bare, self.lowers = self._bare(Tokenizer.from_file(path))
+
+    def _bare(self, copy):
+        """A copy without normaliser and split, for words that need neither; None for files of another make."""
+        import json
+
+        from tokenizers import normalizers, pre_tokenizers
+
+        made = json.loads(copy.to_str())
+        split, norm = made["pre_tokenizer"] or {}, made["normalizer"]
+        steps = [x.get("type") for x in (norm or {}).get("normalizers", [])]
+        first = (split.get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
+        lowers = steps == ["NFC", "Replace", "Lowercase"] and first == WORD_SPLIT and not self.prefix
+        plain = norm is None and split.get("type") == "ByteLevel" and split.get("use_regex") and self.prefix == " "
+        if not (lowers or plain):
+            return None, False
+        copy.normalizer = normalizers.Sequence([])
+        copy.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        copy.encode_special_tokens = True
+        return copy, lowers
+
+    def _parts(self, word: str) -> tuple[str, str] | None:
+        """Letters and signs of a word that is already as the normaliser would leave it."""
+        found = PARTS.fullmatch(word)
+        if not found or not found[1].isalpha() or "<|" in word:
+            return None
+        if self.lowers and not word.isascii() and (word != word.lower() or not is_normalized("NFC", word)):
+            return None
+        return found[1], found[2]
+
+    def _tail(self, signs: str) -> bytes:
+        if signs not in self.tails:
+            self.tails[signs] = array("I", self.bare.encode(signs, add_special_tokens=False).ids).tobytes()
+        return self.tails[signs]
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        """Put the ids of words into the cache: letters and signs apart where that is the same."""
+        known, tokenize, begin = self.cache, self.tokenizer.model.tokenize, "Ġ" if self.prefix else ""
+        whole, split, wide = [], [], set()
+        for w in fresh:
+            head, tail = w, b""
+            if self.bare and not w.isalpha() and w[:-1].isalpha():
+                head, tail = w[:-1], w[-1:]
+            if self.bare and head.isalpha() and tail in b".,!?;:":  # letters of one byte stand for themselves
+                ids = known.get(head)
+                if ids is None:
+                    ids = known[head] = array("I", map(ID, tokenize(begin + head.decode()))).tobytes()
+                if tail:
+                    known[w] = ids + self._tail(tail.decode())
+                continue
+            text = w.decode()
+            parts = None
+            if self.bare and text.isalpha():
+                parts = (text, "") if not self.lowers or (text == text.lower() and is_normalized("NFC", text)) else None
+            elif self.bare:
+                parts = self._parts(text)
+            if parts is None:
+                whole.append(w)
+            else:
+                split.append((w, *parts))
+                head = parts[0].encode()
+                if head not in known:
+                    wide.add(head)
+        for h in wide:
+            known[h] = array("I", map(ID, tokenize(begin + h.decode("latin-1").translate(SPELLED)))).tobytes()
+        for w, head, tail in split:
+            if tail:
+                known[w] = known[head.encode()] + self._tail(tail)
+        if len(self.tails) > self.limit:
+            self.tails = {}
+        if whole:
+            for w, e in zip(whole, self.tokenizer.encode_batch_fast([self.prefix + w.decode() for w in whole], add_special_tokens=False), strict=True):
+                known[w] = array("I", e.ids).tobytes()
 
     @classmethod
-    def at(cls, path: str, prefix: str = "") -> WordCachedTokenizer:
-        """One for each file and worker process."""
+    def at(cls, path: str, prefix: str = "", limit: int = CACHE_WORDS) -> WordCachedTokenizer:
+        """One for each file and worker process, that keeps ``limit`` words at most."""
         if (path, prefix) not in cls._held:
             cls._held[path, prefix] = cls(path, prefix)
+        cls._held[path, prefix].limit = limit
         return cls._held[path, prefix]
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text."""
         split = [(t if b"<|" in t and not self.prefix else t.lower()).split() for t in texts]
         words = set().union(*split)
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
+        if len(self.cache) > self.limit:  # what is frequent is in this run as well
+            self.cache = {w: self.cache[w] for w in words.intersection(self.cache)}
         order = list(words.difference(self.cache))
-        found = self.tokenizer.encode_batch_fast([self.prefix + w.decode() for w in order], add_special_tokens=False) if order else []
-        self.cache |= dict(zip(order, (np.asarray(e.ids, np.uint32).tobytes() for e in found), strict=True))
+        if order:
+            self._learn(order)
         out = [np.frombuffer(b"".join(map(self.cache.__getitem__, s)), np.uint32) for s in split]
         for w in order:
             if len(w) > CACHE_BYTES:
-                del self.cache[w]
+                self.cache.pop(w, None)
         return out

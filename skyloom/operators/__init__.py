@@ -1 +1 @@
-
+"""DataFrame to DataFrame operators."""

@@ -76,13 +76,11 @@ def protoclusters(rois: DataFrame, cell_stars: DataFrame, cfg: DetectConfig, edg
     )
     strong = lines.where(F.col("significance") >= cfg.significance_cut)
     regions = named.join(strong.select("cluster"), "cluster", "left_semi")
-    places = regions.select("patch_id", "p", "q", "cluster").distinct()
     first = regions.groupBy("patch_id", "p", "q", "cluster").agg(F.min("roi").alias("first_roi"))
     stars = cell_stars.join(first, ["patch_id", "p", "q"]).groupBy("patch_id", "cluster", "star_id").agg(
         F.min(F.struct("first_roi", "ordinal")).alias("seen"),
         *[F.first(c).alias(c) for c in ("ra", "dec", "pmra", "pmdec", "rv", "distance", "phi", "lam", "mu_phi", "mu_lam", "dist_from_center")],
     )
-    del places
     motion = stars.groupBy("cluster").agg(
         F.count("*").alias("n_line_stars"), F.avg("mu_phi").alias("mean_mu_phi"), F.avg("mu_lam").alias("mean_mu_lam"),
         F.stddev_pop("mu_phi").alias("std_mu_phi"), F.stddev_pop("mu_lam").alias("std_mu_lam"),

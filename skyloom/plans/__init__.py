@@ -1 +1 @@
-
+"""Pipelines made of operators."""

@@ -1 +1 @@
-
+"""Catalogue readers, generators and sinks."""

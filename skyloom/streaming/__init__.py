@@ -1 +1 @@
-
+"""No operator of the engine reads an unbounded input; catalogues are files."""

@@ -155,12 +155,14 @@ def test_text_view_counts_trigrams():
 
 def test_windows_cover_each_id_once():
     sizes = np.array([1, 5, 8, 9, 40])
-    x, spot = lm.windows(np.arange(sizes.sum()), sizes, 77)
+    x, spot = lm.windows(np.arange(sizes.sum()), np.cumsum(sizes) - sizes, sizes, 77)
     places = spot[spot >= 0]
     assert sorted(places.tolist()) == list(range(sizes.sum())) and x.shape[1] == lm.WINDOW
     lead = lm.WINDOW - lm.STEP
     first = x[np.flatnonzero(spot[:, 0] == 0)[0]]
-    assert first[lead - 1] == 77 and first[lead] == 0
+    assert first[lead - 1] == 77 and first[lead] == 0 and (first[: lead - 1] == lm.PAD).all()
+    part, _ = lm.windows(np.arange(sizes.sum()), np.cumsum(sizes) - sizes, sizes, 77, slice(2, None, 3))
+    assert (part == x[2::3]).all()
 
 
 def test_next_class_probabilities_sum_to_one():

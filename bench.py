@@ -10,12 +10,13 @@ import time
 
 def main() -> None:
     from skyloom.queries import QUERIES
-    from skyloom.session import local_session
+    from skyloom.session import local_session, ship_package
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
     spark = local_session(cpus, os.environ.get("BENCH_MEMORY", "12g"), "bench")
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     names = ["q_scan_cuts", "q_galactic", "q_gnomonic", "q_patch_gate", "q_sr_counts", "q_roi_cells", "q_rois", "q_hist_score", "q_knn_score", "q_candidates", "q_candidate_members"]
     times: dict[str, float] = {}
     QUERIES["q_patch_grid"](spark, sf_dir).count()  # starts the session

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from skyloom.llm import attention_lm as lm
@@ -177,6 +178,21 @@ def test_next_class_probabilities_sum_to_one():
     assert np.allclose(logs[:, :-1], logs[0, :-1])  # later ids change nothing
 
 
+def test_each_round_trains_on_every_id():
+    sizes = np.array([1, 5, 90, 300, 7, 2])
+    ids = np.random.default_rng(1).integers(0, 60, sizes.sum())
+    numbers = list(range(len(sizes)))
+    block = pa.RecordBatch.from_pylist([{"block": 0, "doc_ids": numbers, "sizes": sizes.tolist(), "ids": ids.astype("<u2").tobytes()}])
+    want = sum(int(n) for i, n in zip(numbers, sizes) if not lm.held_out(i))
+    model = lm.Attention.start(np.full(lm.CLASSES, 1 / lm.CLASSES, np.float32))
+    cells = lm.HEADS * (lm.CLASSES + 1) ** 2
+    for r in range(lm.ROUNDS):
+        (out,) = lm._trainer(model, np.arange(60), 3, r)([block])
+        sums = np.concatenate([np.frombuffer(x, np.float32) for x in out.column("data").to_pylist()])
+        for k in range(3 if r else 1):
+            assert math.isclose(sums[k * cells : (k + 1) * cells].sum(dtype=float), want, rel_tol=1e-3)
+
+
 def test_scores_and_base(spark):
     rng = random.Random(2)
     words = ["the", "sea", "Sky", "étoile", "run", "tree,"]

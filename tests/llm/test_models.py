@@ -166,6 +166,17 @@ def test_windows_cover_each_id_once():
     assert (part == x[2::3]).all()
 
 
+def test_context_reaches_beyond_a_line():
+    model = lm.Attention.start(np.full(lm.CLASSES, 1 / lm.CLASSES, np.float32))
+    for size in range(60, 60 + lm.STEP):
+        history = np.arange(size) + 100
+        logs, history[size - 32] = [], history[-1]
+        for far in (7, history[-2]):  # the last id's pair stands 31 places before, or only its second class
+            history[size - 33] = far
+            logs.append(lm.log_probabilities(model, history, np.array([size]), 3)[-1])
+        assert logs[1] > logs[0] + 0.1
+
+
 def test_next_class_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     uni = rng.random(lm.CLASSES).astype(np.float32)

@@ -21,6 +21,8 @@ ROUNDS, SHARE, SURE = 5, 0.05, 0.95
 TEXT_DIMS = 2048
 LANG_DIMS, SOURCE_DIMS = 8, 32
 LAYOUT = 12
+#: Words of a span in which distinct ones are counted.
+SPAN = 2000
 
 
 def text_view(texts: list[bytes]) -> np.ndarray:
@@ -35,8 +37,16 @@ def text_view(texts: list[bytes]) -> np.ndarray:
     return np.minimum(np.rint(25 * np.log1p(counts)), 255).astype(np.uint8)
 
 
+def fresh_words(words: np.ndarray) -> float:
+    """The share of distinct words in spans of SPAN words at most, evenly cut, over the whole text; 1 without words."""
+    if not len(words):
+        return 1.0
+    spans = np.array_split(words, -(-len(words) // SPAN))
+    return sum(len(np.unique(x)) for x in spans) / len(words)
+
+
 def layout_view(texts: list[bytes], langs: list, sources: list, n_chars: list) -> np.ndarray:
-    """What describes a page without its words: language and source (hashed), sizes and layout."""
+    """What describes a page without its words: language and source (hashed), sizes and layout, all over the whole text."""
     out = np.zeros((len(texts), LAYOUT + LANG_DIMS + SOURCE_DIMS), np.float32)
     words, n_words = word_hashes(texts)
     at = np.concatenate([[0], np.cumsum(n_words)])
@@ -47,7 +57,7 @@ def layout_view(texts: list[bytes], langs: list, sources: list, n_chars: list) -
         lines = t.split(b"\n")
         own = words[at[i] : at[i + 1]]
         repeats = float((own[1:] == own[:-1]).mean()) if len(own) > 1 else 0.0
-        fresh = len(np.unique(own[:2000])) / max(min(len(own), 2000), 1) if len(own) else 1.0
+        fresh = fresh_words(own)
         symbols = hist[33:48].sum() + hist[58:65].sum() + hist[91:97].sum() + hist[123:127].sum()
         out[i, :LAYOUT] = (
             np.log1p(n_chars[i] if n_chars[i] is not None else len(b)), np.log1p(len(b)), np.log1p(len(own)), np.log1p(len(lines)),

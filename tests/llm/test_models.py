@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from skyloom.llm import attention_lm as lm
-from skyloom.llm.cotraining import keep_quality, score_quality, text_view
+from skyloom.llm.cotraining import keep_quality, layout_view, score_quality, text_view
 from skyloom.llm.neighbours import adaptive_scan, lifted, nearest_neighbours, rotation
 from skyloom.llm.piece_model import PieceCodec, encode_pieces
 
@@ -151,6 +151,14 @@ def test_text_view_counts_trigrams():
     assert x.shape == (4, 2048) and (x[0] == x[3]).all() and x[1].sum() == 0 and (x[0] > 0).sum() == 3
 
 
+def test_distinct_words_over_the_whole_text():
+    clean = [b"w%d" % i for i in range(2000)]
+    loop = [b"spam"] * 6000
+    texts = [b" ".join(x) for x in (clean, clean + loop, loop + clean, loop, clean * 4, clean[:10])] + [b""]
+    fresh = layout_view(texts, [None] * 7, [None] * 7, [None] * 7)[:, 11]
+    assert np.allclose(fresh, [1, 2003 / 8000, 2003 / 8000, 3 / 6000, 1, 1, 1])
+
+
 # ---- language model
 
 

@@ -121,11 +121,15 @@ def _star(open_: DataFrame, hub_by, percent: int) -> DataFrame:
     return staged(pairs.where("a < b").distinct(), "pairs")
 
 
-def _unclear(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members, with their component as part, of the buckets that have three or more and not one component only."""
+def _unclear(members: DataFrame, labels: DataFrame, settled: int) -> DataFrame:
+    """Members, with their component as part, of the buckets that have more than ``settled`` and not one component only.
+
+    ``settled`` is 2 if a star has compared each bucket as it stands, since it
+    leaves no pair of two members open, and 1 if members have left since then.
+    """
     labelled = members.drop("part").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     labelled = labelled.withColumn("part", F.coalesce("component", "rep")).drop("component")
-    mixed = labelled.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("c")).where("lo < hi and c > 2")
+    mixed = labelled.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("c")).where(f"lo < hi and c > {settled}")
     return staged(labelled.join(mixed.select("bucket"), "bucket"), "open")
 
 
@@ -218,12 +222,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     labels = None
     pairs = _star(members.withColumn("part", F.col("rep")), F.struct("rep"), percent)
-    if not pairs.isEmpty():
+    if not members.isEmpty():  # without pairs of the smallest members too, others may be linked
         wanted = members.select(F.col("rep").alias("doc_id")).distinct()
         sets = staged(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_reader(k), "doc_id long, members array<long>"), "sets")
         links = _links(pairs, sets, percent)
         labels = connected_components(links, "a", "b")
-        open_ = _unclear(members, labels)
+        open_ = _unclear(members, labels, 2)
         if not open_.isEmpty():
             some = sets.join(open_.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
             lone = (
@@ -232,14 +236,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             )
             open_ = open_.join(lone, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
             members = staged(open_.where(F.col("own") * 100 <= F.col("n") * (100 - percent)), "members")
-            for hub_by in (F.struct(F.col("own") / F.col("n"), "rep"), F.struct(F.xxhash64("rep", "bucket"), "rep")):
-                open_ = _unclear(members, labels)
+            for settled, hub_by in ((1, F.struct(F.col("own") / F.col("n"), "rep")), (2, F.struct(F.xxhash64("rep", "bucket"), "rep"))):
+                open_ = _unclear(members, labels, settled)
                 pairs = _star(open_, hub_by, percent)
                 if pairs.isEmpty():
                     continue
                 links = links.unionByName(_links(pairs, sets, percent))
                 labels = connected_components(links, "a", "b")
-            open_ = _unclear(members, labels)
+            open_ = _unclear(members, labels, 2)
             if not open_.isEmpty():
                 links = links.unionByName(_rest_links(open_, sets, percent))
                 labels = connected_components(links, "a", "b")

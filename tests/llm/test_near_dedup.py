@@ -74,6 +74,17 @@ def test_equals_brute_force(spark, seed, k, percent):
     assert {r["doc_id"]: r["n_shingles"] for r in got if r["doc_id"] is not None} == size
 
 
+def test_two_copies_among_holders_of_one_passage(spark):
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(200)]
+    rows = [(i, " ".join(passage + [f"t{rng.randrange(10**9)}" for _ in range(60)])) for i in range(80)]
+    for i, at in ((900, 60), (901, 130)):
+        rows.append((i, " ".join(passage[:at] + ["other"] + passage[at + 1 :])))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute(rows, 3, 85)[0]
+    assert sum(not r["kept"] for r in got) == 1
+
+
 def test_empty_repeated_and_extra_columns(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, rep string")
     assert near_duplicates(empty).count() == 0 and keep_representatives(empty).count() == 0

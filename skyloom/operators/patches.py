@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skyloom.config import DetectConfig
 from skyloom.functions.angles import L_NCP, NGP_DEC, NGP_RA, gnomonic, patch_motion, separation
 
-#: Grids never have more patches, so the broadcast of a patch table has a bound.
+#: Grids never have more patches, so the broadcast of a patch table has a bound (a fixed value).
 MAX_PATCHES = 5000
 PATCH_SCHEMA = "patch_id int, center_ra double, center_dec double, center_l double, center_b double"
 
@@ -28,6 +28,13 @@ def _separation(ra1: float, dec1: float, ra2: float, dec2: float) -> float:
     return math.degrees(2 * math.atan2(math.sqrt(a), math.sqrt(1 - a)))
 
 
+# fixed values: the grid's own pi, spacing in radii (default and dense), declination limits and least cosines
+GRID_PI = 3.14159265
+DEFAULT_STEP, DENSE_STEP = 1.5, 0.8
+DEFAULT_DECS = (-80.0, 80.0)
+DEFAULT_COS, DENSE_COS = 0.1, 0.01
+
+
 def _steps(begin: float, end: float, step: float, inclusive: bool = True):
     """Values by repeated addition, as a loop counter of doubles takes them."""
     x = begin
@@ -53,13 +60,13 @@ def _grid(radius: float, min_b: float, spacing: float, decs: tuple[float, float]
 
 def patch_grid(cfg: DetectConfig) -> list[tuple[int, float, float, float, float]]:
     """(patch_id, ra, dec, l, b) of the default grid: rows 1.5 radii apart from dec -80 to 80, MAX_PATCHES at most."""
-    return _grid(cfg.patch_radius, cfg.min_galactic_b, 1.5 * cfg.patch_radius, (-80.0, 80.0), True, 0.1, 3.14159265, MAX_PATCHES)
+    return _grid(cfg.patch_radius, cfg.min_galactic_b, DEFAULT_STEP * cfg.patch_radius, DEFAULT_DECS, True, DEFAULT_COS, GRID_PI, MAX_PATCHES)
 
 
 def dense_patch_grid(cfg: DetectConfig) -> list[tuple[int, float, float, float, float]]:
     """The denser grid, 0.8 radii apart, without a cap."""
-    s = 0.8 * cfg.patch_radius
-    return _grid(cfg.patch_radius, cfg.min_galactic_b, s, (-90.0 + s, 90.0), False, 0.01, math.pi, None)
+    s = DENSE_STEP * cfg.patch_radius
+    return _grid(cfg.patch_radius, cfg.min_galactic_b, s, (-90.0 + s, 90.0), False, DENSE_COS, math.pi, None)
 
 
 def patches_frame(spark: SparkSession, grid: list[tuple[int, float, float, float, float]]) -> DataFrame:

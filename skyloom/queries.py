@@ -300,9 +300,9 @@ def q_roi_subsample(spark, sf_dir):
 # ---- lines
 
 
-@register(f"WITH {HOUGH} SELECT patch_id, p, q, t, r, votes FROM votes WHERE votes >= 3")
+@register(f"WITH {HOUGH} SELECT patch_id, p, q, t, r, votes FROM votes")
 def q_hough_votes(spark, sf_dir):
-    return hough.hough_votes(windows.cells(projected(spark, sf_dir), CFG), CFG).where("votes >= 3").select("patch_id", "p", "q", "t", "r", "votes")
+    return hough.hough_votes(windows.cells(projected(spark, sf_dir), CFG), CFG).select("patch_id", "p", "q", "t", "r", "votes")
 
 
 @register(f"WITH {HOUGH} SELECT patch_id, p, q, votes, {rounded('theta', 'rho')} FROM peak")
@@ -354,7 +354,7 @@ def q_ransac(spark, sf_dir):
 
 
 _GOOD_SR = f"{SR}, held AS (SELECT sr.*, n_sr, n_sb FROM sr JOIN good USING (patch_id, axis, i))"
-KNN = f"""{_GOOD_SR},
+_KNN_STEPS = """held AS (SELECT sr.*, n_sr, n_sb FROM sr JOIN good USING (patch_id, axis, i)),
 m AS (SELECT patch_id, axis, i, avg(phi) AS mp, avg(lam) AS ml, greatest(sqrt(greatest(var_pop(phi), 1e-10)), 2) AS sd_p, greatest(sqrt(greatest(var_pop(lam), 1e-10)), 2) AS sd_l,
  greatest(3, least(greatest(3, least(15, any_value(n_sb))), any_value(n_sr) // 2)) AS k FROM held GROUP BY ALL),
 xy AS (SELECT patch_id, axis, i, star_id, k, n_sr, cast((phi - mp)/sd_p AS float) AS x, cast((lam - ml)/sd_l AS float) AS y FROM held JOIN m USING (patch_id, axis, i)),
@@ -364,6 +364,7 @@ kth AS (SELECT patch_id, axis, i, star_id, greatest(sqrt(cast(d2 AS double)), 0.
  WHERE place = least(k, n_sr - 1)),
 rs AS (SELECT patch_id, axis, i, avg(r) AS mr, sqrt(CASE WHEN avg(r*r) - avg(r)*avg(r) > 0 THEN avg(r*r) - avg(r)*avg(r) ELSE 0.01 END) AS sr FROM kth GROUP BY ALL),
 knn AS (SELECT patch_id, axis, i, star_id, (mr - r)/sr AS score FROM kth JOIN rs USING (patch_id, axis, i))"""
+KNN = f"{SR}, {_KNN_STEPS}"
 
 
 def _scored(spark, sf_dir, method: str) -> DataFrame:
@@ -442,14 +443,15 @@ def q_knn_dist(spark, sf_dir):
     return density.knn(e, e.withColumnRenamed("point_id", "query_id"), 5, ["a", "b", "c"], ["label"]).withColumn("dist_sq", F.round("dist_sq", 6))
 
 
-@register(f"""WITH {_EMB}, d AS (SELECT p.label, p.vec_id AS query_id, q.vec_id AS point_id, cast(cast((p.a-q.a)*(p.a-q.a) AS float) + cast((p.b-q.b)*(p.b-q.b) AS float) AS float)
- + cast(((p.c-q.c)*cast(0.5 AS float))*((p.c-q.c)*cast(0.5 AS float)) AS float) AS d FROM e p JOIN e q ON p.label = q.label AND q.vec_id % 2 = 0 WHERE p.vec_id % 2 = 1)
+@register("""WITH e AS (SELECT vec_id, label, embedding[1] AS a, embedding[2] AS b, embedding[3] AS c, embedding[4] AS x, embedding[5] AS y, embedding[6] AS z FROM embeddings),
+d AS (SELECT p.label, p.vec_id AS query_id, q.vec_id AS point_id, cast(cast((p.x-q.a)*(p.x-q.a) AS float) + cast((p.y-q.b)*(p.y-q.b) AS float) AS float)
+ + cast(((p.z-q.c)*cast(0.5 AS float))*((p.z-q.c)*cast(0.5 AS float)) AS float) AS d FROM e p JOIN e q ON p.label = q.label)
 SELECT label, query_id, point_id, round(cast(d AS double), 6) AS dist_sq FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, point_id) AS rank FROM d) WHERE rank = 1""")
 def q_nearest_scaled(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", "vec_id", *[F.col("embedding")[k].alias(n) for k, n in enumerate("abc")])
-    # two catalogues: even ids are points, odd ids are queries
-    points, asked = e.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "point_id"), e.where("vec_id % 2 = 1").withColumnRenamed("vec_id", "query_id")
-    return density.nearest(points, asked, ["a", "b", "c"], ["label"], [1.0, 1.0, 0.5]).withColumn("dist_sq", F.round("dist_sq", 6))
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    # two catalogues of all rows: one by the first three dimensions, the other by the next three
+    at = lambda key, first: e.select("label", F.col("vec_id").alias(key), *[F.col("embedding")[first + k].alias(n) for k, n in enumerate("abc")])
+    return density.nearest(at("point_id", 0), at("query_id", 3), ["a", "b", "c"], ["label"], [1.0, 1.0, 0.5]).withColumn("dist_sq", F.round("dist_sq", 6))
 
 
 # ---- statistics
@@ -526,10 +528,12 @@ def q_candidates(spark, sf_dir):
     return run.candidates.select("candidate_id", "candidate", "n_protostreams", "n_stars", *[r6(c) for c in _CAND])
 
 
-@register(f"WITH RECURSIVE {CANDIDATES} SELECT candidate_id, patch_id, star_id, round(ra, 6) AS ra FROM member JOIN cand USING (candidate)")
+@register(f"""WITH RECURSIVE {CANDIDATES}, {_KNN_STEPS}, last AS (SELECT patch_id, star_id, arg_max(score, i*2 + axis) AS score FROM knn GROUP BY patch_id, star_id)
+SELECT candidate_id, m.patch_id, m.star_id, round(ra, 6) AS ra, round(coalesce(score, 0), 4) AS anomaly_score
+FROM member m JOIN cand USING (candidate) LEFT JOIN last ON last.patch_id = m.patch_id AND last.star_id = m.star_id""")
 def q_candidate_members(spark, sf_dir):
     run = detect(demo_stars(spark, sf_dir), CFG, "knn", demo_patches(spark))
-    return run.members.select("candidate_id", "patch_id", "star_id", r6("ra"))
+    return run.members.select("candidate_id", "patch_id", "star_id", r6("ra"), F.round("anomaly_score", 4).alias("anomaly_score"))
 
 
 @register(f"WITH RECURSIVE {CANDIDATES} SELECT candidate_id, n_stars, {rounded('significance', 'mean_ra', 'mean_dec', 'mean_pmra', 'mean_pmdec')} FROM cand WHERE candidate_id <= 10")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,20 +27,33 @@ def local_session(cpus: int = 8, memory: str = "8g", name: str = "skyloom") -> S
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, whatever their working folder is."""
-    root = str(Path(__file__).resolve().parents[1])
-    env = spark.sparkContext.environment
+    """Let Python workers import this package, whatever their machine and working folder are.
+
+    Executors get a zip of it from the driver, once in an application; the
+    driver's own planning workers find it on their path.
+    """
+    package = Path(__file__).resolve().parent
+    root, sc = str(package.parent), spark.sparkContext
+    if not any(x.startswith("skyloom-package-") for x in sc._python_includes):
+        packed = f"{tempfile.mkdtemp()}/skyloom-package-{uuid.uuid4().hex}.zip"
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
+            for f in sorted(package.rglob("*.py")):
+                out.write(f, f.relative_to(package.parent))
+        sc.addPyFile(packed)
+    env = sc.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a temporary one where it is unset."""
+    """The shared folder named in ``spark.checkpoint.dir``; a temporary one where it is unset and all runs on this machine."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="skyloom-"))
         return sc._jsc.sc().getCheckpointDir().get()
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -53,10 +67,16 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 
 def staged(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there."""
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there.
+
+    Whoever knows when it is no longer read calls unstage(); what is left goes
+    when the application ends.
+    """
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.options(**options).parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -44,13 +44,14 @@ def leading_number(text: Column) -> Column:
     return F.when(nan, F.lit(float("nan"))).when(digits != "", digits.try_cast("double")).otherwise(0.0)
 
 
-def normalise(raw: DataFrame, ordinal: Column | None = None, texts: bool = True) -> DataFrame:
+def normalise(raw: DataFrame, ordinal: Column | None = None, texts: bool = True, as_given: bool = False) -> DataFrame:
     """Bind columns by alias, fill defaults, derive distances and drop impossible positions.
 
     A missing column or a null value takes its default: 0, 20 for g_mag, 0.75
     for bp_rp. Distance is the explicit one, else 1/parallax above 0.01 mas,
     else 100 where a parallax is given, else 0. NaN positions stay, as any
-    comparison with them is false.
+    comparison with them is false. ``as_given`` neither drops positions nor
+    derives distances: what is not there is 0, as FITS catalogues are taken.
     """
     bound = bind(raw.columns)
     missing = [c for c in ("ra", "dec") if c not in bound]
@@ -65,7 +66,7 @@ def normalise(raw: DataFrame, ordinal: Column | None = None, texts: bool = True)
 
     fields = [c for c in ALIASES if c not in ("target_id", "distance")]
     out = [value(c).alias(c) for c in fields]
-    plx = number("parallax") if "parallax" in bound else None
+    plx = number("parallax") if "parallax" in bound and not as_given else None
     far = F.when(plx > 0.01, 1.0 / plx).otherwise(100.0) if plx is not None else F.lit(0.0)
     if plx is not None:
         far = F.when(at("parallax").isNotNull(), far).otherwise(0.0)
@@ -74,18 +75,35 @@ def normalise(raw: DataFrame, ordinal: Column | None = None, texts: bool = True)
     ids = F.coalesce(F.regexp_extract(at("target_id").cast("string"), r"^\s*([+-]?\d+)", 1).try_cast("long"), F.lit(0)) if "target_id" in bound else F.lit(0)
     star = ordinal if ordinal is not None else F.monotonically_increasing_id()
     stars = raw.select(star.cast("long").alias("star_id"), *out, far.alias("distance"), ids.cast("long").alias("target_id"))
+    if as_given:
+        return stars
     outside = lambda c, lo, hi: ~F.isnan(c) & ~F.col(c).between(lo, hi)
     return stars.where(~outside("ra", 0, 360) & ~outside("dec", -90, 90))
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV catalogue with a header. star_id is the place in the file, or in the sorted files of a folder.
+def in_file_order(raw: DataFrame) -> tuple[DataFrame, Column]:
+    """Rows of a file source with what numbers them from 0: by file name, block and place.
 
-    Rows are numbered by file, block and place, so splits of a large file keep
-    their order; numbers grow but have gaps between splits.
+    A partition holds whole blocks of files, in an order of Spark's own. Rows of
+    a block stand together, so a row's place is its number less the block's
+    first. Only a row for each block reaches the driver, whose shifts go back
+    as a broadcast table; the file is read once more for them.
     """
+    own = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_seq"))
+    counts = own.groupBy("_file", "_block").agg(F.min("_seq").alias("first"), F.count("*").alias("n")).collect()
+    total, shifts = 0, []
+    for r in sorted(counts, key=lambda r: (r["_file"], r["_block"])):
+        shifts.append((r["_file"], r["_block"], total - r["first"]))
+        total += r["n"]
+    table = raw.sparkSession.createDataFrame(shifts, "_file string, _block long, _shift long")
+    return own.join(F.broadcast(table), ["_file", "_block"], "left"), F.col("_seq") + F.col("_shift")
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV catalogue with a header. star_id is the row's place in the file, or in the files of a folder by name."""
     raw = spark.read.csv(path, header=True, inferSchema=False, ignoreLeadingWhiteSpace=True, mode="PERMISSIVE")
-    return normalise(raw)
+    rows, place = in_file_order(raw)
+    return normalise(rows, place)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -93,12 +111,12 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_catalog(spark: SparkSession, path: str, fits: bool = True) -> DataFrame:
-    """Dispatch on the extension: .fits and .fit, .parquet, else CSV."""
+    """Dispatch on the extension: .fits and .fit, .parquet, else CSV. FITS rows are taken as given: all positions, no derived distance."""
     lower = path.lower().rstrip("/")
     if lower.endswith((".fits", ".fit")):
         if not fits:
             raise RuntimeError("FITS input is switched off; convert the file or allow fits")
         from skyloom.sources.fits import read_fits
 
-        return normalise(read_fits(spark, path), texts=False)
+        return normalise(read_fits(spark, path), texts=False, as_given=True)
     return read_parquet(spark, path) if lower.endswith(".parquet") else read_csv(spark, path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# fixed values: printed formats and the name of a new candidate
+CANDIDATE_NAME = "VM3-NEW"
 CANDIDATE_FORMATS = {
     "significance": "%.2f", "n_protostreams": "%d", "n_stars": "%d", "mean_ra": "%.6f", "mean_dec": "%.6f",
     "mean_l": "%.6f", "mean_b": "%.6f", "mean_pmra": "%.3f", "mean_pmdec": "%.3f",
@@ -17,7 +19,7 @@ MEMBER_FORMATS = {
 }
 
 
-def candidate_rows(candidates: DataFrame, name: str = "VM3-NEW") -> DataFrame:
+def candidate_rows(candidates: DataFrame, name: str = CANDIDATE_NAME) -> DataFrame:
     """Printable rows of candidates with positive significance, in rank order."""
     fields = [F.format_string(p, F.col(c)).alias(c) for c, p in CANDIDATE_FORMATS.items()]
     return candidates.where("significance > 0").orderBy("candidate_id").select(F.col("candidate_id").cast("string").alias("candidate_id"), F.lit(name).alias("name"), *fields)

@@ -178,6 +178,23 @@ def test_csv_catalogue(spark, tmp_path):
         catalog.read_catalog(spark, "x.fits", fits=False)
 
 
+def test_csv_folder_in_file_order(spark, tmp_path):
+    """star_id follows file names and places, whatever order Spark reads files and blocks in."""
+    rng, want = random.Random(6), []
+    for name, n in (("a", 3), ("b", 4000), ("c", 40)):
+        rows = [(rng.uniform(0, 360), rng.uniform(-90, 90)) for _ in range(n)]
+        (tmp_path / f"{name}.csv").write_text("ra,dec\n" + "".join(f"{a!r},{d!r}\n" for a, d in rows))
+        want += rows
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = catalog.read_csv(spark, str(tmp_path)).select("star_id", "ra", "dec").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [(r["ra"], r["dec"]) for r in sorted(got, key=lambda r: r["star_id"])] == want
+    assert sorted(r["star_id"] for r in got) == list(range(len(want)))
+
+
 def test_fits_round_trip(spark, tmp_path):
     n = 25
     columns = {"TARGET_RA": np.linspace(0, 350, n), "TARGET_DEC": np.linspace(-80, 80, n).astype("f4"), "TARGETID": np.arange(n) + 2**40, "KIND": np.array([b"STAR ", b"GAL"] * 12 + [b"STAR"]), "OK": np.arange(n) % 2 == 0}
@@ -186,7 +203,10 @@ def test_fits_round_trip(spark, tmp_path):
     got = fits.read_fits(spark, str(path)).orderBy("TARGETID").collect()
     assert [r["TARGET_RA"] for r in got] == columns["TARGET_RA"].tolist() and [r["KIND"] for r in got[:2]] == ["STAR", "GAL"]
     assert [r["OK"] for r in got] == columns["OK"].tolist() and got[3]["TARGETID"] == 2**40 + 3
+    columns |= {"TARGET_DEC": np.where(np.arange(n) == 3, 95.0, 1.0), "PARALLAX": np.full(n, 0.5)}  # FITS rows keep odd positions and derive no distance
+    path.write_bytes(fits.fits_table(columns))
     stars = catalog.read_catalog(spark, str(path))
+    assert stars.where("distance <> 0").count() == 0 and stars.where("dec = 95").count() == 1
     assert stars.count() == n and stars.where("target_id > 0").count() == n
 
 
@@ -213,6 +233,8 @@ def test_synthetic(spark):
     stars = spark.createDataFrame([(1, 172.0, 11.0), (2, 100.0, -50.0)], "star_id int, ra double, dec double")
     cover = {r["star_id"]: r["coverage"] for r in synth.tile_coverage(stars, frame, 1.6).collect()}
     assert cover[1] > 0 and cover[2] == 0
+    twice = synth.tile_coverage(stars.unionByName(stars), frame, 1.6).collect()
+    assert sorted((r["star_id"], r["coverage"]) for r in twice) == sorted([(k, v) for k, v in cover.items()] * 2)
 
 
 def test_position_overlap(spark):

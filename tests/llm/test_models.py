@@ -1,22 +1,18 @@
-"""Search, tokenizer parity, classifier and language model on small tables."""
+"""Search, tokenizer parity and classifier on small tables."""
 
 import collections
-import math
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import functions as F
 
-from skyloom.llm import attention_lm as lm
 from skyloom.llm.cotraining import keep_quality, layout_view, score_quality, text_view
 from skyloom.llm.neighbours import adaptive_scan, lifted, nearest_neighbours, rotation
 from skyloom.llm.piece_model import PieceCodec, encode_pieces
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
-BYTES = public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["", " ", "  a  b ", "\n\n", "\t x", "▁▁a", "<s></s><unk>", "a" * 300, "日本語 テスト", "👩‍👩‍👧 x́ ﻿ \x00 z", "\xa0x　y", "é ﬁ ①", "a ▁ b", "x  ", "Don't stop - 12.5%"]
 
 
@@ -157,75 +153,3 @@ def test_distinct_words_over_the_whole_text():
     texts = [b" ".join(x) for x in (clean, clean + loop, loop + clean, loop, clean * 4, clean[:10])] + [b""]
     fresh = layout_view(texts, [None] * 7, [None] * 7, [None] * 7)[:, 11]
     assert np.allclose(fresh, [1, 2003 / 8000, 2003 / 8000, 3 / 6000, 1, 1, 1])
-
-
-# ---- language model
-
-
-def test_windows_cover_each_id_once():
-    sizes = np.array([1, 5, 8, 9, 40])
-    x, spot = lm.windows(np.arange(sizes.sum()), np.cumsum(sizes) - sizes, sizes, 77)
-    places = spot[spot >= 0]
-    assert sorted(places.tolist()) == list(range(sizes.sum())) and x.shape[1] == lm.WINDOW
-    lead = lm.WINDOW - lm.STEP
-    first = x[np.flatnonzero(spot[:, 0] == 0)[0]]
-    assert first[lead - 1] == 77 and first[lead] == 0 and (first[: lead - 1] == lm.PAD).all()
-    part, _ = lm.windows(np.arange(sizes.sum()), np.cumsum(sizes) - sizes, sizes, 77, slice(2, None, 3))
-    assert (part == x[2::3]).all()
-
-
-def test_context_reaches_beyond_a_line():
-    model = lm.Attention.start(np.full(lm.CLASSES, 1 / lm.CLASSES, np.float32))
-    for size in range(60, 60 + lm.STEP):
-        history = np.arange(size) + 100
-        logs, history[size - 32] = [], history[-1]
-        for far in (7, history[-2]):  # the last id's pair stands 31 places before, or only its second class
-            history[size - 33] = far
-            logs.append(lm.log_probabilities(model, history, np.array([size]), 3)[-1])
-        assert logs[1] > logs[0] + 0.1
-
-
-def test_next_class_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    uni = rng.random(lm.CLASSES).astype(np.float32)
-    model = lm.Attention.start(uni / uni.sum())
-    model.pairs *= rng.random(model.pairs.shape).astype(np.float32)
-    history = rng.integers(0, lm.CLASSES, 11)
-    seqs = np.concatenate([np.append(history, c) for c in range(lm.CLASSES)])
-    logs = lm.log_probabilities(model, seqs, np.full(lm.CLASSES, 12), 3).reshape(-1, 12)
-    assert abs((10 ** logs[:, -1]).sum() - 1) < 1e-4
-    assert np.allclose(logs[:, :-1], logs[0, :-1])  # later ids change nothing
-
-
-def test_each_round_trains_on_every_id():
-    sizes = np.array([1, 5, 90, 300, 7, 2])
-    ids = np.random.default_rng(1).integers(0, 60, sizes.sum())
-    numbers = list(range(len(sizes)))
-    block = pa.RecordBatch.from_pylist([{"block": 0, "doc_ids": numbers, "sizes": sizes.tolist(), "ids": ids.astype("<u2").tobytes()}])
-    want = sum(int(n) for i, n in zip(numbers, sizes) if not lm.held_out(i))
-    model = lm.Attention.start(np.full(lm.CLASSES, 1 / lm.CLASSES, np.float32))
-    cells = lm.HEADS * (lm.CLASSES + 1) ** 2
-    for r in range(lm.ROUNDS):
-        (out,) = lm._trainer(model, np.arange(60), 3, r)([block])
-        sums = np.concatenate([np.frombuffer(x, np.float32) for x in out.column("data").to_pylist()])
-        for k in range(3 if r else 1):
-            assert math.isclose(sums[k * cells : (k + 1) * cells].sum(dtype=float), want, rel_tol=1e-3)
-
-
-def test_scores_and_base(spark):
-    rng = random.Random(2)
-    words = ["the", "sea", "Sky", "étoile", "run", "tree,"]
-    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 80)))) for i in range(120)] + [(500, None), (501, ""), (502, "unseen zyx"), (None, "the the"), (503, "a<|endoftext|>b")]
-    got = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), BYTES, 50256).collect()
-    assert len(got) == len(rows)
-    tokens = {i: [*(t or "").encode().lower().split(), None] for i, t in rows}
-    held = {i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i in tokens}
-    count = collections.Counter(w for i, t in tokens.items() if not held[i] for w in t)
-    n, v = sum(count.values()), len(count)
-    for r in got:
-        t = tokens[r["doc_id"]]
-        assert (r["held_out"], r["n_tokens"], r["train_tokens"]) == (held[r["doc_id"]], len(t), n)
-        assert r["n_known"] == sum(count[w] > 0 for w in t) and r["score"] < 0
-        assert math.isclose(r["base_score"], sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), rel_tol=1e-9)
-    empty = spark.createDataFrame([], "doc_id long, text string")
-    assert lm.score_documents(empty, BYTES, 50256).count() == 0

@@ -20,6 +20,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE, WORD, CHAR = 1, 2, 3, 4
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Threads of a batch call at least; more where a task has more cores.
+THREADS = 2
 #: Words that a worker keeps at most, and the longest that it keeps.
 CACHE_WORDS = 200_000
 CACHE_CHARS = 40
@@ -121,8 +123,32 @@ class PieceModel:
         """No piece goes on behind the mark of a next word, so words can be encoded on their own."""
         return all(MARK not in p.lstrip(MARK) for p, _, k in self.pieces if k in (NORMAL, USER_DEFINED))
 
-    def tokenizer(self):
-        """The same model on the tokenizers library."""
+    def unigram(self, decoding: bool) -> list[tuple[str, float]]:
+        """Pieces and scores for the library's unigram model.
+
+        Only normal and user-defined pieces may be found in a text. For
+        encoding, others get a blank in front, which no text has once blanks
+        are marked, and a score that cannot be the lowest, since that sets what
+        an unknown character costs. A user-defined piece has the score by which
+        the model always prefers it.
+        """
+        best = max((s for _, s, k in self.pieces if k == NORMAL), default=0.0)
+        found = []
+        for i, (p, s, k) in enumerate(self.pieces):
+            if decoding or k == NORMAL:
+                found.append((p, s))
+            elif k == USER_DEFINED:
+                found.append((p, len(p.encode()) * best - 0.1))
+            else:
+                found.append((f" {i} {p}", best))
+        return found
+
+    def tokenizer(self, decoding: bool = False):
+        """The same model on the tokenizers library; for a unigram model, one for encoding and one for decoding.
+
+        Encoding by a unigram model leaves unknown characters as such, and the
+        codec spells them in bytes where the model falls back to these.
+        """
         from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
         if self.kind == BPE:
@@ -130,7 +156,9 @@ class PieceModel:
             unk = self.pieces[self.unk_id][0]
             core = models.BPE(vocab, self.merges(), unk_token=unk, fuse_unk=True, byte_fallback=self.byte_fallback)
         elif self.kind == UNIGRAM:
-            core = models.Unigram([(p, s) for p, s, _ in self.pieces], self.unk_id, self.byte_fallback)
+            if not self.escape_spaces:
+                raise ValueError("only unigram models that mark blanks can be rebuilt")
+            core = models.Unigram(self.unigram(decoding), self.unk_id, False)
         else:
             raise ValueError("only unigram and BPE models can be rebuilt")
         out = Tokenizer(core)
@@ -145,7 +173,7 @@ class PieceModel:
         if self.splits_words():
             out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
         own = [AddedToken(p, normalized=False) for p, _, k in self.pieces if k == USER_DEFINED]
-        if own:
+        if own and (self.kind == BPE or self.charsmap):
             out.add_tokens(own)
         out.encode_special_tokens = True
         tail = [decoders.Strip(content=" ", left=1, right=0)] if self.dummy_prefix else []
@@ -161,12 +189,15 @@ class PieceCodec:
     def __init__(self, path: str, threads: int):
         from tokenizers import normalizers
 
+        self.threads = threads
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         with open(path, "rb") as f:
             self.data = f.read()
         self.model = PieceModel.parse(self.data)
-        self.tokenizer = self.model.tokenizer()
+        self.tokenizer, self.decoder = self.model.tokenizer(), self.model.tokenizer(decoding=True)
+        #: ids of the bytes that an unknown character of a unigram model is spelled in
+        self.bytes = [i for i, (_, _, k) in enumerate(self.model.pieces) if k == BYTE] if self.model.byte_fallback and self.model.kind == UNIGRAM else []
         self.bare = self.model.tokenizer()
         self.bare.normalizer = normalizers.Sequence([])
         self.words: dict[str, bytes] = {}
@@ -188,13 +219,26 @@ class PieceCodec:
             self._sp = sentencepiece.SentencePieceProcessor(model_proto=self.data)
         return self._sp
 
+    def _batch(self, tokenizer, texts: list[str]) -> list[list[int]]:
+        """Ids of a batch, unknown characters in bytes where the model has them."""
+        if len(self.bytes) != 256:
+            return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out, unk = [], self.model.unk_id
+        for e in tokenizer.encode_batch(texts, add_special_tokens=False):  # the fast call has no tokens
+            ids = e.ids
+            if unk in ids:
+                ids = [x for i, token in zip(ids, e.tokens, strict=True) for x in ([self.bytes[b] for b in token.encode()] if i == unk else [i])]
+            out.append(ids)
+        return out
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of whole texts, by one batch call that the library spreads over its threads."""
-        # the library prepends a mark to an empty text, the model gives none
-        return [e.ids if t else [] for t, e in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
+        # the library prepends a mark to an empty text, the model gives none; nor to one that is all blanks and loses them
+        bare = [not (t.strip(" ") if self.model.collapse_spaces else t) for t in texts]
+        return [[] if b else ids for b, ids in zip(bare, self._batch(self.tokenizer, texts), strict=True)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        return self.decoder.decode_batch(ids, skip_special_tokens=False)
 
     def _chunks(self, text: str) -> list[str]:
         """The marked words of a text, as the pre-tokenizer splits them; runs of blanks go with the word behind them."""
@@ -212,19 +256,19 @@ class PieceCodec:
         """
         m = self.model
         if m.charsmap or m.collapse_spaces or not (m.dummy_prefix and m.escape_spaces) or m.suffix_mark or not m.splits_words() or any(k == USER_DEFINED for _, _, k in m.pieces):
-            ids, own = self.encode(texts), self.sentencepiece.encode(texts, num_threads=1)
+            ids, own = self.encode(texts), self.sentencepiece.encode(texts, num_threads=self.threads)
             return [np.asarray(x, np.uint32) for x in ids], [a == b for a, b in zip(ids, own, strict=True)]
         split = [self._chunks(t) if t else [] for t in texts]
         words = set().union(*split)
         if len(self.words) > CACHE_WORDS:  # what is frequent is in this run as well
             self.words = {w: self.words[w] for w in words.intersection(self.words)}
         fresh = list(words.difference(self.words))
-        got = self.bare.encode_batch_fast(fresh, add_special_tokens=False) if fresh else []
+        got = self._batch(self.bare, fresh) if fresh else []
         # the model adds the first mark itself; a mark alone is a piece, since an empty text gets none
-        own = self.sentencepiece.encode([w[1:].replace(MARK, " ") for w in fresh], num_threads=1) if fresh else []
-        for w, e, ids in zip(fresh, got, own, strict=True):
-            same = e.ids == (ids if w != MARK else [self.sentencepiece.piece_to_id(MARK)])
-            self.words[w] = array("I", e.ids).tobytes()
+        own = self.sentencepiece.encode([w[1:].replace(MARK, " ") for w in fresh], num_threads=self.threads) if fresh else []
+        for w, mine, ids in zip(fresh, got, own, strict=True):
+            same = mine == (ids if w != MARK else [self.sentencepiece.piece_to_id(MARK)])
+            self.words[w] = array("I", mine).tobytes()
             if not same:
                 self.differ.add(w)
         out = [np.frombuffer(b"".join(map(self.words.__getitem__, s)), np.uint32) for s in split]
@@ -259,16 +303,20 @@ def _codec_run(path: str, threads: int, keep_ids: bool):
 PIECE_COLUMNS = ["doc_id", "n_tokens", "ids_crc32", "round_trip", "parity", "ids"]
 
 
-def encode_pieces(docs: DataFrame, model: str, threads: int = 1, keep_ids: bool = True) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str, threads: int | None = None, keep_ids: bool = True) -> DataFrame:
     """Encode whole texts with a SentencePiece model on the tokenizers library and decode them again.
 
     Needs doc_id and text; other columns are ignored. Returns doc_id, n_tokens,
     ids_crc32 (of the ids as little-endian unsigned 32-bit integers),
     round_trip (the decoded text is the text, which a text with the mark itself
     never is), parity (sentencepiece gives the
-    same ids) and, if asked, ids. ``threads`` is the library's number of threads
-    in each worker; leave it at the cores of a task. Null text is empty; an
-    empty text has no ids. An empty table gives an empty result.
+    same ids; it is the whole text's, or that of each of its marked words where
+    the model has no piece beyond a word) and, if asked, ids. ``threads`` is the
+    libraries' number of threads in each worker: the cores of a task, THREADS at
+    least, unless it is given. Null text is empty; an empty text has no ids.
+    Texts of any length are encoded whole; rows that repeat a doc_id are rows of
+    their own. An empty table gives an empty result.
     """
+    threads = threads or max(THREADS, int(docs.sparkSession.conf.get("spark.task.cpus", "1")))
     schema = "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean, parity boolean" + ", ids array<int>" * keep_ids
     return small_batches(docs).select("doc_id", "text").mapInArrow(_codec_run(model, threads, keep_ids), schema)

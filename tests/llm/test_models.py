@@ -2,15 +2,18 @@
 
 import collections
 import random
+import struct
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from skyloom.llm.cotraining import keep_quality, layout_view, score_quality, text_view
 from skyloom.llm.neighbours import adaptive_scan, lifted, nearest_neighbours, rotation
-from skyloom.llm.piece_model import PieceCodec, encode_pieces
+from skyloom.llm.piece_model import PieceCodec, encode_pieces, fields_of
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 ODD = ["", " ", "  a  b ", "\n\n", "\t x", "▁▁a", "<s></s><unk>", "a" * 300, "日本語 テスト", "👩‍👩‍👧 x́ ﻿ \x00 z", "\xa0x　y", "é ﬁ ①", "a ▁ b", "x  ", "Don't stop - 12.5%"]
@@ -101,6 +104,80 @@ def test_parity_and_round_trip(spark):
     assert encode_pieces(df.where("doc_id < 0"), PIECES).count() == 0
 
 
+def message(*fields):
+    """A protobuf message of (number, value): bytes, whole numbers, or 32-bit floats."""
+    out = b""
+
+    def varint(n):
+        part = b""
+        while n > 127:
+            part += bytes([n & 127 | 128])
+            n >>= 7
+        return part + bytes([n])
+
+    for number, value in fields:
+        if isinstance(value, bytes):
+            out += varint(number << 3 | 2) + varint(len(value)) + value
+        elif isinstance(value, float):
+            out += varint(number << 3 | 5) + struct.pack("<f", value)
+        else:
+            out += varint(number << 3) + varint(value)
+    return out
+
+
+def unigram_file(path, fallback, normaliser, user=()):
+    """A small unigram model, built by hand: special pieces, bytes, pieces of words and characters with scores."""
+    rng = random.Random(13)
+    text = {"▁the", "the", "▁sea", "sea", "▁s", "ea", "▁a", "b", "and", "▁and", "▁sand", "<s", "s>", "0x4", "x41", "é", "▁café", "caf", "日本", "本", "ﬁ"}
+    text |= {"▁" + "".join(rng.choice("aebnst") for _ in range(rng.randrange(1, 6))) for _ in range(150)} | {"".join(rng.choice("aebnst") for _ in range(2)) for _ in range(40)}
+    chars = {c for p in text for c in p} | set("<>0x41s▁ .,")- {" "}
+    normal = sorted(text | chars - {"é"})
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("spare", -1.0, 5), *((u, 0.0, 4) for u in user)]
+    pieces += [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if fallback else []
+    pieces += [(p, -2.0 - 9 * rng.random() - (3 if len(p) == 1 else 0), 1) for p in normal if p not in user]
+    trainer = message((3, 1), *([(35, 1)] if fallback else []), (40, 0), (41, 1), (42, 2), (43, (1 << 64) - 1))
+    norm = message((1, b"own"), (3, 1), (4, 0), (5, 1))
+    if normaliser:
+        inner = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()
+        spec = next(v for n, v in fields_of(inner) if n == 3)
+        norm = message((1, b"nmt_nfkc"), (2, next(v for n, v in fields_of(spec) if n == 2)), (3, 1), (4, 1), (5, 1))
+    path.write_bytes(message(*[(1, message((1, p.encode()), (2, s), *([(3, k)] if k != 1 else []))) for p, s, k in pieces], (2, trainer), (3, norm)))
+    return str(path)
+
+
+@pytest.mark.parametrize("fallback", [False, True])
+@pytest.mark.parametrize("normaliser", [False, True])
+def test_unigram_parity(spark, tmp_path, fallback, normaliser):
+    """Unigram scores, byte fallback and normaliser against sentencepiece, with texts that spell control and byte pieces."""
+    path = unigram_file(tmp_path / "u.model", fallback, normaliser)
+    rng = random.Random(3)
+    texts = [*ODD, "a <s> b", "</s>", "the<0x41>sea", "<unk> spare spared", "<0x41><0x42>", "café ﬁ 日本本 zzz", "q" * 50, "the sea and the sand " * 40, "Ａ① the"]
+    texts += ["".join(rng.choice(["the ", "sea", " and", "<s>", "<0x4", "1>", "é", "Z", "日", "  ", "a", "bt", "ne", "sta", "ﬁ"]) for _ in range(rng.randrange(1, 60))) for _ in range(300)]
+    codec = PieceCodec(path, 2)
+    assert codec.model.kind == 1 and codec.encode(texts) == codec.sentencepiece.encode(texts)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in encode_pieces(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()}
+    for i, want in enumerate(codec.sentencepiece.encode(texts)):
+        assert got[i]["ids"] == want and got[i]["parity"], texts[i]
+        if fallback and not normaliser:
+            assert got[i]["round_trip"] == ("▁" not in texts[i]), texts[i]
+
+
+def test_user_defined_pieces(tmp_path):
+    codec = PieceCodec(unigram_file(tmp_path / "d.model", False, False, ("sea", "<x>")), 1)
+    texts = ["the sea", "<x>seasea", "thesea <x> a", "a<x", "sand"]
+    assert codec.encode(texts) == codec.sentencepiece.encode(texts)
+
+
+def test_very_long_and_repeated_texts(spark):
+    long = "word " * 400_000 + "x" * 300_000
+    df = spark.createDataFrame([(1, long, "a"), (1, long, "b"), (2, "word", "c")], "doc_id long, text string, parity string")
+    got = encode_pieces(df, PIECES, keep_ids=False).collect()
+    assert len(got) == 3 and all(r["round_trip"] and r["parity"] is True for r in got)
+    want = PieceCodec.at(PIECES, 1).sentencepiece.encode(long)
+    assert {r["ids_crc32"] for r in got if r["doc_id"] == 1} == {zlib.crc32(np.array(want, "<u4"))}
+
+
 # ---- classifier
 
 

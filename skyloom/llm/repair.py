@@ -13,118 +13,149 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.arrays import runs, small_batches, utf8
+from skyloom.llm.arrays import lists, runs, small_batches, utf8
 from skyloom.llm.files import opened
 from skyloom.llm.subwords import WordCachedTokenizer
 from skyloom.session import shared_path, staged
 
-MAGIC = b"RPR1"
+MAGIC = b"RPR2"
 HEAD = struct.Struct("<4sBIIIQQI")
 #: Ids of a shard, about: a shard ends with the document that reaches this.
 SHARD_IDS = 1 << 20
 #: Words whose ids a worker keeps at most.
 WORDS_KEPT = 1_000_000
-#: Passes over a shard, rules that a pass adds at most, and how often a pair must occur.
-PASSES, RULES_A_PASS, LEAST = 6, 512, 16
-
-
-def repair(ids: np.ndarray, ends: np.ndarray, first: int, passes: int = PASSES, most: int = RULES_A_PASS, least: int = LEAST):
-    """Replace frequent pairs by nonterminals ``first``, ``first + 1``, ...
+#: How often a pair must occur: each replacement saves a symbol, a rule takes two and its length, together nearly four.
+LEAST = 4
+#: Two symbols in one word: the place of the left one, the mask of the right one, and what stands for no pair.
+HALF, LOW, NONE = np.uint64(32), np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def _pairs(seq: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Each symbol and the next as one word; NONE across documents, and at every second place of a run of one symbol, whose pairs overlap."""
+    keys = seq[:-1].astype(np.uint64)
+    keys <<= HALF
+    keys |= seq[1:]
+    keys[last[:-1]] = NONE
+    twins = np.flatnonzero(seq[1:] == seq[:-1])
+    twins = twins[keys[twins] != NONE]
+    if len(twins):
+        begins = np.flatnonzero(np.diff(twins, prepend=-2) != 1)
+        place = np.arange(len(twins)) - np.repeat(begins, np.diff(np.append(begins, len(twins))))
+        keys[twins[place % 2 == 1]] = NONE
+    return keys
+
+
+def repair(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST):
+    """Replace frequent pairs by nonterminals ``first``, ``first + 1``, ... until none occurs ``least`` times.
 
     ``ends`` are the places after each document's last id; no pair crosses
-    them. A pass counts all pairs and replaces the most frequent ones together:
-    a symbol that stands left in one chosen pair never stands right in another,
-    so occurrences cannot overlap and the result is that of replacing them one
-    after the other. Ids are below ``first``. Returns symbols, ends in them, and
-    rules as (n, 2).
+    them. A pass counts all pairs and replaces those that occur ``least`` times
+    or more together, the more frequent ones first: a symbol that stands left
+    in one chosen pair never stands right in another, so occurrences cannot
+    overlap and the result is that of replacing them one after the other. What
+    this leaves out comes in a later pass. Ids are below ``first``. Returns
+    symbols, ends in them, and rules as (n, 2).
     """
     seq = ids.astype(np.uint32)
     last = ends - 1  # a document has one id at least, so each ends at a place of its own
-    # two symbols fit in one word of this kind; the largest word stands for a pair across documents
-    word, half = (np.uint32, 16) if first + passes * most < 1 << 16 else (np.uint64, 32)
-    none, low = word(np.iinfo(word).max), (1 << half) - 1
-    rules: list[tuple[int, int]] = []
-    for _ in range(passes):
-        if len(seq) < 2:
-            break
-        keys = seq[:-1].astype(word)
-        keys <<= word(half)
-        keys |= seq[1:]
-        keys[last[:-1]] = none
-        ordered = np.sort(keys)[: len(keys) - len(last) + 1]
-        heads = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
-        heads = np.concatenate([[0], heads]) if len(ordered) else heads
+    rules: list[np.ndarray] = []
+    n = first
+    while len(seq) > 1:
+        keys = _pairs(seq, last)
+        ordered = np.sort(keys)
+        ordered = ordered[: np.searchsorted(ordered, NONE)]
+        heads = np.flatnonzero(np.diff(ordered, prepend=NONE) != 0)
         counts = np.diff(np.append(heads, len(ordered)))
         often = np.flatnonzero(counts >= least)
         if not len(often):
             break
-        pairs, counts = ordered[heads[often]], counts[often]
-        rank = np.lexsort((pairs, -counts))[: 4 * most]
+        pairs = ordered[heads[often]]
+        pairs = pairs[np.argsort(-counts[often], kind="stable")]
         left, right, chosen = set(), set(), []
-        for key in pairs[rank].tolist():
-            a, b = key >> half, key & low
-            if a != b and a not in right and b not in left:
+        for k, (a, b) in enumerate(zip((pairs >> HALF).tolist(), (pairs & LOW).tolist(), strict=True)):
+            if a not in right and b not in left and (a != b or a not in left):
                 left.add(a)
                 right.add(b)
-                chosen.append(key)
-                if len(chosen) == most:
-                    break
-        if not chosen:
-            break
-        role = np.zeros(first + len(rules), np.uint8)
-        role[list(left)] = 1
-        role[list(right)] = 2
-        held = role[seq]
-        at = np.flatnonzero((held[:-1] + 1 == held[1:]) & (held[:-1] == 1))
-        chosen = [(key >> half, key & low) for key in sorted(chosen)]
-        row, column = np.zeros((2, len(role)), np.int32)
-        row[list(left)] = np.arange(len(left))
-        column[list(right)] = np.arange(len(right))
-        table = np.full((len(left), len(right)), -1, np.int32)
-        for k, (a, b) in enumerate(chosen):
-            table[row[a], column[b]] = k
-        place = table[row[seq[at]], column[seq[at + 1]]]
-        hit = place >= 0
+                chosen.append(k)
+        chosen = np.sort(pairs[chosen])
+        begins, goes_on = np.zeros((2, n), bool)
+        begins[(chosen >> HALF).astype(np.int64)] = True
+        goes_on[(chosen & LOW).astype(np.int64)] = True
+        at = np.flatnonzero(begins[seq[:-1]] & goes_on[seq[1:]])
+        found = keys[at]
+        place = np.searchsorted(chosen, found)
+        place[place == len(chosen)] = 0
+        hit = chosen[place] == found
         at, place = at[hit], place[hit]
-        seq[at] = (first + len(rules) + place).astype(np.uint32)
-        rules += chosen
+        seq[at] = (n + place).astype(np.uint32)
+        rules.append(np.stack([chosen >> HALF, chosen & LOW], axis=1).astype(np.uint32))
+        n += len(chosen)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
         last = last - np.searchsorted(at, last - 1, side="right")
-    return seq, last + 1, np.array(rules, np.uint32).reshape(-1, 2)
+    return seq, last + 1, np.concatenate([np.zeros((0, 2), np.uint32), *rules])
+
+
+def _depths(rules: np.ndarray, first: int) -> np.ndarray:
+    """How many rules a symbol is deep, for all symbols; a rule uses ids and earlier rules only."""
+    depth, new = np.zeros(first + len(rules), np.int64), np.zeros(len(rules), np.int64)
+    while True:
+        new = 1 + np.maximum(depth[rules[:, 0]], depth[rules[:, 1]])
+        if (new == depth[first:]).all():
+            return depth
+        depth[first:] = new
 
 
 def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
-    """Ids that each nonterminal stands for; a rule uses ids and earlier rules only."""
-    size: list[int] = []
-    for a, b in rules.tolist():
-        size.append((size[a - first] if a >= first else 1) + (size[b - first] if b >= first else 1))
-    return np.array(size, np.uint32)
+    """Ids that each nonterminal stands for."""
+    depth, size = _depths(rules, first)[first:], np.ones(first + len(rules), np.int64)
+    for d in range(1, int(depth.max(initial=0)) + 1):
+        own = np.flatnonzero(depth == d)
+        size[first + own] = size[rules[own, 0]] + size[rules[own, 1]]
+    return size[first:].astype(np.uint32)
+
+
+def _packed(values: np.ndarray, bits: int) -> bytes:
+    """Numbers as their low 16 bits, then a plane of bits for each higher one."""
+    planes = [np.packbits((values >> np.uint32(k)) & np.uint32(1) == 1, bitorder="little").tobytes() for k in range(16, bits)]
+    return b"".join([(values & np.uint32(0xFFFF)).astype("<u2").tobytes(), *planes])
+
+
+def _unpacked(data: bytes, at: int, n: int, bits: int) -> tuple[np.ndarray, int]:
+    """``n`` numbers that begin at byte ``at``, and where they end."""
+    values = np.frombuffer(data, "<u2", n, at).astype(np.uint32)
+    at += 2 * n
+    for k in range(16, bits):
+        size = -(-n // 8)
+        values |= np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n, bitorder="little").astype(np.uint32) << np.uint32(k)
+        at += size
+    return values, at
 
 
 def pack_shard(doc_ids: list[int | None], arrays: list[np.ndarray], before: int, first: int) -> bytes:
-    """The bytes of a shard: head, rules, expansion lengths, document table, symbols.
+    """The bytes of a shard: head, document table, expansion lengths, rules, symbols.
 
     The document table has ids, null marks, and the ends of each document in
-    symbols and in ids; every array must hold one id at least.
+    symbols and in ids; every array must hold one id at least. Rules and
+    symbols take as many bits as the shard's largest symbol.
     """
     ends = np.cumsum([len(a) for a in arrays]).astype(np.int64)
     symbols, stops, rules = repair(np.concatenate(arrays), ends, first)
-    wide = 2 if (int(symbols.max()) if len(symbols) else 0) < 1 << 16 else 4
-    head = HEAD.pack(MAGIC, wide, len(arrays), len(rules), len(symbols), int(ends[-1]), before, first)
+    bits = max(16, int(first + len(rules) - 1).bit_length())
+    head = HEAD.pack(MAGIC, bits, len(arrays), len(rules), len(symbols), int(ends[-1]), before, first)
     table = (
         np.array([i or 0 for i in doc_ids], "<i8").tobytes(), np.array([i is None for i in doc_ids], "u1").tobytes(),
         stops.astype("<u4").tobytes(), ends.astype("<u8").tobytes(),
     )
-    return b"".join((head, rules.astype("<u4").tobytes(), expansion_lengths(rules, first).astype("<u4").tobytes(), *table, symbols.astype(f"<u{wide}").tobytes()))
+    return b"".join((head, *table, expansion_lengths(rules, first).astype("<u4").tobytes(), _packed(rules.ravel(), bits), _packed(symbols, bits)))
 
 
 class Shard:
     """A packed shard: decodes all of its ids, or those of one document."""
 
     def __init__(self, data: bytes):
-        magic, wide, self.n_docs, n_rules, n_symbols, self.n_ids, self.before, self.first = HEAD.unpack_from(data)
+        magic, bits, self.n_docs, n_rules, n_symbols, self.n_ids, self.before, self.first = HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a Re-Pair shard")
         at = HEAD.size
@@ -135,41 +166,41 @@ class Shard:
             at += found.nbytes
             return found
 
-        self.rules = take("<u4", 2 * n_rules).reshape(-1, 2)
-        self.lengths = take("<u4", n_rules)
         self.doc_ids, self.null_ids = take("<i8", self.n_docs), take("u1", self.n_docs).astype(bool)
         self.stops, self.ends = take("<u4", self.n_docs), take("<u8", self.n_docs).astype(np.int64)
-        self.symbols = take(f"<u{wide}", n_symbols)
+        self.lengths = take("<u4", n_rules)
+        rules, at = _unpacked(data, at, 2 * n_rules, bits)
+        self.rules = rules.reshape(-1, 2)
+        self.symbols, at = _unpacked(data, at, n_symbols, bits)
         self._spelled: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def _spell(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All expansions in a row, those of the plain ids first, and where each symbol's begins and how long it is."""
         if self._spelled is None:
-            start = np.concatenate([[0], np.cumsum(self.lengths, dtype=np.int64)])
-            flat = np.zeros(start[-1], np.uint32)
-            for r, (a, b) in enumerate(self.rules.tolist()):
-                at = start[r]
-                for s in (a, b):
-                    if s < self.first:
-                        flat[at] = s
-                        at += 1
-                    else:
-                        k = s - self.first
-                        n = start[k + 1] - start[k]
-                        flat[at : at + n] = flat[start[k] : start[k + 1]]
-                        at += n
-            whole = np.concatenate([np.arange(self.first, dtype=np.uint32), flat])
             sizes = np.concatenate([np.ones(self.first, np.int64), self.lengths])
-            self._spelled = whole, np.concatenate([np.arange(self.first), start[:-1] + self.first]), sizes
+            start = np.cumsum(sizes) - sizes
+            whole = np.arange(int(sizes.sum()), dtype=np.uint32)
+            depth = _depths(self.rules, self.first)[self.first :]
+            self._spelled = whole, start, sizes
+            for d in range(1, int(depth.max(initial=0)) + 1):
+                own = np.flatnonzero(depth == d)
+                a, b = self.rules[own].T
+                to = start[self.first + own]
+                for symbols, begin in ((a, to), (b, to + sizes[a])):
+                    whole[self._places(begin, sizes[symbols])] = self._expand(symbols)
         return self._spelled
 
-    def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        flat, start, size = self._spell()
-        long = size[symbols]
-        at = np.cumsum(long)
-        place = np.repeat(start[symbols] - (at - long), long)
+    @staticmethod
+    def _places(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """begin, begin + 1, ... of each, ``size`` numbers long, in a row."""
+        at = np.cumsum(size)
+        place = np.repeat(begin - (at - size), size)
         place += np.arange(len(place))
-        return flat.take(place)
+        return place
+
+    def _expand(self, symbols: np.ndarray) -> np.ndarray:
+        whole, start, size = self._spell()
+        return whole.take(self._places(start[symbols], size[symbols]))
 
     def all_ids(self) -> np.ndarray:
         return self._expand(self.symbols)
@@ -195,7 +226,8 @@ def _writer(path: str, tokenizer: str, end_id: int, first: int, shard_ids: int):
                 out = store.open_output_stream(name, compression=None)
             data = pack_shard(ids, arrays, before, first)
             out.write(data)
-            manifest.append((part, name.rsplit("/", 1)[1], at, len(data), len(arrays), held))
+            known = [i for i in ids if i is not None]
+            manifest.append((part, name.rsplit("/", 1)[1], at, len(data), len(arrays), held, min(known, default=None), max(known, default=None)))
             at, before, ids, arrays, held = at + len(data), before + held, [], [], 0
 
         for batch in batches:
@@ -210,11 +242,9 @@ def _writer(path: str, tokenizer: str, end_id: int, first: int, shard_ids: int):
         flush()
         if out is not None:
             out.close()
-        columns = list(zip(*manifest, strict=True)) or [[]] * 6
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
-            ["part", "file", "at", "bytes", "n_docs", "n_ids"],
-        )
+        columns = list(zip(*manifest, strict=True)) or [[]] * 8
+        kinds = (pa.int32(), pa.string(), *[pa.int64()] * 6)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["part", "file", "at", "bytes", "n_docs", "n_ids", "low", "high"])
 
     return run
 
@@ -226,13 +256,15 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int,
     A task writes the shards of its range of doc_id to one file, in one pass
     and with one shard in memory. A task that runs again writes a new file, and
     only files of the returned manifest count. Null doc_ids come first, rows
-    with one doc_id in the order of a hash of their texts; null text is empty.
-    An empty table writes nothing.
+    with one doc_id in the order of a hash of their texts; null text is empty,
+    a text of any length is one document of one shard, and other columns are
+    ignored. An empty table writes nothing. The manifest has a row for each
+    shard: file and place, documents, ids, and the least and greatest doc_id.
     """
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["doc_id", F.xxhash64("text")]
     dealt = small_batches(docs).select("doc_id", "text").repartitionByRange(n, *order).sortWithinPartitions(*order)
-    manifest = dealt.mapInArrow(_writer(path, tokenizer, end_id, first, shard_ids), "part int, file string, at long, bytes long, n_docs long, n_ids long")
+    manifest = dealt.mapInArrow(_writer(path, tokenizer, end_id, first, shard_ids), "part int, file string, at long, bytes long, n_docs long, n_ids long, low long, high long")
     return staged(manifest.withColumn("folder", F.lit(path)), "manifest")
 
 
@@ -261,15 +293,40 @@ def read_token_shards(manifest: DataFrame) -> DataFrame:
     each file.
     """
     spark = manifest.sparkSession
-    total, shift = 0, []
+    total, shifts = 0, []
     for r in manifest.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():
-        shift += [F.lit(r["part"]), F.lit(total)]
+        shifts.append((r["part"], total))
         total += r["n"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     decoded = manifest.repartition(n, "file", "at").mapInArrow(_reader, "doc_id long, part int, start long, n_tokens long, ids_crc32 long")
-    if not shift:
-        return decoded.drop("part")
-    return decoded.withColumn("start", F.col("start") + F.create_map(*shift)[F.col("part")]).drop("part")
+    moved = decoded.join(F.broadcast(spark.createDataFrame(shifts, "part int, shift long")), "part")  # a row for each file
+    return moved.select("doc_id", (F.col("start") + F.col("shift")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def _picker(wanted: list[int]):
+    asked = np.unique(np.array(wanted, np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                if not ((asked >= row["low"]) & (asked <= row["high"])).any():
+                    continue
+                store, folder = opened(row["folder"])
+                with store.open_input_file(f"{folder}/{row['file']}") as f:
+                    f.seek(row["at"])
+                    shard = Shard(f.read(row["bytes"]))
+                own = np.flatnonzero(np.isin(shard.doc_ids, asked) & ~shard.null_ids)
+                found = [shard.document(i) for i in own]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids[own]), lists(np.concatenate(found).astype(np.int32), np.array([len(x) for x in found]), pa.int32())], ["doc_id", "ids"])
+
+    return run
+
+
+def read_documents(manifest: DataFrame, doc_ids: list[int]) -> DataFrame:
+    """doc_id and ids of some documents: only shards whose range holds one of them are read, and only these documents decoded."""
+    near = manifest.where(F.col("low").isNotNull() & (F.col("high") >= min(doc_ids, default=0)) & (F.col("low") <= max(doc_ids, default=-1)))
+    return near.mapInArrow(_picker(doc_ids), "doc_id long, ids array<int>")
 
 
 def token_shards(docs: DataFrame, tokenizer: str, end_id: int, first: int) -> DataFrame:

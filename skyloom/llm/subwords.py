@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from operator import attrgetter
 from unicodedata import is_normalized
 
 import numpy as np
@@ -13,17 +12,8 @@ import numpy as np
 #: Words that the cache keeps at most, and the longest that it keeps.
 CACHE_WORDS = 500_000
 CACHE_BYTES = 48
-ID = attrgetter("id")
-
-
-def _spelled() -> dict[int, str]:
-    """The character that byte-level files write for each byte: itself where it is printable, else the next free one from 256 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = iter(range(256, 512))
-    return {b: chr(b) if b in plain else chr(next(others)) for b in range(256)}
-
-
-SPELLED = _spelled()
+#: Words of one string that the library encodes at a time.
+JOINED = 1000
 #: Letters, then signs: both kinds of files split such a word between the two and nowhere else.
 PARTS = re.compile(r"([^\W\d_]+)([^\w\s']*)")
 # fixed value: the split of files that lower case and drop white space
@@ -57,7 +47,7 @@ class WordCachedTokenizer:
         """A copy without normaliser and split, for words that need neither; None for files of another make."""
         import json
 
-        from tokenizers import normalizers, pre_tokenizers
+        from tokenizers import Regex, normalizers, pre_tokenizers
 
         made = json.loads(copy.to_str())
         split, norm = made["pre_tokenizer"] or {}, made["normalizer"]
@@ -68,13 +58,20 @@ class WordCachedTokenizer:
         if not (lowers or plain):
             return None, False
         copy.normalizer = normalizers.Sequence([])
-        copy.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        blank = pre_tokenizers.Split(Regex(" [^ ]+"), "isolated") if self.prefix else pre_tokenizers.Split(" ", "removed")
+        copy.pre_tokenizer = pre_tokenizers.Sequence([blank, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         copy.encode_special_tokens = True
+        suffix = made["model"].get("end_of_word_suffix") or ""
+        if lowers and not suffix:
+            return None, False
+        pieces = made["model"]["vocab"]
+        self.marked = np.zeros(copy.get_vocab_size(), bool)
+        self.marked[[i for t, i in pieces.items() if (t.startswith("Ġ") if self.prefix else t.endswith(suffix))]] = True
         return copy, lowers
 
     def _parts(self, word: str) -> tuple[str, str] | None:
         """Letters and signs of a word that is already as the normaliser would leave it."""
-        found = PARTS.fullmatch(word)
+        found = (word, word, "") if word.isalpha() else PARTS.fullmatch(word)
         if not found or not found[1].isalpha() or "<|" in word:
             return None
         if self.lowers and not word.isascii() and (word != word.lower() or not is_normalized("NFC", word)):
@@ -86,39 +83,43 @@ class WordCachedTokenizer:
             self.tails[signs] = array("I", self.bare.encode(signs, add_special_tokens=False).ids).tobytes()
         return self.tails[signs]
 
+    def _spell(self, heads: list[bytes]) -> None:
+        """Put the ids of words of letters into the cache, many by one call; a mark in the ids shows where each word ends or begins."""
+        known, joint = self.cache, [heads[i : i + JOINED] for i in range(0, len(heads), JOINED)]
+        texts = [(b" " * bool(self.prefix) + b" ".join(part)).decode() for part in joint]
+        for part, e in zip(joint, self.bare.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            marks = np.flatnonzero(self.marked[ids])
+            ends = np.append(marks[1:], len(ids)) if self.prefix else marks + 1
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(part, (4 * ends).tolist(), strict=True):
+                known[w] = raw[at:end]
+                at = end
+
     def _learn(self, fresh: list[bytes]) -> None:
         """Put the ids of words into the cache: letters and signs apart where that is the same."""
-        known, tokenize, begin = self.cache, self.tokenizer.model.tokenize, "Ġ" if self.prefix else ""
-        whole, split, wide = [], [], set()
+        known, whole, split, wide = self.cache, [], [], set()
         for w in fresh:
-            head, tail = w, b""
-            if self.bare and not w.isalpha() and w[:-1].isalpha():
-                head, tail = w[:-1], w[-1:]
-            if self.bare and head.isalpha() and tail in b".,!?;:":  # letters of one byte stand for themselves
-                ids = known.get(head)
-                if ids is None:
-                    ids = known[head] = array("I", map(ID, tokenize(begin + head.decode()))).tobytes()
-                if tail:
-                    known[w] = ids + self._tail(tail.decode())
-                continue
-            text = w.decode()
-            parts = None
-            if self.bare and text.isalpha():
-                parts = (text, "") if not self.lowers or (text == text.lower() and is_normalized("NFC", text)) else None
-            elif self.bare:
-                parts = self._parts(text)
-            if parts is None:
+            if self.bare is None:
                 whole.append(w)
+            elif w.isalpha():  # letters of one byte
+                wide.add(w)
+            elif w[:-1].isalpha() and w[-1:] in b".,!?;:":
+                wide.add(w[:-1])
+                split.append((w, w[:-1], w[-1:].decode()))
             else:
-                split.append((w, *parts))
-                head = parts[0].encode()
-                if head not in known:
+                text = w.decode()
+                parts = self._parts(text)
+                if parts is None:
+                    whole.append(w)
+                else:
+                    head = parts[0].encode()
                     wide.add(head)
-        for h in wide:
-            known[h] = array("I", map(ID, tokenize(begin + h.decode("latin-1").translate(SPELLED)))).tobytes()
+                    if parts[1]:
+                        split.append((w, head, parts[1]))
+        self._spell([h for h in wide if h not in known])
         for w, head, tail in split:
-            if tail:
-                known[w] = known[head.encode()] + self._tail(tail)
+            known[w] = known[head] + self._tail(tail)
         if len(self.tails) > self.limit:
             self.tails = {}
         if whole:

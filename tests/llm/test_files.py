@@ -1,6 +1,7 @@
 """WARC archives, media files and token shards: round trips and odd input."""
 
 import base64
+import collections
 import gzip
 import hashlib
 import io
@@ -17,7 +18,7 @@ from tokenizers import Tokenizer
 from skyloom.llm import progressive_jpeg as pj
 from skyloom.llm import warc
 from skyloom.llm.media import encode_media, jpeg_to_payload, media_digests, media_tensors, padded, payload_to_jpeg
-from skyloom.llm.repair import Shard, pack_shard, read_token_shards, repair, write_token_shards
+from skyloom.llm.repair import LEAST, Shard, pack_shard, read_documents, read_token_shards, repair, write_token_shards
 from skyloom.llm.subwords import WordCachedTokenizer
 from skyloom.session import shared_path
 
@@ -164,6 +165,18 @@ def test_repair_shrinks_and_keeps_documents_apart():
     ids = np.array([1, 2, 3] * 200 + [9], np.uint32)
     symbols, ends, rules = repair(ids, np.array([301, 601]), 10)
     assert len(symbols) < 300 and len(rules) and ends[-1] == len(symbols)
+    many = np.random.default_rng(2).integers(0, 300, 200_000).astype(np.uint32)
+    for ids, stops in ((many, np.array([90_000, 200_000])), (np.full(5000, 7, np.uint32), np.array([5, 5000])), (np.tile([4, 4, 4, 5, 4], 900).astype(np.uint32), np.array([4500]))):
+        symbols, ends, rules = repair(ids, stops, 300)
+        pairs = collections.Counter()
+        for a, b in zip([0, *ends], ends):
+            own, k = symbols[a:b].tolist(), 0
+            for x, y in zip(own, own[1:]):
+                k = k + 1 if x == y else 0  # overlapping pairs of a run count once
+                pairs[x, y] += x != y or k % 2
+        assert max(pairs.values()) < LEAST and len(rules) > (5000 if len(ids) == 200_000 else 3)
+        shard = Shard(pack_shard(list(range(len(stops))), np.split(ids, stops[:-1]), 0, 300))
+        assert (shard.all_ids() == ids).all() and shard.lengths.max() <= len(ids)
     with pytest.raises(ValueError):
         Shard(b"NOPE" + b"\0" * 60)
 
@@ -186,5 +199,14 @@ def test_token_shards(spark):
         sums = {zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4")) for t in texts[r["doc_id"]]}
         assert r["ids_crc32"] in sums
     assert manifest.where("n_docs > 0").count() > 3
+    some = read_documents(manifest, [7, 1002, 5, 99_999]).collect()
+    assert sorted(r["doc_id"] for r in some) == [5, 5, 5, 7, 1002]
+    assert all(r["ids"][:-1] in [tokenizer.encode(t, add_special_tokens=False).ids for t in texts[r["doc_id"]]] and r["ids"][-1] == 1 for r in some)
+    assert read_documents(manifest, []).count() == 0
+    long = "alpha beta, " * 150_000
+    odd = spark.createDataFrame([(3, long, 1, "x", 2), (1, None, 2, "y", 3), (3, long, 1, "x", 2)], "doc_id long, text string, part int, file string, at int")
+    big = sorted(read_token_shards(write_token_shards(odd, shared_path(spark, "t-rpr"), WORDS, 1, 49408)).collect(), key=lambda r: r["start"])
+    want = [*tokenizer.encode(long, add_special_tokens=False).ids, 1]
+    assert [r["n_tokens"] for r in big] == [1, len(want), len(want)] and big[2]["ids_crc32"] == zlib.crc32(np.array(want, "<u4"))
     none = write_token_shards(df.where("doc_id = -1"), shared_path(spark, "t-rpr"), WORDS, 1, 49408)
     assert read_token_shards(none).count() == 0

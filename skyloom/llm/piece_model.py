@@ -20,6 +20,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE, WORD, CHAR = 1, 2, 3, 4
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Words of one string that the library encodes at a time.
+JOINED = 500
 #: Threads of a batch call at least; more where a task has more cores.
 THREADS = 2
 #: Words that a worker keeps at most, and the longest that it keeps.
@@ -200,6 +202,8 @@ class PieceCodec:
         self.bytes = [i for i, (_, _, k) in enumerate(self.model.pieces) if k == BYTE] if self.model.byte_fallback and self.model.kind == UNIGRAM else []
         self.bare = self.model.tokenizer()
         self.bare.normalizer = normalizers.Sequence([])
+        #: pieces that begin with the mark
+        self.marked = np.array([p.startswith(MARK) and k in (NORMAL, USER_DEFINED) for p, _, k in self.model.pieces])
         self.words: dict[str, bytes] = {}
         self.differ: set[str] = set()
         self._sp = None
@@ -231,6 +235,29 @@ class PieceCodec:
             out.append(ids)
         return out
 
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids, as bytes, of marked words. Many words go to the library as one string, which it spreads over its threads with others.
+
+        No piece goes on behind a mark, so pieces that begin with one show where
+        each word begins; words that are marks only or have more than one go by
+        themselves.
+        """
+        out: list[bytes] = [b""] * len(words)
+        plain = [i for i, w in enumerate(words) if w.rfind(MARK) == 0 and len(w) > 1]
+        parts = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        for part, ids in zip(parts, self._batch(self.bare, ["".join([words[i] for i in part]) for part in parts]), strict=True):
+            ids = np.array(ids, np.uint32)
+            heads = np.flatnonzero(self.marked[ids])
+            if len(heads) != len(part):
+                raise RuntimeError("pieces do not show where words begin")
+            raw, ends = ids.tobytes(), (4 * np.append(heads[1:], len(ids))).tolist()
+            for i, a, b in zip(part, [0, *ends], ends, strict=False):
+                out[i] = raw[a:b]
+        rest = [i for i, w in enumerate(words) if not (w.rfind(MARK) == 0 and len(w) > 1)]
+        for i, ids in zip(rest, self._batch(self.bare, [words[i] for i in rest]) if rest else [], strict=True):
+            out[i] = array("I", ids).tobytes()
+        return out
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of whole texts, by one batch call that the library spreads over its threads."""
         # the library prepends a mark to an empty text, the model gives none; nor to one that is all blanks and loses them
@@ -263,13 +290,12 @@ class PieceCodec:
         if len(self.words) > CACHE_WORDS:  # what is frequent is in this run as well
             self.words = {w: self.words[w] for w in words.intersection(self.words)}
         fresh = list(words.difference(self.words))
-        got = self._batch(self.bare, fresh) if fresh else []
+        got = self._word_ids(fresh)
         # the model adds the first mark itself; a mark alone is a piece, since an empty text gets none
         own = self.sentencepiece.encode([w[1:].replace(MARK, " ") for w in fresh], num_threads=self.threads) if fresh else []
         for w, mine, ids in zip(fresh, got, own, strict=True):
-            same = mine == (ids if w != MARK else [self.sentencepiece.piece_to_id(MARK)])
-            self.words[w] = array("I", mine).tobytes()
-            if not same:
+            self.words[w] = mine
+            if mine != array("I", ids if w != MARK else [self.sentencepiece.piece_to_id(MARK)]).tobytes():
                 self.differ.add(w)
         out = [np.frombuffer(b"".join(map(self.words.__getitem__, s)), np.uint32) for s in split]
         agree = [not self.differ or self.differ.isdisjoint(s) for s in split]

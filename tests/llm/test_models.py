@@ -11,7 +11,8 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from skyloom.llm.cotraining import keep_quality, layout_view, score_quality, text_view
+from skyloom.llm import cotraining
+from skyloom.llm.cotraining import TEXT_DIMS, TRIGRAMS, fit_quality, keep_quality, score_quality, text_view, trigrams
 from skyloom.llm.neighbours import adaptive_scan, lifted, nearest_neighbours, rotation
 from skyloom.llm.piece_model import PieceCodec, encode_pieces, fields_of
 
@@ -210,6 +211,36 @@ def test_held_out_accuracy(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["keep"]}
 
 
+def test_pseudo_labels_come_from_all_documents(spark, monkeypatch):
+    """Views exchange rows that have no label; the rounds change the model, and reruns agree."""
+    rows, labels = marked()
+    docs, marks = spark.createDataFrame(rows, SCHEMA).repartition(3), spark.createDataFrame(labels[:40], LABELS)
+    given = []
+    give = cotraining.CoTraining.give
+    monkeypatch.setattr(cotraining.CoTraining, "give", lambda self, view, row, label: (given.append((view, label)), give(self, view, row, label)))
+    once = fit_quality(docs, marks, rounds=2)
+    n = len(given)
+    assert {v for v, _ in given} == {0, 1} and {l for _, l in given} == {0, 1} and n <= 2 * 2 * (cotraining.GIVEN_ROWS + 1)
+    again = fit_quality(docs.repartition(2), marks, rounds=2)
+    assert np.allclose(once.text.weights, again.text.weights, atol=1e-6) and len(given) == 2 * n
+    alone = fit_quality(docs, marks, rounds=0)
+    assert len(given) == 2 * n and not np.allclose(alone.text.weights, once.text.weights)
+
+
+def test_clashing_columns_long_and_repeated_rows(spark):
+    rows, labels = marked(200)
+    rows += [(7, rows[7][1], "en", "s1", 3), (7, "OTHER!! " * 30, None, None, None), (9001, "alphaa betab. " * 150_000, "en", "s1", 1)]
+    names = SCHEMA + ", score double, keep string, _0 int, layout string, `a.b` int"
+    docs = spark.createDataFrame([(*r, 0.5, "k", 1, "l", 2) for r in rows], names)
+    marks = spark.createDataFrame([(*r, 9.0) for r in labels], LABELS + ", text double")
+    scored = score_quality(docs, marks).collect()
+    assert len(scored) == len(rows) and next(r for r in scored if r["doc_id"] == 9001)["keep"]
+    kept = keep_quality(docs, marks)
+    assert kept.columns == docs.columns and kept.schema == docs.schema
+    assert kept.count() == sum(r["keep"] for r in scored) and kept.first()["a.b"] == 2
+    assert keep_quality(docs.limit(0), marks).count() == 0 and keep_quality(docs, marks.limit(0)).columns == docs.columns
+
+
 def test_without_labels_everything_stays(spark):
     rows, labels = marked(40)
     docs = spark.createDataFrame(rows, SCHEMA)
@@ -221,12 +252,19 @@ def test_without_labels_everything_stays(spark):
 
 def test_text_view_counts_trigrams():
     x = text_view([b"abcabc", b"", b"ab", b"abcabc"])
-    assert x.shape == (4, 2048) and (x[0] == x[3]).all() and x[1].sum() == 0 and (x[0] > 0).sum() == 3
+    assert x.shape == (4, TEXT_DIMS) and (x[0] == x[3]).all() and x[1, :TRIGRAMS].sum() == 0 and (x[0, :TRIGRAMS] > 0).sum() == 3
+    rng = random.Random(1)
+    long = bytes(rng.choice(b"abcdef \n") for _ in range(5000))
+    naive = collections.Counter((int.from_bytes(long[i : i + 3]) * 2654435761 % 2**32) >> 21 for i in range(len(long) - 2))
+    for size in (1 << 20, 700):  # in one piece, and cut into pieces
+        cotraining.PIECE = size
+        assert {i: int(n) for i, n in enumerate(trigrams(long)) if n} == naive
+    cotraining.PIECE = 1 << 20
 
 
 def test_distinct_words_over_the_whole_text():
     clean = [b"w%d" % i for i in range(2000)]
     loop = [b"spam"] * 6000
     texts = [b" ".join(x) for x in (clean, clean + loop, loop + clean, loop, clean * 4, clean[:10])] + [b""]
-    fresh = layout_view(texts, [None] * 7, [None] * 7, [None] * 7)[:, 11]
-    assert np.allclose(fresh, [1, 2003 / 8000, 2003 / 8000, 3 / 6000, 1, 1, 1])
+    fresh = text_view(texts)[:, TRIGRAMS] / 255
+    assert np.allclose(fresh, [1, 2003 / 8000, 2003 / 8000, 3 / 6000, 1, 1, 1], atol=2e-3)

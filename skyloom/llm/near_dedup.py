@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.arrays import GOLDEN, lists, mix64, runs, shingles, small_batches, utf8
 from skyloom.operators.graph import connected_components
-from skyloom.session import staged
+from skyloom.session import staged, unstage
 
 #: Rows of a band.
 ROWS = 5
 #: A linked pair that shares no band is as rare as this.
 MISS = 1e-6
-#: Rows of each side of a block of comparisons.
-BLOCK = 1024
+#: Rows and shingles of each side of a block of comparisons, about.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
+#: Rows below which no key is hot.
+HOT_ROWS = 256
 
 
 def bands_for(percent: int) -> int:
@@ -99,13 +101,36 @@ def _set_reader(k: int):
     return run
 
 
+def salted_join(rows: DataFrame, table: DataFrame, key: list[str], spread: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the one row that ``table`` has for each key, where a key may hold most of ``rows``.
+
+    Keys of more rows than a quarter of an even partition are dealt to several
+    places by a hash of ``spread``, and their row of ``table`` is repeated for
+    these. There are four such keys for each partition at most, so the list of
+    them is collected and sent to all tasks, and the repeats are eight rows for
+    each partition at most. ``rows`` is counted first: pass a written table.
+    """
+    spark = rows.sparkSession
+    even = max(HOT_ROWS, rows.count() // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    hot = rows.groupBy(*key).agg(F.count("*").alias("_places")).where(F.col("_places") > even).select(*key, F.ceil(F.col("_places") / even).cast("int").alias("_places"))
+    found = hot.collect()
+    if not found:
+        return rows.join(table, key, how)
+    hot = F.broadcast(spark.createDataFrame(found, hot.schema))
+    dealt = rows.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_places")).cast("int"), F.lit(0))).drop("_places")
+    repeated = table.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_places", F.lit(1)) - 1))).drop("_places")
+    return dealt.join(repeated, [*key, "_salt"], how).drop("_salt")
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose whole shingle sets are as similar as asked."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
+    """Pairs (hub, rep) whose whole shingle sets are as similar as asked, as (a, b). A hub may be in very many pairs."""
+    one = sets.select(F.col("doc_id").alias("hub"), F.col("members").alias("x"))
+    two = sets.select(F.col("doc_id").alias("rep"), F.col("members").alias("y"))
+    hubs = one.join(pairs.select("hub").distinct(), "hub", "left_semi")
+    full = salted_join(pairs, hubs, ["hub"], "rep").join(two, "rep")
     both = F.size(F.array_intersect("x", "y"))
     alike = 100 * both >= percent * (F.size("x") + F.size("y") - both)
-    return staged(pairs.join(two, "b").join(one, "a").where(alike).select("a", "b").distinct(), "links")
+    return staged(full.where(alike).select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct(), "links")
 
 
 def _near(n1: str, n2: str, percent: int):
@@ -115,10 +140,10 @@ def _near(n1: str, n2: str, percent: int):
 
 def _star(open_: DataFrame, hub_by, percent: int) -> DataFrame:
     """Pairs of each bucket's hub with its members of other components."""
-    hubs = open_.groupBy("bucket").agg(F.min_by(F.struct("rep", "n", "part"), hub_by).alias("hub"))
-    joined = open_.join(hubs, "bucket").where((F.col("part") != F.col("hub.part")) & _near("n", "hub.n", percent))
-    pairs = joined.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))
-    return staged(pairs.where("a < b").distinct(), "pairs")
+    hubs = staged(open_.groupBy("bucket").agg(F.min_by(F.struct("rep", "n", "part"), hub_by).alias("hub")), "hubs")
+    joined = salted_join(open_, hubs, ["bucket"], "rep").where((F.col("part") != F.col("hub.part")) & _near("n", "hub.n", percent))
+    pairs = joined.select(F.col("hub.rep").alias("hub"), "rep")
+    return staged(pairs.where("hub <> rep").distinct(), "pairs")
 
 
 def _unclear(members: DataFrame, labels: DataFrame, settled: int) -> DataFrame:
@@ -128,16 +153,25 @@ def _unclear(members: DataFrame, labels: DataFrame, settled: int) -> DataFrame:
     leaves no pair of two members open, and 1 if members have left since then.
     """
     labelled = members.drop("part").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    labelled = labelled.withColumn("part", F.coalesce("component", "rep")).drop("component")
+    labelled = staged(labelled.withColumn("part", F.coalesce("component", "rep")).drop("component"), "labelled")
     mixed = labelled.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("c")).where(f"lo < hi and c > {settled}")
-    return staged(labelled.join(mixed.select("bucket"), "bucket"), "open")
+    out = staged(salted_join(labelled, mixed.select("bucket"), ["bucket"], "rep"), "open")
+    unstage(labelled)
+    return out
+
+
+def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
+    whole = column.combine_chunks()
+    ends = np.asarray(whole.offsets)
+    values = np.asarray(whole.values)
+    return [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def _block_links(percent: int):
     def run(block: pa.Table) -> pa.Table:
         """For each row marked few, one other row in each other component that it is linked with."""
         few, many = block.filter(block["few"]), block.filter(pc.invert(block["few"]))
-        sets = [np.asarray(x, np.int64) for t in (few, many) for x in t.column("members").to_pylist()]
+        sets = [x for t in (few, many) if t.num_rows for x in _sets(t["members"])]
         size = np.array([len(x) for x in sets])
         n = few.num_rows
         values, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]), return_counts=True)
@@ -167,19 +201,22 @@ def _rest_links(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components that may still be hidden among ``open_``, found block by block.
 
     Groups are what buckets connect. In each, rows outside its largest
-    component meet all rows, in blocks of BLOCK by BLOCK, whose intersections
-    are matrix products; only links leave a block, one for each row and
-    component.
+    component meet all rows, in blocks of about BLOCK by BLOCK rows and of
+    BLOCK_SHINGLES on each side, whose intersections are matrix products; only
+    links leave a block, one for each row and component.
     """
-    hubs = open_.groupBy("bucket").agg(F.min("rep").alias("hub"))
-    groups = connected_components(open_.join(hubs, "bucket").select("rep", "hub").distinct(), "rep", "hub")
-    rows = open_.select("rep", "part").distinct().join(groups.select(F.col("node").alias("rep"), F.col("component").alias("grp")), "rep")
+    hubs = staged(open_.groupBy("bucket").agg(F.min("rep").alias("hub")), "hubs")
+    groups = connected_components(salted_join(open_, hubs, ["bucket"], "rep").select("rep", "hub").distinct(), "rep", "hub")
+    rows = open_.select("rep", "part", "n").distinct().join(groups.select(F.col("node").alias("rep"), F.col("component").alias("grp")), "rep")
     rows = staged(rows, "rest")
-    parts = rows.groupBy("grp", "part").agg(F.count("*").alias("c"))
-    main = parts.groupBy("grp").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("top"))
-    blocks = main.select("grp", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("m"), F.ceil((F.col("all") - F.col("top")) / BLOCK).cast("int").alias("o"))
+    parts = rows.groupBy("grp", "part").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    main = parts.groupBy("grp").agg(
+        F.max_by("part", F.struct("c", "part")).alias("main"), F.sum("c").alias("c"), F.max("c").alias("top"), F.sum("w").alias("w"), F.max_by("w", F.struct("c", "part")).alias("top_w")
+    )
+    sides = lambda c, w: F.greatest(F.ceil(c / BLOCK), F.ceil(w / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    blocks = staged(main.select("grp", "main", sides(F.col("c"), F.col("w")).alias("m"), sides(F.col("c") - F.col("top"), F.col("w") - F.col("top_w")).alias("o")), "blocks")
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    full = rows.join(blocks, "grp").join(sets.select(F.col("doc_id").alias("rep"), "members"), "rep")
+    full = salted_join(rows, blocks, ["grp"], "rep").join(sets.select(F.col("doc_id").alias("rep"), "members"), "rep")
     few = full.where("part != main").select(F.lit(True).alias("few"), "grp", "rep", "part", "members", own("o").alias("i"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"))
     many = full.select(F.lit(False).alias("few"), "grp", "rep", "part", "members", F.explode(F.sequence(F.lit(0), F.col("o") - 1)).alias("i"), own("m").alias("j"))
     found = few.unionByName(many).groupBy("grp", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
@@ -189,7 +226,8 @@ def _rest_links(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Group documents whose k-word shingle sets have a Jaccard similarity of ``percent`` or more.
 
-    ``docs`` needs doc_id and text; other columns are ignored. Returns one row
+    ``docs`` needs doc_id and text; other columns are ignored. Shingles are
+    compared by 64-bit hashes. Returns one row
     per input row: doc_id, n_shingles, component_id (the smallest doc_id
     reachable through links, its own included) and kept (doc_id is component_id).
 
@@ -216,9 +254,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
     )
     classes = staged(classes, "classes")
-    banded = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")).distinct()
+    banded = staged(classes.select("rep", F.col("n_shingles").alias("n"), F.explode(F.array_distinct("bands")).alias("bucket")), "banded")
     shared = banded.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    members = staged(banded.join(shared, "bucket"), "members")
+    members = staged(salted_join(banded, shared, ["bucket"], "rep"), "members")
+    unstage(banded)
 
     labels = None
     pairs = _star(members.withColumn("part", F.col("rep")), F.struct("rep"), percent)
@@ -255,21 +294,39 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             .where((F.col("copies") > 1) | F.col("component").isNotNull())
             .select(*key, F.coalesce("component", "rep").alias("rep"))
         )
-    result = signed.select("doc_id", *key).join(moved, key, "left")
+    result = salted_join(signed.select("doc_id", *key), staged(moved, "moved"), key, "doc_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that near_duplicates keeps: one document of each group.
+    """One row of each group of near duplicates, with all columns as they are; rows without words all stay.
 
-    Of rows that repeat one doc_id, one stays; all rows without a doc_id stay.
+    The row of the smallest doc_id stays. Rows are documents of their own also
+    where they repeat a doc_id or have none (these come last): of such rows, a
+    group keeps that of the smallest hash of doc_id and text, so no different
+    text is lost and reruns agree. Of rows that have one doc_id and text, the
+    one of the smallest hash of all columns stays.
     """
-    found = near_duplicates(docs, k, percent)
-    gone = staged(found.where("not kept").select("doc_id").distinct(), "gone")
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    names = docs.columns
+    own = [F.col(f"`{c}`") for c in names]
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null")
     if again.isEmpty():
-        return left
-    again = staged(again, "again")
-    return left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+        gone = staged(near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias("_gone")), "gone")
+        return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*own)
+    again = staged(again.select(F.col("doc_id").alias("_again")), "again")
+    numbered = docs.select(*[c.alias(f"_{i}") for i, c in enumerate(own)], F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    numbered = numbered.join(again, F.col("doc_id").eqNullSafe(F.col("_again")), "left").withColumn(
+        "_node", F.when(F.col("doc_id").isNull() | F.col("_again").isNotNull(), F.xxhash64("doc_id", "text", F.lit(23))).otherwise(F.col("doc_id"))
+    )
+    numbered = staged(numbered.drop("_again").withColumn("_row", F.xxhash64(*[f"_{i}" for i in range(len(names)) if not dict(docs.dtypes)[names[i]].startswith("map")])), "numbered")
+    nodes = numbered.groupBy("_node").agg(F.min("doc_id").alias("id"), F.min("_row").alias("_first"))
+    # a node that rows share has one n_shingles and component
+    found = near_duplicates(numbered.select(F.col("_node").alias("doc_id"), "text"), k, percent).distinct()
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "_node")
+    found = staged(found.select(F.col("doc_id").alias("_node"), "n_shingles", "component_id").join(nodes, "_node"), "nodes")
+    best = found.groupBy("component_id").agg(F.min(order).alias("b")).select(F.col("b._node").alias("_node"))
+    kept = found.join(best, "_node", "left_semi").select("_node", "n_shingles", "_first")
+    left = numbered.join(kept, "_node").where((F.col("n_shingles") == 0) | (F.col("_row") == F.col("_first")))
+    single = left.where("n_shingles = 0").unionByName(left.where("n_shingles > 0").dropDuplicates(["_node"]))
+    return single.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)])

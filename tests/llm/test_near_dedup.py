@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from skyloom.llm import near_dedup
 from skyloom.llm.arrays import shingles, word_hashes
 from skyloom.llm.near_dedup import bands_for, keep_representatives, near_duplicates, superminhash
 
@@ -61,8 +62,10 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,k,percent", [(1, 3, 85), (2, 5, 80)])
-def test_equals_brute_force(spark, seed, k, percent):
+@pytest.mark.parametrize("seed,k,percent,hot", [(1, 3, 85, 256), (2, 5, 80, 256), (1, 3, 85, 3)])
+def test_equals_brute_force(spark, monkeypatch, seed, k, percent, hot):
+    monkeypatch.setattr(near_dedup, "HOT_ROWS", hot)
+    monkeypatch.setattr(near_dedup, "BLOCK", max(4, hot // 4))
     rows = corpus(seed) + [(None, "alone with no id"), (None, None)]
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k, percent).collect()
     want, sizes = brute(rows, k, percent)
@@ -91,7 +94,27 @@ def test_empty_repeated_and_extra_columns(spark):
     text = " ".join(f"a{i}" for i in range(30))
     rows = [(1, text, "x"), (1, text, "x"), (2, text, "y"), (3, "other words here and there now", "z"), (None, text, "n")]
     kept = keep_representatives(spark.createDataFrame(rows, "doc_id long, text string, members string"))
-    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()) == [(False, 1), (False, 3), (True, None)]
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3] and kept.columns == ["doc_id", "text", "members"]
+
+
+def test_different_texts_of_one_id_stay(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcd"]
+    near = texts[1].replace("b29", "other")
+    rows = [(5, texts[0], "1"), (5, texts[1], "2"), (5, texts[1], "2"), (7, near, "3"), (None, texts[2], "4"), (None, texts[2], "5"), (None, near, "6"), (8, texts[3], "7"), (9, None, "8"), (9, None, "9"), (None, "", "10")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, _node string, _row int, component_id int")
+    got = [keep_representatives(d).collect() for d in (df, df.repartition(3))]
+    assert sorted(map(str, got[0])) == sorted(map(str, got[1]))
+    assert sorted((r["text"] or "", r["doc_id"] or 0) for r in got[0]) == sorted([(texts[0], 5), (texts[1], 5), (texts[2], 0), (texts[3], 8), ("", 9), ("", 9), ("", 0)])
+    assert got[0][0].asDict().keys() == set(df.columns)
+
+
+def test_hot_keys_join_once(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HOT_ROWS", 10)
+    rows = spark.createDataFrame([(1 if i < 500 else i, i) for i in range(700)], "key long, id long")
+    table = spark.createDataFrame([(k, k * 2) for k in (1, 600, 601, 9999)], "key long, twice long")
+    assert sorted((r["id"], r["twice"]) for r in near_dedup.salted_join(rows, table, ["key"], "id").collect()) == [(i, 2) for i in range(500)] + [(600, 1200), (601, 1202)]
+    left = near_dedup.salted_join(rows, table, ["key"], "id", "left").collect()
+    assert len(left) == 700 and sum(r["twice"] is None for r in left) == 198
 
 
 def test_superminhash_estimates_similarity():

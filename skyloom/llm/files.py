@@ -26,11 +26,11 @@ def write_whole(uri: str, data: bytes) -> None:
     store.move(half, path)
 
 
-def listed(uri: str) -> list[tuple[str, int]]:
-    """Paths and sizes of the files below a folder, or of the file itself."""
+def listed(uri: str, hidden: bool = False) -> list[tuple[str, int]]:
+    """Paths and sizes of the files below a folder, or of the file itself; names that begin with a dot or a line only if asked."""
     store, path = opened(uri)
     info = store.get_file_info(path)
     if info.type == fs.FileType.File:
         return [(path, info.size)]
     found = store.get_file_info(fs.FileSelector(path, recursive=True))
-    return sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and not f.base_name.startswith((".", "_")))
+    return sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and (hidden or not f.base_name.startswith((".", "_"))))

@@ -7,15 +7,19 @@ import gzip
 import hashlib
 import io
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from skyloom.llm.files import listed, opened
+from skyloom.llm.skew import salted_join
+from skyloom.session import staged
 
 READ_SCHEMA = (
     "record_id string, record_type string, target_uri string, date string, refers_to string, payload_digest string, "
@@ -32,9 +36,12 @@ BY_HEADER = {
     "content_type": "content-type",
 }
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: A writing task begins a new file after so many bytes, so that reading has parts of this size.
+#: A writing task begins a new file after so many bytes; files with an index are read in ranges of this size.
 FILE_BYTES = 32 << 20
+#: Bytes of a record that are decoded to read its fields, at first.
+HEAD_BYTES = 4096
 DATE = "2020-01-01T00:00:00Z"
+FILE_INFO = b"format: WARC File Format 1.1\r\n"
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -61,12 +68,13 @@ def _fields(lines: bytes) -> dict[str, str]:
     return found
 
 
-def parse_records(stream: io.BufferedIOBase, wanted=lambda fields: True, payloads: bool = True) -> Iterator[tuple[int, dict[str, str], bytes | None]]:
+def parse_records(stream: io.BufferedIOBase, wanted=lambda fields: True, payloads: bool = True, size: int | None = None) -> Iterator[tuple[int, dict[str, str], bytes | None]]:
     """Offset, fields and block of each record whose fields are wanted.
 
     Headers come first; the block of an unwanted record, or every block if
     ``payloads`` is false, is passed over without being kept. ``stream`` gives
-    uncompressed bytes; offsets count these.
+    uncompressed bytes; offsets count these. With ``size``, the number of its
+    bytes, the stream can seek, and what is passed over is not read.
     """
     at = 0
     while True:
@@ -88,6 +96,11 @@ def parse_records(stream: io.BufferedIOBase, wanted=lambda fields: True, payload
         length = int(fields.get("content-length", 0))
         keep = wanted(fields)
         block, left = ([] if keep and payloads else None), length
+        if block is None and size is not None:
+            if at + length > size:
+                raise ValueError(f"record at byte {begin} ends early")
+            stream.seek(at + length)
+            left = 0
         while left:
             piece = stream.read(min(left, 1 << 20))
             if not piece:
@@ -108,15 +121,58 @@ def split_http(fields: dict[str, str], block: bytes) -> tuple[dict[str, str], by
     return _fields(head.partition(b"\r\n")[2]), body
 
 
+def index_path(path: str) -> str:
+    """Where the index of an archive is: beside it, under a hidden name."""
+    folder, _, name = path.rpartition("/")
+    return f"{folder}/.{name}.idx"
+
+
+def parse_members(file, members: np.ndarray, wanted=lambda fields: True, payloads: bool = True) -> Iterator[tuple[int, dict[str, str], bytes | None]]:
+    """As parse_records, from a file whose gzip members (offsets and sizes) hold a record each; offsets are those of members.
+
+    Of each member, only the fields are decoded; the block follows where it is
+    wanted, and the other members' rest is left as it is.
+    """
+    for at, size in members.tolist():
+        file.seek(at)
+        first = file.read(min(size, HEAD_BYTES))
+        unpack = zlib.decompressobj(31)
+        head = unpack.decompress(first, HEAD_BYTES)
+        while b"\r\n\r\n" not in head:
+            more = unpack.unconsumed_tail or file.read(min(HEAD_BYTES, size - (file.tell() - at)))
+            if not more:
+                raise ValueError(f"member at byte {at} holds no record")
+            head += unpack.decompress(more, HEAD_BYTES)
+        if not head.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record at byte {at}")
+        lines, _, begun = head.partition(b"\r\n\r\n")
+        fields = _fields(lines.partition(b"\r\n")[2])
+        if not wanted(fields):
+            continue
+        block = None
+        if payloads:
+            block = begun + unpack.decompress(unpack.unconsumed_tail + file.read(size - (file.tell() - at)))
+            length = int(fields.get("content-length", 0))
+            if len(block) < length:
+                raise ValueError(f"record at byte {at} ends early")
+            block = block[:length]
+        yield at, fields, block
+
+
 @dataclass
 class FilePart(InputPartition):
+    """Records of a file that begin from byte ``low`` on and before ``high``; only files with an index are cut."""
+
     store: str
     path: str
     size: int
+    low: int
+    high: int
+    indexed: bool
 
 
 class WarcReader(DataSourceReader):
-    """A task for each file. Filters on record type and header columns are decided on parsed headers."""
+    """A task for each file, or for each range of FILE_BYTES of one that has an index. Filters on record type and header columns are decided on parsed headers."""
 
     def __init__(self, options: dict[str, str]):
         self.uri = options["path"]
@@ -141,7 +197,14 @@ class WarcReader(DataSourceReader):
             self.allowed[key] = self.allowed[key] & values if key in self.allowed else values
 
     def partitions(self):
-        return [FilePart(self.uri, path, size) for path, size in listed(self.uri) if path.endswith((".warc", ".warc.gz"))] or [FilePart(self.uri, "", 0)]
+        every = listed(self.uri, hidden=True)
+        there, parts = {path for path, _ in every}, []
+        for path, size in every:
+            if path.endswith((".warc", ".warc.gz")) and not path.rpartition("/")[2].startswith((".", "_")):
+                indexed = path.endswith(".gz") and index_path(path) in there
+                cuts = [*range(0, size, FILE_BYTES)] if indexed else [0]
+                parts += [FilePart(self.uri, path, size, a, b, indexed) for a, b in zip(cuts, [*cuts[1:], size], strict=True)]
+        return parts or [FilePart(self.uri, "", 0, 0, 0, False)]
 
     def wanted(self, fields: dict[str, str]) -> bool:
         return all(h in fields for h in self.present) and all(fields.get(h) in v for h, v in self.allowed.items())
@@ -150,9 +213,17 @@ class WarcReader(DataSourceReader):
         if not partition.path:
             return
         store, _ = opened(partition.store)
-        with store.open_input_stream(partition.path, compression=None) as raw:
-            stream = io.BufferedReader(gzip.GzipFile(fileobj=raw) if partition.path.endswith(".gz") else raw, 1 << 20)
-            for offset, f, block in parse_records(stream, self.wanted, self.payloads):
+        with store.open_input_file(partition.path) as raw:
+            if partition.indexed:
+                with store.open_input_stream(index_path(partition.path), compression=None) as f:
+                    members = np.frombuffer(f.read(), "<i8").reshape(-1, 2)
+                members = members[(members[:, 0] >= partition.low) & (members[:, 0] < partition.high)]
+                records = parse_members(raw, members, self.wanted, self.payloads)
+            elif partition.path.endswith(".gz"):
+                records = parse_records(io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 20), self.wanted, self.payloads)
+            else:
+                records = parse_records(io.BufferedReader(raw, 1 << 16), self.wanted, self.payloads, partition.size)
+            for offset, f, block in records:
                 body, length = None, None
                 if block is not None:
                     http, body = split_http(f, block)
@@ -173,7 +244,11 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceWriter):
-    """Rows to .warc.gz files, a gzip member for each record. Files get their names when the job commits."""
+    """Rows to .warc.gz files, a gzip member for each record behind one that describes the file, with an index of the members beside it.
+
+    Files get their names when the job commits, and what they replace goes
+    after that.
+    """
 
     def __init__(self, options: dict[str, str], schema: StructType, overwrite: bool):
         self.uri, self.names, self.overwrite = options["path"].rstrip("/"), schema.fieldNames(), overwrite
@@ -182,39 +257,63 @@ class WarcWriter(DataSourceWriter):
     def write(self, rows):
         store, folder = opened(self.uri)
         store.create_dir(folder, recursive=True)
-        moves, out, held = [], None, 0
+        moves, out, held, members = [], None, 0, []
+
+        def add(record: bytes) -> None:
+            nonlocal held
+            packed = gzip.compress(record, self.level, mtime=0)
+            out.write(packed)
+            members.append((held, len(packed)))
+            held += len(packed)
+
+        def close() -> None:
+            nonlocal out, members
+            out.close()
+            out = None
+            whole = moves[-1][1]
+            moves.append((f"{index_path(whole)}.tmp", index_path(whole)))
+            with store.open_output_stream(moves[-1][0], compression=None) as index:
+                index.write(np.array(members, "<i8").tobytes())
+            members = []
+
         try:
             for row in rows:
-                r = row.asDict()
                 if out is None:
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     moves.append((f"{folder}/.{name}.tmp", f"{folder}/{name}"))
                     out, held = store.open_output_stream(moves[-1][0], compression=None), 0
-                packed = gzip.compress(row_record(r), self.level, mtime=0)
-                out.write(packed)
-                held += len(packed)
+                    add(record_bytes("warcinfo", {"WARC-Record-ID": f"<urn:file:{name}>", "WARC-Date": DATE, "WARC-Filename": name, "Content-Type": "application/warc-fields"}, FILE_INFO))
+                add(row_record(row.asDict()))
                 if held >= FILE_BYTES:
-                    out.close()
-                    out = None
-        finally:
+                    close()
+            if out is not None:
+                close()
+        except BaseException:
             if out is not None:
                 out.close()
+            self._drop(store, moves)
+            raise
         return Written(moves)
 
+    @staticmethod
+    def _drop(store, moves: list) -> None:
+        for half, _ in moves:
+            if store.get_file_info(half).type.name == "File":
+                store.delete_file(half)
+
     def commit(self, messages):
-        store, folder = opened(self.uri)
-        if self.overwrite:
-            for path, _ in listed(self.uri):
-                store.delete_file(path)
+        store, _ = opened(self.uri)
+        old = [p for p, _ in listed(self.uri, hidden=True) if p.endswith((".warc", ".warc.gz", ".idx"))] if self.overwrite else []
         for m in messages:
             for half, whole in m.moves if m else ():
                 store.move(half, whole)
+        for path in old:
+            store.delete_file(path)
 
     def abort(self, messages):
         store, _ = opened(self.uri)
         for m in messages:
-            for half, _ in m.moves if m else ():
-                store.delete_file(half)
+            self._drop(store, m.moves if m else [])
 
 
 def row_record(r: dict) -> bytes:
@@ -238,7 +337,13 @@ class WarcDataSource(DataSource):
 
     Option payloads=false leaves every payload undecoded. Filters on record_id,
     record_type, target_uri, date, refers_to, payload_digest and content_type
-    are pushed down and decided before a payload is read.
+    are pushed down and decided on a record's fields, before its payload is
+    decoded; of archives with an index beside them (those written here) and of
+    plain files, other payloads are not even read. The last column, offset, is
+    that of the gzip member where there is an index, else that of the record in
+    the uncompressed bytes. Overwriting replaces archives and indexes only.
+    Spark keeps pushed filters with a loaded frame, so load a folder anew for
+    each query that filters otherwise.
     """
 
     @classmethod
@@ -273,17 +378,20 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     others revisit it. Payloads are compared by SHA-1. Null html is an empty
     payload; a null page_id never is the target of a revisit unless all are
     null, and then all are responses; rows that repeat the largest page_id are
-    all responses. Only digests are grouped; html moves only where the table of
-    repeated digests is too large to be sent to every task.
+    all responses. Payloads of any length are whole, and other columns are
+    ignored. Only digests are grouped, and a digest of very many pages is dealt
+    to several tasks. The pages that revisit others are joined to the table by
+    page and digest, so html moves once and evenly, or not at all where that
+    list is small.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     base = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("hex"))
-    keepers = (
-        base.where(F.octet_length("payload") >= least_bytes).groupBy("hex")
-        .agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies")).where("copies > 1 and keeper is not null")
-    )
-    joined = base.join(keepers.drop("copies"), "hex", "left")
-    again = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
+    keys = staged(base.where(F.octet_length("payload") >= least_bytes).select("page_id", "hex"), "digests")
+    keepers = keys.groupBy("hex").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies")).where("copies > 1 and keeper is not null").drop("copies")
+    follow = salted_join(keys, staged(keepers, "keepers"), ["hex"], "page_id").where(~F.col("page_id").eqNullSafe(F.col("keeper")))
+    follow = staged(follow.select(F.col("page_id").alias("_page"), F.col("hex").alias("_hex"), "keeper").distinct(), "revisits")
+    joined = base.join(follow, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("hex") == F.col("_hex")), "left")
+    again = F.col("keeper").isNotNull()
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     return joined.select(
         urn(F.col("page_id")).alias("record_id"), F.col("url").alias("target_uri"), "payload",

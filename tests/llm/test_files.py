@@ -7,6 +7,7 @@ import hashlib
 import io
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -53,7 +54,29 @@ def test_warc_round_trip(spark):
     some = back.where("record_type = 'revisit' and target_uri in ('http://h/3', 'http://h/6', 'http://h/1')")
     assert sorted(r["target_uri"] for r in some.collect()) == ["http://h/3", "http://h/6"]
     bare = spark.read.format("warc").option("payloads", "false").load(folder)
-    assert bare.where("payload is not null").count() == 0 and bare.count() == len(rows)
+    assert bare.where("payload is not null").count() == 0 and bare.where("record_type <> 'warcinfo'").count() == len(rows)
+    # plain and unindexed archives, and ranges of an indexed one, give the same records
+    whole = {(r["record_id"], r["record_type"], bytes(r["payload"] or b"")) for r in spark.read.format("warc").load(folder).collect()}
+    plain, loose = shared_path(spark, "t-warc"), shared_path(spark, "t-warc")
+    for target in (plain, loose):
+        Path(target.removeprefix("file:")).mkdir(parents=True)
+    for f in Path(folder.removeprefix("file:")).glob("*.warc.gz"):
+        Path(loose.removeprefix("file:"), f.name).write_bytes(f.read_bytes())
+        Path(plain.removeprefix("file:"), f.stem).write_bytes(gzip.decompress(f.read_bytes()))
+        parts = [warc.FilePart(folder, str(f), f.stat().st_size, a, b, True) for a, b in ((0, 200), (200, 201), (201, 10**9))]
+        read = [r for p in parts for r in warc.WarcReader({"path": folder}).read(p)]
+        assert {(r[0], r[1], r[10] or b"") for r in read} <= whole and len(read) == len(list(warc.WarcReader({"path": folder}).read(warc.FilePart(folder, str(f), 0, 0, 0, False))))
+    for target in (plain, loose):
+        load = lambda: spark.read.format("warc").load(target)  # noqa: B023, E731
+        frame = load()
+        assert {(r["record_id"], r["record_type"], bytes(r["payload"] or b"")) for r in frame.collect()} == whole
+        assert load().where("record_type = 'revisit'").count() == sum(k == "revisit" for _, k, _ in whole)
+    # overwriting puts new archives in the place of old ones
+    again = spark.createDataFrame([(1, "u", "z" * 300_000, "clash", 5)], "page_id long, url string, html string, payload string, hex int")
+    warc.with_revisits(again).write.format("warc").mode("overwrite").save(loose)
+    left = spark.read.format("warc").load(loose).where("record_type = 'response'").collect()
+    assert [len(r["payload"]) for r in left] == [300_000]
+    assert sum(p.name.endswith(".tmp") for p in Path(loose.removeprefix("file:")).iterdir()) == 0
     empty = shared_path(spark, "t-warc")
     warc.with_revisits(spark.createDataFrame([], "page_id long, url string, html string")).write.format("warc").mode("append").save(empty)
     assert spark.read.format("warc").load(empty).count() == 0
@@ -71,6 +94,23 @@ def test_warc_filters_are_pushed_and_payloads_passed_over():
     got = list(warc.parse_records(io.BytesIO(data), lambda f: f["warc-type"] == "response"))
     assert [(o, b) for o, _, b in got] == [(len(records[0]), b"x"), (len(records[0]) + len(records[1]), b"xx")]
     assert [b for _, _, b in warc.parse_records(io.BytesIO(data), payloads=False)] == [None] * 4
+    assert [(o, b) for o, _, b in warc.parse_records(io.BytesIO(data), lambda f: f["warc-type"] == "response", size=len(data))] == [(len(records[0]), b"x"), (len(records[0]) + len(records[1]), b"xx")]
+    with pytest.raises(ValueError):
+        list(warc.parse_records(io.BytesIO(data[:-9]), lambda f: False, size=len(data) - 9))
+
+    class Counted(io.BytesIO):
+        taken = 0
+
+        def read(self, n=-1):
+            found = super().read(n)
+            Counted.taken += len(found)
+            return found
+
+    big = [gzip.compress(warc.record_bytes(k, {"WARC-Record-ID": f"<{i}>", "X-Long": "h" * 9000}, random.Random(i).randbytes(500_000))) for i, k in enumerate(["response", "revisit", "response"])]
+    at = np.cumsum([0, *map(len, big)])[:-1]
+    spans = np.stack([at, [len(b) for b in big]], axis=1)
+    found = list(warc.parse_members(Counted(b"".join(big)), spans, lambda f: f["warc-type"] == "revisit"))
+    assert len(found) == 1 and found[0][2] == random.Random(1).randbytes(500_000) and Counted.taken < 520_000
     members = b"".join(gzip.compress(r) for r in records)
     assert len(list(warc.parse_records(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(members)))))) == 4
     with pytest.raises(ValueError):

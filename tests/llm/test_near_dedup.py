@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from skyloom.llm import near_dedup
+from skyloom.llm import near_dedup, skew
 from skyloom.llm.arrays import shingles, word_hashes
 from skyloom.llm.near_dedup import bands_for, keep_representatives, near_duplicates, superminhash
 
@@ -64,7 +64,7 @@ def corpus(seed):
 
 @pytest.mark.parametrize("seed,k,percent,hot", [(1, 3, 85, 256), (2, 5, 80, 256), (1, 3, 85, 3)])
 def test_equals_brute_force(spark, monkeypatch, seed, k, percent, hot):
-    monkeypatch.setattr(near_dedup, "HOT_ROWS", hot)
+    monkeypatch.setattr(skew, "HOT_ROWS", hot)
     monkeypatch.setattr(near_dedup, "BLOCK", max(4, hot // 4))
     rows = corpus(seed) + [(None, "alone with no id"), (None, None)]
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k, percent).collect()
@@ -109,11 +109,11 @@ def test_different_texts_of_one_id_stay(spark):
 
 
 def test_hot_keys_join_once(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "HOT_ROWS", 10)
+    monkeypatch.setattr(skew, "HOT_ROWS", 10)
     rows = spark.createDataFrame([(1 if i < 500 else i, i) for i in range(700)], "key long, id long")
     table = spark.createDataFrame([(k, k * 2) for k in (1, 600, 601, 9999)], "key long, twice long")
-    assert sorted((r["id"], r["twice"]) for r in near_dedup.salted_join(rows, table, ["key"], "id").collect()) == [(i, 2) for i in range(500)] + [(600, 1200), (601, 1202)]
-    left = near_dedup.salted_join(rows, table, ["key"], "id", "left").collect()
+    assert sorted((r["id"], r["twice"]) for r in skew.salted_join(rows, table, ["key"], "id").collect()) == [(i, 2) for i in range(500)] + [(600, 1200), (601, 1202)]
+    left = skew.salted_join(rows, table, ["key"], "id", "left").collect()
     assert len(left) == 700 and sum(r["twice"] is None for r in left) == 198
 
 

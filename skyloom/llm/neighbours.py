@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,31 +12,36 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyloom.llm.arrays import lists
 from skyloom.session import staged
 
-#: Rows that the centroids are fitted on at most, and centroids at most.
+#: Rows that the centroids are fitted on at most, vectors of a list, about, and lists at most.
 FIT_ROWS = 20_000
+LIST_ROWS = 1024
 MOST_LISTS = 4096
-#: Vectors and queries of one block at most, about.
+#: Vectors and queries of one block at most, about, and pairs of them that are scanned at a time.
 BLOCK_ROWS = 8192
 BLOCK_QUERIES = 4096
-#: Dimensions that a scan adds at a time, rows that it scans at a time, and how sure a test is (larger drops fewer).
+PAIRS = 1 << 20
+#: Dimensions of a column block, and how sure the test of a pair and of a list is (larger drops fewer).
 STEP = 8
-STRIPE = 256
+EPSILON = 2.1
+LIST_SURE = 1.0
 #: Rows of the sample whose k-th best score is a first lower limit for a query.
 FLOOR_ROWS = 4096
-#: A query first visits this share of its lists, nearest first; what it finds there limits the rest.
-FIRST_SHARE = 0.15
-EPSILON = 2.1
+#: A query first visits this share of the lists, nearest first; what it finds there limits the rest.
+FIRST_SHARE = 0.1
 
 
 def valid_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """id and vec (doubles) of the rows that take part: not null or zero, all components finite, one length.
+    """id and vec of the rows that take part: not null or zero, all components finite, one length.
 
     The length is that of most such vectors (the longer one of a tie).
+    Components of less than double precision stay as they are.
     """
-    vec = F.transform(vector, lambda x: x.cast("double"))
-    rows = df.select(F.col(key).cast("long").alias("id"), vec.alias("vec")).where(F.col("id").isNotNull() & F.col("vec").isNotNull())
+    kind = "float" if dict(df.select(F.col(f"`{vector}`").alias("v")).dtypes)["v"] == "array<float>" else "double"
+    vec = F.transform(F.col(f"`{vector}`"), lambda x: x.cast(kind))
+    rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), vec.alias("vec")).where(F.col("id").isNotNull() & F.col("vec").isNotNull())
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vec", lambda x: x != 0)
     rows = staged(rows.where(fine), "vectors")
     dims = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
@@ -78,25 +84,34 @@ def lifted(x: np.ndarray, radius: float, query: bool) -> np.ndarray:
     return np.concatenate([x, rest[:, None]], axis=1)
 
 
-def adaptive_scan(query: np.ndarray, columns: list[np.ndarray], rows: np.ndarray, limit: float, d: int) -> np.ndarray:
-    """Rows whose distance to a rotated query may be below ``limit`` (squared).
+def adaptive_scan(queries: np.ndarray, rows: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a rotated query and a rotated row whose distance may be below the query's limit (squared).
 
-    Dimensions come in column blocks. After each block, a row's distance is
-    estimated from the dimensions seen; a row is abandoned once its estimate is
-    above the limit by more than chance explains.
+    Dimensions come in column blocks of STEP. After each, a pair's distance is
+    estimated from the dimensions seen; the pair is abandoned once its estimate
+    is above the limit by more than chance explains. All pairs are scanned
+    together, by matrix products while many are left and pair by pair then.
     """
-    alive, part, seen = rows, np.zeros(len(rows)), 0
-    for block in columns:
-        width = block.shape[1]
-        gap = block[alive] - query[seen : seen + width]
-        part += np.einsum("ij,ij->i", gap, gap)
-        seen += width
-        bound = limit if seen >= d else limit * (seen / d) * (1 + EPSILON / math.sqrt(seen)) ** 2
-        keep = part <= bound
-        alive, part = alive[keep], part[keep]
-        if not len(alive):
+    d = rows.shape[1]
+    at, bound = 0, lambda: limits * min(1.0, (at / d) * (1 + EPSILON / math.sqrt(at)) ** 2 if at < d else 1.0)
+    part = np.zeros((len(queries), len(rows)))
+    left = np.ones(part.shape, bool)
+    while at < d:
+        a, b = queries[:, at : at + STEP], rows[:, at : at + STEP]
+        part += (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)
+        at += a.shape[1]
+        left &= part <= bound()[:, None]
+        if 8 * np.count_nonzero(left) < left.size:
             break
-    return alive
+    q, r = np.nonzero(left)
+    part = part[q, r]
+    while at < d and len(q):
+        gap = queries[q, at : at + STEP] - rows[r, at : at + STEP]
+        part += np.einsum("ij,ij->i", gap, gap)
+        at += gap.shape[1]
+        keep = part <= bound()[q]
+        q, r, part = q[keep], r[keep], part[keep]
+    return q, r
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -105,74 +120,148 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.asarray(flat, np.float64).reshape(len(column), -1)
 
 
-def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products, summed in one order for every row, so equal vectors tie."""
-    return np.einsum("ij,j->i", x, q, optimize=False)
+def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of rows, each summed in the same order, so equal vectors tie; 16,384 pairs at a time."""
+    return np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", x[at : at + 16384], y[at : at + 16384], optimize=False) for at in range(0, len(x), 16384))])
+
+
+def _first_k(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each query: largest score, then smallest id."""
+    order = np.lexsort((ids, -scores, query))
+    heads = np.flatnonzero(np.diff(query[order], prepend=-1))
+    rank = np.arange(len(order)) - np.repeat(heads, np.diff(np.append(heads, len(order))))
+    return order[rank < k]
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
+def _sample_scores(ids: np.ndarray, x: np.ndarray, sample_ids: np.ndarray, sample: np.ndarray) -> np.ndarray:
+    scores = x @ sample.T
+    scores[ids[:, None] == sample_ids[None, :]] = -np.inf
+    return scores
 
 
-def _sampler(sample_ids: np.ndarray, sample: np.ndarray, k: int):
-    """The k best of a sample for each query: first finds, the last of which is a lower limit for all further ones."""
+def _floors(sample_ids: np.ndarray, sample: np.ndarray, k: int):
+    """Each query with a score that its k-th best has at least: the k-th best among a sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
-            found = [_best(sample_ids[sample_ids != i], products(sample[sample_ids != i], q), k) for i, q in zip(ids, x, strict=True)]
-            n = [len(f[0]) for f in found]
-            flat = [np.concatenate([np.zeros(0), *(f[c] for f in found)]) for c in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(flat[0].astype(np.int64)), pa.array(flat[1])], ["query_id", "vec_id", "score"])
+            floor = np.full(len(ids), -np.inf)
+            for at in range(0, len(ids) if len(sample) > k else 0, 1024):
+                scores = _sample_scores(ids[at : at + 1024], x[at : at + 1024], sample_ids, sample)
+                least = np.partition(scores, len(sample) - k, axis=1)[:, len(sample) - k]
+                floor[at : at + 1024] = least - 1e-9 * np.abs(least)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(floor)], ["id", "vec", "floor"])
 
     return run
 
 
-def _assigner(centres: np.ndarray, radius: float, n: int, query: bool):
+def _filler(sample_ids: np.ndarray, sample: np.ndarray, k: int):
+    """The k best of a sample for each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            for at in range(0, len(ids), 1024):
+                scores = _sample_scores(ids[at : at + 1024], x[at : at + 1024], sample_ids, sample)
+                q, r = np.nonzero(scores >= np.partition(scores, max(len(sample) - k, 0), axis=1)[:, max(len(sample) - k, 0)][:, None])
+                some = (scores[q, r] > -np.inf).nonzero()[0]
+                q, r = q[some], r[some]
+                exact = products(sample[r], x[at + q])
+                own = _first_k(q, sample_ids[r], exact, k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at + q[own]]), pa.array(sample_ids[r[own]]), pa.array(exact[own])], ["query_id", "vec_id", "score"])
+
+    return run
+
+
+def _assigner(centres: np.ndarray, radius: float):
+    """Each vector's list, and how far it is from the list's centre without the further dimension."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(1))
-            near = nearest(lifted(x, radius, query), centres, n) if len(x) else np.zeros((0, n), np.int64)
-            take = np.repeat(np.arange(len(x)), n)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take)), batch.column(1).take(pa.array(take)), pa.array(near.ravel(), pa.int32()), pa.array(np.tile(np.arange(n), len(x)), pa.int32())], ["id", "vec", "list", "place"])
+            near = nearest(lifted(x, radius, False), centres, 1)[:, 0] if len(x) else np.zeros(0, np.int64)
+            gap = np.sqrt(((x - centres[near, : x.shape[1]]) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.int32()), pa.array(gap)], ["id", "vec", "list", "gap"])
 
     return run
 
 
-def _searcher(radius: float, k: int):
+@dataclass
+class Lists:
+    """What is known of each list: centre, vectors, and the largest and the mean square distance of these from it."""
+
+    centres: np.ndarray
+    count: np.ndarray
+    reach: np.ndarray
+    spread: np.ndarray
+
+    def choose(self, x: np.ndarray, floor: np.ndarray, first: int, later: bool) -> list[np.ndarray]:
+        """The lists that each query visits: at first those of best centres, later the others that may hold better than its floor.
+
+        No vector of a list has a score above that of its centre by more than
+        the query's length times the list's reach; by the spread of the list's
+        vectors over all dimensions, hardly one goes beyond a few deviations.
+        """
+        score = x @ self.centres.T
+        score[:, self.count == 0] = -np.inf
+        if first < score.shape[1]:
+            place = np.argpartition(-score, first - 1, axis=1)
+        else:
+            place = np.tile(np.arange(score.shape[1]), (len(x), 1))
+        if not later:
+            return [np.sort(p[self.count[p] > 0]) for p in place[:, :first]]
+        long = np.sqrt((x * x).sum(axis=1))[:, None]
+        deviations = np.sqrt(2 * np.log(np.maximum(self.count, 2))) + LIST_SURE
+        most = score + long * np.minimum(self.reach, np.sqrt(self.spread / x.shape[1]) * deviations)[None, :] * (1 + 1e-9)
+        may = most >= floor[:, None]
+        np.put_along_axis(may, place[:, :first], False, axis=1)
+        return [np.flatnonzero(m) for m in may & (self.count > 0)]
+
+
+def _router(known: Lists, first: int, later: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, floor = _matrix(batch.column(1)), batch.column(2).to_numpy()
+            for at in range(0, len(x), 1024):
+                found = known.choose(x[at : at + 1024], floor[at : at + 1024], first, later)
+                flat = np.concatenate([np.zeros(0, np.int64), *found])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).slice(at, 1024) for c in range(3)), lists(flat.astype(np.int32), np.array([len(f) for f in found]), pa.int32())], ["id", "vec", "floor", "lists"]
+                )
+
+    return run
+
+
+def _searcher(k: int):
     def run(block: pa.Table) -> pa.Table:
         """The k best of the block's vectors for each of its queries."""
-        asked = block.filter(block["asks"])
-        held = block.filter(pc.invert(block["asks"])).sort_by("id")
-        out_q, out_v, out_s = [], [], []
+        asked, held = block.filter(block["asks"]), block.filter(pc.invert(block["asks"]))
+        out: list[list[np.ndarray]] = [[], [], []]
         if asked.num_rows and held.num_rows:
             ids, raw = held["id"].to_numpy(), _matrix(held["vec"])
             q_ids, q_raw, floors = asked["id"].to_numpy(), _matrix(asked["vec"]), asked["floor"].to_numpy()
-            d = raw.shape[1] + 1
-            turn = rotation(d)
-            turned, q_turned = lifted(raw, radius, False) @ turn, lifted(q_raw, radius, True) @ turn
-            columns = [np.ascontiguousarray(turned[:, at : at + STEP]) for at in range(0, d, STEP)]
-            for q in range(len(q_ids)):
-                best_v, best_s = np.zeros(0, np.int64), np.zeros(0)
-                for at in range(0, len(ids), STRIPE):
-                    rows = np.arange(at, min(at + STRIPE, len(ids)))
-                    least = max(floors[q], best_s[-1]) if len(best_s) == k else floors[q]
-                    if least > -np.inf:
-                        limit = radius**2 + float(q_raw[q] @ q_raw[q]) - 2 * least
-                        rows = adaptive_scan(q_turned[q], columns, rows, max(limit, 0.0) * (1 + 1e-9) + 1e-12, d)
-                    rows = rows[ids[rows] != q_ids[q]]
-                    scores = products(raw[rows], q_raw[q])
-                    best_v, best_s = _best(np.concatenate([best_v, ids[rows]]), np.concatenate([best_s, scores]), k)
-                out_q.append(np.full(len(best_v), q_ids[q]))
-                out_v.append(best_v)
-                out_s.append(best_s)
+            radius, turn = math.sqrt((raw * raw).sum(axis=1).max()), rotation(raw.shape[1] + 1)
+            rows, queries = lifted(raw, radius, False) @ turn, lifted(q_raw, radius, True) @ turn
+            limits = np.maximum(radius**2 + (q_raw * q_raw).sum(axis=1) - 2 * floors, 0) * (1 + 1e-9) + 1e-12
+            many = max(1, PAIRS // len(ids))
+            for at in range(0, len(q_ids), many):
+                q, r = adaptive_scan(queries[at : at + many], rows, limits[at : at + many])
+                q += at
+                keep = ids[r] != q_ids[q]
+                q, r = q[keep], r[keep]
+                scores = np.concatenate([np.zeros(0), *(products(raw[r[i : i + 16384]], q_raw[q[i : i + 16384]]) for i in range(0, len(q), 16384))])
+                own = _first_k(q, ids[r], scores, k)
+                for column, found in zip(out, (q_ids[q[own]], ids[r[own]], scores[own]), strict=True):
+                    column.append(found)
         join = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0), t)
-        return pa.table({"query_id": join(out_q, pa.int64()), "vec_id": join(out_v, pa.int64()), "score": join(out_s, pa.float64())})
+        return pa.table({"query_id": join(out[0], pa.int64()), "vec_id": join(out[1], pa.int64()), "score": join(out[2], pa.float64())})
 
     return run
 
 
+FOUND = "query_id long, vec_id long, score double"
+
+
 def _k_best(found: DataFrame, k: int) -> DataFrame:
     """The k best rows of each query, each vector once, with their ranks."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -180,60 +269,71 @@ def _k_best(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
 
 
-def _visit(held: DataFrame, asked: DataFrame, sizes: dict[int, int], found: DataFrame, lists: int, radius: float, k: int) -> DataFrame:
-    """What queries find in the lists that ``asked`` names, beyond the k-th best that they have."""
-    floors = found.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") == k, F.min("score")).alias("floor"))
-    asked = asked.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    wants = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}
-    per = lambda counts, most: F.array(*[F.lit(max(1, -(-counts.get(i, 0) // most))) for i in range(lists)])[F.col("list")]
-    v_parts, q_parts = per(sizes, BLOCK_ROWS), per(wants, BLOCK_QUERIES)
-    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+def _visit(held: DataFrame, routed: DataFrame, known: Lists, k: int) -> DataFrame:
+    """What queries (id, vec, floor, lists) find in the lists that they name."""
+    asked = routed.withColumn("list", F.explode("lists")).drop("lists")
+    wants = {r["list"]: r["count"] for r in routed.select(F.explode("lists").alias("list")).groupBy("list").count().collect()}
+    n = len(known.count)
+    per = lambda counts, most: F.array(*[F.lit(max(1, -(-int(c) // most))) for c in counts])[F.col("list")]
+    v_parts, q_parts = per(known.count, BLOCK_ROWS), per([wants.get(i, 0) for i in range(n)], BLOCK_QUERIES)
+    own = lambda parts: F.pmod(F.xxhash64("id"), parts).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
     left = held.select(F.lit(False).alias("asks"), "id", "vec", F.lit(0.0).alias("floor"), "list", own(v_parts).alias("v"), each(q_parts).alias("q"))
     right = asked.select(F.lit(True).alias("asks"), "id", "vec", "floor", "list", each(v_parts).alias("v"), own(q_parts).alias("q"))
-    found = left.unionByName(right).groupBy("list", "v", "q").applyInArrow(_searcher(radius, k), "query_id long, vec_id long, score double")
-    return found.withColumn("rank", F.lit(0))
+    return left.unionByName(right).groupBy("list", "v", "q").applyInArrow(_searcher(k), FOUND)
 
 
-def nearest_neighbours(df: DataFrame, key: str, vector: str, queries, k: int = 20, probe: float = 0.7, n_lists: int | None = None) -> DataFrame:
+def nearest_neighbours(df: DataFrame, key: str, vector: str, queries, k: int = 20, n_lists: int | None = None) -> DataFrame:
     """The k vectors of largest inner product, in double precision, for each row that ``queries`` (a condition on id) selects.
 
     Vectors get a further dimension that turns inner products into distances
     and are dealt to the lists of their nearest centroids, which are fitted on
-    FIT_ROWS rows at most; every vector is in one list. A query visits the
-    ``probe`` share of lists that are nearest. Lists of many vectors or queries
-    are split into blocks, so a very common vector never fills a task. Within a
-    block, rotated vectors lie in column blocks and an adaptive scan abandons
-    candidates early, by the k-th best found so far, at first among a sample of
-    FLOOR_ROWS vectors; what it leaves is scored on the original vectors.
+    FIT_ROWS rows at most, drawn by hash; every vector is in one list. A query
+    first visits the FIRST_SHARE of lists with the best centres. The k-th best
+    found there, or among a sample of FLOOR_ROWS vectors, limits the rest: it
+    visits every other list that may hold better by the list's spread, be it
+    one or all. Lists of many vectors or queries are split into blocks, so a
+    very common vector never fills a task. Within a block, rotated vectors lie
+    in column blocks and an adaptive scan abandons candidates early; what it
+    leaves is scored on the original vectors. The sample's own finds go only to
+    queries that have fewer than k.
 
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller
     vec_id. Rows with one id count as one vector, with their best score; those
-    with the query's own id are no candidates. Null ids and vectors that are null, zero, of another length
-    than most, or hold null or non-finite components take no part. An empty
-    table gives an empty result.
+    with the query's own id are no candidates. Null ids and vectors that are
+    null, zero, of another length than most, or hold null or non-finite
+    components take no part. Other columns are ignored. An empty table gives an
+    empty result.
     """
     spark = df.sparkSession
     rows = valid_vectors(df, key, vector)
+    kind = dict(rows.dtypes)["vec"]
     n, longest = rows.agg(F.count("*"), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     radius = math.sqrt(longest)
-    cut = min(1.0, 1.2 * FIT_ROWS / n)
-    drawn = rows if cut == 1.0 else rows.where(F.pmod(F.xxhash64("id", "vec"), 1_000_000) < int(cut * 1_000_000))
-    kept = drawn.limit(FIT_ROWS).select("id", "vec").collect()
+    by_hash = F.xxhash64("id", "vec")
+    drawn = rows.where(F.shiftrightunsigned(by_hash, 2) <= int(min(1.0, 1.2 * FIT_ROWS / n + 200 / n) * 2**62)).orderBy(by_hash, "id").limit(FIT_ROWS)
+    kept = drawn.select("id", "vec").collect()
     sample, sample_ids = np.array([r["vec"] for r in kept], np.float64), np.array([r["id"] for r in kept])
-    lists = min(n_lists or max(1, int(math.sqrt(n))), MOST_LISTS, max(1, len(sample) // 8))
-    centres = fit_centroids(lifted(sample, radius, False), lists)
-    lists = len(centres)
-    probes = max(1, math.ceil(probe * lists))
-
-    schema = "id long, vec array<double>, list int, place int"
-    held = staged(rows.mapInArrow(_assigner(centres, radius, 1, False), schema), "held")
-    asked = staged(rows.where(queries).mapInArrow(_assigner(centres, radius, probes, True), schema), "asked")
-    found = staged(rows.where(queries).mapInArrow(_sampler(sample_ids[:FLOOR_ROWS], sample[:FLOOR_ROWS], k), "query_id long, vec_id long, score double").withColumn("rank", F.lit(0)), "found")
-    sizes = {r["list"]: r["count"] for r in held.groupBy("list").count().collect()}
-    first = math.ceil(FIRST_SHARE * probes)
-    for part in (F.col("place") < first, F.col("place") >= first):
-        found = staged(_k_best(found.unionByName(_visit(held, asked.where(part), sizes, found, lists, radius, k)), k), "found")
+    wanted = min(n_lists or -(-n // LIST_ROWS), MOST_LISTS, max(1, len(sample) // 8))
+    centres = fit_centroids(lifted(sample, radius, False), wanted)
+    sample, sample_ids = sample[:FLOOR_ROWS], sample_ids[:FLOOR_ROWS]
+
+    held = staged(rows.mapInArrow(_assigner(centres, radius), f"id long, vec {kind}, list int, gap double"), "held")
+    known = Lists(centres[:, :-1], *np.zeros((3, len(centres))))
+    for r in held.groupBy("list").agg(F.count("*").alias("n"), F.max("gap").alias("reach"), F.avg(F.col("gap") * F.col("gap")).alias("spread")).collect():
+        known.count[r["list"]], known.reach[r["list"]], known.spread[r["list"]] = r["n"], r["reach"], r["spread"]
+    first = max(1, math.ceil(FIRST_SHARE * len(centres)))
+    asked = staged(rows.where(queries).mapInArrow(_floors(sample_ids, sample, k), f"id long, vec {kind}, floor double"), "asked")
+    routed = f"id long, vec {kind}, floor double, lists array<int>"
+    found = staged(_k_best(_visit(held, asked.mapInArrow(_router(known, first, False), routed), known, k), k), "found")
+    floors = found.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") == k, F.min("score")).alias("least"))
+    asked_again = asked.join(floors, "id", "left").select("id", "vec", F.greatest("floor", F.coalesce("least", F.lit(float("-inf")))).alias("floor"))
+    later = staged(asked_again.mapInArrow(_router(known, first, True), routed), "later")
+    found = staged(_k_best(found.drop("rank").unionByName(_visit(held, later, known, k)), k), "found")
+    full = found.groupBy("query_id").count().where(F.col("count") >= k)
+    short = staged(asked.join(full, asked["id"] == full["query_id"], "left_anti").select("id", "vec"), "short")
+    if not short.isEmpty():
+        found = staged(_k_best(found.drop("rank").unionByName(short.mapInArrow(_filler(sample_ids, sample, k), FOUND)), k), "found")
     return found.select("query_id", "rank", "vec_id", "score")

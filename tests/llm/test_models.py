@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from skyloom.llm import cotraining
+from skyloom.llm import cotraining, neighbours
 from skyloom.llm.cotraining import TEXT_DIMS, TRIGRAMS, fit_quality, keep_quality, score_quality, text_view, trigrams
 from skyloom.llm.neighbours import adaptive_scan, lifted, nearest_neighbours, rotation
 from skyloom.llm.piece_model import PieceCodec, encode_pieces, fields_of
@@ -35,11 +35,13 @@ def search(spark, rows, **more):
     return nearest_neighbours(df, "vec_id", "embedding", F.col("id") % 20 == 0, **more).collect()
 
 
-def test_all_lists_give_exact_results(spark):
+def test_all_lists_give_exact_results(spark, monkeypatch):
     x = vectors(1)
     rows = [(i, v.tolist(), "s") for i, v in enumerate(x)] + [(2000, None, ""), (2020, [0.0] * 16, ""), (2040, [float("nan")] * 16, ""), (2060, [1.0] * 3, ""), (None, [1.0] * 16, ""), (2080, [None] * 16, "")]
     got = collections.defaultdict(list)
-    for r in search(spark, rows, probe=1.0):
+    monkeypatch.setattr(neighbours, "FIRST_SHARE", 1.0)
+    monkeypatch.setattr(neighbours, "EPSILON", 50.0)
+    for r in search(spark, rows, n_lists=9):
         got[r["query_id"]].append(r)
     assert set(got) == set(range(0, 700, 20))
     for q, found in got.items():
@@ -70,6 +72,31 @@ def test_recall_and_small_tables(spark):
     assert search(spark, []) == [] and search(spark, [(1, None, "")]) == []
 
 
+@pytest.mark.parametrize("kind", ["even", "clusters", "one huge"])
+def test_recall_of_lists_and_scan_alone(spark, monkeypatch, kind):
+    """Far more rows than the sample has, whose finds are not used."""
+    monkeypatch.setattr(neighbours, "FLOOR_ROWS", 60)
+    monkeypatch.setattr(neighbours, "_filler", None)
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((8000, 24))
+    if kind == "clusters":
+        x = rng.standard_normal((40, 24))[rng.integers(0, 40, 8000)] * 3 + x * 0.4
+    if kind == "one huge":
+        x[77] *= 500
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").selectExpr("vec_id", "embedding", "1 as list", "2 as floor").repartition(4)
+    found = collections.defaultdict(set)
+    for r in nearest_neighbours(df, "vec_id", "embedding", F.col("id") % 40 == 0).collect():
+        assert r["score"] == pytest.approx(x[r["query_id"]] @ x[r["vec_id"]], rel=1e-12)
+        found[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q in range(0, 8000, 40):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += len(found[q] & set(np.argsort(-scores)[:20].tolist()))
+        assert len(found[q]) == 20
+    assert hits / 4000 >= 0.95
+
+
 def test_adaptive_scan_keeps_near_rows():
     rng = np.random.default_rng(3)
     x = rng.standard_normal((2000, 63))
@@ -78,8 +105,11 @@ def test_adaptive_scan_keeps_near_rows():
     q = lifted(x[:1], radius, True)[0] @ rotation(64)
     d = ((t - q) ** 2).sum(1)
     limit = np.sort(d)[50]
-    left = adaptive_scan(q, [t[:, i : i + 8] for i in range(0, 64, 8)], np.arange(2000), limit * (1 + 1e-9), 64)
+    other = t[5] * 1.5
+    asks, rows = adaptive_scan(np.stack([q, other]), t, np.array([limit * (1 + 1e-9), ((t - other) ** 2).sum(1).max() * 1.01]))
+    left = rows[asks == 0]
     assert (d[left] <= limit * (1 + 1e-8)).all() and len(left) >= 48
+    assert (asks == 1).sum() >= 1990  # a limit that holds all: chance drops few
 
 
 # ---- pieces

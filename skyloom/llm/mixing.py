@@ -84,6 +84,10 @@ def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
     return done if done is not None else spark.createDataFrame([], "source string, threshold long")
 
 
+#: The columns that mix_sources adds.
+MIXED = ("source_size", "target", "copies")
+
+
 def mix_sources(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.0, cap: int = 3) -> DataFrame:
     """How often a mix takes each row of a table of source, size and hash.
 
@@ -94,7 +98,8 @@ def mix_sources(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget:
     ``sized`` is read once for each histogram level: pass a narrow, written
     table. A null source is a source; null sizes count as 0. Rows with the same
     hash share one fate. Sources without any size take nothing. An empty table
-    gives an empty result. Other columns of ``sized`` come through.
+    gives an empty result. Other columns of ``sized`` come through; columns
+    that are named like the three new ones are replaced.
     """
     sizes = sized.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("source_size"))
     goals = source_targets(sizes, weights, budget, cap)
@@ -102,9 +107,12 @@ def mix_sources(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget:
     goals = staged(goals.withColumn("rounds", rounds).withColumn("rest", F.col("target") - F.col("rounds") * F.col("source_size")), "goals")
     edges = thresholds(sized, goals.where("rest > 0 and source_size > 0").select("source", "rest"))
     plan = goals.join(edges.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
-    plan = staged(plan.select(F.col("source").alias("s"), "source_size", "target", "rounds", F.coalesce("threshold", F.lit(0)).alias("threshold")), "plan")
-    joined = sized.join(plan, F.col("source").eqNullSafe(F.col("s")))
-    return joined.withColumn("copies", F.col("rounds") + (F.col("hash") < F.col("threshold")).cast("int")).drop("s", "rounds", "threshold")
+    own = [c for c in sized.columns if c not in MIXED]
+    edge = F.coalesce("threshold", F.lit(0))
+    plan = staged(plan.select(F.col("source").alias("_mix_source"), F.col("source_size").alias("_mix_size"), F.col("target").alias("_mix_target"), F.col("rounds").alias("_mix_rounds"), edge.alias("_mix_edge")), "plan")
+    joined = sized.select(*[F.col(f"`{c}`") for c in own]).join(plan, F.col("source").eqNullSafe(F.col("_mix_source")))
+    copies = F.col("_mix_rounds") + (F.col("hash") < F.col("_mix_edge")).cast("int")
+    return joined.select(*[F.col(f"`{c}`") for c in own], *[c.alias(n) for c, n in zip((F.col("_mix_size"), F.col("_mix_target"), copies), MIXED, strict=True)])
 
 
 def sized_documents(docs: DataFrame, *more: str) -> DataFrame:
@@ -117,7 +125,11 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budge
     """The mix itself: rows of ``docs``, each as often as it is taken.
 
     The decision is made again for each row from its source's threshold, so
-    texts are read once more but never shuffled. Needs doc_id, text, source.
+    texts are read once more but never shuffled. Needs doc_id, text, source;
+    all columns come through as they are, whatever their names. Null texts have
+    no words and stay out unless their hash is below a threshold or whole rounds
+    are taken; rows that repeat another have its fate; an empty table gives an
+    empty result.
     """
     names = docs.columns
     decided = staged(sized_documents(docs).select("source", "size", "hash"), "sized")

@@ -98,26 +98,33 @@ def _part(cuts: list[tuple[int, int]], first: int = 0) -> Column:
 
 
 def histogram_sort(df: DataFrame, key: Column, tie: Column, size: Column, shards: int, tolerance: float = 0.005) -> DataFrame:
-    """Sort ``df`` by (key, tie) into ``shards`` shards of nearly equal bytes; adds shard and slot.
+    """Sort ``df`` by (key, tie) into ``shards`` shards of nearly equal bytes; adds shard and slot, or replaces columns of these names.
 
     key and tie are longs (null sorts first), size is a long (null counts as
     0). Rows go to the place of their range in one exchange; slots count from 0
     in each shard. A shard of very many rows is dealt to several tasks, whose
     counts before give the shift of their slots. Rows with equal key and tie
-    stay in one shard. ``df`` is read several times: pass a written table. An
-    empty table gives an empty result.
+    stay in one shard. ``df`` is read several times: pass a written table. All
+    other columns come through, whatever their names. An empty table gives an
+    empty result.
     """
-    keys = df.withColumns({"_h": F.coalesce(key, F.lit(_LOW)), "_t": F.coalesce(tie, F.lit(_LOW)), "_size": F.coalesce(size, F.lit(0))})
+    names = [c for c in df.columns if c not in ("shard", "slot")]
+    # columns travel under numbers, so that no name can clash
+    keys = df.select(
+        F.coalesce(key, F.lit(_LOW)).alias("_h"), F.coalesce(tie, F.lit(_LOW)).alias("_t"), F.coalesce(size, F.lit(0)).alias("_size"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)]
+    )
     fine = max(1, -(-df.count() // (shards * ROWS_A_TASK)))
     cuts, _ = find_splitters(keys, shards * fine, tolerance / fine)
-    dealt = keys.withColumn("_part", _part(cuts))
+    # one exchange puts each part in a partition of its own, which the window takes as it is
+    dealt = keys.withColumn("_part", _part(cuts)).repartitionById(shards * fine, F.col("_part"))
     order = Window.partitionBy("_part").orderBy("_h", "_t")
     slot = F.row_number().over(order).cast("long") - 1
     if fine > 1:
         before, shift = 0, []
-        for p, n in sorted((r["_part"], r["count"]) for r in dealt.groupBy("_part").count().collect()):
+        for p, n in sorted((r["_part"], r["count"]) for r in keys.withColumn("_part", _part(cuts)).groupBy("_part").count().collect()):
             before = 0 if not shift or p // fine != shift[-2] // fine else before
             shift += [p, before]
             before += n
         slot = slot + F.create_map(*[F.lit(x) for x in shift])[F.col("_part")]
-    return dealt.withColumn("slot", slot).withColumn("shard", F.floor(F.col("_part") / fine).cast("int")).drop("_h", "_t", "_size", "_part")
+    own = [F.col(f"_{i}").alias(c) for i, c in enumerate(names)]
+    return dealt.select(*own, slot.alias("slot"), F.floor(F.col("_part") / fine).cast("int").alias("shard"))

@@ -3,9 +3,11 @@
 import random
 import zlib
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from skyloom.llm import sharding
 from skyloom.llm.mixing import mix_sources, mixed_documents, sized_documents, source_targets
 from skyloom.llm.sharding import find_splitters, histogram_sort
 
@@ -68,6 +70,39 @@ def test_mixed_documents_repeat_rows(spark):
     assert got == {i: n for i, n in taken.items() if n}
 
 
+def test_clashing_names_come_through(spark):
+    _, df = documents(spark, 3)
+    clash = {c: F.lit(7) for c in ("s", "rounds", "threshold", "copies", "target", "_h", "few", "rest")}
+    plain = {r["doc_id"]: r["copies"] for r in mix_sources(sized_documents(df)).collect()}
+    got = mix_sources(sized_documents(df.withColumns(clash), *clash)).collect()
+    assert {r["doc_id"]: r["copies"] for r in got} == plain and all(r["s"] == r["rounds"] == r["_h"] == 7 for r in got)
+    mixed = mixed_documents(df.withColumns(clash))
+    assert mixed.columns == df.withColumns(clash).columns and mixed.count() == sum(plain.values())
+    wide = df.withColumns({c: F.lit(c) for c in ("_h", "_t", "_size", "_part", "slot", "shard", "_0")})
+    out = histogram_sort(wide, F.xxhash64("text"), F.col("doc_id"), F.lit(1), 5)
+    assert set(out.columns) == set(wide.columns) and out.count() == df.count()
+    r = out.first()
+    assert r["_h"] == "_h" and r["_part"] == "_part" and r["_0"] == "_0" and isinstance(r["slot"], int)
+
+
+def test_targets_equal_sql(spark):
+    """Sizes by source and targets without caps, by DuckDB on the same rows."""
+    import duckdb
+
+    rows, df = documents(spark, 4)
+    table = pd.DataFrame(rows, columns=["doc_id", "text", "source"])
+    sql = r"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM table_),
+    s AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
+    w AS (SELECT *, CASE k % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM s)
+    SELECT doc_id, size, source_size, w * (SELECT sum(source_size) FROM w) / (SELECT sum(w) FROM w) AS target FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source"""
+    con = duckdb.connect()
+    con.register("table_", table)
+    want = {r[0]: r[1:] for r in con.execute(sql).fetchall()}
+    for r in mix_sources(sized_documents(df), cap=1000).collect():
+        size, source_size, target = want[r["doc_id"]]
+        assert (r["size"], r["source_size"]) == (size, source_size) and r["target"] == pytest.approx(target)
+
+
 def test_mixing_of_odd_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mix_sources(sized_documents(none)).count() == 0 and mixed_documents(none).count() == 0
@@ -96,6 +131,26 @@ def test_shards_are_even(spark):
         assert sorted(r["slot"] for r in v) == list(range(len(v)))
 
 
+def test_one_exchange_of_rows(spark):
+    df = spark.range(1000).selectExpr("id AS doc_id", "repeat('x', cast(id % 50 as int)) AS text")
+    plan = histogram_sort(df, F.xxhash64("text"), F.col("doc_id"), F.octet_length("text"), 8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Python" not in plan
+
+
+def test_shards_of_several_tasks(spark, monkeypatch):
+    """Shards of more rows than a task takes are cut finer; slots go on over their tasks."""
+    monkeypatch.setattr(sharding, "ROWS_A_TASK", 60)
+    rows = [(i, f"text {i % 700} " * (i % 9)) for i in range(3000)]
+    held = {}
+    for r in shards_of(spark, rows, 6):
+        held.setdefault(r["shard"], []).append(r)
+    assert set(held) == set(range(6)) and sum(map(len, held.values())) == 3000
+    sizes = [sum(r["size"] for r in v) for v in held.values()]
+    assert max(sizes) - min(sizes) <= 0.02 * sum(sizes) / 6 + 200
+    for v in held.values():
+        assert sorted(r["slot"] for r in v) == list(range(len(v)))
+
+
 def test_equal_texts_stay_together_where_they_fit(spark):
     rows = [(i, f"text {i // 4}") for i in range(8000)]
     got = shards_of(spark, rows, 8, tolerance=0.01)

@@ -28,42 +28,56 @@ WORDS_KEPT = 1_000_000
 LEAST = 4
 #: Two symbols in one word: the place of the left one, the mask of the right one, and what stands for no pair.
 HALF, LOW, NONE = np.uint64(32), np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFFFFFFFFFF)
+#: What a symbol may do in the next pass: begin or end a pair that was left out, or be in any pair as a new one.
+LEFT, RIGHT, NEW = np.uint8(1), np.uint8(2), np.uint8(4)
 
 
-def _pairs(seq: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Each symbol and the next as one word; NONE across documents, and at every second place of a run of one symbol, whose pairs overlap."""
-    keys = seq[:-1].astype(np.uint64)
-    keys <<= HALF
-    keys |= seq[1:]
-    keys[last[:-1]] = NONE
-    twins = np.flatnonzero(seq[1:] == seq[:-1])
-    twins = twins[keys[twins] != NONE]
+def _pairs(seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``at``, less those of overlapping pairs, and the symbols there and behind as one word.
+
+    Pairs of a run of one symbol overlap; every second one counts. ``at`` must
+    hold all places of such a run or none.
+    """
+    first, second = seq[at], seq[at + 1]
+    twins = np.flatnonzero(first == second)
     if len(twins):
-        begins = np.flatnonzero(np.diff(twins, prepend=-2) != 1)
-        place = np.arange(len(twins)) - np.repeat(begins, np.diff(np.append(begins, len(twins))))
-        keys[twins[place % 2 == 1]] = NONE
-    return keys
+        place = at[twins]
+        begins = np.flatnonzero(np.diff(place, prepend=-2) != 1)
+        odd = (np.arange(len(twins)) - np.repeat(begins, np.diff(np.append(begins, len(twins))))) % 2 == 1
+        keep = np.ones(len(at), bool)
+        keep[twins[odd]] = False
+        at, first, second = at[keep], first[keep], second[keep]
+    keys = first.astype(np.uint64)
+    keys <<= HALF
+    keys |= second
+    return at, keys
 
 
 def repair(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST):
     """Replace frequent pairs by nonterminals ``first``, ``first + 1``, ... until none occurs ``least`` times.
 
     ``ends`` are the places after each document's last id; no pair crosses
-    them. A pass counts all pairs and replaces those that occur ``least`` times
-    or more together, the more frequent ones first: a symbol that stands left
-    in one chosen pair never stands right in another, so occurrences cannot
-    overlap and the result is that of replacing them one after the other. What
-    this leaves out comes in a later pass. Ids are below ``first``. Returns
-    symbols, ends in them, and rules as (n, 2).
+    them. A pass counts pairs and replaces those that occur ``least`` times or
+    more together, the more frequent ones first: a symbol that stands left in
+    one chosen pair never stands right in another, so occurrences cannot overlap
+    and the result is that of replacing them one after the other. What this
+    leaves out comes in a later pass. Counts of a pair never grow but where it
+    has a new symbol, so a pass looks at pairs of the last pass's symbols and at
+    those that it left out. Ids are below ``first``. Returns symbols, ends in
+    them, and rules as (n, 2).
     """
     seq = ids.astype(np.uint32)
     last = ends - 1  # a document has one id at least, so each ends at a place of its own
     rules: list[np.ndarray] = []
     n = first
+    role = np.full(first, NEW, np.uint8)
     while len(seq) > 1:
-        keys = _pairs(seq, last)
+        held = role[seq]
+        may = (held[:-1] | held[1:]) & NEW
+        may |= (held[:-1] & LEFT) & (held[1:] >> 1)
+        may[last[:-1]] = 0
+        at, keys = _pairs(seq, np.flatnonzero(may))
         ordered = np.sort(keys)
-        ordered = ordered[: np.searchsorted(ordered, NONE)]
         heads = np.flatnonzero(np.diff(ordered, prepend=NONE) != 0)
         counts = np.diff(np.append(heads, len(ordered)))
         often = np.flatnonzero(counts >= least)
@@ -71,24 +85,30 @@ def repair(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST):
             break
         pairs = ordered[heads[often]]
         pairs = pairs[np.argsort(-counts[often], kind="stable")]
-        left, right, chosen = set(), set(), []
+        left, right, chosen, rest = set(), set(), [], []
         for k, (a, b) in enumerate(zip((pairs >> HALF).tolist(), (pairs & LOW).tolist(), strict=True)):
             if a not in right and b not in left and (a != b or a not in left):
                 left.add(a)
                 right.add(b)
                 chosen.append(k)
-        chosen = np.sort(pairs[chosen])
+            else:
+                rest.append(k)
+        rest, chosen = pairs[rest], np.sort(pairs[chosen])
         begins, goes_on = np.zeros((2, n), bool)
         begins[(chosen >> HALF).astype(np.int64)] = True
         goes_on[(chosen & LOW).astype(np.int64)] = True
-        at = np.flatnonzero(begins[seq[:-1]] & goes_on[seq[1:]])
-        found = keys[at]
+        near = np.flatnonzero(begins[seq[at]] & goes_on[seq[at + 1]])
+        at, found = at[near], keys[near]
         place = np.searchsorted(chosen, found)
         place[place == len(chosen)] = 0
         hit = chosen[place] == found
         at, place = at[hit], place[hit]
         seq[at] = (n + place).astype(np.uint32)
         rules.append(np.stack([chosen >> HALF, chosen & LOW], axis=1).astype(np.uint32))
+        role = np.zeros(n + len(chosen), np.uint8)
+        role[(rest >> HALF).astype(np.int64)] = LEFT
+        role[(rest & LOW).astype(np.int64)] |= RIGHT
+        role[n:] = NEW
         n += len(chosen)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False

@@ -37,6 +37,12 @@ class DetectConfig:
     max_rv_dispersion: float = 20.0
     knn_k: int = 15
     min_sky_bandwidth: float = 2.0
+    #: optional caps on the distinct stars of a cluster and of a candidate, and protostreams of a candidate; None keeps all
+    cluster_star_cap: int | None = None
+    candidate_star_cap: int | None = None
+    protostream_cap: int | None = None
+    #: average lines after turning them to the side of the strongest one
+    wrap_safe: bool = False
     use_distance: bool = False
     use_rv: bool = False
     ra_min: float = 0.0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,15 +62,33 @@ def _labelled(nodes: DataFrame, node: str, edges: DataFrame, label: str) -> Data
     return nodes.join(found, node, "left").withColumn(label, F.coalesce(label, node))
 
 
+def _turned(named: DataFrame) -> DataFrame:
+    """Lines of a cluster turned to the side of its strongest one: (theta, rho) and (theta + pi, -rho) are one line."""
+    lead = F.max_by("theta", F.struct("sigma", -F.col("roi"))).over(Window.partitionBy("cluster"))
+    apart = F.col("theta") - lead
+    turns = F.round(apart / math.pi)
+    return named.withColumns({"theta": F.col("theta") - turns * math.pi, "rho": F.when(F.pmod(turns, F.lit(2.0)) == 1, -F.col("rho")).otherwise(F.col("rho"))})
+
+
+def _first_rows(df: DataFrame, key: str, order: list[Column], most: int | None) -> DataFrame:
+    """The first rows of each key, or all where there is no cap."""
+    if most is None:
+        return df
+    return df.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_place") <= most).drop("_place")
+
+
 def protoclusters(rois: DataFrame, cell_stars: DataFrame, cfg: DetectConfig, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Clusters, their regions and their stars.
 
     A cluster is a component of compatible regions, named by its first region.
-    Angle and offset are means weighted by significance, without wrapping; its
-    stars are the distinct selected stars of its cells.
+    Angle and offset are means weighted by significance, without wrapping unless
+    cfg.wrap_safe; its stars are the distinct selected stars of its cells, the
+    first cluster_star_cap of them where that is set.
     """
     edges = roi_edges(rois, cell_stars, cfg) if edges is None else edges
     named = _labelled(rois, "roi", edges, "cluster")
+    if cfg.wrap_safe:
+        named = _turned(named)
     w = F.col("sigma")
     lines = named.groupBy("patch_id", "cluster").agg(
         F.count("*").alias("n_rois"), F.sqrt(F.sum(w * w)).alias("significance"),
@@ -81,6 +101,7 @@ def protoclusters(rois: DataFrame, cell_stars: DataFrame, cfg: DetectConfig, edg
         F.min(F.struct("first_roi", "ordinal")).alias("seen"),
         *[F.first(c).alias(c) for c in ("ra", "dec", "pmra", "pmdec", "rv", "distance", "phi", "lam", "mu_phi", "mu_lam", "dist_from_center")],
     )
+    stars = _first_rows(stars, "cluster", [F.col("seen"), F.col("star_id")], cfg.cluster_star_cap)
     motion = stars.groupBy("cluster").agg(
         F.count("*").alias("n_line_stars"), F.avg("mu_phi").alias("mean_mu_phi"), F.avg("mu_lam").alias("mean_mu_lam"),
         F.stddev_pop("mu_phi").alias("std_mu_phi"), F.stddev_pop("mu_lam").alias("std_mu_lam"),
@@ -144,14 +165,17 @@ def candidates(streams: DataFrame, bridge: DataFrame, stars: DataFrame, cfg: Det
     """Ranked candidates and their member stars (a star of two patches is a member twice).
 
     Candidates of one edge protostream drop out, as do those with too few or
-    too many stars or, with radial velocities, too wide a spread of them.
+    too many stars or, with radial velocities, too wide a spread of them. They
+    are ranked in one task: candidates are a few for each patch at most.
     """
     merged = _labelled(streams, "protostream", merge_edges(bridge, stars, cfg), "candidate")
     groups = merged.groupBy("candidate").agg(F.count("*").alias("n_protostreams"), F.sqrt(F.sum(F.col("significance") * F.col("significance"))).alias("significance"), F.max("is_edge").alias("is_edge"))
     groups = groups.where(~((F.col("n_protostreams") == 1) & F.col("is_edge"))).drop("is_edge")
-    names = bridge.join(merged.select("protostream", "candidate"), "protostream").join(groups.select("candidate"), "candidate", "left_semi")
+    held = _first_rows(merged.select("protostream", "candidate"), "candidate", [F.col("protostream")], cfg.protostream_cap)
+    names = bridge.join(held, "protostream").join(groups.select("candidate"), "candidate", "left_semi")
     kept = [c for c in stars.columns if c not in ("cluster", "seen", "patch_id", "star_id")]
     members = stars.join(names.select("cluster", "candidate"), "cluster").groupBy("candidate", "patch_id", "star_id").agg(*[F.first(c).alias(c) for c in kept])
+    members = _first_rows(members, "candidate", [F.col("patch_id"), F.col("star_id")], cfg.candidate_star_cap)
     v = F.when(rv_valid(), F.col("rv"))
     summary = members.groupBy("candidate").agg(
         F.count("*").alias("n_stars"), *[F.avg(c).alias(f"mean_{c}") for c in ("ra", "dec", "pmra", "pmdec")],

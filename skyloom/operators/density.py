@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,18 +9,22 @@ from pyspark.sql import functions as F
 
 from skyloom.config import DetectConfig
 from skyloom.functions.angles import dist_valid, rv_valid
-from skyloom.functions.stats import silverman
 from skyloom.operators.windows import sr_members
+from skyloom.session import staged
 
 SR = ["patch_id", "axis", "i"]
 MIN_SIDEBAND = 100
 BINS = 10
 #: Fixed value: the histogram's smoothing counts bins of five dimensions.
 SMOOTHING_BINS = 100_000
-#: Rows of a distance block.
-BLOCK = 1024
-#: Points and queries of one task, about, where groups do not bound them.
-KNN_ROWS = 50_000
+#: Rows of a distance block, numbers of a block of kernel values, points of a leaf, and points that are compared with all.
+BLOCK, KERNELS, LEAF, BRUTE = 1024, 1 << 20, 64, 4096
+#: Bandwidths beyond which a kernel is below 1e-17 of its peak.
+SURELY = 9.0
+#: Pairs of stars whose kernels one task sums, about.
+KDE_PAIRS = 1_000_000_000
+#: Points and queries of one task, about, and pairs of them that are compared at a time.
+KNN_ROWS, KNN_PAIRS = 50_000, 1 << 22
 
 
 def other_motion(axis: str = "axis") -> Column:
@@ -30,22 +33,67 @@ def other_motion(axis: str = "axis") -> Column:
 
 
 def features() -> Column:
+    """Position and the motion that is not cut: what a star of a signal region is compared by."""
     return F.array("phi", "lam", other_motion())
 
 
 # ---- nearest neighbours
 
 
-def _kth(points: np.ndarray, queries: np.ndarray, place: int) -> np.ndarray:
-    """Squared float32 distance of each query's ``place``-th nearest point (0: nearest), in blocks."""
-    out = np.empty(len(queries), np.float32)
-    for at in range(0, len(queries), BLOCK):
-        part = queries[at : at + BLOCK]
-        d = np.zeros((len(part), len(points)), np.float32)
-        for k in range(points.shape[1]):
-            gap = part[:, None, k] - points[None, :, k]
-            d += gap * gap
-        out[at : at + BLOCK] = np.partition(d, place, axis=1)[:, place]
+def _squares(queries: np.ndarray, points: np.ndarray, scale: list[float] | None = None) -> np.ndarray:
+    """Squared float32 distances, dimension by dimension."""
+    d = np.zeros((len(queries), len(points)), np.float32)
+    for k in range(points.shape[1]):
+        gap = queries[:, None, k] - points[None, :, k]
+        if scale:
+            gap *= np.float32(scale[k])
+        d += gap * gap
+    return d
+
+
+def _leaves(points: np.ndarray) -> list[np.ndarray]:
+    """Places of points in the leaves of a k-d tree, which halves at the median of the widest dimension."""
+    found, open_ = [], [np.arange(len(points))]
+    while open_:
+        own = open_.pop()
+        wide = np.ptp(points[own], axis=0)
+        if len(own) <= LEAF or not wide.any():
+            found += [own[at : at + LEAF] for at in range(0, len(own), LEAF)]
+            continue
+        order = np.argpartition(points[own, wide.argmax()], len(own) // 2)
+        open_ += [own[order[: len(own) // 2]], own[order[len(own) // 2 :]]]
+    return found
+
+
+def kth_squares(points: np.ndarray, place: int) -> np.ndarray:
+    """Squared float32 distance of each point's ``place``-th nearest point (0: itself or its like).
+
+    Few points are compared with all. Of more, each leaf of a k-d tree looks at
+    the leaves around it, nearest first, until no further one can hold a nearer
+    point than those that it has.
+    """
+    n = len(points)
+    out = np.empty(n, np.float32)
+    if n <= BRUTE:
+        for at in range(0, n, BLOCK):
+            out[at : at + BLOCK] = np.partition(_squares(points[at : at + BLOCK], points), place, axis=1)[:, place]
+        return out
+    leaves = _leaves(points)
+    low, high = (np.array([f(points[own], axis=0) for own in leaves], np.float64) for f in (np.min, np.max))
+    size = np.array([len(own) for own in leaves])
+    for k, own in enumerate(leaves):
+        apart = np.maximum(np.maximum(low - high[k], low[k] - high), 0)
+        away = (apart * apart).sum(axis=1)
+        order = np.argsort(away, kind="stable")
+        enough = int(np.searchsorted(np.cumsum(size[order]), place + 1)) + 1
+        while True:
+            near = np.concatenate([leaves[i] for i in order[:enough]])
+            kth = np.partition(_squares(points[own], points[near]), place, axis=1)[:, place]
+            reach = int(np.searchsorted(away[order], float(kth.max()) * (1 + 1e-5), side="right"))
+            if reach <= enough:
+                break
+            enough = reach
+        out[own] = kth
     return out
 
 
@@ -54,7 +102,9 @@ def knn_scores(star_patch: DataFrame, good: DataFrame, cfg: DetectConfig) -> Dat
 
     Positions are standardised with a least bandwidth, the third axis holds
     distance, radial velocity or their joint size where asked; the score is how
-    far the distance of the k-th neighbour lies below the region's mean.
+    far the distance of the k-th neighbour lies below the region's mean. A region
+    has cfg.max_stars_sr stars at most (``good`` holds no larger one), and its
+    neighbours come from a k-d tree.
     """
     k_most, bandwidth, use_d, use_v = cfg.knn_k, cfg.min_sky_bandwidth or 2.0, cfg.use_distance, cfg.use_rv
 
@@ -79,7 +129,7 @@ def knn_scores(star_patch: DataFrame, good: DataFrame, cfg: DetectConfig) -> Dat
             xyz[:, 2] = np.sqrt(z_d**2 + z_v**2) / np.sqrt(2.0)
         elif use_d or use_v:
             xyz[:, 2] = z_d if use_d else z_v
-        r = np.maximum(np.sqrt(_kth(xyz, xyz, min(k, n - 1)).astype(np.float64)), 0.01)
+        r = np.maximum(np.sqrt(kth_squares(xyz, min(k, n - 1)).astype(np.float64)), 0.01)
         var = (r * r).mean() - r.mean() ** 2
         out = g[["patch_id", "axis", "i", "star_id"]].copy()
         out["score"] = (r.mean() - r) / np.sqrt(var if var > 0 else 0.01)
@@ -95,58 +145,63 @@ def last_scores(scores: DataFrame) -> DataFrame:
     return scores.groupBy("patch_id", "star_id").agg(F.max_by("score", F.struct("i", "axis")).alias("score"))
 
 
+def _k_nearest(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int, scales: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Query places, ranks, point ids and squared distances of the k nearest points; ties go to the smaller id."""
+    parts = []
+    k = min(k, len(points))
+    rows = max(1, KNN_PAIRS // max(len(points), 1))
+    for at in range(0, len(queries), rows):
+        d = _squares(queries[at : at + rows], points, scales)
+        q, p = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k])
+        order = np.lexsort((ids[p], d[q, p], q))
+        q, p = q[order], p[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        q, p, rank = q[rank < k], p[rank < k], rank[rank < k]
+        parts.append((q + at, rank + 1, ids[p], d[q, p]))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
+def _blocked(rows: DataFrame, keys: list[str], own: str, other: str, own_n: DataFrame, other_n: DataFrame) -> DataFrame:
+    """Rows with the number of their block, repeated for each block of the other side; groups decide how many there are."""
+    blocks = lambda c: F.greatest(F.ceil(F.coalesce(c, F.lit(0)) / KNN_ROWS), F.lit(1)).cast("int")
+    if keys:
+        sized = rows.join(own_n, keys, "left").join(other_n, keys, "left")
+    else:
+        sized = rows.crossJoin(own_n).crossJoin(other_n)  # a row each
+    dealt = sized.withColumn(own, F.pmod(F.xxhash64("id"), blocks(F.col(f"n{own}"))).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), blocks(F.col(f"n{other}")) - 1)))
+    return dealt.drop(f"n{own}", f"n{other}")
+
+
 def knn(points: DataFrame, queries: DataFrame, k: int, dims: list[str], keys: list[str] | None = None, scale: list[float] | None = None) -> DataFrame:
     """The k nearest points of each query within a group, by scaled float32 distance; ties go to the smaller point id.
 
     ``points`` has keys, point_id and dims; ``queries`` keys, query_id and
     dims. A scale of 0 counts as 1. Groups with fewer than k points give all.
+    Groups of more than KNN_ROWS points or queries are compared block by block,
+    each block with each in a task of its own, and the finds of a query merged.
     """
     keys = keys or []
     scales = [s or 1.0 for s in (scale or [1.0] * len(dims))]
-
-    def find(key: tuple, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        a = p[dims].to_numpy(np.float32)
-        ids = p.point_id.to_numpy()
-        rows = []
-        for at in range(0, len(q), BLOCK):
-            part = q.iloc[at : at + BLOCK]
-            b = part[dims].to_numpy(np.float32)
-            d = np.zeros((len(b), len(a)), np.float32)
-            for c, s in enumerate(scales):
-                gap = (b[:, None, c] - a[None, :, c]) * np.float32(s)
-                d += gap * gap
-            for r in range(len(b)):
-                order = np.lexsort((ids, d[r]))[:k]
-                rows.append(pd.DataFrame({"query_id": part.query_id.iloc[r], "rank": np.arange(1, len(order) + 1), "point_id": ids[order], "dist_sq": d[r][order]}))
-        none = pd.DataFrame({"query_id": [], "rank": [], "point_id": [], "dist_sq": []})
-        out = pd.concat(rows) if rows else none
-        for c, v in zip(keys, key, strict=False):
-            out[c] = v
-        return out[[*keys, "query_id", "rank", "point_id", "dist_sq"]]
-
     kinds = dict(points.dtypes)
     schema = "".join(f"{c} {kinds[c]}, " for c in keys) + "query_id long, rank int, point_id long, dist_sq double"
     p = points.select(*keys, F.col("point_id").alias("id"), F.lit(False).alias("asks"), *dims)
     q = queries.select(*keys, F.col("query_id").alias("id"), F.lit(True).alias("asks"), *dims)
-    own = keys
-    if not keys:  # blocks of points and of queries meet in tasks of their own
-        own = ["_p", "_q"]
-        n_p, n_q = (max(1, -(-d.count() // KNN_ROWS)) for d in (p, q))
-        part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        p = p.withColumn("_p", part(n_p)).withColumn("_q", each(n_q))
-        q = q.withColumn("_q", part(n_q)).withColumn("_p", each(n_p))
+    p_n, q_n = p.groupBy(*keys).agg(F.count("*").alias("n_p")), q.groupBy(*keys).agg(F.count("*").alias("n_q"))
+    p, q = _blocked(p, keys, "_p", "_q", p_n, q_n), _blocked(q, keys, "_q", "_p", q_n, p_n)
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        held, asked = g[~g.asks].rename(columns={"id": "point_id"}), g[g.asks].rename(columns={"id": "query_id"})
+        held, asked = g[~g.asks], g[g.asks]
+        names = [*keys, "query_id", "rank", "point_id", "dist_sq"]
         if not len(asked) or not len(held):
-            return pd.DataFrame({c: [] for c in (*keys, "query_id", "rank", "point_id", "dist_sq")})
-        return find(key if keys else (), held, asked)
+            return pd.DataFrame({c: [] for c in names})
+        rows, rank, ids, d = _k_nearest(held[dims].to_numpy(np.float32), held.id.to_numpy(), asked[dims].to_numpy(np.float32), k, scales)
+        out = pd.DataFrame({"query_id": asked.id.to_numpy()[rows], "rank": rank, "point_id": ids, "dist_sq": d.astype(np.float64)})
+        for c, v in zip(keys, key, strict=False):
+            out[c] = v
+        return out[names]
 
-    found = q.unionByName(p).groupBy(*own).applyInPandas(run, schema)
-    if keys:
-        return found
-    order = Window.partitionBy("query_id").orderBy("dist_sq", "point_id")
+    found = q.unionByName(p).groupBy(*keys, "_p", "_q").applyInPandas(run, schema)
+    order = Window.partitionBy(*keys, "query_id").orderBy("dist_sq", "point_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -158,29 +213,74 @@ def nearest(points: DataFrame, queries: DataFrame, dims: list[str], keys: list[s
 # ---- histogram
 
 
+def _slots(star_patch: DataFrame, cfg: DetectConfig) -> DataFrame:
+    """Each star once for each axis, with the step of proper motion that it lies in: a window is ``width / step`` of them."""
+    side = F.explode(F.array(F.struct(F.lit(0).alias("axis"), F.col("pmra").alias("pm"), F.col("mu_lam").alias("mu")), F.struct(F.lit(1).alias("axis"), F.col("pmdec").alias("pm"), F.col("mu_phi").alias("mu"))))
+    wide = star_patch.withColumn("_s", side).select("patch_id", "star_id", "phi", "lam", F.col("_s.axis").alias("axis"), F.col("_s.pm").alias("pm"), F.col("_s.mu").alias("mu"))
+    start = lambda k: F.lit(cfg.pm_min) + k * cfg.sr_step
+    guess = F.floor((F.col("pm") - cfg.pm_min) / cfg.sr_step)
+    slot = F.when(F.col("pm") < start(guess), guess - 1).when(F.col("pm") >= start(guess + 1), guess + 1).otherwise(guess)
+    last = cfg.n_windows + round(cfg.sr_width / cfg.sr_step)
+    return wide.withColumn("slot", F.greatest(F.least(slot, F.lit(last)), F.lit(-1)).cast("int"))
+
+
+def sideband_ranges(slots: DataFrame, regions: DataFrame, cfg: DetectConfig) -> DataFrame:
+    """Regions (patch_id, axis, i and more) with the least and greatest phi, lambda and other motion of their sidebands.
+
+    Extremes by step of motion are few rows; those before and behind a window
+    come from running extremes over them, so no star meets a region.
+    """
+    dims, width = ("phi", "lam", "mu"), round(cfg.sr_width / cfg.sr_step)
+    ends = slots.groupBy("patch_id", "axis", "slot").agg(*[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))])
+    names = [(f"{n}_{d}", F.min if n == "lo" else F.max) for d in dims for n in ("lo", "hi")]
+    by = Window.partitionBy("patch_id", "axis").orderBy("slot")
+    before, behind = by.rowsBetween(Window.unboundedPreceding, Window.currentRow), by.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    running = ends.select("patch_id", "axis", "slot", *[f(c).over(before).alias(f"b_{c}") for c, f in names], *[f(c).over(behind).alias(f"a_{c}") for c, f in names])
+    # all steps of a patch and axis: a few hundred at most
+    held = running.groupBy("patch_id", "axis").agg(F.sort_array(F.collect_list(F.struct("slot", *[f"{s}_{c}" for c, _ in names for s in "ba"]))).alias("steps"))
+    full = regions.join(held, ["patch_id", "axis"])
+    high = F.get(F.filter("steps", lambda x: x["slot"] >= F.col("i") + width), 0)
+    full = full.withColumn("_low", F.try_element_at(F.filter("steps", lambda x: x["slot"] < F.col("i")), F.lit(-1))).withColumn("_high", high)
+    pick = lambda c, f: (F.least if f is F.min else F.greatest)(F.col(f"_low.b_{c}"), F.col(f"_high.a_{c}"))
+    return full.withColumns({c: pick(c, f) for c, f in names}).drop("steps", "_low", "_high")
+
+
 def histogram_scores(star_patch: DataFrame, good: DataFrame, cfg: DetectConfig) -> DataFrame:
     """Smoothed density ratio of signal region and sideband in BINS bins of phi, lambda and the other motion.
 
     Ranges come from the sideband, a tenth wider on both sides; values beyond
     them count in the outer bins. Regions with fewer than MIN_SIDEBAND sideband
-    stars give no row. Sideband counts are those of the patch less those of the
-    region in the same bin.
+    stars give no row. Regions that hold none of a patch's extreme stars have
+    the same ranges, so a patch has 13 different ones for each axis at most: its
+    stars are counted once for each, and a sideband's counts are those less the
+    region's own. A window must be a whole number of steps, exactly.
     """
+    width = round(cfg.sr_width / cfg.sr_step)
+    if any(cfg.pm_min + i * cfg.sr_step + cfg.sr_width != cfg.pm_min + (i + width) * cfg.sr_step for i in range(cfg.n_windows)):
+        raise ValueError("histogram scores need windows of whole steps")
     rich = good.where(F.col("n_sb") >= MIN_SIDEBAND).select(*SR, "n_sr", "n_sb")
-    stars = star_patch.select("patch_id", "star_id", "pmra", "pmdec", "phi", "lam", "mu_phi", "mu_lam")
-    start = F.col("i") * cfg.sr_step + cfg.pm_min
-    pm = F.when(F.col("axis") == 0, F.col("pmra")).otherwise(F.col("pmdec"))
-    every = stars.join(rich, "patch_id").withColumn("inside", (pm >= start) & (pm < start + cfg.sr_width)).withColumn("mu", other_motion())
+    slots = _slots(star_patch.select("patch_id", "star_id", "pmra", "pmdec", "phi", "lam", "mu_phi", "mu_lam"), cfg)
     dims = ("phi", "lam", "mu")
-    ends = every.where(~F.col("inside")).groupBy(*SR).agg(*[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))])
-    placed = every.join(ends, SR)
-    for d in dims:
-        wide = F.when(F.col(f"hi_{d}") - F.col(f"lo_{d}") < 1e-10, 1.0).otherwise(F.col(f"hi_{d}") - F.col(f"lo_{d}"))
-        low, high = F.col(f"lo_{d}") - 0.1 * wide, F.col(f"hi_{d}") + 0.1 * wide
-        placed = placed.withColumn(f"b_{d}", F.least(F.greatest(F.floor((F.col(d) - low) / ((high - low) / BINS)), F.lit(0)), F.lit(BINS - 1)).cast("int"))
+    ends = [f"{n}_{d}" for d in dims for n in ("lo", "hi")]
+    regions = sideband_ranges(slots, rich, cfg)
+    same = Window.partitionBy("patch_id", "axis", *ends)
+    regions = staged(regions.withColumn("kind", F.min("i").over(same)), "regions")
+
+    def placed(df: DataFrame) -> DataFrame:
+        for d in dims:
+            wide = F.when(F.col(f"hi_{d}") - F.col(f"lo_{d}") < 1e-10, 1.0).otherwise(F.col(f"hi_{d}") - F.col(f"lo_{d}"))
+            low, high = F.col(f"lo_{d}") - 0.1 * wide, F.col(f"hi_{d}") + 0.1 * wide
+            df = df.withColumn(f"b_{d}", F.least(F.greatest(F.floor((F.col(d) - low) / ((high - low) / BINS)), F.lit(0)), F.lit(BINS - 1)).cast("int"))
+        return df
+
     bins = [f"b_{d}" for d in dims]
-    counted = placed.groupBy(*SR, *bins).agg(F.count_if("inside").alias("h_sr"), F.count_if(~F.col("inside")).alias("h_sb"))
-    scored = placed.where("inside").select(*SR, "star_id", "n_sr", "n_sb", *bins).join(counted, [*SR, *bins])
+    kinds = regions.where("i = kind").select("patch_id", "axis", "kind", *ends)
+    every = placed(slots.join(kinds, ["patch_id", "axis"])).groupBy("patch_id", "axis", "kind", *bins).agg(F.count("*").alias("h_all"))
+    windows = F.explode(F.sequence(F.greatest(F.col("slot") - (width - 1), F.lit(0)), F.least(F.col("slot"), F.lit(cfg.n_windows - 1))))
+    inside = slots.where((F.col("slot") >= 0) & (F.col("slot") < cfg.n_windows + width - 1)).withColumn("i", windows)
+    own = placed(inside.join(regions, SR))
+    counted = own.groupBy(*SR, *bins).agg(F.count("*").alias("h_sr"), F.first("kind").alias("kind")).join(every, ["patch_id", "axis", "kind", *bins])
+    scored = own.select(*SR, "star_id", "n_sr", "n_sb", *bins).join(counted.select(*SR, *bins, "h_sr", (F.col("h_all") - F.col("h_sr")).alias("h_sb")), [*SR, *bins])
     ratio = ((F.col("h_sr") + 1) / (F.col("n_sr") + SMOOTHING_BINS)) / ((F.col("h_sb") + 1) / (F.col("n_sb") + SMOOTHING_BINS))
     return scored.select(*SR, "star_id", ratio.alias("score"))
 
@@ -188,19 +288,48 @@ def histogram_scores(star_patch: DataFrame, good: DataFrame, cfg: DetectConfig)
 # ---- kernel density
 
 
-def bandwidths(members: DataFrame, keys: list[str]) -> DataFrame:
-    """Silverman bandwidths of phi, lambda (2 degrees at least) and the other motion."""
-    h = members.groupBy(*keys).agg(silverman("phi").alias("h_phi"), silverman("lam").alias("h_lam"), silverman("mu").alias("h_mu"))
-    return h.withColumns({"h_phi": F.greatest("h_phi", F.lit(2.0)), "h_lam": F.greatest("h_lam", F.lit(2.0))})
-
+def kernel_density(points: np.ndarray, data: np.ndarray, h) -> np.ndarray:
+    """Density of Gaussian kernels at ``points``: a bandwidth for each dimension, or one number for all.
 
-def _kernel(points: np.ndarray, data: np.ndarray, h: np.ndarray) -> np.ndarray:
+    Data are sorted by the last dimension, and kernels more than SURELY
+    bandwidths away in it are left out where those that stay make up the value;
+    other points sum all kernels.
+    """
+    h = np.broadcast_to(np.asarray(h, np.float64), points.shape[1])
     norm = np.prod(1 / (np.sqrt(2 * np.pi) * h))
+    data = data[np.argsort(data[:, -1], kind="stable")] / h
+    order = np.argsort(points[:, -1], kind="stable")
+    z = points[order] / h
     out = np.empty(len(points))
-    for at in range(0, len(points), BLOCK):
-        gap = (points[at : at + BLOCK, None, :] - data[None, :, :]) / h
-        out[at : at + BLOCK] = np.exp(-0.5 * (gap * gap).sum(axis=2)).mean(axis=1)
-    return norm * out
+
+    def sums(part: np.ndarray, held: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(part))
+        for at in range(0, len(part), max(1, KERNELS // max(len(held), 1))):
+            own = part[at : at + max(1, KERNELS // max(len(held), 1))]
+            square = np.zeros((len(own), len(held)))
+            for k in range(held.shape[1]):
+                gap = own[:, None, k] - held[None, :, k]
+                square += gap * gap
+            total[at : at + len(own)] = np.exp(-0.5 * square).sum(axis=1)
+        return total
+
+    for at in range(0, len(z), BLOCK):
+        part = z[at : at + BLOCK]
+        a, b = np.searchsorted(data[:, -1], [part[0, -1] - SURELY, part[-1, -1] + SURELY])
+        found = sums(part, data[a:b])
+        weak = found < len(data) * 1e-9
+        if b - a < len(data) and weak.any():
+            found[weak] = sums(part[weak], data)
+        out[at : at + BLOCK] = found
+    result = np.empty(len(points))
+    result[order] = norm * out / len(data)
+    return result
+
+
+def kernel_bandwidths(data: np.ndarray, least_sky: float = 2.0) -> tuple[np.ndarray, float]:
+    """Silverman bandwidths of each dimension, the first two (positions) ``least_sky`` at least, and their geometric mean."""
+    h = np.array([max(_silverman(data[:, k]), least_sky if k < 2 else 1e-10) for k in range(data.shape[1])])
+    return h, float(np.exp(np.log(h).mean()))
 
 
 def _silverman(v: np.ndarray) -> float:
@@ -215,8 +344,9 @@ def _silverman(v: np.ndarray) -> float:
 def kde_scores(star_patch: DataFrame, good: DataFrame, cfg: DetectConfig) -> DataFrame:
     """Ratio of kernel densities fitted to the signal region and to its sideband, at the region's stars.
 
-    A patch is read once and all its regions are scored in one grouped call; the
-    group is a patch, so its size is bounded by the sky, not by the survey.
+    A task holds the stars of one patch, seven numbers each, and scores some of
+    its regions: they are dealt to as many tasks as KDE_PAIRS pairs of stars in
+    each make. Memory is that of the patch's stars and of KERNELS kernel values.
     """
     step, width, low = cfg.sr_step, cfg.sr_width, cfg.pm_min
 
@@ -229,17 +359,17 @@ def kde_scores(star_patch: DataFrame, good: DataFrame, cfg: DetectConfig) -> Dat
             start = low + i * step
             inside = (pms[:, axis] >= start) & (pms[:, axis] < start + width)
             x = np.column_stack([base, mus[:, axis]])
-            dens = []
-            for data in (x[inside], x[~inside]):
-                h = np.array([max(_silverman(data[:, 0]), 2.0), max(_silverman(data[:, 1]), 2.0), _silverman(data[:, 2])])
-                dens.append(_kernel(x[inside], data, np.maximum(h, 1e-10)))
+            dens = [kernel_density(x[inside], data, kernel_bandwidths(data)[0]) for data in (x[inside], x[~inside])]
             ratio = np.where(dens[1] > 1e-300, dens[0] / np.maximum(dens[1], 1e-300), np.where(dens[0] > 1e-300, 1e10, 1.0))
             parts.append(pd.DataFrame({"patch_id": g.patch_id.iloc[0], "axis": axis, "i": i, "star_id": stars.star_id[inside], "score": ratio}))
         return pd.concat(parts) if parts else pd.DataFrame({"patch_id": [], "axis": [], "i": [], "star_id": [], "score": []})
 
-    rich = good.where(F.col("n_sb") >= MIN_SIDEBAND).groupBy("patch_id").agg(F.sort_array(F.collect_list(F.array("axis", "i"))).alias("regions"))
+    rich = good.where(F.col("n_sb") >= MIN_SIDEBAND)
+    work = rich.groupBy("patch_id").agg(F.ceil(F.sum(F.col("n_sr") * (F.col("n_sr") + F.col("n_sb"))) / KDE_PAIRS).cast("int").alias("_tasks"))
+    dealt = rich.join(work, "patch_id").withColumn("_task", F.pmod(F.xxhash64("axis", "i"), F.greatest("_tasks", F.lit(1))).cast("int"))
+    regions = dealt.groupBy("patch_id", "_task").agg(F.sort_array(F.collect_list(F.array("axis", "i"))).alias("regions"))
     narrow = star_patch.select("patch_id", "star_id", "pmra", "pmdec", "phi", "lam", "mu_phi", "mu_lam")
-    return narrow.join(rich, "patch_id").groupBy("patch_id").applyInPandas(score, "patch_id int, axis int, i int, star_id long, score double")
+    return narrow.join(regions, "patch_id").groupBy("patch_id", "_task").applyInPandas(score, "patch_id int, axis int, i int, star_id long, score double")
 
 
 def score(star_patch: DataFrame, good: DataFrame, cfg: DetectConfig, method: str = "knn") -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,37 +28,42 @@ def combine_lines(lines: DataFrame, keys: list[str], order: str) -> DataFrame:
     return lines.groupBy(*keys).agg(mean("theta").alias("theta"), mean("rho").alias("rho"), F.sqrt(F.sum(w * w)).alias("sigma"))
 
 
+def _best_line(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, threshold: float, iterations: int) -> tuple[int, float, float]:
+    """Inliers, angle and offset of the best of ``iterations`` lines through random pairs of points, all tried together."""
+    a = rng.integers(0, len(x), iterations)
+    b = (a + rng.integers(1, len(x), iterations)) % len(x)
+    dx, dy = x[b] - x[a], y[b] - y[a]
+    some = np.hypot(dx, dy) >= 1e-10
+    if not some.any():
+        return 0, 0.0, 0.0
+    theta = np.arctan2(dx[some], -dy[some])
+    rho = x[a[some]] * np.cos(theta) + y[a[some]] * np.sin(theta)
+    inliers = (np.abs(np.cos(theta)[:, None] * x + np.sin(theta)[:, None] * y - rho[:, None]) <= threshold).sum(axis=1)
+    best = int(inliers.argmax())
+    return int(inliers[best]), float(theta[best]), float(rho[best])
+
+
 def ransac_lines(points: DataFrame, keys: list[str], threshold: float, iterations: int, seed: int = 1, x: str = "phi", y: str = "lam") -> DataFrame:
     """For each group, of ``iterations`` random pairs the line of most inliers; the earliest wins a tie.
 
     A seed drawn from the group's keys makes reruns agree. Groups of fewer than
-    two points, or whose pairs all coincide, give no row. A group is held by one
-    task; groups here are cells, of max_roi_stars points at most.
+    two points, or whose pairs all coincide, give no row. A group travels as
+    two lists, so it should be bounded; groups here are cells, of
+    max_roi_stars points at most.
     """
-    import zlib
-
-    import numpy as np
-    import pandas as pd
-
-    def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        xy = group.sort_values([x, y])[[x, y]].to_numpy()
-        rng = np.random.default_rng([seed, zlib.crc32(repr(key).encode())])
-        best = (0, 0.0, 0.0)
-        if len(xy) > 1:
-            for _ in range(iterations):
-                a, b = xy[rng.choice(len(xy), 2, replace=False)]
-                d = b - a
-                norm = np.hypot(*d)
-                if norm < 1e-10:
-                    continue
-                theta = np.arctan2(d[0], -d[1])
-                rho = a[0] * np.cos(theta) + a[1] * np.sin(theta)
-                inliers = int((np.abs(xy @ (np.cos(theta), np.sin(theta)) - rho) <= threshold).sum())
-                if inliers > best[0]:
-                    best = (inliers, float(theta), float(rho))
-        rows = [(*key, *best)] if best[0] else []
-        return pd.DataFrame(rows, columns=[*keys, "inliers", "theta", "rho"])
+    pairs = F.sort_array(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))))
+    lists = points.groupBy(*keys).agg(pairs.alias("_p")).where(F.size("_p") > 1).select(*keys, F.xxhash64(*keys).alias("_seed"), F.col("_p.x").alias("_x"), F.col("_p.y").alias("_y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, n = [], len(keys)
+            for i in range(batch.num_rows):
+                xs, ys = (np.asarray(batch.column(n + k)[i].values) for k in (1, 2))
+                own.append(_best_line(xs, ys, np.random.default_rng([seed, batch.column(n)[i].as_py() % 2**64]), threshold, iterations))
+            found = pa.array([r[0] > 0 for r in own])
+            columns = [pa.array([r[k] for r in own], t) for k, t in enumerate((pa.int32(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(n)), *columns], [*keys, "inliers", "theta", "rho"]).filter(found)
 
     kinds = dict(points.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", inliers int, theta double, rho double"
-    return points.select(*keys, x, y).groupBy(*keys).applyInPandas(fit, schema)
+    return lists.mapInArrow(run, schema)

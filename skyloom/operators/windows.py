@@ -42,11 +42,15 @@ def gate_srs(counts: DataFrame, cfg: DetectConfig) -> DataFrame:
     return counts.where(F.col("n_sr").between(cfg.min_stars_sr, cfg.max_stars_sr))
 
 
-def sideband_members(star_patch: DataFrame, patch_id: int, axis: int, i: int, cfg: DetectConfig) -> DataFrame:
-    """Stars of a patch outside one signal region."""
-    start = cfg.pm_min + i * cfg.sr_step
-    pm = F.col("pmra" if axis == 0 else "pmdec")
-    return star_patch.where((F.col("patch_id") == patch_id) & ~((pm >= start) & (pm < start + cfg.sr_width)))
+def sideband_members(star_patch: DataFrame, regions: DataFrame, cfg: DetectConfig) -> DataFrame:
+    """A row for each star of a patch outside each of the given regions (patch_id, axis, i) of the patch.
+
+    These are stars times regions, so ask for the regions that are looked at;
+    scores do without these rows.
+    """
+    start = F.lit(cfg.pm_min) + F.col("i") * cfg.sr_step
+    pm = F.when(F.col("axis") == 0, F.col("pmra")).otherwise(F.col("pmdec"))
+    return star_patch.join(regions.select("patch_id", "axis", "i"), "patch_id").where(~((pm >= start) & (pm < start + cfg.sr_width)))
 
 
 def cells(star_patch: DataFrame, cfg: DetectConfig) -> DataFrame:

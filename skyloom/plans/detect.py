@@ -36,7 +36,8 @@ class Detection:
 def project(stars: DataFrame, cfg: DetectConfig, patches: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Patches, and the stars of patches that are full enough."""
     patches = patches_frame(stars.sparkSession, patch_grid(cfg)) if patches is None else patches
-    return patches, gate_patches(assign_patches(sky_cuts(stars, cfg), patches, cfg.patch_radius), cfg.min_stars_patch)
+    near = staged(assign_patches(sky_cuts(stars, cfg), patches, cfg.patch_radius), "star_patch")  # the gate and all further steps read it
+    return patches, gate_patches(near, cfg.min_stars_patch)
 
 
 def find_rois(star_patch: DataFrame, cfg: DetectConfig) -> tuple[DataFrame, DataFrame]:
@@ -54,7 +55,6 @@ def detect(stars: DataFrame, cfg: DetectConfig | None = None, scorer: str | None
     """
     cfg = cfg or DetectConfig()
     patches, star_patch = project(stars, cfg, patches)
-    star_patch = staged(star_patch, "star_patch")
     held, rois = find_rois(star_patch, cfg)
     rois = staged(rois, "rois")
     # only cells that hold a region are needed from here

@@ -260,7 +260,17 @@ def q_alias_export(spark, sf_dir):
 # ---- patches and windows
 
 
-@register(f"WITH {_patch_values()} SELECT patch_id, {rounded('center_ra', 'center_dec', 'center_l', 'center_b')} FROM patches")
+_GRID_L, _GRID_B = sql_galactic("ra", "dec")
+# the grid by recursion in SQL, in the order of rows and places; what reaches the catalogue's box is compared
+GRID = f"""d(dec) AS (SELECT -80.0::double UNION ALL SELECT dec + {1.5 * CFG.patch_radius!r} FROM d WHERE dec + {1.5 * CFG.patch_radius!r} <= 80),
+g(dec, ra, w) AS (SELECT dec, 0.0::double, {1.5 * CFG.patch_radius!r}/greatest(cos(dec*3.14159265/180.0), 0.1) FROM d UNION ALL SELECT dec, ra + w, w FROM g WHERE ra + w < 360),
+kept AS (SELECT dec AS center_dec, ra AS center_ra, {_GRID_L} AS center_l, {_GRID_B} AS center_b FROM g
+ WHERE abs({_GRID_B}) >= 20 AND {sql_sep('ra', 'dec', '80', '-69')} >= 10 AND {sql_sep('ra', 'dec', '13', '-73')} >= 5),
+grid AS (SELECT cast(row_number() OVER (ORDER BY center_dec, center_ra) - 1 AS int) AS patch_id, * FROM kept)"""
+
+
+@register(f"""WITH RECURSIVE {GRID} SELECT patch_id, {rounded('center_ra', 'center_dec', 'center_l', 'center_b')} FROM grid
+WHERE center_ra BETWEEN 176 - {2 * (CFG.patch_radius + 0.01)} AND 184 + {2 * (CFG.patch_radius + 0.01)} AND center_dec BETWEEN 46 - {CFG.patch_radius + 0.01} AND 54 + {CFG.patch_radius + 0.01}""")
 def q_patch_grid(spark, sf_dir):
     return demo_patches(spark).select("patch_id", r6("center_ra"), r6("center_dec"), r6("center_l"), r6("center_b"))
 
@@ -297,6 +307,22 @@ def q_roi_subsample(spark, sf_dir):
     return windows.cells(projected(spark, sf_dir), replace(CFG, max_roi_stars=8)).select("patch_id", "p", "q", "star_id", "n", "ordinal")
 
 
+@register(f"""WITH {SR}, best AS (SELECT patch_id, arg_max({{'axis': axis, 'i': i}}, n_sr*1000 - i*2 - axis) AS b FROM good GROUP BY patch_id)
+SELECT patch_id, b.axis AS axis, b.i AS i, star_id FROM sp JOIN best USING (patch_id)
+WHERE NOT (CASE WHEN b.axis = 0 THEN pmra ELSE pmdec END >= -30 + 0.25*b.i AND CASE WHEN b.axis = 0 THEN pmra ELSE pmdec END < -29.5 + 0.25*b.i)""")
+def q_sideband_members(spark, sf_dir):
+    sp = projected(spark, sf_dir)
+    good = windows.gate_srs(windows.sr_counts(sp, CFG), CFG)
+    best = good.groupBy("patch_id").agg(F.max_by(F.struct("axis", "i"), F.col("n_sr") * 1000 - F.col("i") * 2 - F.col("axis")).alias("b")).select("patch_id", "b.axis", "b.i")
+    return windows.sideband_members(sp, best, CFG).select("patch_id", "axis", "i", "star_id")
+
+
+@register(f"WITH {SR} SELECT patch_id, axis, i, star_id, round(phi, 6) AS x, round(lam, 6) AS y, round(mu, 6) AS z FROM sr")
+def q_features(spark, sf_dir):
+    held = windows.sr_members(projected(spark, sf_dir), CFG).withColumn("f", density.features())
+    return held.select("patch_id", "axis", "i", "star_id", *[r6(F.col("f")[k], n) for k, n in enumerate("xyz")])
+
+
 # ---- lines
 
 
@@ -519,6 +545,24 @@ def q_merge_edges(spark, sf_dir):
     return clusters.merge_edges(bridge, stars, CFG)
 
 
+# two patches that lie close together, so that they share enough of the stream's stars to merge
+CLOSE = [(0, 179.5, 49.8, 0.0, 0.0), (1, 179.9, 50.0, 0.0, 0.0)]
+_CLOSE = "patches(patch_id, center_ra, center_dec, center_l, center_b) AS (VALUES " + ", ".join(f"({p}, '{a}'::double, '{d}'::double, 0.0::double, 0.0::double)" for p, a, d, _, _ in CLOSE) + ")"
+
+
+@register(f"WITH RECURSIVE {STREAMS.replace(_patch_values(), _CLOSE)} SELECT src, dst FROM medge")
+def q_close_merge_edges(spark, sf_dir):
+    run = detect(demo_stars(spark, sf_dir), CFG, None, patches.patches_frame(spark, CLOSE))
+    _, bridge = clusters.protostreams(run.clusters, run.cluster_stars, CFG)
+    return clusters.merge_edges(bridge, run.cluster_stars, CFG)
+
+
+@register(f"WITH RECURSIVE {CANDIDATES.replace(_patch_values(), _CLOSE)} SELECT candidate_id, candidate, n_protostreams, n_stars, {rounded('significance', 'mean_ra', 'mean_dec')} FROM cand")
+def q_merged_candidates(spark, sf_dir):
+    run = detect(demo_stars(spark, sf_dir), CFG, None, patches.patches_frame(spark, CLOSE))
+    return run.candidates.select("candidate_id", "candidate", "n_protostreams", "n_stars", *[r6(c) for c in ("significance", "mean_ra", "mean_dec")])
+
+
 _CAND = ["significance", "mean_ra", "mean_dec", "mean_pmra", "mean_pmdec", "mean_l", "mean_b"]
 
 
@@ -565,7 +609,9 @@ def q_hstack(spark, sf_dir):
     return prep.hstack(left, right, ["o_orderkey"], ["event_id"])
 
 
-@register(f"WITH {STARS} SELECT round(avg((star_id % 3 = 0)::int), 6) AS overlap FROM stars")
+@register(f"""WITH {STARS}, moved AS (SELECT ra + 4e-7 AS ra2, dec AS dec2 FROM stars WHERE star_id % 3 = 0),
+hit AS (SELECT DISTINCT star_id FROM stars JOIN moved ON abs(ra - ra2) < 1e-6 AND abs(dec - dec2) < 1e-6)
+SELECT round((SELECT count(*) FROM hit)/(SELECT count(*) FROM stars), 6) AS overlap""")
 def q_position_overlap(spark, sf_dir):
     stars = demo_stars(spark, sf_dir)
     moved = stars.where("star_id % 3 = 0").withColumn("ra", F.col("ra") + 4e-7)

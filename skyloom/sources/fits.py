@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -83,27 +84,34 @@ class Layout:
                 size = repeat * np.dtype(FORMS[code][0]).itemsize
             else:
                 size = repeat * {"X": 1, "C": 8, "M": 16, "P": 8, "Q": 16}[code] if code != "X" else -(-repeat // 8)
-            if code == "A" or (code in FORMS and repeat == 1):
-                self.columns.append((cards[f"TTYPE{i}"], code, offset, repeat, float(cards.get(f"TSCAL{i}", 1)), float(cards.get(f"TZERO{i}", 0))))
+            if (code == "A" or code in FORMS) and repeat > 0:
+                none = cards.get(f"TNULL{i}")
+                self.columns.append((cards[f"TTYPE{i}"], code, offset, repeat, float(cards.get(f"TSCAL{i}", 1)), float(cards.get(f"TZERO{i}", 0)), None if none is None else int(none)))
             offset += size
 
     def schema(self) -> str:
-        return ", ".join(f"`{n}` {'string' if c == 'A' else 'double' if (s, z) != (1, 0) else FORMS[c][2]}" for n, c, _, _, s, z in self.columns)
+        def kind(code: str, repeat: int, scaled: bool) -> str:
+            one = "string" if code == "A" else "double" if scaled else FORMS[code][2]
+            return one if code == "A" or repeat == 1 else f"array<{one}>"
+
+        return ", ".join(f"`{n}` {kind(c, r, (s, z) != (1, 0))}" for n, c, _, r, s, z, _ in self.columns)
 
     def decode(self, data: bytes) -> pa.RecordBatch:
         rows = np.frombuffer(data, np.uint8).reshape(-1, self.width)
         out = []
-        for _, code, at, repeat, scale, zero in self.columns:
-            kind = f"S{repeat}" if code == "A" else FORMS[code][0]
-            raw = np.ascontiguousarray(rows[:, at : at + np.dtype(kind).itemsize]).view(kind).ravel()
+        for _, code, at, repeat, scale, zero, none in self.columns:
+            kind, many = (f"S{repeat}", 1) if code == "A" else (FORMS[code][0], repeat)
+            raw = np.ascontiguousarray(rows[:, at : at + many * np.dtype(kind).itemsize]).view(kind).ravel()
+            gone = None if none is None or code not in "BIJK" else raw == none
             if code == "A":
-                out.append(pa.array([x.decode("ascii", "replace").rstrip() for x in raw.tolist()], pa.string()))
+                flat = pa.array([x.decode("ascii", "replace").rstrip() for x in raw.tolist()], pa.string())
             elif code == "L":
-                out.append(pa.array(raw == b"T"))
+                flat = pa.array(raw == b"T", mask=raw == b"\0")
             elif (scale, zero) != (1, 0):
-                out.append(pa.array(raw.astype(np.float64) * scale + zero))
+                flat = pa.array(raw.astype(np.float64) * scale + zero, mask=gone)
             else:
-                out.append(pa.array(raw.astype(raw.dtype.newbyteorder("=")), FORMS[code][1]))
+                flat = pa.array(raw.astype(raw.dtype.newbyteorder("=")), FORMS[code][1], mask=gone)
+            out.append(flat if many == 1 else pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * many), flat))
         return pa.RecordBatch.from_arrays(out, [c[0] for c in self.columns])
 
 
@@ -132,7 +140,12 @@ class FitsReader(DataSourceReader):
 
 
 class FitsDataSource(DataSource):
-    """``spark.read.format("fits").option("hdu", 2).load(path)``: scalar and text columns of a binary table."""
+    """``spark.read.format("fits").option("hdu", 2).load(path)``: columns of a binary table.
+
+    Numbers, logicals and texts; several of them in a cell are an array, and a
+    column's null number (TNULL) and undefined logicals are null. Bit, complex
+    and variable-length columns are left out.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -145,6 +158,12 @@ class FitsDataSource(DataSource):
         return FitsReader(self.options)
 
 
+def row_number() -> Column:
+    """A row's place in the table, from 0, right behind read_fits: tasks hold ranges of ROWS_A_PART rows in order."""
+    seen = F.monotonically_increasing_id()
+    return F.shiftright(seen, 33) * ROWS_A_PART + seen.bitwiseAND(F.lit((1 << 33) - 1))
+
+
 def read_fits(spark: SparkSession, path: str, hdu: int = 2) -> DataFrame:
     spark.dataSource.register(FitsDataSource)
     return spark.read.format("fits").option("hdu", str(hdu)).load(path)

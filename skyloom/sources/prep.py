@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from skyloom.functions.angles import flux_magnitude, flux_magnitude_error, is_finite
 from skyloom.operators.ordinal import global_ordinal
+from skyloom.sources.catalog import ALIASES
+from skyloom.sources.fits import read_fits, row_number
 
 
 def hstack(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:
@@ -17,6 +19,42 @@ def hstack(left: DataFrame, right: DataFrame, left_order: list[str], right_order
     return a.join(b.select("_row", *[c for c in right.columns if c.lower() not in names]), "_row").drop("_row")
 
 
+def stacked_hdus(spark: SparkSession, path: str, hdus: tuple[int, ...], distances: str | None = None, distance_hdu: int = 2) -> DataFrame:
+    """The tables of several HDUs of a FITS file side by side, row by row, and those of a second file behind them.
+
+    Of clashing names the first column stays. Rows meet by their number, which
+    each task knows from its range, so no table is sorted.
+    """
+    parts = [read_fits(spark, path, h) for h in hdus] + ([read_fits(spark, distances, distance_hdu)] if distances else [])
+    out, names = None, set()
+    for part in parts:
+        own = [c for c in part.columns if c.lower() not in names]
+        names |= {c.lower() for c in own}
+        part = part.select(*[F.col(f"`{c}`") for c in own], row_number().alias("_row"))
+        out = part if out is None else out.join(part, "_row")
+    return out.drop("_row")
+
+
+def prepared_catalogue(spark: SparkSession, path: str, hdus: tuple[int, ...], distances: str | None = None, names: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """From FITS tables to rows for export: stack, keep good stars, add magnitudes and colours, project by aliases."""
+    rows = stacked_hdus(spark, path, hdus, distances)
+    there = {c.lower() for c in rows.columns}
+    if {"rvs_warn", "rr_spectype"} <= there:
+        rows = good_stars(rows)
+    bands = tuple(b for b in ("g", "r", "z") if {f"flux_{b}", f"flux_ivar_{b}"} <= there)
+    rows = with_magnitudes(rows, bands) if bands else rows
+    aliases = {k: (*v, k) for k, v in ALIASES.items()} | {"g_mag": ("g_mag", *ALIASES["g_mag"]), "g_r": ("g_r",), "r_z": ("r_z",)}
+    return export_rows(rows, names or aliases)
+
+
+def convert_catalogue(spark: SparkSession, source: str, target: str, hdu: int = 2, limit: int | None = None) -> DataFrame:
+    """A FITS table's rows with finite motions as CSV files with a header; returns what was written."""
+    rows = finite_motion(read_fits(spark, source, hdu), limit)
+    flat = rows.select(*[c for c, kind in rows.dtypes if not kind.startswith("array")])
+    flat.write.mode("overwrite").csv(target, header=True)
+    return spark.read.csv(target, header=True)
+
+
 def with_magnitudes(df: DataFrame, bands: tuple[str, ...] = ("g", "r", "z")) -> DataFrame:
     """Magnitudes and errors of flux_<band> and flux_ivar_<band>, and the colours g-r and r-z."""
     for b in bands:

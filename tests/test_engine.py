@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyloom.config import DetectConfig
+from skyloom.functions import angles
 from skyloom.operators import clusters, density, lines, patches, windows
 from skyloom.operators.graph import connected_components
 from skyloom.operators.ordinal import global_ordinal
@@ -237,6 +238,168 @@ def test_synthetic(spark):
     assert sorted((r["star_id"], r["coverage"]) for r in twice) == sorted([(k, v) for k, v in cover.items()] * 2)
 
 
+def test_kth_squares_equal_all_pairs(monkeypatch):
+    """The k-d tree gives the same float32 squares as comparing all, also for clumps and repeated points."""
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(density, "BRUTE", 10)
+    for pts in (rng.random((3000, 3)), np.concatenate([rng.random((500, 3)) * 1e-3, rng.random((400, 3)), np.tile(rng.random(3), (300, 1))]), np.zeros((200, 2)), rng.random((700, 1))):
+        pts = pts.astype(np.float32)
+        for place in (1, 15):
+            want = np.partition(density._squares(pts, pts), place, axis=1)[:, place]
+            assert (density.kth_squares(pts, place) == want).all()
+
+
+def test_large_region_in_bounded_memory():
+    """A region of the most stars that pass the gate, in far less than all pairs."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    pts = np.concatenate([rng.random((50_000, 3)), 0.5 + 1e-3 * rng.standard_normal((50_000, 3))]).astype(np.float32)
+    tracemalloc.start()
+    found = density.kth_squares(pts, 15)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    for i in (0, 777, 60_000):
+        assert found[i] == np.partition(density._squares(pts[i : i + 1], pts)[0], 15)[15]
+
+
+def test_kernel_density_equals_plain_sums():
+    rng = np.random.default_rng(7)
+    data, asks = rng.normal(0, 3, (400, 3)), rng.normal(0, 4, (60, 3))
+    asks[0, 2] = 90.0  # far from all data
+    for h in (np.array([2.0, 2.0, 0.2]), 0.7):
+        width = np.broadcast_to(h, 3)
+        want = [np.mean([np.prod(np.exp(-0.5 * ((a - d) / width) ** 2) / (width * np.sqrt(2 * np.pi))) for d in data]) for a in asks]
+        assert np.allclose(density.kernel_density(asks, data, h), want, rtol=1e-8, atol=1e-290)
+    h, one = density.kernel_bandwidths(data)
+    assert len(h) == 3 and h[0] >= 2 and h[1] >= 2 and one == pytest.approx(np.prod(h) ** (1 / 3))
+
+
+def test_scores_with_distance_and_velocity(spark):
+    """Third axes of the neighbour score against plain loops; histogram scores against counting every star in every region."""
+    rng = np.random.default_rng(8)
+    n = 260
+    rows = [(0, i, float(rng.uniform(-0.4, 0.4)), float(rng.uniform(-3, 3)), *map(float, rng.uniform(-1.7, 1.7, 2)), *map(float, rng.normal(0, 1, 2)), float(rng.choice([0.0, 50.0, -80.0])), float(rng.choice([0.0, 5.0, 20.0]))) for i in range(n)]
+    sp = spark.createDataFrame(rows, "patch_id int, star_id long, pmra double, pmdec double, phi double, lam double, mu_phi double, mu_lam double, rv double, distance double")
+    for use_d, use_v in ((True, False), (False, True), (True, True)):
+        cfg = DetectConfig(use_distance=use_d, use_rv=use_v)
+        good = windows.gate_srs(windows.sr_counts(sp, cfg), cfg)
+        got = {(r["axis"], r["i"], r["star_id"]): r["score"] for r in density.knn_scores(sp, good, cfg).collect()}
+        axis, i = 0, 119
+        own = [r for r in rows if -30 + 0.25 * i <= r[2] < -29.5 + 0.25 * i]
+        x = np.array([[r[4], r[5]] for r in own])
+        x = (x - x.mean(axis=0)) / np.maximum(np.sqrt(x.var(axis=0)), 2.0)
+        z = []
+        for use, col, ok in ((use_d, 9, lambda v: (v > 0.1) & (v < 500)), (use_v, 8, lambda v: (abs(v) > 0.001) & (abs(v) < 1000))):
+            v = np.array([r[col] for r in own])
+            if use:
+                z.append(np.where(ok(v), (v - v[ok(v)].mean()) / v[ok(v)].std(), 0.0))
+        third = np.sqrt(z[0] ** 2 + z[1] ** 2) / np.sqrt(2) if len(z) == 2 else z[0]
+        full = np.column_stack([x, third])
+        d = np.sqrt(((full[:, None] - full[None]) ** 2).sum(axis=2))
+        k = max(3, min(15, len(own) // 2))
+        r = np.maximum(np.sort(d, axis=1)[:, min(k, len(own) - 1)], 0.01)
+        want = (r.mean() - r) / np.sqrt(max((r * r).mean() - r.mean() ** 2, 1e-300))
+        assert np.allclose([got[axis, i, o[1]] for o in own], want, atol=1e-3)
+    cfg = CFG
+    good = windows.gate_srs(windows.sr_counts(sp, cfg), cfg)
+    hist = {(r["axis"], r["i"], r["star_id"]): r["score"] for r in density.histogram_scores(sp, good, cfg).collect()}
+    assert {(a, i) for a, i, _ in hist} == {(r["axis"], r["i"]) for r in good.where("n_sb >= 100").collect()}
+    for axis, i in sorted({(a, i) for a, i, _ in hist})[::5]:
+        inside = [-30 + 0.25 * i <= r[2 + axis] < -29.5 + 0.25 * i for r in rows]
+        x = np.array([[r[4], r[5], r[7 - axis]] for r in rows])
+        side = x[~np.array(inside)]
+        low, high = side.min(axis=0), side.max(axis=0)
+        bins = np.clip(np.floor((x - (low - 0.1 * (high - low))) / (1.2 * (high - low) / 10)), 0, 9).astype(int)
+        for k in np.flatnonzero(inside)[:7]:
+            same = (bins == bins[k]).all(axis=1)
+            a, b = (same & inside).sum(), (same & ~np.array(inside)).sum()
+            want = ((a + 1) / (sum(inside) + 100_000)) / ((b + 1) / (n - sum(inside) + 100_000))
+            assert hist[axis, i, k] == pytest.approx(want)
+
+
+def test_caps_and_turned_lines(spark):
+    cells = [(1, p, 0, p * 10 + k, k, 0.1, 0.1, 0.1, 0.1, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0) for p in range(2) for k in range(8)]
+    held = spark.createDataFrame(cells, "patch_id int, p int, q int, star_id long, ordinal int, ra double, dec double, pmra double, pmdec double, rv double, distance double, phi double, lam double, mu_phi double, mu_lam double, dist_from_center double")
+    lines_ = [(0, 3.0, 0.4), (1, 3.0 - math.pi, -0.4)]
+    rois = spark.createDataFrame([(1, p, 0, 0, p, 0, t, r, 9.0 - p, p) for p, t, r in lines_], "patch_id int, p int, q int, axis int, i int, j int, theta double, rho double, sigma double, roi long")
+    plain, _, all_stars = clusters.protoclusters(rois, held, CFG)
+    turned, _, few = clusters.protoclusters(rois, held, DetectConfig(wrap_safe=True, cluster_star_cap=5))
+    assert plain.count() == 1 and abs(plain.first()["theta"] - 3.0) > 1
+    assert turned.first()["theta"] == pytest.approx(3.0) and turned.first()["rho"] == pytest.approx(0.4)
+    assert all_stars.count() == 16 and few.count() == 5 and {r["star_id"] for r in few.collect()} == set(range(5))
+
+
+def test_generators_and_truth(spark, tmp_path):
+    tube = synth.Tube("t", 180.0, 50.0, (-8.0, 8.0), 0.3, -12.0, -3.0, 0.5, -150.0, 20.0, 10.0, 1.0, 300)
+    measured, truth = synth.scenario(spark, [tube], 2000, radius=6.0, error=0.02, clusters=[{"ra0": 181.0, "dec0": 51.0, "radius": 0.2, "pmra": 1.0, "pmdec": 2.0, "pm_sigma": 0.1, "n": 40}])
+    assert measured.count() == 2340 and truth.groupBy("stream_name").count().collect()[0]["count"] in (300, 40) and truth.count() == 340
+    assert truth.where("stream_name = 't'").agg(F.avg("pmra")).first()[0] == pytest.approx(-12, abs=0.2)
+    shift = measured.where("is_stream = 1").agg(F.avg("pmra")).first()[0] - truth.agg(F.avg("pmra")).first()[0]
+    assert 0 < abs(shift) < 0.5
+    sinks.write_truth(truth, str(tmp_path / "truth"))
+    assert spark.read.csv(str(tmp_path / "truth"), header=True).count() == 340
+    for s in synth.SCENARIOS.values():
+        got = synth.photometric_stream(spark, s).agg(F.count("*"), F.avg("g_mag"), F.min("bp_rp"), F.max("bp_rp"), F.first("stream_name")).first()
+        assert got[0] == s.n and got[1] == pytest.approx(s.mag[0], abs=0.4) and 0.2 <= got[2] and got[3] <= 1.5 and got[4] == s.name
+    l, b = angles.galactic("ra", "dec")
+    sky = synth.photometric_background(spark, 3000).withColumn("b", b)
+    assert sky.count() == 3000 and sky.where("abs(b) < 20").count() == 0
+    tiles = spark.createDataFrame([(0, 180.0, 40.0, 1.5, 2), (1, 181.0, 40.0, 1.5, 1)], "tile int, tile_ra double, tile_dec double, radius double, passes int")
+    at = spark.createDataFrame([(0, 180.0, 40.0), (1, 181.5, 40.0), (2, 180.0, 41.4), (3, 10.0, 0.0)], "star long, ra double, dec double")
+    cover = {r["star"]: (r["coverage"], r["edge"]) for r in synth.survey_footprint(at, tiles).collect()}
+    assert cover[0] == (3, 1.0) and cover[1] == (3, 1.0) or cover[1][0] in (1, 3)
+    assert cover[2][0] == 2 and cover[2][1] == pytest.approx(1 - (1.4 / 1.5 - 0.8) / 0.2 * 0.7, abs=1e-6) and cover[3] == (0, 1.0)
+    field = synth.survey_background(spark, 4000, (176.0, 184.0), (36.0, 44.0))
+    kept = synth.accepted(synth.survey_footprint(field, tiles))
+    assert 0 < kept.count() < field.count()
+    for mode, names in synth.MODES.items():
+        assert synth.in_mode(kept, mode).columns == list(names)
+    assert synth.in_mode(kept, "full").where("parallax <= 0").count() == 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from skyloom.__main__ import main, parser
+
+    rng = np.random.default_rng(4)
+    rows = [(178 + 4 * rng.random(), -6 + 0.1 * rng.random(), 3 + 0.1 * rng.random()) for _ in range(260)]
+    text = [f"{ra},{50 + 0.3 * (ra - 180) + 0.02 * rng.standard_normal()},{a},{d},-100,0.1" for ra, a, d in rows]
+    text += [f"{177 + 6 * rng.random()},{48 + 4 * rng.random()},{rng.normal(0, 5)},{rng.normal(0, 5)},0,0.01" for _ in range(600)]
+    (tmp_path / "in.csv").write_text("ra,dec,pmra,pmdec,rv,parallax\n" + "\n".join(text) + "\n")
+    out = tmp_path / "out"
+    assert main([str(tmp_path / "in.csv"), "-o", str(out), "--ra-min", "177", "--ra-max", "183", "-s", "7.5", "-k", "10"]) == 0
+    found = (out / "stream_candidates.csv").read_text().splitlines()
+    assert len(found) > 1 and found[0].startswith("candidate_id,name,significance")
+    members = (out / "stream_001_stars.csv").read_text().splitlines()
+    assert len(members[0].split(",")) == 23 and len(members) > 100
+    scores = {line.split(",")[members[0].split(",").index("anomaly_score")] for line in members[1:]}
+    assert len(scores) > 10 and list((out / "patches").glob("*.csv")) and "Candidates:" in capsys.readouterr().out
+    assert main([str(tmp_path / "in.csv"), "-q", "--dec-min", "80"]) == 1
+    a = parser().parse_args(["x.fits", "-H", "--use-rv", "--sky-bandwidth", "3", "-p", "2"])
+    assert a.histogram and a.use_rv and (a.sky_bandwidth, a.patch_radius) == (3.0, 2.0)
+
+
+def test_fits_vectors_nulls_and_stacks(spark, tmp_path):
+    one, two = tmp_path / "one.fits", tmp_path / "two.fits"
+    one.write_bytes(fits.fits_table({"TARGET_RA": np.arange(9.0), "TARGET_DEC": np.arange(9.0), "PMRA": np.where(np.arange(9) == 4, np.nan, 1.0), "PMDEC": np.ones(9), "FLUX_G": np.full(9, 10.0), "FLUX_IVAR_G": np.ones(9), "RVS_WARN": np.arange(9) % 2, "RR_SPECTYPE": np.array([b"STAR"] * 9)}))
+    two.write_bytes(fits.fits_table({"DIST50": np.arange(9) * 2.0, "target_ra": np.zeros(9)}))
+    rows = prep.stacked_hdus(spark, str(one), (2,), str(two)).collect()
+    assert [(r["TARGET_RA"], r["DIST50"]) for r in sorted(rows, key=lambda r: r["TARGET_RA"])] == [(k, 2.0 * k) for k in range(9)]
+    ready = prep.prepared_catalogue(spark, str(one), (2,), str(two)).collect()
+    assert sorted((r["ra"], r["distance"]) for r in ready) == [(0, 0), (2, 4), (6, 12), (8, 16)] and ready[0]["g_mag"] == 20.0
+    assert prep.convert_catalogue(spark, str(one), str(tmp_path / "csv")).count() == 8 and prep.convert_catalogue(spark, str(one), str(tmp_path / "csv"), limit=3).count() == 3
+    # three numbers in a cell, and a null number
+    body = np.array([1, 2, 3, 4, -9, 6], ">i4").tobytes()
+    cards = [("XTENSION", "'BINTABLE'"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", 12), ("NAXIS2", 2), ("PCOUNT", 0), ("GCOUNT", 1), ("TFIELDS", 2), ("TTYPE1", "'PAIR'"), ("TFORM1", "'2J'"), ("TTYPE2", "'ONE'"), ("TFORM2", "'J'"), ("TNULL2", 6)]
+    head = "".join(f"{f'{k:<8}= {v}':<80}" for k, v in cards) + f"{'END':<80}"
+    first = "".join(f"{f'{k:<8}= {v}':<80}" for k, v in (("SIMPLE", "T"), ("BITPIX", 8), ("NAXIS", 0))) + f"{'END':<80}"
+    path = tmp_path / "v.fits"
+    path.write_bytes(first.ljust(2880).encode() + head.ljust(2880).encode() + body.ljust(2880, b"\0"))
+    got = fits.read_fits(spark, str(path)).collect()
+    assert [(list(r["PAIR"]), r["ONE"]) for r in got] == [([1, 2], 3), ([4, -9], None)]
+
+
 def test_position_overlap(spark):
     a = spark.createDataFrame([(1.0, 2.0), (3.0, 4.0), (5.0, 6.0), (5.0, 6.0)], "ra double, dec double")
     b = spark.createDataFrame([(1.0 + 4e-7, 2.0), (5.0, 6.0 - 4e-7), (3.0, 4.1)], "ra double, dec double")

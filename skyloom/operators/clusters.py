@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skyloom.config import DetectConfig
 from skyloom.functions.angles import dist_valid, galactic, lines_compatible, rv_valid
 from skyloom.operators.graph import connected_components
+from skyloom.session import staged
 
 
 def first_stats(members: DataFrame, keys: list[str], order: str, most: int) -> DataFrame:
@@ -86,7 +87,7 @@ def protoclusters(rois: DataFrame, cell_stars: DataFrame, cfg: DetectConfig, edg
     first cluster_star_cap of them where that is set.
     """
     edges = roi_edges(rois, cell_stars, cfg) if edges is None else edges
-    named = _labelled(rois, "roi", edges, "cluster")
+    named = staged(_labelled(rois, "roi", edges, "cluster"), "named")
     if cfg.wrap_safe:
         named = _turned(named)
     w = F.col("sigma")
@@ -101,7 +102,7 @@ def protoclusters(rois: DataFrame, cell_stars: DataFrame, cfg: DetectConfig, edg
         F.min(F.struct("first_roi", "ordinal")).alias("seen"),
         *[F.first(c).alias(c) for c in ("ra", "dec", "pmra", "pmdec", "rv", "distance", "phi", "lam", "mu_phi", "mu_lam", "dist_from_center")],
     )
-    stars = _first_rows(stars, "cluster", [F.col("seen"), F.col("star_id")], cfg.cluster_star_cap)
+    stars = staged(_first_rows(stars, "cluster", [F.col("seen"), F.col("star_id")], cfg.cluster_star_cap), "cluster_stars")
     motion = stars.groupBy("cluster").agg(
         F.count("*").alias("n_line_stars"), F.avg("mu_phi").alias("mean_mu_phi"), F.avg("mu_lam").alias("mean_mu_lam"),
         F.stddev_pop("mu_phi").alias("std_mu_phi"), F.stddev_pop("mu_lam").alias("std_mu_lam"),

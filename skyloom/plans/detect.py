@@ -42,7 +42,7 @@ def project(stars: DataFrame, cfg: DetectConfig, patches: DataFrame | None = Non
 
 def find_rois(star_patch: DataFrame, cfg: DetectConfig) -> tuple[DataFrame, DataFrame]:
     """Selected stars of all cells, and the significant regions of interest."""
-    held = cells(star_patch, cfg)
+    held = staged(cells(star_patch, cfg), "cells")  # lines and, later, members read it
     return held, roi_table(star_patch, cell_lines(held, cfg), cfg)
 
 
@@ -58,9 +58,9 @@ def detect(stars: DataFrame, cfg: DetectConfig | None = None, scorer: str | None
     held, rois = find_rois(star_patch, cfg)
     rois = staged(rois, "rois")
     # only cells that hold a region are needed from here
-    held = staged(held.join(rois.select("patch_id", "p", "q").distinct(), ["patch_id", "p", "q"], "left_semi"), "cells")
+    held = held.join(rois.select("patch_id", "p", "q").distinct(), ["patch_id", "p", "q"], "left_semi")
     clusters, _, cluster_stars = protoclusters(rois, held, cfg)
-    clusters, cluster_stars = staged(clusters, "clusters"), staged(cluster_stars, "cluster_stars")
+    clusters = staged(clusters, "clusters")
     streams, bridge = protostreams(clusters, cluster_stars, cfg)
     streams, bridge = staged(streams, "streams"), staged(bridge, "bridge")
     ranked, members = candidates(streams, bridge, cluster_stars, cfg)

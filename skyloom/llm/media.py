@@ -78,8 +78,10 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encode_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media, a progressive JPEG that holds the text's UTF-8 bytes without loss.
 
-    Null text counts as empty; an empty text has one unit of fill. Other
-    columns are ignored and an empty table gives an empty result.
+    Null text counts as empty; an empty text has one unit of fill; a text of any
+    length is one picture. Rows that repeat a doc_id or a text are pictures of
+    their own. Other columns are ignored, whatever their names, and an empty
+    table gives an empty result.
     """
     return small_batches(docs).select("doc_id", "text").mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
 

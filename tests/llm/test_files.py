@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 from skyloom.llm import progressive_jpeg as pj
 from skyloom.llm import warc
-from skyloom.llm.media import encode_media, jpeg_to_payload, media_digests, media_tensors, padded, payload_to_jpeg
+from skyloom.llm.media import encode_media, jpeg_to_payload, media_digests, media_tensors, padded, payload_to_jpeg, picture_feature
 from skyloom.llm.repair import LEAST, Shard, pack_shard, read_documents, read_token_shards, repair, write_token_shards
 from skyloom.llm.subwords import WordCachedTokenizer
 from skyloom.session import shared_path
@@ -176,6 +176,30 @@ def test_media_columns(spark):
     assert encode_media(df.where("doc_id > 99")).count() == 0
 
 
+def test_feature_by_plain_loops():
+    rng = np.random.default_rng(3)
+    for h, w in ((16, 16), (32, 48)):
+        rgb = rng.integers(0, 256, (h, w, 3)).astype(np.uint8)
+        grey = [[sum(int(v) for v in rgb[y, x]) for x in range(w)] for y in range(h)]
+        total, bits = sum(map(sum, grey)), ""
+        for i in range(8):
+            for j in range(8):
+                cell = [grey[y][x] for y in range(i * h // 8, (i + 1) * h // 8) for x in range(j * w // 8, (j + 1) * w // 8)]
+                bits += str(int(sum(cell) * h * w > total * len(cell)))
+        means = [sum(int(rgb[y, x, c]) for y in range(h) for x in range(w)) // (h * w) for c in range(3)]
+        assert picture_feature(rgb) == f"{int(bits, 2):016x}" + "".join(f"-{m}" for m in means)
+
+
+def test_very_long_repeated_and_clashing_media(spark):
+    long = "0123456789abcdef" * 200_000
+    df = spark.createDataFrame([(1, long, b"x", 7), (1, long, b"y", 8), (2, "short", None, None)], "doc_id long, text string, media binary, n_bytes int")
+    got = media_digests(encode_media(df)).collect()
+    assert len(got) == 3 and len({tuple(r) for r in got if r["doc_id"] == 1}) == 1
+    whole = padded(long.encode())
+    r = next(r for r in got if r["doc_id"] == 1)
+    assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(long), len(whole), hashlib.sha256(whole).hexdigest())
+
+
 # ---- token shards
 
 

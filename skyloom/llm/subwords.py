@@ -100,7 +100,7 @@ class WordCachedTokenizer:
         """Put the ids of words into the cache: letters and signs apart where that is the same."""
         known, whole, split, wide = self.cache, [], [], set()
         for w in fresh:
-            if self.bare is None:
+            if self.bare is None or (self.lowers and w != w.lower()):  # capitals beside what may be a special token
                 whole.append(w)
             elif w.isalpha():  # letters of one byte
                 wide.add(w)

@@ -207,7 +207,7 @@ def test_cached_words_equal_whole_texts():
     for path, prefix in ((WORDS, ""), (BYTES, " ")):
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = bool(prefix)
-        texts = [t or "" for t in ODD]
+        texts = [*(t or "" for t in ODD), "The CAT, <|endoftext|> Ab", "a<|b É Ab!", "  two  \n\t three\x0b\x0cfour "]
         if prefix:
             want = [[i for w in t.encode().lower().split() for i in tokenizer.encode(prefix + w.decode(), add_special_tokens=False).ids] for t in texts]
         else:

@@ -8,6 +8,8 @@ from array import array
 from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words that the cache keeps at most, and the longest that it keeps.
 CACHE_WORDS = 500_000
@@ -135,16 +137,29 @@ class WordCachedTokenizer:
         return cls._held[path, prefix]
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each text."""
-        split = [(t if b"<|" in t and not self.prefix else t.lower()).split() for t in texts]
-        words = set().union(*split)
+        """Ids of each text. Words are numbered, so that the cache is asked once for each distinct one of the run."""
+        data = [t if b"<|" in t and not self.prefix else t.lower() for t in texts]
+        ends = np.cumsum([0, *map(len, data)])
+        strings = pa.Array.from_buffers(pa.large_string(), len(data), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(data))])
+        split = pc.ascii_split_whitespace(strings)  # may give empty words at the ends
+        coded = split.values.dictionary_encode()
+        words, codes = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         if len(self.cache) > self.limit:  # what is frequent is in this run as well
-            self.cache = {w: self.cache[w] for w in words.intersection(self.cache)}
-        order = list(words.difference(self.cache))
+            self.cache = {w: self.cache[w] for w in words if w in self.cache}
+        self.cache[b""] = b""
+        spelled = list(map(self.cache.get, words))
+        order = [w for w, x in zip(words, spelled, strict=True) if x is None]
         if order:
             self._learn(order)
-        out = [np.frombuffer(b"".join(map(self.cache.__getitem__, s)), np.uint32) for s in split]
+            spelled = [self.cache[w] if x is None else x for w, x in zip(words, spelled, strict=True)]
         for w in order:
             if len(w) > CACHE_BYTES:
                 self.cache.pop(w, None)
-        return out
+        flat = np.frombuffer(b"".join(spelled), np.uint32)
+        sizes = np.fromiter(map(len, spelled), np.int64, len(spelled)) // 4
+        size = sizes[codes]
+        stop = np.cumsum(np.append(0, size))
+        kind = np.int32 if max(stop[-1], len(flat)) < 1 << 31 else np.int64
+        place = np.repeat(((np.cumsum(sizes) - sizes)[codes] - stop[:-1]).astype(kind), size)
+        place += np.arange(len(place), dtype=kind)
+        return np.split(flat[place], stop[split.offsets.to_numpy()[1:-1]]) if texts else []

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BATCH_BYTES = 8 << 20
 MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -36,6 +37,12 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def exactly(df: DataFrame, *names: str) -> DataFrame:
+    """The columns of exactly these names, even where others differ from them by case alone."""
+    df = df.toDF(*[c if c in names else f"_other{i}" for i, c in enumerate(df.columns)])
+    return df.select(*names)
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """Hold the session's Arrow batches to BATCH_BYTES, so that workers stay small whatever the rows are."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

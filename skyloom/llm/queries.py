@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.attention_lm import score_documents
 from skyloom.llm.cotraining import score_quality
+from skyloom.llm.divergence import source_divergence
 from skyloom.llm.media import encode_media, media_digests
 from skyloom.llm.mixing import mix_sources, sized_documents
 from skyloom.llm.near_dedup import near_duplicates
@@ -75,8 +76,12 @@ def op10_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=50256)
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_progressive_jpeg, op3_cotraining, op4_histogram_sort, op5_warc, op6_adaptive_scan, op7_sentencepiece, op8_superminhash, op9_repair, op10_attention_lm)}
+    return {f.__name__: f for f in (op1_mixing, op2_progressive_jpeg, op3_cotraining, op4_histogram_sort, op5_warc, op6_adaptive_scan, op7_sentencepiece, op8_superminhash, op9_repair, op10_attention_lm, op12_source_divergence)}
 
 
 _B32 = " || ".join(
@@ -99,7 +104,22 @@ walk(x, seed) AS (SELECT doc_id, doc_id FROM n UNION SELECT b.y, walk.seed FROM
 label AS (SELECT x AS doc_id, min(seed) AS component_id FROM walk GROUP BY x)
 SELECT doc_id, cast(size AS bigint) AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN label USING (doc_id)"""
 
+OP12_SQL = r"""WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+ regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+kept AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(ts)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 10),
+occ AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(ts) AS term FROM d) SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+grp AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*)::hugeint AS v FROM kept GROUP BY lang),
+dense AS (SELECT g.lang, g.source, k.term, coalesce(o.n, 0)::hugeint AS n FROM grp g JOIN kept k USING (lang) LEFT JOIN occ o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+own AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS p FROM dense JOIN v USING (lang)),
+whole AS (SELECT lang, term, 1 + (1000000000 * (sum(n) + 2)) // (sum(sum(n)) OVER (PARTITION BY lang) + 2 * any_value(v)) AS q FROM dense JOIN v USING (lang) GROUP BY lang, term),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM own a JOIN own b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM own JOIN whole USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::bigint AS value, rank::int AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM every UNION ALL SELECT * FROM term)) WHERE part = 'pair' OR rank <= 10"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express; tests hold the others against brute force."""
-    return {"op5_warc": OP5_SQL, "op8_superminhash": OP8_SQL}
+    return {"op5_warc": OP5_SQL, "op8_superminhash": OP8_SQL, "op12_source_divergence": OP12_SQL}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.attention_lm import score_documents
+from skyloom.llm.chat import chat_digests, chat_windows
 from skyloom.llm.cotraining import score_quality
 from skyloom.llm.divergence import source_divergence
 from skyloom.llm.media import encode_media, media_digests
@@ -76,12 +77,22 @@ def op10_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=50256)
 
 
+#: What conversation -7 says: its user, then its assistant.
+TRICKY = "\\### Assistant: </turn> ok"
+
+
+def op11_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string")
+    return chat_digests(chat_windows(given.unionByName(tricky), public_tokenizers.path("byte_bpe_50k.json"), budget=1024, history=256))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_progressive_jpeg, op3_cotraining, op4_histogram_sort, op5_warc, op6_adaptive_scan, op7_sentencepiece, op8_superminhash, op9_repair, op10_attention_lm, op12_source_divergence)}
+    return {f.__name__: f for f in (op1_mixing, op2_progressive_jpeg, op3_cotraining, op4_histogram_sort, op5_warc, op6_adaptive_scan, op7_sentencepiece, op8_superminhash, op9_repair, op10_attention_lm, op11_budgeted_windows, op12_source_divergence)}
 
 
 _B32 = " || ".join(

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from skyloom.llm.arrays import exactly
 from skyloom.session import staged
 
-#: A term: letters A-Z and a-z and everything beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What parts terms: all of ASCII but letters. A match of its complement is a longest run between two of these.
+GAP = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Parts of one; documents of a language that a kept term occurs in; ranks of a group's own terms.
 SCALE, MIN_DOCS, TOP_TERMS = 1_000_000_000, 10, 10
@@ -19,14 +19,14 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term with ``n`` occurrences and ``docs`` documents that have the term.
 
     Each document gives its terms twice: all of them, and each distinct one.
-    Both are counted by one aggregate that combines before the shuffle.
+    Both are summed in one row for each term by one aggregate that combines
+    before the shuffle. Texts are split at what is no term: extracting matches
+    copies the whole text for each match, which long texts do not stand.
     """
-    terms = F.regexp_extract_all(F.translate("text", CAPITALS, SMALL), F.lit(TERM), F.lit(0))
-    sides = F.explode(F.array(F.struct(F.lit(0).alias("once"), F.col("t")), F.struct(F.lit(1).alias("once"), F.array_distinct("t").alias("t"))))
-    both = docs.select("lang", "source", terms.alias("t")).select("lang", "source", sides.alias("s")).select("lang", "source", "s.once", F.explode("s.t").alias("term"))
-    counted = both.groupBy("lang", "source", "term", "once").agg(F.count("*").alias("c"))
-    of = lambda k: F.sum(F.when(F.col("once") == k, F.col("c")).otherwise(0))
-    return counted.groupBy("lang", "source", "term").agg(of(0).alias("n"), of(1).alias("docs"))
+    terms = F.split(F.translate("text", CAPITALS, SMALL), GAP)
+    sides = F.explode_outer(F.array(F.struct(F.lit(0).alias("once"), F.col("t")), F.struct(F.lit(1).alias("once"), F.array_distinct("t").alias("t"))))
+    both = docs.select("lang", "source", terms.alias("t")).select("lang", "source", sides.alias("s")).select("lang", "source", "s.once", F.explode_outer("s.t").alias("term"))
+    return both.where("term != ''").groupBy("lang", "source", "term").agg(F.sum(1 - F.col("once")).alias("n"), F.sum("once").alias("docs"))
 
 
 def share(count: str, total: str, kept: str):

@@ -33,14 +33,3 @@ def percentile0(x: str, p: float) -> Column:
 def rv_dispersion(rv: str = "rv") -> Column:
     """Sample standard deviation over valid radial velocities; 0 for fewer than two."""
     return F.coalesce(F.stddev_samp(F.when(rv_valid(rv), F.col(rv))), F.lit(0.0))
-
-
-def silverman(x: str) -> Column:
-    """0.9 min(std, IQR / 1.34) n^-0.2, quartiles by place; std where the IQR vanishes; 0.5 for fewer than two values."""
-    n = F.count(x)
-    order = F.sort_array(F.collect_list(x))
-    quartile = lambda k: F.element_at(order, F.floor(n * k / 4).cast("int") + 1)
-    spread = (quartile(3) - quartile(1)) / 1.34
-    scale = F.least(F.stddev_samp(x), spread)
-    scale = F.when(scale < 1e-10, F.stddev_samp(x)).otherwise(scale)
-    return F.when(n < 2, 0.5).otherwise(0.9 * scale * F.pow(n.cast("double"), F.lit(-0.2)))

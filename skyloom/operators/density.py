@@ -1,4 +1,4 @@
-"""Local over-density scores of stars in signal regions (A17 to A21, A23, J6 to J8)."""
+"""Local over-density scores of stars in signal regions (A17 to A21, A23)."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skyloom.config import DetectConfig
 from skyloom.functions.angles import dist_valid, rv_valid
+from skyloom.operators.knn import leaves, squares
 from skyloom.operators.windows import sr_members
 from skyloom.session import staged
 
@@ -17,14 +18,12 @@ MIN_SIDEBAND = 100
 BINS = 10
 #: Fixed value: the histogram's smoothing counts bins of five dimensions.
 SMOOTHING_BINS = 100_000
-#: Rows of a distance block, numbers of a block of kernel values, points of a leaf, and points that are compared with all.
-BLOCK, KERNELS, LEAF, BRUTE = 1024, 1 << 20, 64, 4096
+#: Rows of a distance block, numbers of a block of kernel values, and points that are compared with all.
+BLOCK, KERNELS, BRUTE = 1024, 1 << 20, 4096
 #: Bandwidths beyond which a kernel is below 1e-17 of its peak.
 SURELY = 9.0
 #: Pairs of stars whose kernels one task sums, about.
 KDE_PAIRS = 1_000_000_000
-#: Points and queries of one task, about, and pairs of them that are compared at a time.
-KNN_ROWS, KNN_PAIRS = 50_000, 1 << 22
 
 
 def other_motion(axis: str = "axis") -> Column:
@@ -40,31 +39,6 @@ def features() -> Column:
 # ---- nearest neighbours
 
 
-def _squares(queries: np.ndarray, points: np.ndarray, scale: list[float] | None = None) -> np.ndarray:
-    """Squared float32 distances, dimension by dimension."""
-    d = np.zeros((len(queries), len(points)), np.float32)
-    for k in range(points.shape[1]):
-        gap = queries[:, None, k] - points[None, :, k]
-        if scale:
-            gap *= np.float32(scale[k])
-        d += gap * gap
-    return d
-
-
-def _leaves(points: np.ndarray) -> list[np.ndarray]:
-    """Places of points in the leaves of a k-d tree, which halves at the median of the widest dimension."""
-    found, open_ = [], [np.arange(len(points))]
-    while open_:
-        own = open_.pop()
-        wide = np.ptp(points[own], axis=0)
-        if len(own) <= LEAF or not wide.any():
-            found += [own[at : at + LEAF] for at in range(0, len(own), LEAF)]
-            continue
-        order = np.argpartition(points[own, wide.argmax()], len(own) // 2)
-        open_ += [own[order[: len(own) // 2]], own[order[len(own) // 2 :]]]
-    return found
-
-
 def kth_squares(points: np.ndarray, place: int) -> np.ndarray:
     """Squared float32 distance of each point's ``place``-th nearest point (0: itself or its like).
 
@@ -76,19 +50,19 @@ def kth_squares(points: np.ndarray, place: int) -> np.ndarray:
     out = np.empty(n, np.float32)
     if n <= BRUTE:
         for at in range(0, n, BLOCK):
-            out[at : at + BLOCK] = np.partition(_squares(points[at : at + BLOCK], points), place, axis=1)[:, place]
+            out[at : at + BLOCK] = np.partition(squares(points[at : at + BLOCK], points), place, axis=1)[:, place]
         return out
-    leaves = _leaves(points)
-    low, high = (np.array([f(points[own], axis=0) for own in leaves], np.float64) for f in (np.min, np.max))
-    size = np.array([len(own) for own in leaves])
-    for k, own in enumerate(leaves):
+    dealt = leaves(points)
+    low, high = (np.array([f(points[own], axis=0) for own in dealt], np.float64) for f in (np.min, np.max))
+    size = np.array([len(own) for own in dealt])
+    for k, own in enumerate(dealt):
         apart = np.maximum(np.maximum(low - high[k], low[k] - high), 0)
         away = (apart * apart).sum(axis=1)
         order = np.argsort(away, kind="stable")
         enough = int(np.searchsorted(np.cumsum(size[order]), place + 1)) + 1
         while True:
-            near = np.concatenate([leaves[i] for i in order[:enough]])
-            kth = np.partition(_squares(points[own], points[near]), place, axis=1)[:, place]
+            near = np.concatenate([dealt[i] for i in order[:enough]])
+            kth = np.partition(squares(points[own], points[near]), place, axis=1)[:, place]
             reach = int(np.searchsorted(away[order], float(kth.max()) * (1 + 1e-5), side="right"))
             if reach <= enough:
                 break
@@ -145,71 +119,6 @@ def last_scores(scores: DataFrame) -> DataFrame:
     return scores.groupBy("patch_id", "star_id").agg(F.max_by("score", F.struct("i", "axis")).alias("score"))
 
 
-def _k_nearest(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int, scales: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Query places, ranks, point ids and squared distances of the k nearest points; ties go to the smaller id."""
-    parts = []
-    k = min(k, len(points))
-    rows = max(1, KNN_PAIRS // max(len(points), 1))
-    for at in range(0, len(queries), rows):
-        d = _squares(queries[at : at + rows], points, scales)
-        q, p = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k])
-        order = np.lexsort((ids[p], d[q, p], q))
-        q, p = q[order], p[order]
-        rank = np.arange(len(q)) - np.searchsorted(q, q)
-        q, p, rank = q[rank < k], p[rank < k], rank[rank < k]
-        parts.append((q + at, rank + 1, ids[p], d[q, p]))
-    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
-
-
-def _blocked(rows: DataFrame, keys: list[str], own: str, other: str, own_n: DataFrame, other_n: DataFrame) -> DataFrame:
-    """Rows with the number of their block, repeated for each block of the other side; groups decide how many there are."""
-    blocks = lambda c: F.greatest(F.ceil(F.coalesce(c, F.lit(0)) / KNN_ROWS), F.lit(1)).cast("int")
-    if keys:
-        sized = rows.join(own_n, keys, "left").join(other_n, keys, "left")
-    else:
-        sized = rows.crossJoin(own_n).crossJoin(other_n)  # a row each
-    dealt = sized.withColumn(own, F.pmod(F.xxhash64("id"), blocks(F.col(f"n{own}"))).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), blocks(F.col(f"n{other}")) - 1)))
-    return dealt.drop(f"n{own}", f"n{other}")
-
-
-def knn(points: DataFrame, queries: DataFrame, k: int, dims: list[str], keys: list[str] | None = None, scale: list[float] | None = None) -> DataFrame:
-    """The k nearest points of each query within a group, by scaled float32 distance; ties go to the smaller point id.
-
-    ``points`` has keys, point_id and dims; ``queries`` keys, query_id and
-    dims. A scale of 0 counts as 1. Groups with fewer than k points give all.
-    Groups of more than KNN_ROWS points or queries are compared block by block,
-    each block with each in a task of its own, and the finds of a query merged.
-    """
-    keys = keys or []
-    scales = [s or 1.0 for s in (scale or [1.0] * len(dims))]
-    kinds = dict(points.dtypes)
-    schema = "".join(f"{c} {kinds[c]}, " for c in keys) + "query_id long, rank int, point_id long, dist_sq double"
-    p = points.select(*keys, F.col("point_id").alias("id"), F.lit(False).alias("asks"), *dims)
-    q = queries.select(*keys, F.col("query_id").alias("id"), F.lit(True).alias("asks"), *dims)
-    p_n, q_n = p.groupBy(*keys).agg(F.count("*").alias("n_p")), q.groupBy(*keys).agg(F.count("*").alias("n_q"))
-    p, q = _blocked(p, keys, "_p", "_q", p_n, q_n), _blocked(q, keys, "_q", "_p", q_n, p_n)
-
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        held, asked = g[~g.asks], g[g.asks]
-        names = [*keys, "query_id", "rank", "point_id", "dist_sq"]
-        if not len(asked) or not len(held):
-            return pd.DataFrame({c: [] for c in names})
-        rows, rank, ids, d = _k_nearest(held[dims].to_numpy(np.float32), held.id.to_numpy(), asked[dims].to_numpy(np.float32), k, scales)
-        out = pd.DataFrame({"query_id": asked.id.to_numpy()[rows], "rank": rank, "point_id": ids, "dist_sq": d.astype(np.float64)})
-        for c, v in zip(keys, key, strict=False):
-            out[c] = v
-        return out[names]
-
-    found = q.unionByName(p).groupBy(*keys, "_p", "_q").applyInPandas(run, schema)
-    order = Window.partitionBy(*keys, "query_id").orderBy("dist_sq", "point_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def nearest(points: DataFrame, queries: DataFrame, dims: list[str], keys: list[str] | None = None, scale: list[float] | None = None) -> DataFrame:
-    """The nearest point of each query."""
-    return knn(points, queries, 1, dims, keys, scale).drop("rank")
-
-
 # ---- histogram
 
 

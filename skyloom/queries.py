@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skyloom.config import DetectConfig
 from skyloom.functions import angles, stats
-from skyloom.operators import clusters, cuts, density, hough, lines, patches, windows
+from skyloom.operators import clusters, cuts, density, hough, knn, lines, patches, selection, windows
 from skyloom.plans.detect import detect, find_rois
 from skyloom.sources import prep, sinks, synth
 from skyloom.sources.demo import demo_patches, demo_stars, near_patches
@@ -455,7 +455,7 @@ SELECT patch_id, axis, i, round(0.9*(CASE WHEN least(sd, iq) < 1e-10 THEN sd ELS
 def q_silverman(spark, sf_dir):
     sp = projected(spark, sf_dir)
     held = windows.sr_members(sp, CFG).join(windows.gate_srs(windows.sr_counts(sp, CFG), CFG), ["patch_id", "axis", "i"])
-    return held.groupBy("patch_id", "axis", "i").agg(F.round(stats.silverman("phi"), 6).alias("h"))
+    return selection.silverman_bandwidths(held, ["patch_id", "axis", "i"], "phi").withColumn("h", F.round("h", 6))
 
 
 _EMB = "e AS (SELECT vec_id, label, embedding[1] AS a, embedding[2] AS b, embedding[3] AS c FROM embeddings)"
@@ -466,7 +466,7 @@ _EMB = "e AS (SELECT vec_id, label, embedding[1] AS a, embedding[2] AS b, embedd
 SELECT label, query_id, cast(rank AS int) AS rank, point_id, round(cast(d AS double), 6) AS dist_sq FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, point_id) AS rank FROM d) WHERE rank <= 5""")
 def q_knn_dist(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", F.col("vec_id").alias("point_id"), *[F.col("embedding")[k].alias(n) for k, n in enumerate("abc")])
-    return density.knn(e, e.withColumnRenamed("point_id", "query_id"), 5, ["a", "b", "c"], ["label"]).withColumn("dist_sq", F.round("dist_sq", 6))
+    return knn.knn(e, e.withColumnRenamed("point_id", "query_id"), 5, ["a", "b", "c"], ["label"]).withColumn("dist_sq", F.round("dist_sq", 6))
 
 
 @register("""WITH e AS (SELECT vec_id, label, embedding[1] AS a, embedding[2] AS b, embedding[3] AS c, embedding[4] AS x, embedding[5] AS y, embedding[6] AS z FROM embeddings),
@@ -477,7 +477,7 @@ def q_nearest_scaled(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     # two catalogues of all rows: one by the first three dimensions, the other by the next three
     at = lambda key, first: e.select("label", F.col("vec_id").alias(key), *[F.col("embedding")[first + k].alias(n) for k, n in enumerate("abc")])
-    return density.nearest(at("point_id", 0), at("query_id", 3), ["a", "b", "c"], ["label"], [1.0, 1.0, 0.5]).withColumn("dist_sq", F.round("dist_sq", 6))
+    return knn.nearest(at("point_id", 0), at("query_id", 3), ["a", "b", "c"], ["label"], [1.0, 1.0, 0.5]).withColumn("dist_sq", F.round("dist_sq", 6))
 
 
 # ---- statistics
@@ -486,11 +486,16 @@ def q_nearest_scaled(spark, sf_dir):
 @register("""SELECT o_custkey, round(coalesce(avg(o_totalprice), 0), 6) AS mean, round(coalesce(var_samp(o_totalprice), 0)/1e6, 4) AS variance_m, round(coalesce(stddev_samp(o_totalprice), 0), 4) AS std,
  round(median(o_totalprice), 6) AS median, round(quantile_cont(o_totalprice, 0.9), 6) AS p90, min(o_totalprice) AS p0 FROM orders GROUP BY o_custkey""")
 def q_stats(spark, sf_dir):
-    x = "o_totalprice"
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey").agg(
-        F.round(stats.mean0(x), 6).alias("mean"), F.round(stats.variance0(x) / 1e6, 4).alias("variance_m"), F.round(stats.std0(x), 4).alias("std"),
-        F.round(stats.median0(x), 6).alias("median"), F.round(stats.percentile0(x, 90), 6).alias("p90"), stats.percentile0(x, 0).alias("p0"),
-    )
+    found = selection.group_statistics(spark.read.parquet(f"{sf_dir}/orders.parquet"), ["o_custkey"], "o_totalprice", {"median": 50, "p90": 90, "p0": 0})
+    return found.select("o_custkey", r6("mean"), F.round(F.col("variance") / 1e6, 4).alias("variance_m"), F.round("std", 4).alias("std"), r6("median"), r6("p90"), "p0")
+
+
+@register("""SELECT l_returnflag, count(*) AS n, round(quantile_cont(l_extendedprice, 0.05), 6) AS p5, round(median(l_extendedprice), 6) AS median, round(quantile_cont(l_extendedprice, 0.999), 6) AS p999
+ FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY l_returnflag""")
+def q_large_group_quantiles(spark, sf_dir):
+    """Groups that are most of a table: places come from refined histograms."""
+    found = selection.quantiles(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_returnflag"], "l_extendedprice", {"p5": 5, "median": 50, "p999": 99.9})
+    return found.select("l_returnflag", "n", r6("p5"), r6("median"), r6("p999"))
 
 
 @register(f"""WITH {SP} SELECT patch_id, round(coalesce(stddev_samp(rv) FILTER (abs(rv) > 0.001 AND abs(rv) < 1000), 0), 6) AS dispersion,

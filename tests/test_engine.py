@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skyloom.config import DetectConfig
 from skyloom.functions import angles
-from skyloom.operators import clusters, density, lines, patches, windows
+from skyloom.operators import clusters, density, knn, lines, patches, windows
 from skyloom.operators.graph import connected_components
 from skyloom.operators.ordinal import global_ordinal
 from skyloom.plans.detect import detect
@@ -103,21 +103,90 @@ def test_knn_brute_force(spark):
     p = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(pts)], "point_id long, a double, b double, c double")
     q = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(asks)], "query_id long, a double, b double, c double")
     for scale in (None, [1.0, 1.0, 0.001]):
-        got = density.knn(p, q, 5, ["a", "b", "c"], scale=scale).collect()
+        got = knn.knn(p, q, 5, ["a", "b", "c"], scale=scale).collect()
         s = np.array(scale or [1, 1, 1], np.float32)
         for i, a in enumerate(asks):
             d = (((pts - a) * s) ** 2).sum(1)
             mine = [r["point_id"] for r in sorted((r for r in got if r["query_id"] == i), key=lambda r: r["rank"])]
             assert np.allclose(np.sort(d)[:5], d[mine], rtol=1e-4) and len(mine) == 5
-    few = density.knn(p.where("point_id < 3"), q, 10, ["a", "b", "c"])
+    few = knn.knn(p.where("point_id < 3"), q, 10, ["a", "b", "c"])
     assert few.count() == 75
-    assert density.nearest(p, q, ["a", "b", "c"]).count() == 25
+    assert knn.nearest(p, q, ["a", "b", "c"]).count() == 25
 
 
 def test_knn_line(spark):
     p = spark.createDataFrame([(i, float(i)) for i in range(10)], "point_id long, x double")
     q = spark.createDataFrame([(0, 5.0)], "query_id long, x double")
-    assert sorted(r["point_id"] for r in density.knn(p, q, 5, ["x"]).collect()) == [3, 4, 5, 6, 7]
+    assert sorted(r["point_id"] for r in knn.knn(p, q, 5, ["x"]).collect()) == [3, 4, 5, 6, 7]
+
+
+def cloud(n, seed=0):
+    """Points of very uneven density, with ties and a place that holds many."""
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(0, 0.01, (n // 2, 3)), rng.random((n // 2, 3)) * 5, np.full((n // 10, 3), 0.25), np.round(rng.random((n // 10, 3)), 1)])
+    return x.astype(np.float32)
+
+
+def frame(spark, x, name, group=None):
+    import pandas as pd
+
+    df = pd.DataFrame({name: np.arange(len(x)), **{c: x[:, i] for i, c in enumerate("abc")}})
+    if group is not None:
+        df["g"] = group
+    return spark.createDataFrame(df)
+
+
+def brute(points, asks, k, scale=(1, 1, 1)):
+    d = knn.squares(asks, points, list(scale))
+    order = np.lexsort((np.broadcast_to(np.arange(len(points)), d.shape), d), axis=1)[:, :k]
+    return {(q, r + 1): (int(p), float(d[q, p])) for q, own in enumerate(order) for r, p in enumerate(own)}
+
+
+@pytest.mark.parametrize("scale", [None, [1.0, 0.0, 0.01]])
+def test_knn_cells_against_brute_force(spark, monkeypatch, scale):
+    monkeypatch.setattr(knn, "CELL_POINTS", 64)
+    monkeypatch.setattr(knn, "CELL_QUERIES", 50)
+    points = cloud(2000)
+    asks = np.concatenate([cloud(300, 1), [[99, 99, 99], [-50, 0, 0]]]).astype(np.float32)
+    got = knn.knn_compared(frame(spark, points, "point_id"), frame(spark, asks, "query_id"), 7, ["a", "b", "c"], scale=scale).collect()
+    want = brute(points, asks, 7, [s or 1.0 for s in scale or (1, 1, 1)])
+    assert {(r["query_id"], r["rank"]): (r["point_id"], r["dist_sq"]) for r in got} == want
+    assert np.median([r["compared"] for r in got]) < len(points) / 3
+
+
+def test_knn_cells_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(knn, "CELL_POINTS", 100)
+    points, asks = cloud(1500), cloud(200, 3)
+    side, of = np.where(np.arange(len(points)) % 10 == 0, "small", "large"), np.where(np.arange(len(asks)) % 2 == 0, "small", "large")
+    p, q = frame(spark, points, "point_id", side), frame(spark, asks, "query_id", of)
+    lone = spark.createDataFrame([(9999, 0.1, 0.1, 0.1, None), (9998, None, 0.1, 0.1, "small"), (9997, float("nan"), 0.1, 0.1, "small")], "id long, a float, b float, c float, g string")
+    p, q = p.unionByName(lone.withColumnRenamed("id", "point_id")), q.unionByName(lone.withColumnRenamed("id", "query_id"))
+    got = {}
+    for r in knn.knn(p, q, 3, ["a", "b", "c"], ["g"]).collect():
+        got[r["g"], r["query_id"], r["rank"]] = r["point_id"]
+    assert got.pop((None, 9999, 1)) == 9999
+    for g in ("small", "large"):
+        a, b = np.flatnonzero(side == g), np.flatnonzero(of == g)
+        for (q_, rank), (p_, _) in brute(points[a], asks[b], 3).items():
+            assert got.pop((g, int(b[q_]), rank)) == a[p_]
+    assert not got
+
+
+def test_knn_work_grows_with_the_points(spark):
+    def compared(n):
+        x = np.random.default_rng(n).random((n, 3)).astype(np.float32)
+        p = frame(spark, x, "point_id")
+        return knn.knn_compared(p, p.withColumnRenamed("point_id", "query_id"), 5, ["a", "b", "c"]).where("rank = 1").agg(F.sum("compared")).first()[0]
+
+    small, large = compared(10_000), compared(80_000)
+    assert math.log(large / small) / math.log(8) < 1.2
+
+
+def test_knn_of_nothing(spark):
+    p = frame(spark, cloud(50), "point_id")
+    none = p.where("false")
+    assert knn.knn(p, none.withColumnRenamed("point_id", "query_id"), 3, ["a", "b", "c"]).count() == 0
+    assert knn.knn(none, p.withColumnRenamed("point_id", "query_id"), 3, ["a", "b", "c"]).count() == 0
 
 
 def test_combine_and_ransac(spark):
@@ -245,7 +314,7 @@ def test_kth_squares_equal_all_pairs(monkeypatch):
     for pts in (rng.random((3000, 3)), np.concatenate([rng.random((500, 3)) * 1e-3, rng.random((400, 3)), np.tile(rng.random(3), (300, 1))]), np.zeros((200, 2)), rng.random((700, 1))):
         pts = pts.astype(np.float32)
         for place in (1, 15):
-            want = np.partition(density._squares(pts, pts), place, axis=1)[:, place]
+            want = np.partition(knn.squares(pts, pts), place, axis=1)[:, place]
             assert (density.kth_squares(pts, place) == want).all()
 
 
@@ -261,7 +330,7 @@ def test_large_region_in_bounded_memory():
     tracemalloc.stop()
     assert peak < 100e6
     for i in (0, 777, 60_000):
-        assert found[i] == np.partition(density._squares(pts[i : i + 1], pts)[0], 15)[15]
+        assert found[i] == np.partition(knn.squares(pts[i : i + 1], pts)[0], 15)[15]
 
 
 def test_kernel_density_equals_plain_sums():

@@ -17,9 +17,14 @@ def uniform(k: int):
 
 
 def demo_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stars of an events table."""
+    return stars_of_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def stars_of_events(events: DataFrame) -> DataFrame:
     """star_id, ra, dec, pmra, pmdec, rv, distance; every twentieth star belongs to the planted stream."""
     u = {k: F.col(f"u{k}") for k in range(1, 9)}
-    drawn = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", *[uniform(k).alias(f"u{k}") for k in u])
+    drawn = events.select("event_id", *[uniform(k).alias(f"u{k}") for k in u])
     member = F.col("event_id") % 20 == 0
     pick = lambda a, b: F.when(member, a).otherwise(b)
     ra = 176 + 8 * u[1]

@@ -16,7 +16,7 @@ from skyloom.config import DetectConfig
 from skyloom.functions import angles, stats
 from skyloom.operators import clusters, cuts, density, hough, knn, lines, patches, selection, windows
 from skyloom.plans.detect import detect, find_rois
-from skyloom.sources import prep, sinks, synth
+from skyloom.sources import coverage, prep, sinks
 from skyloom.sources.demo import demo_patches, demo_stars, near_patches
 
 CFG = DetectConfig()
@@ -593,16 +593,15 @@ def q_top_candidates(spark, sf_dir):
 # ---- other
 
 
-def _tiles(spark) -> DataFrame:
-    return spark.createDataFrame(synth.survey_tiles((176.0, 184.0), (46.0, 54.0)), "tile int, tile_ra double, tile_dec double, radius double, passes int")
+TILES = "tiles AS (SELECT 176 + (s_suppkey*37 % 800)/100.0::double AS tile_ra, 46 + (s_suppkey*53 % 800)/100.0::double AS tile_dec, 1 + s_suppkey % 3 AS passes FROM supplier)"
 
 
-_TILES = "tiles(tile_ra, tile_dec, passes) AS (VALUES " + ", ".join(f"('{t[1]!r}'::double, '{t[2]!r}'::double, {t[4]})" for t in synth.survey_tiles((176.0, 184.0), (46.0, 54.0))) + ")"
-
-
-@register(f"WITH {STARS}, {_TILES} SELECT star_id, coalesce(sum(passes) FILTER ({sql_sep('ra', 'dec', 'tile_ra', 'tile_dec')} <= 1.6), 0)::bigint AS coverage FROM stars, tiles GROUP BY star_id")
+@register(f"WITH {STARS}, {TILES} SELECT star_id, coalesce(sum(passes) FILTER ({sql_sep('ra', 'dec', 'tile_ra', 'tile_dec')} <= 1.6), 0)::bigint AS coverage FROM stars, tiles GROUP BY star_id")
 def q_coverage_tiles(spark, sf_dir):
-    return synth.tile_coverage(demo_stars(spark, sf_dir).select("star_id", "ra", "dec"), _tiles(spark), 1.6).select("star_id", "coverage")
+    """A survey's plan, a tile for each supplier."""
+    at = lambda first, step: first + F.pmod(F.col("s_suppkey") * step, F.lit(800)) / 100.0
+    tiles = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(at(176.0, 37).alias("tile_ra"), at(46.0, 53).alias("tile_dec"), (1 + F.pmod("s_suppkey", F.lit(3))).alias("passes"))
+    return coverage.tile_coverage(demo_stars(spark, sf_dir).select("star_id", "ra", "dec"), tiles, 1.6).select("star_id", "coverage")
 
 
 @register("""WITH a AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders), b AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS k FROM events)

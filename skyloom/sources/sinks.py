@@ -47,13 +47,6 @@ def write_members(members: DataFrame, path: str, stars: DataFrame | None = None,
     member_rows(members.where(F.col("candidate_id") <= top), stars).write.mode("overwrite").partitionBy("candidate_rank").csv(path, header=True)
 
 
-def write_truth(truth: DataFrame, path: str) -> None:
-    """The stars that a generator planted, as CSV files with a header."""
-    four, many = ("ra", "dec"), ("pmra", "pmdec", "rv", "distance")
-    fields = [F.format_string("%.8f", F.col(c)).alias(c) for c in four] + [F.format_string("%.4f", F.col(c)).alias(c) for c in many if c in truth.columns]
-    truth.select(*fields, F.lit(1).alias("is_stream"), "stream_name").write.mode("overwrite").csv(path, header=True)
-
-
 def write_summary(summary: DataFrame, path: str) -> None:
     four = ("center_ra", "center_dec", "center_l", "center_b")
     rows = summary.orderBy("patch_id").select("patch_id", *[F.format_string("%.4f", F.col(c)).alias(c) for c in four], "n_stars", F.col("is_valid").cast("int").alias("is_valid"))

@@ -14,7 +14,8 @@ from skyloom.operators import clusters, density, knn, lines, patches, windows
 from skyloom.operators.graph import connected_components
 from skyloom.operators.ordinal import global_ordinal
 from skyloom.plans.detect import detect
-from skyloom.sources import catalog, fits, prep, sinks, synth
+from skyloom.sources import catalog, coverage, fits, prep, sinks
+from skyloom.sources.demo import stars_of_events
 
 CFG = DetectConfig()
 
@@ -220,7 +221,7 @@ def test_two_patches_merge(spark):
 
 
 def test_empty_field_gives_no_candidates(spark):
-    stars = synth.disc_background(spark, 400, 180.0, 50.0, 1.7).withColumn("star_id", F.monotonically_increasing_id())
+    stars = stars_of_events(spark.range(4000).withColumnRenamed("id", "event_id"))
     run = detect(stars, DetectConfig(significance_cut=1e6), None, patches.patches_frame(spark, [(0, 180.0, 50.0, 0.0, 0.0)]))
     assert run.candidates.count() == 0 and run.members.count() == 0
 
@@ -291,19 +292,12 @@ def test_preparation(spark):
     assert prep.survey_stars(spark, "survey").first()["bp_rp"] == 1.5
 
 
-def test_synthetic(spark):
-    tube = synth.Tube("t", 180.0, 50.0, (-8.0, 8.0), 0.3, -12.0, -3.0, 0.5, -150.0, 20.0, 10.0, 1.0, 500)
-    got = synth.tube_stream(spark, tube).agg(F.avg("ra"), F.avg("dec"), F.avg("pmra")).first()
-    assert got[0] == pytest.approx(180, abs=2) and got[2] == pytest.approx(-12, abs=0.2)
-    assert synth.sample_catalogue(spark).count() == 10_000
-    rng = synth.Lcg(42)
-    assert all(0 <= rng.uniform() < 1 for _ in range(100)) and abs(np.mean([rng.gaussian() for _ in range(3000)])) < 0.1
-    tiles = synth.survey_tiles((170.0, 175.0), (10.0, 13.0))
-    frame = spark.createDataFrame(tiles, "tile int, tile_ra double, tile_dec double, radius double, passes int")
-    stars = spark.createDataFrame([(1, 172.0, 11.0), (2, 100.0, -50.0)], "star_id int, ra double, dec double")
-    cover = {r["star_id"]: r["coverage"] for r in synth.tile_coverage(stars, frame, 1.6).collect()}
-    assert cover[1] > 0 and cover[2] == 0
-    twice = synth.tile_coverage(stars.unionByName(stars), frame, 1.6).collect()
+def test_tile_coverage(spark):
+    frame = spark.createDataFrame([(172.0, 11.0, 2), (173.0, 11.5, 1), (172.0, 14.0, 5)], "tile_ra double, tile_dec double, passes int")
+    stars = spark.createDataFrame([(1, 172.4, 11.0), (2, 100.0, -50.0), (3, 172.0, 12.6)], "star_id int, ra double, dec double")
+    cover = {r["star_id"]: r["coverage"] for r in coverage.tile_coverage(stars, frame, 1.6).collect()}
+    assert cover == {1: 3, 2: 0, 3: 6}
+    twice = coverage.tile_coverage(stars.unionByName(stars), frame, 1.6).collect()
     assert sorted((r["star_id"], r["coverage"]) for r in twice) == sorted([(k, v) for k, v in cover.items()] * 2)
 
 
@@ -400,34 +394,6 @@ def test_caps_and_turned_lines(spark):
     assert all_stars.count() == 16 and few.count() == 5 and {r["star_id"] for r in few.collect()} == set(range(5))
 
 
-def test_generators_and_truth(spark, tmp_path):
-    tube = synth.Tube("t", 180.0, 50.0, (-8.0, 8.0), 0.3, -12.0, -3.0, 0.5, -150.0, 20.0, 10.0, 1.0, 300)
-    measured, truth = synth.scenario(spark, [tube], 2000, radius=6.0, error=0.02, clusters=[{"ra0": 181.0, "dec0": 51.0, "radius": 0.2, "pmra": 1.0, "pmdec": 2.0, "pm_sigma": 0.1, "n": 40}])
-    assert measured.count() == 2340 and truth.groupBy("stream_name").count().collect()[0]["count"] in (300, 40) and truth.count() == 340
-    assert truth.where("stream_name = 't'").agg(F.avg("pmra")).first()[0] == pytest.approx(-12, abs=0.2)
-    shift = measured.where("is_stream = 1").agg(F.avg("pmra")).first()[0] - truth.agg(F.avg("pmra")).first()[0]
-    assert 0 < abs(shift) < 0.5
-    sinks.write_truth(truth, str(tmp_path / "truth"))
-    assert spark.read.csv(str(tmp_path / "truth"), header=True).count() == 340
-    for s in synth.SCENARIOS.values():
-        got = synth.photometric_stream(spark, s).agg(F.count("*"), F.avg("g_mag"), F.min("bp_rp"), F.max("bp_rp"), F.first("stream_name")).first()
-        assert got[0] == s.n and got[1] == pytest.approx(s.mag[0], abs=0.4) and 0.2 <= got[2] and got[3] <= 1.5 and got[4] == s.name
-    l, b = angles.galactic("ra", "dec")
-    sky = synth.photometric_background(spark, 3000).withColumn("b", b)
-    assert sky.count() == 3000 and sky.where("abs(b) < 20").count() == 0
-    tiles = spark.createDataFrame([(0, 180.0, 40.0, 1.5, 2), (1, 181.0, 40.0, 1.5, 1)], "tile int, tile_ra double, tile_dec double, radius double, passes int")
-    at = spark.createDataFrame([(0, 180.0, 40.0), (1, 181.5, 40.0), (2, 180.0, 41.4), (3, 10.0, 0.0)], "star long, ra double, dec double")
-    cover = {r["star"]: (r["coverage"], r["edge"]) for r in synth.survey_footprint(at, tiles).collect()}
-    assert cover[0] == (3, 1.0) and cover[1] == (3, 1.0) or cover[1][0] in (1, 3)
-    assert cover[2][0] == 2 and cover[2][1] == pytest.approx(1 - (1.4 / 1.5 - 0.8) / 0.2 * 0.7, abs=1e-6) and cover[3] == (0, 1.0)
-    field = synth.survey_background(spark, 4000, (176.0, 184.0), (36.0, 44.0))
-    kept = synth.accepted(synth.survey_footprint(field, tiles))
-    assert 0 < kept.count() < field.count()
-    for mode, names in synth.MODES.items():
-        assert synth.in_mode(kept, mode).columns == list(names)
-    assert synth.in_mode(kept, "full").where("parallax <= 0").count() == 0
-
-
 def test_command_line(spark, tmp_path, capsys):
     from skyloom.__main__ import main, parser
 

@@ -24,16 +24,18 @@ HEAD = struct.Struct("<4sBIIIQQI")
 SHARD_IDS = 1 << 20
 #: Words whose ids a worker keeps at most.
 WORDS_KEPT = 1_000_000
+#: Bytes of text that are encoded together: the more, the fewer words are looked up again.
+RUN_BYTES = 4_000_000
 #: How often a pair must occur: each replacement saves a symbol, a rule takes two and its length, together nearly four.
 LEAST = 4
-#: Two symbols in one word: the place of the left one, the mask of the right one, and what stands for no pair.
-HALF, LOW, NONE = np.uint64(32), np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Two symbols in one word: the place of the left one and the mask of the right one.
+HALF, LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
 #: What a symbol may do in the next pass: begin or end a pair that was left out, or be in any pair as a new one.
 LEFT, RIGHT, NEW = np.uint8(1), np.uint8(2), np.uint8(4)
 
 
-def _pairs(seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of ``at``, less those of overlapping pairs, and the symbols there and behind as one word.
+def _pairs(seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of ``at``, less those of overlapping pairs, and the symbols there and behind.
 
     Pairs of a run of one symbol overlap; every second one counts. ``at`` must
     hold all places of such a run or none.
@@ -47,10 +49,31 @@ def _pairs(seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keep = np.ones(len(at), bool)
         keep[twins[odd]] = False
         at, first, second = at[keep], first[keep], second[keep]
-    keys = first.astype(np.uint64)
-    keys <<= HALF
-    keys |= second
-    return at, keys
+    return at, first, second
+
+
+def _grouped(at: np.ndarray, first: np.ndarray, second: np.ndarray, symbols: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different pairs in ascending order, where each one's places begin, and all places in that order.
+
+    Both symbols and the place are sorted as one number where they fit into 64 bits.
+    """
+    wide, deep = np.uint64(max(symbols - 1, 1).bit_length()), np.uint64(max(size - 1, 1).bit_length())
+    if 2 * int(wide) + int(deep) <= 64:
+        keys = first.astype(np.uint64)
+        keys <<= wide
+        keys |= second
+        keys <<= deep
+        keys |= at.astype(np.uint64)
+        keys.sort()
+        places = (keys & np.uint64((1 << int(deep)) - 1)).astype(np.int64)
+        keys >>= deep
+        heads = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+        pairs = keys[heads]
+        return ((pairs >> wide) << HALF) | (pairs & np.uint64((1 << int(wide)) - 1)), heads, places
+    keys = (first.astype(np.uint64) << HALF) | second
+    order = np.argsort(keys, kind="stable")
+    heads = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
+    return keys[order[heads]], heads, at[order]
 
 
 def repair(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST):
@@ -76,44 +99,44 @@ def repair(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST):
         may = (held[:-1] | held[1:]) & NEW
         may |= (held[:-1] & LEFT) & (held[1:] >> 1)
         may[last[:-1]] = 0
-        at, keys = _pairs(seq, np.flatnonzero(may))
-        ordered = np.sort(keys)
-        heads = np.flatnonzero(np.diff(ordered, prepend=NONE) != 0)
-        counts = np.diff(np.append(heads, len(ordered)))
+        at, a, b = _pairs(seq, np.flatnonzero(may != 0))
+        if not len(at):
+            break
+        pairs, heads, places = _grouped(at, a, b, n, len(seq))
+        counts = np.diff(np.append(heads, len(places)))
         often = np.flatnonzero(counts >= least)
         if not len(often):
             break
-        pairs = ordered[heads[often]]
-        pairs = pairs[np.argsort(-counts[often], kind="stable")]
-        left, right, chosen, rest = set(), set(), [], []
-        for k, (a, b) in enumerate(zip((pairs >> HALF).tolist(), (pairs & LOW).tolist(), strict=True)):
-            if a not in right and b not in left and (a != b or a not in left):
-                left.add(a)
-                right.add(b)
+        often = often[np.argsort(-counts[often], kind="stable")]
+        stands, chosen, rest = bytearray(n), [], []  # 1: left in a chosen pair, 2: right in one, 3: both in a pair of its own
+        lefts, rights = (pairs[often] >> HALF).tolist(), (pairs[often] & LOW).tolist()
+        for k, x, y in zip(often.tolist(), lefts, rights, strict=True):
+            if x != y:
+                if stands[x] < 2 and stands[y] & 1 == 0:
+                    stands[x], stands[y] = 1, 2
+                    chosen.append(k)
+                    continue
+            elif not stands[x]:
+                stands[x] = 3
                 chosen.append(k)
-            else:
-                rest.append(k)
-        rest, chosen = pairs[rest], np.sort(pairs[chosen])
-        begins, goes_on = np.zeros((2, n), bool)
-        begins[(chosen >> HALF).astype(np.int64)] = True
-        goes_on[(chosen & LOW).astype(np.int64)] = True
-        near = np.flatnonzero(begins[seq[at]] & goes_on[seq[at + 1]])
-        at, found = at[near], keys[near]
-        place = np.searchsorted(chosen, found)
-        place[place == len(chosen)] = 0
-        hit = chosen[place] == found
-        at, place = at[hit], place[hit]
-        seq[at] = (n + place).astype(np.uint32)
-        rules.append(np.stack([chosen >> HALF, chosen & LOW], axis=1).astype(np.uint32))
+                continue
+            rest.append(k)
+        chosen = np.sort(np.array(chosen))
+        sizes = counts[chosen]
+        begin = np.cumsum(sizes) - sizes
+        hit = places[np.repeat(heads[chosen] - begin, sizes) + np.arange(int(sizes.sum()))]
+        seq[hit] = np.repeat(np.arange(n, n + len(chosen), dtype=np.uint32), sizes)
+        found, rest = pairs[chosen], pairs[rest] if rest else pairs[:0]
+        rules.append(np.stack([found >> HALF, found & LOW], axis=1).astype(np.uint32))
         role = np.zeros(n + len(chosen), np.uint8)
         role[(rest >> HALF).astype(np.int64)] = LEFT
         role[(rest & LOW).astype(np.int64)] |= RIGHT
         role[n:] = NEW
         n += len(chosen)
         keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
+        keep[hit + 1] = False
+        last = np.cumsum(keep)[last] - 1
         seq = seq[keep]
-        last = last - np.searchsorted(at, last - 1, side="right")
     return seq, last + 1, np.concatenate([np.zeros((0, 2), np.uint32), *rules])
 
 
@@ -252,7 +275,7 @@ def _writer(path: str, tokenizer: str, end_id: int, first: int, shard_ids: int):
 
         for batch in batches:
             texts, numbers = utf8(batch.column(1)), batch.column(0).to_pylist()
-            for i, j in runs(texts, 1_000_000):
+            for i, j in runs(texts, RUN_BYTES):
                 for k, got in zip(range(i, j), encoder.ids(texts[i:j]), strict=True):
                     ids.append(numbers[k])
                     arrays.append(np.append(got, np.uint32(end_id)))

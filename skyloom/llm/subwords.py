@@ -71,12 +71,12 @@ class WordCachedTokenizer:
         self.marked[[i for t, i in pieces.items() if (t.startswith("Ġ") if self.prefix else t.endswith(suffix))]] = True
         return copy, lowers
 
-    def _parts(self, word: str) -> tuple[str, str] | None:
-        """Letters and signs of a word that is already as the normaliser would leave it."""
+    def _parts(self, word: str, checked: bool) -> tuple[str, str] | None:
+        """Letters and signs of a word that is already as the normaliser would leave it; ``checked`` says that it is."""
         found = (word, word, "") if word.isalpha() else PARTS.fullmatch(word)
         if not found or not found[1].isalpha() or "<|" in word:
             return None
-        if self.lowers and not word.isascii() and (word != word.lower() or not is_normalized("NFC", word)):
+        if not checked and self.lowers and not word.isascii() and (word != word.lower() or not is_normalized("NFC", word)):
             return None
         return found[1], found[2]
 
@@ -100,7 +100,7 @@ class WordCachedTokenizer:
 
     def _learn(self, fresh: list[bytes]) -> None:
         """Put the ids of words into the cache: letters and signs apart where that is the same."""
-        known, whole, split, wide = self.cache, [], [], set()
+        known, whole, split, wide, others = self.cache, [], [], set(), []
         for w in fresh:
             if self.bare is None or (self.lowers and w != w.lower()):  # capitals beside what may be a special token
                 whole.append(w)
@@ -110,15 +110,19 @@ class WordCachedTokenizer:
                 wide.add(w[:-1])
                 split.append((w, w[:-1], w[-1:].decode()))
             else:
-                text = w.decode()
-                parts = self._parts(text)
-                if parts is None:
-                    whole.append(w)
-                else:
-                    head = parts[0].encode()
-                    wide.add(head)
-                    if parts[1]:
-                        split.append((w, head, parts[1]))
+                others.append(w)
+        joint = b"\n".join(others).decode()  # no word has a line end, so all are decoded and checked together
+        checked = joint == joint.lower() and is_normalized("NFC", joint)
+        for w, text in zip(others, joint.split("\n"), strict=bool(others)):
+            parts = self._parts(text, checked)
+            if parts is None:
+                whole.append(w)
+            elif parts[1]:
+                head = parts[0].encode()
+                wide.add(head)
+                split.append((w, head, parts[1]))
+            else:
+                wide.add(w)
         self._spell([h for h in wide if h not in known])
         for w, head, tail in split:
             known[w] = known[head] + self._tail(tail)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -9,7 +11,7 @@ from skyloom.llm.cotraining import keep_quality
 from skyloom.llm.mixing import mixed_documents
 from skyloom.llm.near_dedup import keep_representatives
 from skyloom.llm.piece_model import encode_pieces
-from skyloom.session import ship_package, staged
+from skyloom.session import settled, ship_package, unstage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,5 +45,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        before, docs = docs, settled(partial(stage, spark, docs, sf_dir), name)
+        unstage(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from jobs.common import command_line, log
 from skyloom.operators.knn import knn
 from skyloom.operators.selection import order_statistics
+from skyloom.session import scratch
 
 DEFAULTS = {"neighbours": 5, "flag_below": -3.0, "least_group": 20}
 FEATURES = ["words", "length", "lines"]
@@ -73,15 +74,16 @@ def run(spark: SparkSession, source: str, output: str, settings: dict | None = N
     documents = spark.read.parquet(source)
     counts = documents.agg(F.count("*").alias("rows"), F.count("doc_id").alias("named")).first()
     log.info("read %d rows of %s, %d without doc_id", counts["rows"], source, counts["rows"] - counts["named"])
-    made = scored(centred(features(documents.where("doc_id is not null"))), chosen["neighbours"], chosen["least_group"])
-    rows = made.withColumn("flagged", F.col("score") < chosen["flag_below"]).withColumn("part", F.concat(F.lit("lang-"), "lang"))
 
     def written(df: DataFrame, name: str) -> DataFrame:
         # an option of the writer: the session's own mode stays as it is
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{output}/{name}")
         return spark.read.parquet(f"{output}/{name}")
 
-    kept = written(rows.select("doc_id", "lang", "source", *FEATURES, "kth_distance", "score", "flagged", "part"), "records")
+    with scratch():
+        made = scored(centred(features(documents.where("doc_id is not null"))), chosen["neighbours"], chosen["least_group"])
+        rows = made.withColumn("flagged", F.col("score") < chosen["flag_below"]).withColumn("part", F.concat(F.lit("lang-"), "lang"))
+        kept = written(rows.select("doc_id", "lang", "source", *FEATURES, "kth_distance", "score", "flagged", "part"), "records")
     given = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang")).distinct()
     here = kept.join(given, "lang", "left_semi")  # earlier runs may have left other languages
     total = here.groupBy("part", "lang", "source").agg(F.count("*").alias("records"), F.count(F.when(F.col("flagged"), True)).alias("flagged"), F.min("score").alias("lowest"))

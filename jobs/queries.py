@@ -12,7 +12,7 @@ from skyloom.session import shared_path
 
 def job1_survey_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stars in patches and signal regions of the whole events table, as one table: the second run finds nothing new."""
-    folder = shared_path(spark, "job1")
+    folder = shared_path(spark, "job1", keep=True)
     for _ in range(2):
         survey_ingest.run(spark, f"{sf_dir}/events.parquet", f"{folder}/out", f"{folder}/checkpoint")
     stars, regions = survey_ingest.read_output(spark, f"{folder}/out")
@@ -28,7 +28,7 @@ UNION ALL SELECT 'region', patch_id, NULL, axis, i::int, n_sr, n_sb, NULL FROM g
 
 def job2_note_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents and the summary of their sources, as one table: the second run writes the same partitions again."""
-    output = f"{shared_path(spark, 'job2')}/out"
+    output = f"{shared_path(spark, 'job2', keep=True)}/out"
     for _ in range(2):
         note_outliers.run(spark, f"{sf_dir}/documents.parquet", output)
     records, summary = note_outliers.read_output(spark, output)
@@ -49,7 +49,8 @@ def _z(c: str) -> str:
 
 _KINDS = ("words", "length", "lines")
 JOB2_SQL = rf"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents WHERE doc_id IS NOT NULL),
-c AS (SELECT doc_id, lang, source, len(regexp_extract_all(t, '[^ 	-]+'))::double AS words, length(t) AS chars, length(t) - length(replace(t, chr(10), '')) AS breaks FROM d),
+c AS (SELECT doc_id, lang, source, len(regexp_extract_all(t, '[^ 	-
+]+'))::double AS words, length(t) AS chars, length(t) - length(replace(t, chr(10), '')) AS breaks FROM d),
 f AS (SELECT doc_id, lang, source, words, chars/greatest(words, 1) AS length, breaks*1000/greatest(words, 1) AS lines FROM c),
 one AS (SELECT doc_id, unnest(max({{'lang': lang, 'source': source, 'words': words, 'length': length, 'lines': lines}})) FROM f GROUP BY doc_id),
 q AS (SELECT lang, count(*) AS n, {', '.join(f'list_sort(list({c})) AS l_{c}' for c in _KINDS)} FROM one GROUP BY lang),

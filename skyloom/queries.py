@@ -16,7 +16,8 @@ from skyloom.config import DetectConfig
 from skyloom.functions import angles, stats
 from skyloom.operators import clusters, cuts, density, hough, knn, lines, patches, selection, windows
 from skyloom.plans.detect import detect, find_rois
-from skyloom.sources import coverage, prep, sinks
+from skyloom.session import shared_path
+from skyloom.sources import coverage, prep, sinks, sky_index
 from skyloom.sources.demo import demo_patches, demo_stars, near_patches
 
 CFG = DetectConfig()
@@ -199,6 +200,20 @@ def q_distance_cut(spark, sf_dir):
     return cuts.distance_cut(demo_stars(spark, sf_dir), 5.0, 60.0).select("star_id", r6("distance"))
 
 
+def _sky_catalogue(spark, sf_dir) -> str:
+    path = shared_path(spark, "sky")
+    sky_index.write_sky_catalogue(demo_stars(spark, sf_dir), path)
+    return path
+
+
+@register(f"WITH {STARS} SELECT star_id, {rounded('ra', 'dec')} FROM stars WHERE (ra >= 182.5 OR ra <= 176.75) AND dec BETWEEN 47.3 AND 53.1")
+def q_sky_index_box(spark, sf_dir):
+    """A box that wraps, cut from a catalogue in the order of the sky."""
+    box = replace(CFG, ra_min=182.5, ra_max=176.75, dec_min=47.3, dec_max=53.1)
+    stars = sky_index.read_sky_catalogue(spark, _sky_catalogue(spark, sf_dir), sky_index.box_ranges(box))
+    return cuts.sky_cuts(stars, box).select("star_id", r6("ra"), r6("dec"))
+
+
 _GL, _GB = sql_galactic("ra", "dec")
 
 
@@ -226,6 +241,15 @@ def q_gnomonic(spark, sf_dir):
     return near.select("star_id", "patch_id", r6("phi"), r6("lam"), r6("dist_from_center"))
 
 
+@register(f"WITH {SP} SELECT star_id, patch_id, {rounded('phi', 'lam')} FROM sp_all WHERE patch_id % 3 = 0")
+def q_sky_index_patches(spark, sf_dir):
+    """Every third patch, from the zones of a catalogue in the order of the sky that these patches meet."""
+    some = [p for p in near_patches(CFG) if p[0] % 3 == 0]
+    ranges = sky_index.patch_ranges([(p[1], p[2]) for p in some], CFG.patch_radius)
+    stars = sky_index.read_sky_catalogue(spark, _sky_catalogue(spark, sf_dir), ranges)
+    return patches.assign_patches(stars, patches.patches_frame(spark, some), CFG.patch_radius).select("star_id", "patch_id", r6("phi"), r6("lam"))
+
+
 @register(f"WITH {SP} SELECT star_id, patch_id, {rounded('mu_phi', 'mu_lam')} FROM sp_all")
 def q_pm_rotation(spark, sf_dir):
     near = patches.assign_patches(demo_stars(spark, sf_dir), demo_patches(spark), CFG.patch_radius)

@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,30 +63,72 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+def _folder(spark: SparkSession, path: str):
+    """A path's file system and path as Hadoop has them."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def shared_path(spark: SparkSession, label: str, keep: bool = False) -> str:
+    """A fresh path in a folder of its own below the shared folder, which goes when the application ends unless it is kept."""
+    path = f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    store, folder = _folder(spark, path)
+    store.mkdirs(folder)
+    if not keep:
+        store.deleteOnExit(folder)
+    return f"{path}/data"
+
+
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete what is staged inside when it ends: for steps whose result is written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for df in _scopes.pop():
+            unstage(df)
+
+
+def _written(df: DataFrame, label: str, **options: str) -> DataFrame:
+    spark = df.sparkSession
+    path = f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
+    store, folder = _folder(spark, path)
+    store.deleteOnExit(folder)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def _noted(df: DataFrame) -> DataFrame:
+    if _scopes:
+        _scopes[-1].append(df)
+    return df
 
 
 def staged(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there.
 
-    Whoever knows when it is no longer read calls unstage(); what is left goes
-    when the application ends.
+    Whoever knows when it is no longer read calls unstage() or opens a
+    scratch(); what is left goes when the application ends.
     """
-    spark = df.sparkSession
-    path = shared_path(spark, label)
-    df.write.options(**options).parquet(path)
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    return _noted(_written(df, label, **options))
+
+
+def settled(make: Callable[[], DataFrame], label: str, **options: str) -> DataFrame:
+    """What ``make`` gives, staged, without what it has staged on its way."""
+    with scratch():
+        out = _written(make(), label, **options)
+    return _noted(out)
 
 
 def unstage(df: DataFrame) -> None:
     """Delete the files behind a staged frame that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    path = getattr(df, "_staged_path", None)
+    if path:
+        store, folder = _folder(df.sparkSession, path)
+        store.delete(folder, True)

@@ -40,20 +40,36 @@ def _gates(a: str, b: str, cfg: DetectConfig, dist_limit: float, dist_share: flo
     return ok
 
 
-def roi_edges(rois: DataFrame, cell_stars: DataFrame, cfg: DetectConfig) -> DataFrame:
-    """Pairs of a patch's regions from different signal regions with like motion and like lines.
+#: Bins of line angle, as half a turn is the same line: a bin is no narrower than theta_merge.
+ANGLES = 18
+
 
-    A patch has max_rois_per_patch regions at most, so a pair table is bounded by patches.
+def roi_pairs(rois: DataFrame, cell_stars: DataFrame, cfg: DetectConfig) -> DataFrame:
+    """Pairs a, b (structs) of a patch's regions that may be alike: near in mean motion and in line angle.
+
+    Regions lie in a grid of pm_compat in mean motion and of bins of angle; the
+    second one is repeated for the bins around its own, and pairs meet by
+    equality on the grid, each once.
     """
     stats = first_stats(cell_stars, ["patch_id", "p", "q"], "ordinal", 10)
     full = rois.join(stats, ["patch_id", "p", "q"]).select("patch_id", "roi", "axis", "i", "theta", "rho", "m_phi", "m_lam", "m_dist", "n_rv", "s_rv", "s2_rv")
-    a, b = full.alias("a"), full.alias("b")
+    wide = max(math.pi / ANGLES, cfg.theta_merge * (1 + 1e-9))
+    bins = max(1, int(math.pi / wide))  # whole bins: the last one is wider
+    angle = F.least(F.floor(F.pmod(F.col("theta"), F.lit(math.pi)) / wide), F.lit(bins - 1)).cast("int")
+    placed = full.select(F.struct(*full.columns).alias("r"), "patch_id", F.floor(F.col("m_phi") / cfg.pm_compat).alias("x"), F.floor(F.col("m_lam") / cfg.pm_compat).alias("y"), angle.alias("t"))
+    around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)).alias(c)
+    turns = F.explode(F.array_distinct(F.array(*[F.pmod(F.col("t") + k, F.lit(bins)) for k in (-1, 0, 1)]))).alias("t")
+    near = placed.select(F.col("r").alias("b"), "patch_id", around("x"), "y", "t").select("b", "patch_id", "x", around("y"), "t").select("b", "patch_id", "x", "y", turns)
+    return placed.withColumnRenamed("r", "a").join(near, ["patch_id", "x", "y", "t"]).where("a.roi < b.roi").select("a", "b")
+
+
+def roi_edges(rois: DataFrame, cell_stars: DataFrame, cfg: DetectConfig) -> DataFrame:
+    """Pairs of a patch's regions from different signal regions with like motion and like lines."""
     apart = (F.col("a.axis") != F.col("b.axis")) | (F.col("a.i") != F.col("b.i"))
     motion = F.sqrt(F.pow(F.col("a.m_phi") - F.col("b.m_phi"), 2) + F.pow(F.col("a.m_lam") - F.col("b.m_lam"), 2)) < cfg.pm_compat
     lines = lines_compatible(F.col("a.theta"), F.col("a.rho"), F.col("b.theta"), F.col("b.rho"), cfg.theta_merge, cfg.rho_merge)
     # fixed values: 15 kpc or 15 percent, 10 km/s
-    pair = (F.col("a.patch_id") == F.col("b.patch_id")) & (F.col("a.roi") < F.col("b.roi"))
-    joined = a.join(b, pair & apart & motion & lines & _gates("a", "b", cfg, 15.0, 0.15, 10.0))
+    joined = roi_pairs(rois, cell_stars, cfg).where(apart & motion & lines & _gates("a", "b", cfg, 15.0, 0.15, 10.0))
     return joined.select(F.col("a.roi").alias("src"), F.col("b.roi").alias("dst"))
 
 

@@ -394,10 +394,20 @@ def q_combine_lines(spark, sf_dir):
     return lines.combine_lines(found, ["patch_id"], "place").select("patch_id", r6("theta"), r6("rho"), r6("sigma"))
 
 
-@register()
+_DIGITS = "md5(concat('1-', patch_id, '-', p, '-', q, '-', trial))"
+
+
+@register(f"""WITH {CELLS}, pt AS (SELECT patch_id, p, q, phi AS x, lam AS y, row_number() OVER (PARTITION BY patch_id, p, q ORDER BY phi, lam) - 1 AS k, count(*) OVER (PARTITION BY patch_id, p, q) AS m FROM cell),
+trial AS (SELECT unnest(range(0, 50)) AS trial),
+pick AS (SELECT patch_id, p, q, m, trial, cast('0x' || substr({_DIGITS}, 1, 8) AS bigint) % m AS a, cast('0x' || substr({_DIGITS}, 9, 8) AS bigint) % (m - 1) AS step FROM (SELECT DISTINCT patch_id, p, q, m FROM pt WHERE m > 1), trial),
+two AS (SELECT d.*, s.x AS x1, s.y AS y1, e.x - s.x AS dx, e.y - s.y AS dy FROM pick d JOIN pt s ON s.patch_id = d.patch_id AND s.p = d.p AND s.q = d.q AND s.k = a
+ JOIN pt e ON e.patch_id = d.patch_id AND e.p = d.p AND e.q = d.q AND e.k = (a + 1 + step) % d.m),
+ln AS (SELECT patch_id, p, q, trial, atan2(dx, -dy) AS theta, x1*cos(atan2(dx, -dy)) + y1*sin(atan2(dx, -dy)) AS rho FROM two WHERE sqrt(dx*dx + dy*dy) >= 1e-10),
+hits AS (SELECT ln.*, count(*) FILTER (abs(cos(theta)*x + sin(theta)*y - rho) <= 0.1) AS inliers FROM ln JOIN pt USING (patch_id, p, q) GROUP BY ALL)
+SELECT patch_id, p, q, inliers::int AS inliers, round(theta, 6) AS theta, round(rho, 6) AS rho FROM (SELECT *, row_number() OVER (PARTITION BY patch_id, p, q ORDER BY inliers DESC, trial) AS place FROM hits) WHERE place = 1""")
 def q_ransac(spark, sf_dir):
     held = windows.cells(projected(spark, sf_dir), CFG)
-    return lines.ransac_lines(held, ["patch_id", "p", "q"], 0.1, 50)
+    return lines.ransac_lines(held, ["patch_id", "p", "q"], 0.1, 50).select("patch_id", "p", "q", "inliers", r6("theta"), r6("rho"))
 
 
 # ---- scores

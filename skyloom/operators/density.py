@@ -24,6 +24,10 @@ BLOCK, KERNELS, BRUTE = 1024, 1 << 20, 4096
 SURELY = 9.0
 #: Pairs of stars whose kernels one task sums, about.
 KDE_PAIRS = 1_000_000_000
+#: Pairs that take as long as a star that is fitted.
+POINT_PAIRS = 500
+#: Kernel widths of an interval and nodes in it, pairs from which polynomials serve, and numbers of a grid of nodes at most.
+FIT, NODES, FIT_PAIRS, FIT_NUMBERS = 1.8, 16, 4_000_000, 20_000_000
 
 
 def other_motion(axis: str = "axis") -> Column:
@@ -197,41 +201,137 @@ def histogram_scores(star_patch: DataFrame, good: DataFrame, cfg: DetectConfig)
 # ---- kernel density
 
 
+def _direct(z: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Sums of all kernels of unit width at each point, KERNELS values at a time."""
+    total = np.zeros(len(z))
+    for at in range(0, len(z), max(1, KERNELS // max(len(data), 1))):
+        own = z[at : at + max(1, KERNELS // max(len(data), 1))]
+        square = np.zeros((len(own), len(data)))
+        for k in range(data.shape[1]):
+            gap = own[:, None, k] - data[None, :, k]
+            square += gap * gap
+        total[at : at + len(own)] = np.exp(-0.5 * square).sum(axis=1)
+    return total
+
+
+def _near(z: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """As _direct(), but for kernels that are SURELY away in the last dimension, by which both sides are sorted."""
+    out = np.empty(len(z))
+    for at in range(0, len(z), BLOCK):
+        part = z[at : at + BLOCK]
+        a, b = np.searchsorted(data[:, -1], [part[0, -1] - SURELY, part[-1, -1] + SURELY])
+        out[at : at + BLOCK] = _direct(part, data[a:b])
+    return out
+
+
+class _Axis:
+    """One dimension in intervals of FIT kernel widths, with NODES Chebyshev nodes in each."""
+
+    def __init__(self, low: float, high: float):
+        self.low, self.count = low, max(1, int(np.ceil((high - low) / FIT)))
+        self.wide = (high - low) / self.count or 1.0
+        angle = (np.arange(NODES) + 0.5) * np.pi / NODES
+        self.unit = np.cos(angle)
+        self.weight = np.sin(angle) * np.where(np.arange(NODES) % 2, -1.0, 1.0)
+
+    def nodes(self, i: int) -> np.ndarray:
+        return self.low + self.wide * (i + (self.unit + 1) / 2)
+
+    def interval(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(((x - self.low) / self.wide).astype(np.int64), 0, self.count - 1)
+
+    def basis(self, x: np.ndarray, i: int) -> np.ndarray:
+        """The share of each node in the polynomial through all, at each place of one interval."""
+        gap = (2 * ((x - self.low) / self.wide - i) - 1)[:, None] - self.unit
+        hit = gap == 0
+        gap[hit] = 1
+        share = self.weight / gap
+        share[hit.any(axis=1)] = 0
+        share[hit] = 1
+        return share / share.sum(axis=1, keepdims=True)
+
+
+def _fitted(z: np.ndarray, data: np.ndarray, axes: list[_Axis]) -> np.ndarray:
+    """Sums of kernels by polynomials on both sides: data give weights to the nodes of their box, nodes meet nodes
+    dimension by dimension, and points read the polynomial of their box. Only the last axis has several intervals
+    that may be far apart; boxes of the others all meet."""
+    *sides, last = axes
+    places = [(i, j) for i in range(sides[0].count) for j in range(sides[1].count)] if len(sides) == 2 else [(i,) for i in range(sides[0].count)]
+
+    def boxes(x: np.ndarray):
+        where = [a.interval(x[:, k]) for k, a in enumerate(axes)]
+        for p in places:
+            mine = np.flatnonzero(np.all([where[k] == i for k, i in enumerate(p)], axis=0))
+            mine = mine[np.argsort(where[-1][mine], kind="stable")]
+            cuts = np.searchsorted(where[-1][mine], np.arange(last.count + 1))
+            for c in np.flatnonzero(np.diff(cuts)):
+                yield p, c, mine[cuts[c] : cuts[c + 1]]
+
+    def plane(x: np.ndarray, p: tuple[int, ...]) -> np.ndarray:
+        out = sides[0].basis(x[:, 0], p[0])
+        return out if len(p) == 1 else (out[:, :, None] * sides[1].basis(x[:, 1], p[1])[:, None, :]).reshape(len(x), -1)
+
+    step = max(1, KERNELS // NODES ** len(sides))
+    grid = np.zeros((len(places), last.count, NODES ** len(sides), NODES))
+    for p, c, own in boxes(data):
+        for at in range(0, len(own), step):
+            x = data[own[at : at + step]]
+            grid[places.index(p), c] += plane(x, p).T @ last.basis(x[:, -1], c)
+    kernel = lambda a, b: np.exp(-0.5 * (a[:, None] - b[None, :]) ** 2)
+    reach = int(SURELY / last.wide) + 1
+    meet = {d: kernel(last.nodes(0), last.nodes(d)) for d in range(-reach, reach + 1)}  # the same for all intervals that far apart
+    out, ready = np.empty(len(z)), {}
+    for p, c, own in boxes(z):
+        if (p, c) not in ready:
+            total = np.zeros(grid.shape[2:])
+            for q, other in enumerate(places):
+                held = sum(grid[q, d] @ meet[d - c].T for d in range(max(0, c - reach), min(last.count, c + reach + 1)))
+                first = kernel(sides[0].nodes(p[0]), sides[0].nodes(other[0]))
+                if len(p) == 1:
+                    total += first @ held
+                else:
+                    second = kernel(sides[1].nodes(p[1]), sides[1].nodes(other[1]))
+                    total += np.einsum("ai,bj,ijk->abk", first, second, held.reshape(NODES, NODES, NODES), optimize=True).reshape(total.shape)
+            ready = {(p, c): total}  # boxes come in order, so one is enough
+        for at in range(0, len(own), step):
+            x = z[own[at : at + step]]
+            out[own[at : at + step]] = ((plane(x, p) @ ready[p, c]) * last.basis(x[:, -1], c)).sum(axis=1)
+    return out
+
+
 def kernel_density(points: np.ndarray, data: np.ndarray, h) -> np.ndarray:
     """Density of Gaussian kernels at ``points``: a bandwidth for each dimension, or one number for all.
 
-    Data are sorted by the last dimension, and kernels more than SURELY
-    bandwidths away in it are left out where those that stay make up the value;
-    other points sum all kernels.
+    Many points and many data (more than FIT_PAIRS pairs, two or three
+    dimensions) meet by polynomials on intervals of each dimension, which costs
+    a number of operations for each point and each datum, not for each pair, and
+    is exact to about 1e-12 of the largest possible sum. Where the sum is so
+    small that this is not eight digits, and for fewer pairs, kernels are added
+    one by one, but for those SURELY bandwidths away in the last dimension; where
+    these make up the value, all are added.
     """
     h = np.broadcast_to(np.asarray(h, np.float64), points.shape[1])
     norm = np.prod(1 / (np.sqrt(2 * np.pi) * h))
     data = data[np.argsort(data[:, -1], kind="stable")] / h
     order = np.argsort(points[:, -1], kind="stable")
     z = points[order] / h
-    out = np.empty(len(points))
-
-    def sums(part: np.ndarray, held: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(part))
-        for at in range(0, len(part), max(1, KERNELS // max(len(held), 1))):
-            own = part[at : at + max(1, KERNELS // max(len(held), 1))]
-            square = np.zeros((len(own), len(held)))
-            for k in range(held.shape[1]):
-                gap = own[:, None, k] - held[None, :, k]
-                square += gap * gap
-            total[at : at + len(own)] = np.exp(-0.5 * square).sum(axis=1)
-        return total
-
-    for at in range(0, len(z), BLOCK):
-        part = z[at : at + BLOCK]
-        a, b = np.searchsorted(data[:, -1], [part[0, -1] - SURELY, part[-1, -1] + SURELY])
-        found = sums(part, data[a:b])
-        weak = found < len(data) * 1e-9
-        if b - a < len(data) and weak.any():
-            found[weak] = sums(part[weak], data)
-        out[at : at + BLOCK] = found
+    found = None
+    if points.shape[1] in (2, 3) and len(z) * len(data) > FIT_PAIRS:
+        ends = [np.concatenate([z[:, k], data[:, k]]) for k in range(z.shape[1])]
+        axes = [_Axis(float(e.min()), float(e.max())) for e in ends]
+        boxes = np.prod([float(a.count) for a in axes])
+        # a box costs as much as some hundred points of it
+        if boxes * np.prod([float(a.count) for a in axes[:-1]]) * NODES ** (z.shape[1] + 1) < 0.1 * len(z) * len(data) and boxes * NODES ** z.shape[1] <= FIT_NUMBERS:
+            found = _fitted(z, data, axes)
+            weak = np.flatnonzero(~(found > len(data) * 1e-4))
+            found[weak] = _near(z[weak], data)
+    if found is None:
+        found = _near(z, data)
+    weak = found < len(data) * 1e-9
+    if weak.any():
+        found[weak] = _direct(z[weak], data)
     result = np.empty(len(points))
-    result[order] = norm * out / len(data)
+    result[order] = norm * found / len(data)
     return result
 
 
@@ -255,7 +355,7 @@ def kde_scores(star_patch: DataFrame, good: DataFrame, cfg: DetectConfig) -> Dat
 
     A task holds the stars of one patch, seven numbers each, and scores some of
     its regions: they are dealt to as many tasks as KDE_PAIRS pairs of stars in
-    each make. Memory is that of the patch's stars and of KERNELS kernel values.
+    each make, where a fitted star counts as POINT_PAIRS. Memory is that of the patch's stars and of KERNELS kernel values.
     """
     step, width, low = cfg.sr_step, cfg.sr_width, cfg.pm_min
 
@@ -274,7 +374,8 @@ def kde_scores(star_patch: DataFrame, good: DataFrame, cfg: DetectConfig) -> Dat
         return pd.concat(parts) if parts else pd.DataFrame({"patch_id": [], "axis": [], "i": [], "star_id": [], "score": []})
 
     rich = good.where(F.col("n_sb") >= MIN_SIDEBAND)
-    work = rich.groupBy("patch_id").agg(F.ceil(F.sum(F.col("n_sr") * (F.col("n_sr") + F.col("n_sb"))) / KDE_PAIRS).cast("int").alias("_tasks"))
+    stars = F.col("n_sr") + F.col("n_sb")
+    work = rich.groupBy("patch_id").agg(F.ceil(F.sum(F.least(F.col("n_sr") * stars, stars * POINT_PAIRS)) / KDE_PAIRS).cast("int").alias("_tasks"))
     dealt = rich.join(work, "patch_id").withColumn("_task", F.pmod(F.xxhash64("axis", "i"), F.greatest("_tasks", F.lit(1))).cast("int"))
     regions = dealt.groupBy("patch_id", "_task").agg(F.sort_array(F.collect_list(F.array("axis", "i"))).alias("regions"))
     narrow = star_patch.select("patch_id", "star_id", "pmra", "pmdec", "phi", "lam", "mu_phi", "mu_lam")

@@ -339,6 +339,33 @@ def test_kernel_density_equals_plain_sums():
     assert len(h) == 3 and h[0] >= 2 and h[1] >= 2 and one == pytest.approx(np.prod(h) ** (1 / 3))
 
 
+@pytest.mark.parametrize(("h", "dims"), [((2.0, 2.0, 0.3), 3), ((0.9, 1.1, 0.5), 3), ((2.0, 0.05), 2), ((0.4, 0.4, 4.0), 3)])
+def test_fitted_kernels_equal_sums(monkeypatch, h, dims):
+    """Polynomials on both sides give what all kernels give, also at borders, in gaps and far out."""
+    rng = np.random.default_rng(len(h))
+    sky = lambda n: rng.uniform(-1.78, 1.78, (n, dims - 1))
+    data = np.column_stack([sky(6000), np.concatenate([rng.normal(0, 4, 4500), rng.normal(-2, 0.05, 1490), np.full(10, 3.0)])])
+    asks = np.column_stack([sky(3000), rng.normal(0, 5, 3000)])
+    asks[:4, -1], asks[4] = (60.0, -80.0, 3.0, 400.0), data[0]
+    want = density._direct(asks / h, data / h) / len(data) / np.prod(np.sqrt(2 * np.pi) * np.array(h))
+    pairs = []
+    direct = density._direct
+    monkeypatch.setattr(density, "_direct", lambda z, d: (pairs.append(len(z) * len(d)), direct(z, d))[1])
+    monkeypatch.setattr(density, "FIT_PAIRS", 0)
+    assert np.allclose(density.kernel_density(asks, data, h), want, rtol=1e-8, atol=1e-290)
+
+
+def test_fitted_kernels_spare_pairs(monkeypatch):
+    """Of 100,000 stars, fewer than a fifth of the pairs are looked at."""
+    rng = np.random.default_rng(3)
+    make = lambda n: np.column_stack([rng.uniform(-1.78, 1.78, (n, 2)), rng.normal(0, 5, n)])
+    asks, data, pairs = make(5000), make(95_000), []
+    direct = density._direct
+    monkeypatch.setattr(density, "_direct", lambda z, d: (pairs.append(len(z) * len(d)), direct(z, d))[1])
+    density.kernel_density(asks, data, density.kernel_bandwidths(data)[0])
+    assert sum(pairs) < len(asks) * len(data) / 5
+
+
 def test_scores_with_distance_and_velocity(spark):
     """Third axes of the neighbour score against plain loops; histogram scores against counting every star in every region."""
     rng = np.random.default_rng(8)

@@ -38,7 +38,7 @@ def graphs():
     yield "none", []
 
 
-@pytest.mark.parametrize(("name", "edges"), graphs())
+@pytest.mark.parametrize(("name", "edges"), list(graphs()))
 @pytest.mark.parametrize("small", [0, 100_000])
 def test_components_after_contraction(spark, name, edges, small):
     df = spark.createDataFrame(edges, "src long, dst long").repartition(5)
@@ -77,7 +77,7 @@ def test_region_pairs_by_bands(spark):
     other = (c("a.axis") != c("b.axis")) | (c("a.i") != c("b.i"))
     want = a.join(b, (c("a.patch_id") == c("b.patch_id")) & (c("a.roi") < c("b.roi")) & alike & near & other).select("a.roi", "b.roi")
     assert found == {tuple(r) for r in want.collect()} and found
-    assert clusters.roi_pairs(rois, held, CFG).count() < 0.1 * 2 * 200 * 199 / 2
+    assert clusters.roi_pairs(rois, held, CFG).count() < 0.2 * 2 * 200 * 199 / 2
 
 
 def test_drawn_pairs_differ_and_agree():

@@ -17,7 +17,7 @@ from skyloom.functions import angles, stats
 from skyloom.operators import clusters, cuts, density, hough, knn, lines, patches, selection, windows
 from skyloom.plans.detect import detect, find_rois
 from skyloom.session import shared_path
-from skyloom.sources import coverage, prep, sinks, sky_index
+from skyloom.sources import coverage, fits, prep, sinks, sky_index
 from skyloom.sources.demo import demo_patches, demo_stars, near_patches
 
 CFG = DetectConfig()
@@ -281,6 +281,16 @@ def q_alias_export(spark, sf_dir):
     return out.select("star_id", r6("ra"), r6("dec"), r6("pmra"), r6("pmdec"))
 
 
+@register(f"WITH {STARS} SELECT star_id, {rounded('ra', 'dec', 'rv', 'distance')}, star_id % 3 = 0 AS picked, concat('HD ', star_id) AS name FROM stars WHERE dec > 50 AND distance <= 60 AND rv <> 0")
+def q_fits_roundtrip(spark, sf_dir):
+    """Stars as FITS files that tasks write, read back with comparisons pushed into the reader."""
+    stars = demo_stars(spark, sf_dir).withColumns({"picked": F.col("star_id") % 3 == 0, "name": F.concat(F.lit("HD "), F.col("star_id"))})
+    path = shared_path(spark, "fits")
+    fits.write_fits(stars, path)
+    back = fits.read_fits(spark, path).where("dec > 50 and distance <= 60 and rv <> 0")
+    return back.select("star_id", r6("ra"), r6("dec"), r6("rv"), r6("distance"), "picked", "name")
+
+
 # ---- patches and windows
 
 

@@ -21,6 +21,7 @@ def local_session(cpus: int = 8, memory: str = "8g", name: str = "skyloom") -> S
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.python.filterPushdown.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.llm.arrays import lists
-from skyloom.session import staged
+from skyloom.session import staged, unstage
 
 #: Rows that the centroids are fitted on at most, vectors of a list, about, and lists at most.
 FIT_ROWS = 20_000
 LIST_ROWS = 1024
 MOST_LISTS = 4096
-#: Vectors and queries of one block at most, about, and pairs of them that are scanned at a time.
-BLOCK_ROWS = 8192
+#: Vectors and queries of one block at most, about, and pairs of them that are scanned at a time. A block holds several lists.
+BLOCK_ROWS = 32_768
 BLOCK_QUERIES = 4096
 PAIRS = 1 << 20
 #: Dimensions of a column block, and how sure the test of a pair and of a list is (larger drops fewer).
@@ -84,16 +84,17 @@ def lifted(x: np.ndarray, radius: float, query: bool) -> np.ndarray:
     return np.concatenate([x, rest[:, None]], axis=1)
 
 
-def adaptive_scan(queries: np.ndarray, rows: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def adaptive_scan(queries: np.ndarray, rows: np.ndarray, limits: np.ndarray, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a rotated query and a rotated row whose distance may be below the query's limit (squared).
 
     Dimensions come in column blocks of STEP. After each, a pair's distance is
     estimated from the dimensions seen; the pair is abandoned once its estimate
-    is above the limit by more than chance explains. All pairs are scanned
+    is above the limit by more than chance explains: with ``epsilon`` infinite,
+    once the dimensions seen are above it themselves. All pairs are scanned
     together, by matrix products while many are left and pair by pair then.
     """
     d = rows.shape[1]
-    at, bound = 0, lambda: limits * min(1.0, (at / d) * (1 + EPSILON / math.sqrt(at)) ** 2 if at < d else 1.0)
+    at, bound = 0, lambda: limits * min(1.0, (at / d) * (1 + epsilon / math.sqrt(at)) ** 2 if at < d else 1.0)
     part = np.zeros((len(queries), len(rows)))
     left = np.ones(part.shape, bool)
     while at < d:
@@ -194,6 +195,17 @@ class Lists:
     count: np.ndarray
     reach: np.ndarray
     spread: np.ndarray
+    #: The block that each list belongs to, and whether lists are left out only where no vector can be better.
+    block: np.ndarray
+    exact: bool
+
+    def blocks(self, rows: int) -> None:
+        """Deal lists to blocks of about ``rows`` vectors; lists whose centres lie alike are together."""
+        apart = self.centres - self.centres.mean(axis=0)
+        along = apart @ np.linalg.svd(apart, full_matrices=False)[2][0]
+        order = np.argsort(along, kind="stable")
+        upto = np.cumsum(self.count[order])
+        self.block[order] = np.unique(((upto - self.count[order]) // rows).astype(np.int64), return_inverse=True)[1]
 
     def choose(self, x: np.ndarray, floor: np.ndarray, first: int, later: bool) -> list[np.ndarray]:
         """The lists that each query visits: at first those of best centres, later the others that may hold better than its floor.
@@ -212,29 +224,37 @@ class Lists:
             return [np.sort(p[self.count[p] > 0]) for p in place[:, :first]]
         long = np.sqrt((x * x).sum(axis=1))[:, None]
         deviations = np.sqrt(2 * np.log(np.maximum(self.count, 2))) + LIST_SURE
-        most = score + long * np.minimum(self.reach, np.sqrt(self.spread / x.shape[1]) * deviations)[None, :] * (1 + 1e-9)
+        far = self.reach if self.exact else np.minimum(self.reach, np.sqrt(self.spread / x.shape[1]) * deviations)
+        most = score + long * far[None, :] * (1 + 1e-9)
         may = most >= floor[:, None]
         np.put_along_axis(may, place[:, :first], False, axis=1)
         return [np.flatnonzero(m) for m in may & (self.count > 0)]
 
 
 def _router(known: Lists, first: int, later: bool):
+    """Each query once for each block that has lists for it, with these lists."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, floor = _matrix(batch.column(1)), batch.column(2).to_numpy()
             for at in range(0, len(x), 1024):
                 found = known.choose(x[at : at + 1024], floor[at : at + 1024], first, later)
-                flat = np.concatenate([np.zeros(0, np.int64), *found])
+                owner, flat = np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate([np.zeros(0, np.int64), *found])
+                order = np.lexsort((flat, known.block[flat], owner))
+                owner, flat = owner[order], flat[order]
+                heads = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(known.block[flat], prepend=-1) != 0))
+                sizes = np.diff(np.append(heads, len(flat)))
+                took = pa.array(at + owner[heads])
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(at, 1024) for c in range(3)), lists(flat.astype(np.int32), np.array([len(f) for f in found]), pa.int32())], ["id", "vec", "floor", "lists"]
+                    [*(batch.column(c).take(took) for c in range(3)), pa.array(known.block[flat[heads]].astype(np.int32)), lists(flat.astype(np.int32), sizes, pa.int32())], ["id", "vec", "floor", "block", "lists"]
                 )
 
     return run
 
 
-def _searcher(k: int):
+def _searcher(k: int, epsilon: float):
     def run(block: pa.Table) -> pa.Table:
-        """The k best of the block's vectors for each of its queries."""
+        """The k best of the block's vectors for each of its queries, list by list."""
         asked, held = block.filter(block["asks"]), block.filter(pc.invert(block["asks"]))
         out: list[list[np.ndarray]] = [[], [], []]
         if asked.num_rows and held.num_rows:
@@ -243,18 +263,25 @@ def _searcher(k: int):
             radius, turn = math.sqrt((raw * raw).sum(axis=1).max()), rotation(raw.shape[1] + 1)
             rows, queries = lifted(raw, radius, False) @ turn, lifted(q_raw, radius, True) @ turn
             limits = np.maximum(radius**2 + (q_raw * q_raw).sum(axis=1) - 2 * floors, 0) * (1 + 1e-9) + 1e-12
-            many = max(1, PAIRS // len(ids))
-            for at in range(0, len(q_ids), many):
-                q, r = adaptive_scan(queries[at : at + many], rows, limits[at : at + many])
-                q += at
-                keep = ids[r] != q_ids[q]
-                q, r = q[keep], r[keep]
-                scores = np.concatenate([np.zeros(0), *(products(raw[r[i : i + 16384]], q_raw[q[i : i + 16384]]) for i in range(0, len(q), 16384))])
-                own = _first_k(q, ids[r], scores, k)
-                for column, found in zip(out, (q_ids[q[own]], ids[r[own]], scores[own]), strict=True):
-                    column.append(found)
-        join = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0), t)
-        return pa.table({"query_id": join(out[0], pa.int64()), "vec_id": join(out[1], pa.int64()), "score": join(out[2], pa.float64())})
+            of = pc.list_flatten(held["lists"]).to_numpy()  # a vector has one list, a query those that it visits
+            visits, visitor = pc.list_flatten(asked["lists"]).to_numpy(), pc.list_parent_indices(asked["lists"]).to_numpy()
+            for one in np.unique(of):
+                mine, guests = np.flatnonzero(of == one), visitor[visits == one]
+                many = max(1, PAIRS // len(mine))
+                for at in range(0, len(guests), many):
+                    some = guests[at : at + many]
+                    q, r = adaptive_scan(queries[some], rows[mine], limits[some], epsilon)
+                    q, r = some[q], mine[r]
+                    keep = ids[r] != q_ids[q]
+                    q, r = q[keep], r[keep]
+                    scores = np.concatenate([np.zeros(0), *(products(raw[r[i : i + 16384]], q_raw[q[i : i + 16384]]) for i in range(0, len(q), 16384))])
+                    own = _first_k(q, ids[r], scores, k)
+                    for column, found in zip(out, (q_ids[q[own]], ids[r[own]], scores[own]), strict=True):
+                        column.append(found)
+        join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+        q, v, scores = join(out[0], np.int64), join(out[1], np.int64), join(out[2], np.float64)
+        best = _first_k(q, v, scores, k)
+        return pa.table({"query_id": pa.array(q[best], pa.int64()), "vec_id": pa.array(v[best], pa.int64()), "score": pa.array(scores[best], pa.float64())})
 
     return run
 
@@ -270,20 +297,24 @@ def _k_best(found: DataFrame, k: int) -> DataFrame:
 
 
 def _visit(held: DataFrame, routed: DataFrame, known: Lists, k: int) -> DataFrame:
-    """What queries (id, vec, floor, lists) find in the lists that they name."""
-    asked = routed.withColumn("list", F.explode("lists")).drop("lists")
-    wants = {r["list"]: r["count"] for r in routed.select(F.explode("lists").alias("list")).groupBy("list").count().collect()}
-    n = len(known.count)
-    per = lambda counts, most: F.array(*[F.lit(max(1, -(-int(c) // most))) for c in counts])[F.col("list")]
-    v_parts, q_parts = per(known.count, BLOCK_ROWS), per([wants.get(i, 0) for i in range(n)], BLOCK_QUERIES)
+    """What queries (id, vec, floor, block, lists) find in the lists that they name.
+
+    A query's vector goes once to each block that it visits, not to each list.
+    """
+    n = int(known.block.max(initial=0)) + 1
+    there = np.bincount(known.block, known.count, minlength=n)
+    wants = {r["block"]: r["count"] for r in routed.groupBy("block").count().collect()}
+    per = lambda counts, most: F.array(*[F.lit(max(1, -(-int(c) // most))) for c in counts])[F.col("block")]
+    v_parts, q_parts = per(there, BLOCK_ROWS), per([wants.get(i, 0) for i in range(n)], BLOCK_QUERIES)
     own = lambda parts: F.pmod(F.xxhash64("id"), parts).cast("int")
     each = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
-    left = held.select(F.lit(False).alias("asks"), "id", "vec", F.lit(0.0).alias("floor"), "list", own(v_parts).alias("v"), each(q_parts).alias("q"))
-    right = asked.select(F.lit(True).alias("asks"), "id", "vec", "floor", "list", each(v_parts).alias("v"), own(q_parts).alias("q"))
-    return left.unionByName(right).groupBy("list", "v", "q").applyInArrow(_searcher(k), FOUND)
+    placed = held.withColumn("block", F.array(*[F.lit(int(b)) for b in known.block])[F.col("list")])
+    left = placed.select(F.lit(False).alias("asks"), "id", "vec", F.lit(0.0).alias("floor"), "block", F.array("list").alias("lists"), own(v_parts).alias("v"), each(q_parts).alias("q"))
+    right = routed.select(F.lit(True).alias("asks"), "id", "vec", "floor", "block", "lists", each(v_parts).alias("v"), own(q_parts).alias("q"))
+    return left.unionByName(right).groupBy("block", "v", "q").applyInArrow(_searcher(k, math.inf if known.exact else EPSILON), FOUND)
 
 
-def nearest_neighbours(df: DataFrame, key: str, vector: str, queries, k: int = 20, n_lists: int | None = None) -> DataFrame:
+def nearest_neighbours(df: DataFrame, key: str, vector: str, queries, k: int = 20, n_lists: int | None = None, exact: bool = False) -> DataFrame:
     """The k vectors of largest inner product, in double precision, for each row that ``queries`` (a condition on id) selects.
 
     Vectors get a further dimension that turns inner products into distances
@@ -292,8 +323,11 @@ def nearest_neighbours(df: DataFrame, key: str, vector: str, queries, k: int = 2
     first visits the FIRST_SHARE of lists with the best centres. The k-th best
     found there, or among a sample of FLOOR_ROWS vectors, limits the rest: it
     visits every other list that may hold better by the list's spread, be it
-    one or all. Lists of many vectors or queries are split into blocks, so a
-    very common vector never fills a task. Within a block, rotated vectors lie
+    one or all; with ``exact``, by the list's farthest vector, and no candidate
+    is abandoned by chance, so the result is that of comparing all. Lists lie
+    in blocks, and a query is sent once to each block that it visits; blocks of
+    many vectors or queries are split, so a very common vector never fills a
+    task. Within a block, rotated vectors lie
     in column blocks and an adaptive scan abandons candidates early; what it
     leaves is scored on the original vectors. The sample's own finds go only to
     queries that have fewer than k.
@@ -321,17 +355,22 @@ def nearest_neighbours(df: DataFrame, key: str, vector: str, queries, k: int = 2
     sample, sample_ids = sample[:FLOOR_ROWS], sample_ids[:FLOOR_ROWS]
 
     held = staged(rows.mapInArrow(_assigner(centres, radius), f"id long, vec {kind}, list int, gap double"), "held")
-    known = Lists(centres[:, :-1], *np.zeros((3, len(centres))))
+    known = Lists(centres[:, :-1], *np.zeros((3, len(centres))), np.zeros(len(centres), np.int64), exact)
     for r in held.groupBy("list").agg(F.count("*").alias("n"), F.max("gap").alias("reach"), F.avg(F.col("gap") * F.col("gap")).alias("spread")).collect():
         known.count[r["list"]], known.reach[r["list"]], known.spread[r["list"]] = r["n"], r["reach"], r["spread"]
+    known.blocks(min(max(n // (2 * int(spark.conf.get("spark.sql.shuffle.partitions"))), LIST_ROWS), BLOCK_ROWS))
     first = max(1, math.ceil(FIRST_SHARE * len(centres)))
     asked = staged(rows.where(queries).mapInArrow(_floors(sample_ids, sample, k), f"id long, vec {kind}, floor double"), "asked")
-    routed = f"id long, vec {kind}, floor double, lists array<int>"
-    found = staged(_k_best(_visit(held, asked.mapInArrow(_router(known, first, False), routed), known, k), k), "found")
+    routed = f"id long, vec {kind}, floor double, block int, lists array<int>"
+    at_first = staged(asked.mapInArrow(_router(known, first, False), routed), "first")
+    found = staged(_k_best(_visit(held, at_first, known, k), k), "found")
+    unstage(at_first)
     floors = found.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") == k, F.min("score")).alias("least"))
     asked_again = asked.join(floors, "id", "left").select("id", "vec", F.greatest("floor", F.coalesce("least", F.lit(float("-inf")))).alias("floor"))
     later = staged(asked_again.mapInArrow(_router(known, first, True), routed), "later")
     found = staged(_k_best(found.drop("rank").unionByName(_visit(held, later, known, k)), k), "found")
+    unstage(held)
+    unstage(later)
     full = found.groupBy("query_id").count().where(F.col("count") >= k)
     short = staged(asked.join(full, asked["id"] == full["query_id"], "left_anti").select("id", "vec"), "short")
     if not short.isEmpty():

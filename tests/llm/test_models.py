@@ -1,11 +1,13 @@
 """Search, tokenizer parity and classifier on small tables."""
 
 import collections
+import math
 import random
 import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -97,6 +99,41 @@ def test_recall_of_lists_and_scan_alone(spark, monkeypatch, kind):
     assert hits / 4000 >= 0.95
 
 
+def test_exact_search_equals_comparing_all(spark):
+    """Evenly spread vectors, of which the test by chance alone would lose some, with the same answers as all products."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((6000, 20))
+    x[3000:3040] = x[1]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    found = collections.defaultdict(list)
+    for r in sorted(nearest_neighbours(df, "vec_id", "embedding", F.col("id") % 50 == 0, exact=True, n_lists=24).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        found[r["query_id"]].append(r["vec_id"])
+    for q in range(0, 6000, 50):
+        scores = np.array([x[q] @ v for v in x])
+        scores[q] = -np.inf
+        assert found[q] == np.lexsort((np.arange(6000), -np.round(scores, 10)))[:20].tolist()
+
+
+def test_a_query_is_sent_once_to_a_block():
+    """However many of its lists it visits."""
+    rng = np.random.default_rng(4)
+    centres, count = rng.standard_normal((40, 8)), rng.integers(0, 300, 40).astype(float)
+    known = neighbours.Lists(centres, count, np.full(40, 2.0), np.full(40, 1.0), np.zeros(40, np.int64), False)
+    known.blocks(1000)
+    assert known.block.max() + 1 <= math.ceil(count.sum() / 1000) + 1
+    x = rng.standard_normal((50, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(x.tolist()), pa.array([-1e9] * 50)], ["id", "vec", "floor"])
+    for later in (False, True):
+        rows = [r for b in neighbours._router(known, 4, later)([batch]) for r in b.to_pylist()]
+        assert len({(r["id"], r["block"]) for r in rows}) == len(rows)
+        want = known.choose(x, np.full(50, -1e9), 4, later)
+        got = collections.defaultdict(list)
+        for r in rows:
+            assert all(known.block[i] == r["block"] for i in r["lists"]) and r["vec"] == x[r["id"]].tolist()
+            got[r["id"]] += r["lists"]
+        assert all(sorted(got[i]) == sorted(want[i].tolist()) for i in range(50))
+
+
 def test_adaptive_scan_keeps_near_rows():
     rng = np.random.default_rng(3)
     x = rng.standard_normal((2000, 63))

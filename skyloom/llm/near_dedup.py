@@ -22,6 +22,8 @@ ROWS = 5
 MISS = 1e-6
 #: Rows and shingles of each side of a block of comparisons, about.
 BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
+#: Shingles of a slab: the columns of a matrix product.
+SLAB = 4096
 
 
 def bands_for(percent: int) -> int:
@@ -152,15 +154,17 @@ def _block_links(percent: int):
         sets = [x for t in (few, many) if t.num_rows for x in _sets(t["members"])]
         size = np.array([len(x) for x in sets])
         n = few.num_rows
-        values, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]), return_counts=True)
-        values = values[counts > 1]
+        values, code, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), size)
+        shared = counts > 1
+        row, code = row[shared[code]], (np.cumsum(shared) - 1)[code[shared[code]]]
+        order = np.argsort(code, kind="stable")
+        row, code = row[order], code[order]
         both = np.zeros((n, len(sets) - n), np.float32)
-        for at in range(0, len(values), 4096):
-            slab = values[at : at + 4096]
-            dense = np.zeros((len(sets), len(slab)), np.float32)
-            for row, x in zip(dense, sets, strict=True):
-                place = np.minimum(np.searchsorted(slab, x), len(slab) - 1)
-                row[place[slab[place] == x]] = 1
+        for at in range(0, int(shared.sum()), SLAB):
+            low, high = np.searchsorted(code, [at, at + SLAB])
+            dense = np.zeros((len(sets), SLAB), np.float32)
+            dense[row[low:high], code[low:high] - at] = 1
             both += dense[:n] @ dense[n:].T
         joint = size[:n, None] + size[None, n:] - both
         part_1, part_2 = few.column("part").to_numpy(), many.column("part").to_numpy()
@@ -179,25 +183,29 @@ def _rest_links(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components that may still be hidden among ``open_``, found block by block.
 
     Groups are what buckets connect. In each, rows outside its largest
-    component meet all rows, in blocks of about BLOCK by BLOCK rows and of
-    BLOCK_SHINGLES on each side, whose intersections are matrix products; only
-    links leave a block, one for each row and component.
+    component meet the rows that may be linked with them by size: those of their
+    own class of sizes and of the two beside it, in blocks of about BLOCK by BLOCK
+    rows and of BLOCK_SHINGLES on each side, whose intersections are matrix
+    products; only links leave a block, one for each row and component.
     """
     hubs = staged(open_.groupBy("bucket").agg(F.min("rep").alias("hub")), "hubs")
     groups = connected_components(salted_join(open_, hubs, ["bucket"], "rep").select("rep", "hub").distinct(), "rep", "hub")
+    # linked sets differ in size by less than a class is wide
+    sizes = F.floor(F.log("n") / (math.log(100 / percent) * 1.0001 if percent < 100 else 1.0)).cast("int")
     rows = open_.select("rep", "part", "n").distinct().join(groups.select(F.col("node").alias("rep"), F.col("component").alias("grp")), "rep")
-    rows = staged(rows, "rest")
-    parts = rows.groupBy("grp", "part").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
-    main = parts.groupBy("grp").agg(
-        F.max_by("part", F.struct("c", "part")).alias("main"), F.sum("c").alias("c"), F.max("c").alias("top"), F.sum("w").alias("w"), F.max_by("w", F.struct("c", "part")).alias("top_w")
-    )
-    sides = lambda c, w: F.greatest(F.ceil(c / BLOCK), F.ceil(w / BLOCK_SHINGLES), F.lit(1)).cast("int")
-    blocks = staged(main.select("grp", "main", sides(F.col("c"), F.col("w")).alias("m"), sides(F.col("c") - F.col("top"), F.col("w") - F.col("top_w")).alias("o")), "blocks")
+    rows = staged(rows.withColumn("cls", sizes), "rest")
+    main = rows.groupBy("grp", "part").agg(F.count("*").alias("c")).groupBy("grp").agg(F.max_by("part", F.struct("c", "part")).alias("main"))
+    few = staged(salted_join(rows, main, ["grp"], "rep").where("part != main").drop("main"), "few")
+    many = staged(rows.withColumn("cls", F.explode(F.sequence(F.col("cls") - 1, F.col("cls") + 1))), "many")
+    sides = lambda c: F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias(c)
+    blocks = staged(few.groupBy("grp", "cls").agg(sides("o")).join(many.groupBy("grp", "cls").agg(sides("m")), ["grp", "cls"]), "blocks")
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    full = salted_join(rows, blocks, ["grp"], "rep").join(sets.select(F.col("doc_id").alias("rep"), "members"), "rep")
-    few = full.where("part != main").select(F.lit(True).alias("few"), "grp", "rep", "part", "members", own("o").alias("i"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"))
-    many = full.select(F.lit(False).alias("few"), "grp", "rep", "part", "members", F.explode(F.sequence(F.lit(0), F.col("o") - 1)).alias("i"), own("m").alias("j"))
-    found = few.unionByName(many).groupBy("grp", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = sets.select(F.col("doc_id").alias("rep"), "members")
+    placed = lambda side: salted_join(side, blocks, ["grp", "cls"], "rep").join(members, "rep")
+    left = placed(few).select(F.lit(True).alias("few"), "grp", "cls", "rep", "part", "members", own("o").alias("i"), each("m").alias("j"))
+    right = placed(many).select(F.lit(False).alias("few"), "grp", "cls", "rep", "part", "members", each("o").alias("i"), own("m").alias("j"))
+    found = left.unionByName(right).groupBy("grp", "cls", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
     return staged(found.distinct(), "links")
 
 

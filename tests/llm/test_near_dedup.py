@@ -142,3 +142,36 @@ def test_word_hashes_chunks_and_limits():
     assert n.tolist() == [0, 5, 1]
     s, n = shingles([b"a b c d", b"A B C D", b"a b", b""], 3)
     assert n.tolist() == [2, 2, 1, 0] and s[:2].tolist() == s[2:4].tolist()
+
+
+@pytest.mark.parametrize("percent", [80, 100])
+def test_rest_blocks_by_size_classes(spark, monkeypatch, percent):
+    """One open group of sets of all sizes: the links join what comparing all pairs joins."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 40)
+    rng = np.random.default_rng(percent)
+    sets = {}
+    for i in range(150):
+        base = rng.choice(4000, rng.integers(4, 300), replace=False)
+        for j in range(rng.integers(1, 4)):
+            keep = base[: max(1, len(base) - rng.integers(0, max(1, len(base) // 4) + 1))]
+            sets[1000 * i + j] = np.unique(np.concatenate([keep, rng.integers(4000, 4100, rng.integers(0, 3))])).astype(np.int64)
+    sets |= {900_001: np.arange(80), 900_002: np.arange(100), 900_003: np.arange(64)}  # just at the threshold
+    rows = [(7, i, i, len(x)) for i, x in sets.items()]
+    open_ = spark.createDataFrame(rows, "bucket long, rep long, part long, n long")
+    members = spark.createDataFrame([(i, x.tolist()) for i, x in sets.items()], "doc_id long, members array<long>")
+    links = [(r["a"], r["b"]) for r in near_dedup._rest_links(open_, members, percent).collect()]
+    like = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= percent * len(np.union1d(sets[a], sets[b]))
+    assert all(like(a, b) for a, b in links)
+    want = {frozenset((a, b)) for a in sets for b in sets if a < b and like(a, b)}
+    linked = lambda edges: {frozenset(c) for c in _groups(sets, edges)}
+    assert linked(links) == linked([tuple(p) for p in want]) and want
+
+
+def _groups(nodes, edges):
+    at = {i: {i} for i in nodes}
+    for a, b in edges:
+        if at[a] is not at[b]:
+            at[a] |= at[b]
+            for x in at[b]:
+                at[x] = at[a]
+    return {id(g): g for g in at.values()}.values()

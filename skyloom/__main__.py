@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import csv
 import os
 import sys
 
@@ -15,9 +14,9 @@ from skyloom.operators.patches import patch_summary
 from skyloom.plans.detect import detect
 from skyloom.session import local_session, ship_package
 from skyloom.sources.catalog import read_catalog
-from skyloom.sources.sinks import candidate_rows, member_rows, report, write_summary
+from skyloom.sources.sinks import report, write_named_files, write_summary
 
-#: Candidates whose members are written; a candidate has max_candidate_stars at most, so the driver sees a bounded number.
+#: Candidates whose members are written, a file for each.
 TOP = 20
 
 
@@ -52,13 +51,6 @@ def config(a: argparse.Namespace) -> DetectConfig:
     )
 
 
-def write_rows(path: str, columns: list[str], rows: list) -> None:
-    with open(path, "w", newline="") as f:
-        out = csv.writer(f)
-        out.writerow(columns)
-        out.writerows(rows)
-
-
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     say = (lambda *x: None) if a.quiet else print
@@ -74,16 +66,9 @@ def main(argv: list[str] | None = None) -> int:
     if run.star_patch.isEmpty():
         print("no patch holds enough stars after the cuts", file=sys.stderr)
         return 1
-    os.makedirs(a.output, exist_ok=True)
-    found = candidate_rows(run.candidates)
-    write_rows(f"{a.output}/stream_candidates.csv", found.columns, found.collect())
-    members = member_rows(run.members.where(run.members["candidate_id"] <= TOP), stars)
-    ranks: dict[int, list] = {}
-    for r in members.collect():
-        ranks.setdefault(r["candidate_rank"], []).append(r[1:])
-    for rank, rows in sorted(ranks.items()):
-        write_rows(f"{a.output}/stream_{rank:03d}_stars.csv", members.columns[1:], rows)
-    write_summary(patch_summary(run.patches, run.star_patch), f"file://{os.path.abspath(a.output)}/patches")
+    output = a.output if "://" in a.output else os.path.abspath(a.output)
+    write_named_files(run.candidates, run.members, output, stars, TOP)
+    write_summary(patch_summary(run.patches, run.star_patch), f"{output if '://' in output else 'file://' + output}/patches")
     n = run.candidates.count()
     say(f"Candidates: {n}")
     for r in report(run.candidates).collect() if n else ():

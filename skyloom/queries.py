@@ -614,6 +614,20 @@ def q_merged_candidates(spark, sf_dir):
 _CAND = ["significance", "mean_ra", "mean_dec", "mean_pmra", "mean_pmdec", "mean_l", "mean_b"]
 
 
+@register(f"""WITH RECURSIVE {CANDIDATES} SELECT 'stream_candidates.csv' AS file, cast(candidate_id AS varchar) AS row_id, format('{{:.2f}}', significance) AS significance, format('{{:.6f}}', mean_ra) AS ra FROM cand
+UNION ALL SELECT format('stream_{{:03d}}_stars.csv', candidate_id), format('{{:.8f}}', ra), format('{{:.2f}}', significance), NULL FROM member JOIN cand USING (candidate) WHERE candidate_id <= 20""")
+def q_named_files(spark, sf_dir):
+    """The files of candidates and of their members, written by tasks and read back."""
+    run = detect(demo_stars(spark, sf_dir), CFG, None, demo_patches(spark))
+    path = shared_path(spark, "named")
+    sinks.write_named_files(run.candidates, run.members, path)
+    found = spark.read.csv(f"{path}/stream_*.csv", header=False).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "*")
+    first = found.where("file = 'stream_candidates.csv' and _c0 <> 'candidate_id'")
+    stars = found.where("file <> 'stream_candidates.csv' and _c0 <> 'ra'")
+    one = first.select("file", F.col("_c0").alias("row_id"), F.col("_c2").alias("significance"), F.col("_c5").alias("ra"))
+    return one.unionByName(stars.select("file", F.col("_c0").alias("row_id"), F.col("_c16").alias("significance"), F.lit(None).cast("string").alias("ra")))
+
+
 @register(f"WITH RECURSIVE {CANDIDATES} SELECT candidate_id, candidate, n_protostreams, n_stars, {rounded(*_CAND)} FROM cand")
 def q_candidates(spark, sf_dir):
     run = detect(demo_stars(spark, sf_dir), CFG, None, demo_patches(spark))

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from skyloom.sources.stores import store_of
+
 BLOCK = 2880
 ROWS_A_PART = 500_000
 #: Code of a column's form: numpy kind, Arrow type, Spark type.
@@ -29,20 +31,14 @@ FORMS = {
 HEAP_BYTES = 64 << 20
 
 
-def _store(path: str) -> tuple[fs.FileSystem, str]:
-    if path.startswith("file:"):
-        path = "/" + path[5:].lstrip("/")
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
 def _open(path: str):
-    store, inner = _store(path)
+    store, inner = store_of(path)
     return store.open_input_file(inner)
 
 
 def _files(path: str) -> list[str]:
     """The file itself, or the files of a folder that end like FITS files, by name."""
-    store, inner = _store(path)
+    store, inner = store_of(path)
     if store.get_file_info(inner).type != fs.FileType.Directory:
         return [path]
     found = store.get_file_info(fs.FileSelector(inner))
@@ -274,12 +270,12 @@ class FitsWriter(DataSourceArrowWriter):
             raise ValueError(f"FITS tables here hold numbers, logicals and texts, not {', '.join(wrong)}")
         self.codes = [kinds[f.dataType.typeName()] for f in schema]
         self.before: list[str] = []
-        store, inner = _store(self.path)
+        store, inner = store_of(self.path)
         if store.get_file_info(inner).type == fs.FileType.Directory:
             self.before = [f.path for f in store.get_file_info(fs.FileSelector(inner)) if f.is_file and f.base_name.endswith(".fits")]
 
     def _file(self, table: pa.Table) -> str:
-        store, inner = _store(self.path)
+        store, inner = store_of(self.path)
         store.create_dir(inner, recursive=True)
         name = f"_{uuid.uuid4().hex}.fits"
         with store.open_output_stream(f"{inner}/{name}", compression=None) as out:
@@ -301,7 +297,7 @@ class FitsWriter(DataSourceArrowWriter):
         return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
-        store, inner = _store(self.path)
+        store, inner = store_of(self.path)
         names = [n for m in messages if m for n in m.files]
         if not names and (self.overwrite or not self.before):
             kinds = {"K": pa.int64(), "J": pa.int32(), "I": pa.int16(), "D": pa.float64(), "E": pa.float32(), "L": pa.bool_(), "A": pa.string()}
@@ -317,7 +313,7 @@ class FitsWriter(DataSourceArrowWriter):
                 store.delete_file(f.path)
 
     def abort(self, messages: list[Written | None]) -> None:
-        store, inner = _store(self.path)
+        store, inner = store_of(self.path)
         for m in messages:
             for name in m.files if m else ():
                 store.delete_file(f"{inner}/{name}")

@@ -1,10 +1,12 @@
-"""Outputs of a detection run (SNK1 to SNK4)."""
+"""Outputs of a detection run (SNK1 to SNK5)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.sources.named_csv import write_named_csv
+
 # fixed values: printed formats and the name of a new candidate
 CANDIDATE_NAME = "VM3-NEW"
 CANDIDATE_FORMATS = {
@@ -47,6 +49,14 @@ def write_members(members: DataFrame, path: str, stars: DataFrame | None = None,
     member_rows(members.where(F.col("candidate_id") <= top), stars).write.mode("overwrite").partitionBy("candidate_rank").csv(path, header=True)
 
 
+def write_named_files(candidates: DataFrame, members: DataFrame, path: str, stars: DataFrame | None = None, top: int = 20) -> None:
+    """``stream_candidates.csv`` and ``stream_NNN_stars.csv`` of the first ``top`` candidates, written by tasks."""
+    write_named_csv(candidate_rows(candidates), path, F.lit("stream_candidates.csv"), [F.col("candidate_id").cast("long")], always=["stream_candidates.csv"])
+    own = member_rows(members.where(F.col("candidate_id") <= top), stars)
+    name, order = F.format_string("stream_%03d_stars.csv", F.col("candidate_rank")), [F.col(c).cast("double") for c in ("ra", "dec", "phi")]
+    write_named_csv(own, path, name, order, own.columns[1:], replaces=["stream_[0-9][0-9][0-9]_stars.csv"])
+
+
 def write_summary(summary: DataFrame, path: str) -> None:
     four = ("center_ra", "center_dec", "center_l", "center_b")
     rows = summary.orderBy("patch_id").select("patch_id", *[F.format_string("%.4f", F.col(c)).alias(c) for c in four], "n_stars", F.col("is_valid").cast("int").alias("is_valid"))

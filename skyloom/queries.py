@@ -17,7 +17,7 @@ from skyloom.functions import angles, stats
 from skyloom.operators import clusters, cuts, density, hough, knn, lines, patches, selection, windows
 from skyloom.plans.detect import detect, find_rois
 from skyloom.session import shared_path
-from skyloom.sources import coverage, fits, prep, sinks, sky_index
+from skyloom.sources import catalog, coverage, fits, prep, sinks, sky_index
 from skyloom.sources.demo import demo_patches, demo_stars, near_patches
 
 CFG = DetectConfig()
@@ -291,6 +291,30 @@ def q_fits_roundtrip(spark, sf_dir):
     return back.select("star_id", r6("ra"), r6("dec"), r6("rv"), r6("distance"), "picked", "name")
 
 
+@register(f"""WITH {STARS} SELECT row_number() OVER (ORDER BY star_id) - 1 AS star_id, {rounded('ra', 'dec', 'pmra', 'rv')}, 20.0::double AS g_mag, star_id AS target_id,
+ CASE WHEN star_id % 11 = 0 THEN 0.0 ELSE round(CASE WHEN 1/distance > 0.01 THEN 1/(1/distance) ELSE 100 END, 6) END AS distance FROM stars""")
+def q_csv_roundtrip(spark, sf_dir):
+    """A catalogue as several CSV files with other headers: names, defaults, distances by parallax, and stars numbered in file order."""
+    stars = demo_stars(spark, sf_dir).withColumn("plx", F.when(F.col("distance") > 0, 1 / F.col("distance")))
+    named = stars.select(F.col("ra").alias("TARGET_RA"), F.col("dec").alias("Target_Dec"), F.col("pmra").alias("GAIA_PMRA"), "pmdec", F.col("rv").alias("VRAD"), "plx", F.col("star_id").alias("TARGETID"))
+    path = shared_path(spark, "csv")
+    named.repartitionByRange(3, "TARGETID").sortWithinPartitions("TARGETID").write.csv(path, header=True)
+    back = catalog.read_csv(spark, path)
+    return back.select("star_id", r6("ra"), r6("dec"), r6("pmra"), r6("rv"), "g_mag", "target_id", r6("distance"))
+
+
+_P, _Q = f"(ra*{D})", f"((dec - 50)*{D})"
+
+
+@register(f"""WITH {STARS}, v AS (SELECT star_id, cos({_Q})*cos({_P}) AS x, cos({_Q})*sin({_P}) AS y, sin({_Q}) AS z FROM stars),
+t AS (SELECT star_id, degrees(atan2(y, x*cos(30*{D}) - z*sin(30*{D}))) + 34.5 AS a, degrees(asin(greatest(-1, least(1, x*sin(30*{D}) + z*cos(30*{D}))))) AS b FROM v)
+SELECT star_id, round(a - 360*floor(a/360), 6) AS ra, round(b, 6) AS dec FROM t""")
+def q_stream_frame(spark, sf_dir):
+    """Right ascension and height over declination 50 taken as the two axes of a stream's frame."""
+    ra, dec = angles.stream_frame(34.5, 30.0, F.col("ra"), F.col("dec") - 50)
+    return demo_stars(spark, sf_dir).select("star_id", r6(ra, "ra"), r6(dec, "dec"))
+
+
 # ---- patches and windows
 
 
@@ -309,6 +333,22 @@ def q_patch_grid(spark, sf_dir):
     return demo_patches(spark).select("patch_id", r6("center_ra"), r6("center_dec"), r6("center_l"), r6("center_b"))
 
 
+_DENSE = 0.8 * CFG.patch_radius
+_DENSE_GRID = f"""d(dec) AS (SELECT {-90.0 + _DENSE!r}::double UNION ALL SELECT dec + {_DENSE!r} FROM d WHERE dec + {_DENSE!r} < {90.0 - _DENSE!r}),
+g(dec, ra, w) AS (SELECT dec, 0.0::double, {_DENSE!r}/greatest(cos(dec*pi()/180.0), 0.01) FROM d UNION ALL SELECT dec, ra + w, w FROM g WHERE ra + w < 360),
+kept AS (SELECT dec AS center_dec, ra AS center_ra FROM g WHERE abs({_GRID_B}) >= 20 AND {sql_sep('ra', 'dec', '80', '-69')} >= 10 AND {sql_sep('ra', 'dec', '13', '-73')} >= 5),
+grid AS (SELECT cast(row_number() OVER (ORDER BY center_dec, center_ra) - 1 AS int) AS patch_id, * FROM kept)"""
+
+
+@register(f"""WITH RECURSIVE {_DENSE_GRID}, {STARS}, close AS (SELECT * FROM grid WHERE center_dec BETWEEN 44 AND 56 AND center_ra BETWEEN 170 AND 190)
+SELECT patch_id, round(center_ra, 6) AS center_ra, round(center_dec, 6) AS center_dec, count(*) AS n_stars FROM stars JOIN close ON {sql_sep('ra', 'dec', 'center_ra', 'center_dec')} <= {CFG.patch_radius} GROUP BY ALL""")
+def q_dense_patch_counts(spark, sf_dir):
+    """Stars in the patches of the denser grid that hold any."""
+    grid = patches.patches_frame(spark, patches.dense_patch_grid(CFG))
+    counts = patches.patch_counts(patches.assign_patches(demo_stars(spark, sf_dir), grid, CFG.patch_radius))
+    return counts.join(grid, "patch_id").select("patch_id", r6("center_ra"), r6("center_dec"), "n_stars")
+
+
 @register(f"WITH {SP} SELECT patch_id, center_ra, center_dec, coalesce(n, 0) AS n_stars, true AS is_valid FROM patches LEFT JOIN (SELECT patch_id, count(*) AS n FROM sp_all GROUP BY patch_id) USING (patch_id)")
 def q_patch_summary(spark, sf_dir):
     known = demo_patches(spark)
@@ -563,6 +603,23 @@ def q_roi_edges(spark, sf_dir):
     return clusters.roi_edges(rois, held, CFG)
 
 
+_TEN = """SELECT patch_id, p, q, avg(mu_phi) AS m_phi, avg(mu_lam) AS m_lam, avg(distance) FILTER (distance > 0.1 AND distance < 500) AS m_dist,
+ count(*) FILTER (abs(rv) > 0.001 AND abs(rv) < 1000) AS n_rv, sum(rv) FILTER (abs(rv) > 0.001 AND abs(rv) < 1000) AS s_rv, sum(rv*rv) FILTER (abs(rv) > 0.001 AND abs(rv) < 1000) AS s2_rv
+ FROM cell WHERE ordinal < 10 GROUP BY patch_id, p, q"""
+
+
+@register(f"""WITH {ROI}, ten AS ({_TEN}), full_roi AS (SELECT roi.*, m_phi, m_lam, m_dist, n_rv, s_rv, s2_rv FROM roi JOIN ten USING (patch_id, p, q)),
+pair AS (SELECT a.roi AS src, b.roi AS dst, a.m_dist AS d1, b.m_dist AS d2, a.n_rv AS n1, b.n_rv AS n2, a.s_rv AS s1, b.s_rv AS s2, a.n_rv + b.n_rv AS n, a.s_rv + b.s_rv AS s, a.s2_rv + b.s2_rv AS ss
+ FROM full_roi a JOIN full_roi b ON a.patch_id = b.patch_id AND a.roi < b.roi AND (a.axis <> b.axis OR a.i <> b.i)
+ AND sqrt(pow(a.m_phi-b.m_phi,2) + pow(a.m_lam-b.m_lam,2)) < 5 AND {sql_compatible('a', 'b')})
+SELECT src, dst FROM pair WHERE NOT coalesce(abs(d1 - d2) > 15 AND abs(d1 - d2)/((d1 + d2)/2) > 0.15, false)
+ AND NOT coalesce(abs(s1/n1 - s2/n2) > 10 OR (n > 2 AND sqrt(greatest(ss - s*s/n, 0)/(n - 1)) > {CFG.max_rv_dispersion}), false)""")
+def q_roi_edges_gated(spark, sf_dir):
+    """Pairs of regions whose distances and radial velocities agree as well."""
+    held, rois = _found(spark, sf_dir)
+    return clusters.roi_edges(rois, held, replace(CFG, use_distance=True, use_rv=True))
+
+
 _CLU = rounded("significance", "theta", "rho", "mean_mu_phi", "mean_mu_lam", "std_mu_phi", "std_mu_lam")
 
 

@@ -98,7 +98,10 @@ def run(spark: SparkSession, source: str, output: str, checkpoint: str, settings
     cfg = replace(DetectConfig(), **{c: v for c, v in chosen.items() if c not in ("stars", "files_per_batch")})
     output, checkpoint = output.rstrip("/"), checkpoint.rstrip("/")
     log.info("reading new files of %s, writing to %s, marks in %s", source, output, checkpoint)
-    return {"stars": take_stars(spark, source, output, checkpoint, chosen, cfg), "regions": count_regions(spark, output, checkpoint, chosen, cfg)}
+    taken = {"stars": take_stars(spark, source, output, checkpoint, chosen, cfg), "regions": count_regions(spark, output, checkpoint, chosen, cfg)}
+    stars, regions = read_output(spark, output)
+    log.info("%s/star_patch now holds %d rows, %s/regions %d", output, stars.count(), output, regions.count())
+    return taken
 
 
 def read_output(spark: SparkSession, output: str) -> tuple[DataFrame, DataFrame]:

@@ -66,9 +66,10 @@ def detect(stars: DataFrame, cfg: DetectConfig | None = None, scorer: str | None
     ranked, members = candidates(streams, bridge, cluster_stars, cfg)
     scores = None
     if scorer:
-        good = gate_srs(sr_counts(star_patch, cfg), cfg)
-        wanted = members.select("patch_id").distinct()
-        scores = last_scores(score(star_patch.join(wanted, "patch_id", "left_semi"), good, cfg, scorer))
+        # regions are counted in patches that have members only
+        wanted = staged(members.select("patch_id").distinct(), "wanted")
+        inside = star_patch.join(wanted, "patch_id", "left_semi")
+        scores = last_scores(score(inside, gate_srs(sr_counts(inside, cfg), cfg), cfg, scorer))
         members = members.join(scores.withColumnRenamed("score", "anomaly_score"), ["patch_id", "star_id"], "left").fillna(0.0, ["anomaly_score"])
     else:
         members = members.withColumn("anomaly_score", F.lit(0.0))

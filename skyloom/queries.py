@@ -589,6 +589,22 @@ def q_rv_dispersion(spark, sf_dir):
     return sp.groupBy("patch_id").agg(r6(stats.rv_dispersion(), "dispersion")).join(density.valid_moments(sp, ["patch_id"]), "patch_id").select("patch_id", "dispersion", r6("mean_dist"))
 
 
+_VALID = {"dist": ("distance", "distance > 0.1 AND distance < 500"), "rv": ("rv", "abs(rv) > 0.001 AND abs(rv) < 1000")}
+
+
+@register(f"WITH {SP} SELECT patch_id, {', '.join(f'round({f}({c}) FILTER ({ok}), 6) AS {n}_{k}' for k, (c, ok) in _VALID.items() for n, f in (('mean', 'avg'), ('std', 'stddev_pop')))} FROM sp GROUP BY patch_id")
+def q_valid_moments(spark, sf_dir):
+    found = density.valid_moments(projected(spark, sf_dir), ["patch_id"])
+    return found.select("patch_id", *[r6(f"{n}_{k}") for k in _VALID for n in ("mean", "std")])
+
+
+@register("""SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 5 = 0 AND trim(o_orderstatus) = 'F'""")
+def q_quality_filter(spark, sf_dir):
+    """The cut of good stars, by a warning number and a padded class."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice", F.pmod("o_orderkey", F.lit(5)).alias("rvs_warn"), F.when(F.col("o_orderstatus") == "F", F.lit(" STAR  ")).otherwise(F.lit("GALAXY")).alias("rr_spectype"))
+    return prep.good_stars(rows).select("o_orderkey", "o_totalprice")
+
+
 # ---- clusters
 
 

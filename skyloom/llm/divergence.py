@@ -65,8 +65,9 @@ def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int
     own = own.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
     spark = own.sparkSession
     places = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    counts = staged(term_counts(own).withColumn("d", F.sum("docs").over(Window.partitionBy("lang", "term"))).where(F.col("d") >= min_docs).select("lang", "source", "term", "n"), "terms")
+    counts = staged(term_counts(own).withColumn("d", F.sum("docs").over(Window.partitionBy("term", "lang"))).where(F.col("d") >= min_docs).select("lang", "source", "term", "n"), "terms")
 
+    # keys begin with the term, by whose first bytes Spark sorts: languages are alike
     # a row for each group and one for each language: few, so their sums are taken again and again
     by_group = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     by_term = counts.groupBy("lang", "term").agg(F.sum("n").alias("all_n"))
@@ -80,12 +81,12 @@ def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int
     repeated = groups.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(places - 1))))
     dealt = by_term.withColumn("place", F.pmod(F.xxhash64("term"), F.lit(places)).cast("int"))
     crossed = dealt.join(repeated.hint("shuffle_hash"), ["lang", "place"]).drop("place")
-    dense = crossed.join(counts, ["lang", "source", "term"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    dense = crossed.join(counts, ["term", "lang", "source"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     dense = staged(dense.select("lang", "source", "term", "n", share("n", "total", "kept").alias("p"), share("all_n", "all_total", "kept").alias("q")), "dense")
 
     left = dense.select("lang", "term", "source", "p")
     right = dense.select("lang", "term", F.col("source").alias("other"), F.col("p").alias("q"))
-    summed = left.join(right, ["lang", "term"]).where("source < other").groupBy("lang", "source", "other").agg(F.sum(F.expr(DISTANCE)).alias("value"))
+    summed = left.join(right, ["term", "lang"]).where("source < other").groupBy("lang", "source", "other").agg(F.sum(F.expr(DISTANCE)).alias("value"))
     names = groups.select("lang", "source")
     zeros = names.join(names.withColumnRenamed("source", "other"), "lang").where("source < other").select("lang", "source", "other", F.lit(0).cast("long").alias("value"))
     once = summed.unionByName(zeros).groupBy("lang", "source", "other").agg(F.sum("value").alias("value"))

@@ -98,6 +98,21 @@ def test_subsample_and_cap(spark):
     assert len(kept) == 1000 and {(r["i"], r["axis"], r["j"]) for r in kept} == set(itertools.islice(((i, a, j) for i in range(20) for a in (0, 1) for j in range(40)), 1000))
 
 
+def test_cells_of_one_patch_meet_several_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(1, int(i), *map(float, rng.random(2))) for i in rng.permutation(3000) * 7] + [(2, 1, 0.1, 0.1), (1, None, 0.1, 0.1)]
+    sp = spark.createDataFrame(rows, "patch_id int, star_id long, pmra double, pmdec double")
+    wanted = sorted(windows.cells(sp, CFG).collect(), key=str)
+    monkeypatch.setattr(windows, "TASK_ROWS", 500)
+    dealt = windows.cells(patches.gate_patches(sp, 50), CFG)
+    tasks = dealt.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 6  # the session's shuffles have 4 partitions
+    assert sorted(dealt.collect(), key=str) == wanted
+    for most in (100, 700):  # most cells are sliced, with steps of one and of more
+        monkeypatch.setattr(windows, "SLICE_ROWS", most)
+        assert sorted(windows.cells(sp, CFG).collect(), key=str) == wanted
+
+
 def test_knn_brute_force(spark):
     rng = np.random.default_rng(2)
     pts, asks = rng.random((120, 3)).astype(np.float32), rng.random((25, 3)).astype(np.float32)

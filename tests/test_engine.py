@@ -481,3 +481,24 @@ def test_position_overlap(spark):
     a = spark.createDataFrame([(1.0, 2.0), (3.0, 4.0), (5.0, 6.0), (5.0, 6.0)], "ra double, dec double")
     b = spark.createDataFrame([(1.0 + 4e-7, 2.0), (5.0, 6.0 - 4e-7), (3.0, 4.1)], "ra double, dec double")
     assert clusters.position_overlap(a, b).first()[0] == 0.75
+
+
+def test_tile_coverage_compares_borders_only(spark):
+    """Poles, the turn of right ascension, angles beyond both, unknown places, and many tiles at one place."""
+    rng = np.random.default_rng(8)
+    tiles = [(float(a), float(d), int(k)) for a, d, k in zip(rng.uniform(-20, 20, 60), rng.uniform(-4, 4, 60), rng.integers(1, 4, 60), strict=True)]
+    tiles += [(10.0, 89.5, 2), (200.0, -89.9, 3), (359.9, 91.0, 1), (float("nan"), 1.0, 7), (None, 1.0, 7), (0.5, 0.5, None)] + [(0.2, 0.1, 1)] * 300
+    places = [*zip(rng.uniform(-21, 381, 1500), rng.uniform(-5, 5, 1500), strict=True), *zip(rng.uniform(0, 360, 300), rng.uniform(87, 93, 300), strict=True), *zip(rng.uniform(0, 360, 200), rng.uniform(-90, -87, 200), strict=True)]
+    places = [(float(a), float(d)) for a, d in places] + [(0.0, 90.0), (360.0, 0.0), (float("nan"), 0.0), (0.0, None), (0.0, float("inf"))]
+    stars = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "star_id int, ra double, dec double")
+    got = {r["star_id"]: r["coverage"] for r in coverage.tile_coverage(stars, spark.createDataFrame(tiles, "tile_ra double, tile_dec double, passes int"), 1.6).collect()}
+    known = np.radians(np.array([t[:2] for t in tiles if None not in t]))
+    passes = np.array([t[2] for t in tiles if None not in t])
+    for i, (a, d) in enumerate(places):
+        if d is None or not np.isfinite([a, d]).all():
+            assert got[i] == 0
+            continue
+        a, d = np.radians([a, d])
+        h = np.sin((known[:, 1] - d) / 2) ** 2 + np.cos(known[:, 1]) * np.cos(d) * np.sin((known[:, 0] - a) / 2) ** 2
+        assert got[i] == passes[2 * np.degrees(np.arctan2(np.sqrt(h), np.sqrt(1 - h))) <= 1.6].sum()
+    assert sum(v >= 300 for v in got.values()) > 2

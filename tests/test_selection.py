@@ -80,3 +80,16 @@ def test_one_group_of_a_million_values(spark):
     found = order_statistics(df, ["g"], "x", {"middle": F.floor(F.col("n") / 2)})
     assert found.first()["middle"] == 500_000 / 3
     assert "collect_list" not in found._jdf.queryExecution().toString()
+
+
+def test_bandwidths_make_their_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def noted(x):
+        seen.add(1)
+        return x
+
+    rows = spark.range(200).select((F.col("id") % 2).alias("g"), noted(F.col("id").cast("double")).alias("x"))
+    assert selection.silverman_bandwidths(rows, ["g"], "x").count() == 2
+    assert seen.value == 200

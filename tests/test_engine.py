@@ -381,6 +381,36 @@ def test_fitted_kernels_spare_pairs(monkeypatch):
     assert sum(pairs) < len(asks) * len(data) / 5
 
 
+def test_regions_share_fits(monkeypatch):
+    """Densities of all windows equal those of each by itself, and stars go to nodes once for all windows and once for each own."""
+    rng = np.random.default_rng(11)
+    n = 12_000
+    x = np.column_stack([rng.uniform(-1.78, 1.78, (n, 2)), np.sort(rng.triangular(-3, 0, 3, n))])
+    pm, starts = rng.triangular(-3, 0, 3, n), [-3.0 + 0.25 * i for i in range(23)]
+    pm[:300], pm[300:305] = -2.9, np.nan  # narrow kernels at one end, and stars that are in no window
+    fitted, weights = [], density._Boxes.weights
+    monkeypatch.setattr(density._Boxes, "weights", lambda self, data: (fitted.append(len(data)), weights(self, data))[1])
+    monkeypatch.setattr(density._Boxes, "worth", staticmethod(lambda axes, pairs: True))
+    monkeypatch.setattr(density, "FIT_PAIRS", 100_000)
+    found = density.region_densities(x, pm, starts, 0.5)
+    assert n < sum(fitted) < 4 * n
+    for (at, *got), start in zip(found, starts, strict=True):
+        inside = (pm >= start) & (pm < start + 0.5)
+        assert (at == np.flatnonzero(inside)).all()
+        for dens, data in zip(got, (x[inside], x[~inside]), strict=True):
+            h = density.kernel_bandwidths(data)[0]
+            want = density._direct(x[inside] / h, data / h) / len(data) / np.prod(np.sqrt(2 * np.pi) * h)
+            assert np.allclose(dens, want, rtol=1e-7, atol=1e-290)
+
+
+def test_kernels_of_both_tails_spare_what_lies_between(monkeypatch):
+    z, data = np.column_stack([np.zeros(40), np.repeat([-100.0, 100.0], 20)]), np.column_stack([np.zeros(5000), np.linspace(-60, 60, 5000)])
+    pairs, direct = [], density._direct
+    monkeypatch.setattr(density, "_direct", lambda a, b: (pairs.append(len(a) * len(b)), direct(a, b))[1])
+    density._near(z, data)
+    assert sum(pairs) == 0
+
+
 def test_scores_with_distance_and_velocity(spark):
     """Third axes of the neighbour score against plain loops; histogram scores against counting every star in every region."""
     rng = np.random.default_rng(8)

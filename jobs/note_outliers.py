@@ -26,20 +26,23 @@ from pyspark.sql import functions as F
 from jobs.common import command_line, log
 from skyloom.operators.knn import knn
 from skyloom.operators.selection import order_statistics
-from skyloom.session import scratch
+from skyloom.session import scratch, staged
 
 DEFAULTS = {"neighbours": 5, "flag_below": -3.0, "least_group": 20}
 FEATURES = ["words", "length", "lines"]
-#: A word, as the blanks of ASCII part it.
-WORD = r"[^\x20\x09-\x0D]+"
+#: What parts words: the blanks of ASCII.
+BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def features(documents: DataFrame) -> DataFrame:
     """doc_id, lang, source and the three features of each record; doubles of whole numbers, and ratios of such."""
     text, lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "lang", "source"))
-    words = F.regexp_count(text, F.lit(WORD))
     breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    counted = documents.select("doc_id", lang.alias("lang"), source.alias("source"), words.cast("double").alias("words"), F.length(text).alias("chars"), breaks.alias("breaks"))
+    # counting matches copies the whole text for each; a text that begins or ends with a blank has an empty part there
+    split = documents.select("doc_id", lang.alias("lang"), source.alias("source"), F.split(text, BLANKS).alias("parts"), F.length(text).alias("chars"), breaks.alias("breaks"))
+    empty = lambda at: (F.element_at("parts", at) == "").cast("int")
+    words = F.size("parts") - empty(1) - F.when(F.size("parts") > 1, empty(-1)).otherwise(0)
+    counted = split.select("doc_id", "lang", "source", words.cast("double").alias("words"), "chars", "breaks")
     whole = F.greatest("words", F.lit(1.0))
     made = counted.select("doc_id", "lang", "source", "words", (F.col("chars") / whole).alias("length"), (F.col("breaks") * 1000 / whole).alias("lines"))
     names = made.columns[1:]
@@ -48,19 +51,22 @@ def features(documents: DataFrame) -> DataFrame:
 
 def centred(records: DataFrame) -> DataFrame:
     """Features less their language's median, in units of its quartile distance (1 where that is 0), as float32."""
-    n, out = F.col("n"), records
-    for c in FEATURES:
-        found = order_statistics(records, ["lang"], c, {"q1": F.floor(n / 4), "middle": F.floor(n / 2), "q3": F.floor(n * 3 / 4)})
-        wide = F.when(F.col("q3") > F.col("q1"), F.col("q3") - F.col("q1")).otherwise(1.0)
-        out = out.join(found.select("lang", "middle", wide.alias("wide")), "lang").withColumn(f"z_{c}", ((F.col(c) - F.col("middle")) / F.col("wide")).cast("float")).drop("middle", "wide")
-    return out
+    n = F.col("n")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in FEATURES]))
+    tall = records.select("lang", each.alias("_f")).select("lang", "_f.feature", "_f.value")
+    found = order_statistics(tall, ["lang", "feature"], "value", {"q1": F.floor(n / 4), "middle": F.floor(n / 2), "q3": F.floor(n * 3 / 4)})
+    wide = F.when(F.col("q3") > F.col("q1"), F.col("q3") - F.col("q1")).otherwise(1.0)
+    of = lambda column, c: F.max(F.when(F.col("feature") == c, column))
+    units = found.groupBy("lang").agg(*[x for c in FEATURES for x in (of(F.col("middle"), c).alias(f"m_{c}"), of(wide, c).alias(f"w_{c}"))])
+    z = {f"z_{c}": ((F.col(c) - F.col(f"m_{c}")) / F.col(f"w_{c}")).cast("float") for c in FEATURES}
+    return records.join(units, "lang").withColumns(z).select(*records.columns, *z)
 
 
 def scored(points: DataFrame, neighbours: int, least_group: int) -> DataFrame:
     """Adds kth_distance and score; the place of the k-th neighbour counts the record itself as 0."""
     dims = [f"z_{c}" for c in FEATURES]
     found = knn(points.withColumnRenamed("doc_id", "point_id"), points.withColumnRenamed("doc_id", "query_id"), neighbours + 1, dims, ["lang"])
-    far = found.groupBy("lang", "query_id").agg(F.sqrt(F.max("dist_sq")).alias("kth_distance"))
+    far = staged(found.groupBy("lang", "query_id").agg(F.sqrt(F.max("dist_sq")).alias("kth_distance")), "far")  # scores and their means read it
     stats = far.groupBy("lang").agg(F.avg("kth_distance").alias("mean"), F.stddev_pop("kth_distance").alias("std"), F.count("*").alias("n"))
     score = F.when((F.col("std") > 1e-9) & (F.col("n") >= least_group), (F.col("mean") - F.col("kth_distance")) / F.col("std")).otherwise(0.0)
     both = far.join(stats, "lang").select(F.col("query_id").alias("doc_id"), "kth_distance", score.alias("score"))
@@ -81,7 +87,8 @@ def run(spark: SparkSession, source: str, output: str, settings: dict | None = N
         return spark.read.parquet(f"{output}/{name}")
 
     with scratch():
-        made = scored(centred(features(documents.where("doc_id is not null"))), chosen["neighbours"], chosen["least_group"])
+        records = staged(features(documents.where("doc_id is not null")), "features")  # texts are read once
+        made = scored(staged(centred(records), "points"), chosen["neighbours"], chosen["least_group"])
         rows = made.withColumn("flagged", F.col("score") < chosen["flag_below"]).withColumn("part", F.concat(F.lit("lang-"), "lang"))
         kept = written(rows.select("doc_id", "lang", "source", *FEATURES, "kth_distance", "score", "flagged", "part"), "records")
     given = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang")).distinct()

@@ -2,6 +2,7 @@
 
 import json
 import os
+import re
 import subprocess
 import sys
 from pathlib import Path
@@ -163,3 +164,26 @@ def test_command_line(tmp_path):
         assert sky.returncode == 0, sky.stderr[-2000:]
         assert f"took {taken} new rows" in sky.stderr
     assert files(tmp_path / "sky") and files(tmp_path / "notes")
+
+
+def test_texts_are_read_once(spark, tmp_path, monkeypatch):
+    """A run makes each record's features once, however many steps read them."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(x):
+        made.add(1)
+        return x
+
+    features = note_outliers.features
+    monkeypatch.setattr(note_outliers, "features", lambda documents: features(documents).withColumn("words", seen("words")))
+    note_outliers.run(spark, f"{SF}/documents.parquet", str(tmp_path / "out"))
+    assert made.value == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_words_at_the_ends_of_texts(spark):
+    """Words are counted as matches of what is no blank, with blanks of ASCII only and none lost at either end."""
+    texts = ["", " ", " \t\n", "a", " a", "a ", " a ", "a b", "\x0ba\x0c\x0db \n c\n", "a\xa0b", " ", "a\x1fb", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    got = {r["doc_id"]: r["words"] for r in note_outliers.features(rows).collect()}
+    assert [got[i] for i in range(len(texts))] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]

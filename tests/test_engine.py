@@ -411,6 +411,68 @@ def test_kernels_of_both_tails_spare_what_lies_between(monkeypatch):
     assert sum(pairs) == 0
 
 
+def _kernel_rows(spark, n, dup=0):
+    """A patch with a clump, stars far out and one that is alone, and its signal regions."""
+    rng = np.random.default_rng(17)
+    x = np.column_stack([rng.uniform(-1.78, 1.78, (n, 2)), rng.triangular(-4, 0, 4, n), rng.triangular(-4, 0, 4, n)])
+    pm = rng.triangular(-1.5, 0, 1.5, (n, 2))
+    x[: n // 10, 2], x[n // 10 : n // 10 + 3, 2], x[n // 10 + 3, 2] = rng.normal(1, 0.02, n // 10), (30.0, -25.0, 30.0), -60.0
+    x[50:60, 2] = 0.0
+    rows = [(3, i, *map(float, pm[i]), *map(float, x[i])) for i in range(n)]
+    rows += rows[:dup]
+    sp = spark.createDataFrame(rows, "patch_id int, star_id long, pmra double, pmdec double, phi double, lam double, mu_lam double, mu_phi double")
+    return sp, windows.sr_counts(sp, CFG).where("n_sr >= 10"), np.array(rows)
+
+
+def _kernel_score(rows, axis, i):
+    """Star and score of a region by all pairs."""
+    pm, x = rows[:, 2 + axis], rows[:, [4, 5, 6 + axis]]
+    inside = (pm >= -30 + 0.25 * i) & (pm < -29.5 + 0.25 * i)
+    dens = []
+    for data in (x[inside], x[~inside]):
+        h = density.kernel_bandwidths(data)[0]
+        dens.append(density._direct(x[inside] / h, data / h) / len(data) / np.prod(h))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.where(dens[1] * (2 * np.pi) ** -1.5 > 1e-300, dens[0] / dens[1], 1e10)
+    return dict(zip(rows[inside, 1].astype(int).tolist(), ratio.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("block", [200_000, 700])
+def test_kernel_scores_in_blocks_equal_all_pairs(spark, monkeypatch, block):
+    """A patch cut into blocks has the scores of all pairs, for rows that repeat a star too."""
+    monkeypatch.setattr(density, "PATCH_STARS", block)
+    monkeypatch.setattr(density, "BLOCK_STARS", block)
+    monkeypatch.setattr(density, "BUCKET_ROWS", 20)
+    sp, regions, rows = _kernel_rows(spark, 4000, dup=300)
+    found = density.kde_scores(sp, regions, CFG).toPandas()
+    want = {(axis, i): _kernel_score(rows, axis, i) for axis, i in found[["axis", "i"]].drop_duplicates().itertuples(index=False)}
+    assert len(want) == regions.where("n_sb >= 100").count()
+    assert len(found) == sum(map(len, want.values()))
+    assert np.allclose(found.score, [want[a, i][s] for a, i, s in found[["axis", "i", "star_id"]].itertuples(index=False)], rtol=1e-7)
+
+
+def test_blocks_of_large_patches_are_parts(spark, monkeypatch):
+    """No block holds more than a part of a patch, each star is of one block, and bandwidths are those of the whole sides."""
+    monkeypatch.setattr(density, "PATCH_STARS", 0)
+    monkeypatch.setattr(density, "BLOCK_STARS", 1000)
+    monkeypatch.setattr(density, "BLOCKS", 100)
+    monkeypatch.setattr(density, "BUCKET_ROWS", 50)
+    sp, regions, rows = _kernel_rows(spark, 20_000)
+    seen = {}
+    blocked = density._blocked
+    monkeypatch.setattr(density, "_blocked", lambda *a: seen.setdefault("made", blocked(*a)))
+    density.kde_scores(sp, regions, CFG)
+    wide, stars = seen["made"][0].dropDuplicates(["axis", "i"]).toPandas(), seen["made"][1]
+    size = stars.groupBy("axis", "block").agg(F.count("*").alias("n"), F.sum(F.col("mine").cast("int")).alias("own")).toPandas()
+    assert size.n.max() < 0.8 * len(rows) and size.own.max() < 0.1 * len(rows)
+    assert stars.where("mine").groupBy("axis", "star_id").count().where("count > 1").isEmpty()
+    for r in wide.itertuples():
+        pm, x = rows[:, 2 + r.axis], rows[:, [4, 5, 6 + r.axis]]
+        inside = (pm >= -30 + 0.25 * r.i) & (pm < -29.5 + 0.25 * r.i)
+        for side, data in enumerate((x[inside], x[~inside])):
+            assert np.allclose([getattr(r, f"h{side}_{d}") for d in density.DIMS], density.kernel_bandwidths(data)[0], rtol=1e-12)
+
+
 def test_scores_with_distance_and_velocity(spark):
     """Third axes of the neighbour score against plain loops; histogram scores against counting every star in every region."""
     rng = np.random.default_rng(8)

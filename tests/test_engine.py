@@ -473,6 +473,20 @@ def test_blocks_of_large_patches_are_parts(spark, monkeypatch):
             assert np.allclose([getattr(r, f"h{side}_{d}") for d in density.DIMS], density.kernel_bandwidths(data)[0], rtol=1e-12)
 
 
+def test_kernel_score_drops_no_large_region(spark, monkeypatch):
+    """The scan's upper bound of a signal region's stars does not hold for the kernel score."""
+    from dataclasses import replace
+
+    from skyloom import queries
+
+    monkeypatch.setattr(queries, "CFG", replace(CFG, max_stars_sr=40))
+    sp = queries.projected(spark, "/root/testdata/sf0.001")
+    want = windows.sr_counts(sp, CFG).where("n_sr >= 10 and n_sb >= 100")
+    assert want.agg(F.max("n_sr")).first()[0] > 40
+    got = queries.q_kde_score(spark, "/root/testdata/sf0.001")
+    assert got.count() == want.agg(F.sum("n_sr")).first()[0]
+
+
 def test_scores_with_distance_and_velocity(spark):
     """Third axes of the neighbour score against plain loops; histogram scores against counting every star in every region."""
     rng = np.random.default_rng(8)
